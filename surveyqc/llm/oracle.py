@@ -1,3 +1,13 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+#: The payload of a page is its html in UTF-8; DuckDB's strings are UTF-8.
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+SQL: dict[str, str] = {"op9_warc": WARC}
