@@ -43,12 +43,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_BYTES of text each (a longer text stands alone)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> list[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text each (a longer text stands alone)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     if not len(size):
         return []
-    part = np.cumsum(size) // SLICE_BYTES
+    part = np.cumsum(size) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     edges = [0, *cuts.tolist(), len(size)]
     return [batch.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]

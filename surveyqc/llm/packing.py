@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that are ranked together, on average, if all rows had one length.
 RANK_ROWS = 1_000
+#: Bytes of text that are tokenised at once.
+SLICE = 12 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -95,49 +98,67 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 
 
 class WordEncoder:
-    """Ids of words (texts without white space), as little-endian bytes; remembers up to `remember` words.
+    """Ids of words (texts without white space).
 
     White space separates tokens in this vocabulary, so a text's ids are its words' ids. Words of letters alone are one
     stretch that ends in an end-of-word token, so many go to the tokenizer in one call and are cut apart at those tokens.
+    Marks after a letter or digit are a stretch of their own; most distinct words differ from others by them alone.
     """
 
-    PUNCTUATION = ".,;:!?"
+    MARKS = ".,;:!?#*$%&()"
 
-    def __init__(self, tokenizer_path: str, remember: int = 400_000) -> None:
+    def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tok, self.remember, self.known = Tokenizer.from_file(tokenizer_path), remember, {}
+        self.tok = Tokenizer.from_file(tokenizer_path)
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), "<u4", int(size.sum())), size
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         for group, coded in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(group):  # a letter whose lower case is more than letters
-                rest += group
-                continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[w], at = data[at:end], end
-        for w, coded in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(coded.ids, "<u4").tobytes()
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known.clear()
-        known, parts = self.known, {}
-        for w in words:
-            if w not in known and (stem := w.rstrip(self.PUNCTUATION)) != w and stem.isalpha():
-                parts[w] = stem, w[len(stem) :]
-        wanted = {w for w in words if w not in known and w not in parts} | {x for p in parts.values() for x in p if x not in known}
-        self._learn(list(wanted))
-        known |= {w: known[a] + known[b] for w, (a, b) in parts.items()}
-        return [known[w] for w in words]
+            # A letter whose lower case is more than letters ends more than one stretch.
+            found.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(group) else self._each(group))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else self._each([])
+
+    def _all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each word begins and how many it has."""
+        plain = pc.match_substring_regex(words, r"^\pL+$")
+        halves = [self._joined(words.filter(plain).to_pylist()), self._each(words.filter(pc.invert(plain)).to_pylist())]
+        ids, size = map(np.concatenate, zip(*halves, strict=True))
+        place = np.argsort(~np.asarray(plain), kind="stable")  # of each word in the two lists
+        begin, count = np.empty_like(size), np.empty_like(size)
+        begin[place], count[place] = np.cumsum(size) - size, size
+        return ids, begin, count
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and of each word twice (its stem, its marks) where they begin and how many they are."""
+        stems = pc.utf8_rtrim(words, self.MARKS)
+        stems = pc.if_else(pc.match_substring_regex(stems, r"[\pL\pN]$"), stems, words)
+        longer = pc.greater(pc.binary_length(words), pc.binary_length(stems))
+        marks = pc.if_else(longer, pc.replace_substring_regex(words, r"(?s)^.*[\pL\pN]([^\pL\pN]+)$", r"\1"), "")
+        begin, count, ids, at = np.empty((len(words), 2), np.int64), np.empty((len(words), 2), np.int64), [], 0
+        for k, half in enumerate((stems.dictionary_encode(), marks.dictionary_encode())):
+            own, b, n = self._all(half.dictionary)
+            codes = np.asarray(half.indices)
+            begin[:, k], count[:, k], at = b[codes] + at, n[codes], at + len(own)
+            ids.append(own)
+        return np.concatenate(ids), begin, count
+
+
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_path: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return WordEncoder(tokenizer_path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -148,20 +169,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = word_encoder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 words, edges = words_of(batch.column("text"))
                 coded = words.dictionary_encode()
                 codes = np.asarray(coded.indices, dtype=np.int64)
-                encoded = encode(coded.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes()]
-                size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-                flat = np.frombuffer(b"".join(encoded), "<u4")
-                begin = np.cumsum(size) - size
-                codes = np.insert(codes, edges[1:], len(encoded) - 1)  # an end after each document's words
-                n = size[codes]
-                ends = np.cumsum(n)
-                ids = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(ends[-1])]
+                flat, begin, count = encode(coded.dictionary)
+                end = len(flat)  # an end after each document's words
+                begin = np.insert(begin[codes], edges[1:], end, axis=0).ravel()
+                count = np.insert(count[codes], edges[1:], [1, 0], axis=0).ravel()
+                flat = np.append(flat, np.uint32(end_id))
+                ends = np.cumsum(count)
+                ids = flat[np.repeat((begin - (ends - count)).astype(np.int32), count) + np.arange(ends[-1], dtype=np.int32)]
+                ends = ends[1::2]
                 doc_end = ends[edges[1:] + np.arange(len(edges) - 1)]
                 doc_len = np.diff(doc_end, prepend=0)
                 pieces = -(-doc_len // capacity)
@@ -169,7 +190,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
                 length = np.minimum(capacity, doc_len[row] - start)
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum(length)) * 4), pa.py_buffer(ids.tobytes())])
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum(length)) * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pc.cast(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
     return text_table(docs).mapInArrow(run, PIECES)
