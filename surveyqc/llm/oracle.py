@@ -10,4 +10,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
-SQL: dict[str, str] = {"op9_warc": WARC}
+CHAT = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, regexp_replace(text, '([<[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g') AS body FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + length(body) + 11)::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(role, ' ' ORDER BY turn, text), '(system )?user assistant( user assistant)*') AS valid
+FROM e GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op9_warc": WARC}
