@@ -1,5 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
+from surveyqc.llm import rules
+
 #: The payload of a page is its html in UTF-8; DuckDB's strings are UTF-8.
 WARC = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -23,4 +25,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op9_warc": WARC}
+_TESTS = [(r, m, c) for r, (m, grid) in rules.RULES.items() for c in grid]
+_SHARE = rules.LIMIT / len(rules.RULES)
+_BROKEN = " OR ".join(f"coalesce(n_words > 0 AND {m} > cut_{r}, false)" for r, (m, _) in rules.RULES.items())
+_CUTS = ", ".join(f"min(cut) FILTER (rule = '{r}' AND safe) AS cut_{r}" for r in rules.RULES)
+#: The same counts by unnesting words; the same exact test by the gamma function.
+RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+g AS (SELECT row, i, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY row ORDER BY i)),
+r AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+p AS (SELECT row, count(DISTINCT j) AS n_repeat_words FROM (SELECT row, unnest([i, i + 1, i + 2]) AS j FROM r WHERE n > 1) GROUP BY row),
+s AS (SELECT row, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY row),
+l AS (SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+f AS (SELECT doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations
+  FROM d LEFT JOIN s USING (row) LEFT JOIN p USING (row) LEFT JOIN l USING (row)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+t AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (above) AS k FROM (
+    {" UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c} AS cut, {m} > {c} AS above FROM h" for r, m, c in _TESTS)}) GROUP BY ALL),
+v AS (SELECT lang, rule, cut, k < {_SHARE} * n AND (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))
+    FROM (SELECT unnest(generate_series(0, k)) AS j)) <= {rules.DELTA} / ({len(_TESTS)} * (SELECT count(DISTINCT lang) FROM h)) AS safe FROM t),
+c AS (SELECT lang, {_CUTS} FROM v GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept
+FROM b LEFT JOIN c USING (lang)
+"""
+
+SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op7_quality_rules": RULES, "op9_warc": WARC}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, html, packing, warc
+from surveyqc.llm import chat, html, packing, rules, warc
 from surveyqc.llm.common import table
 
 
@@ -44,9 +44,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("broken")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(warc.classify(table(spark, sf_dir, "pages")))
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_chat_formatting, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op9_warc)}
