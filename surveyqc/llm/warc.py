@@ -20,7 +20,8 @@ from surveyqc.llm.common import shared_dir, written
 MIN_REVISIT_BYTES = 1000
 #: Ranges of one file that lie within this gap are read at once, up to RANGE_BYTES.
 GAP_BYTES = 64 << 10
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+TASK_BYTES = 16 << 20
 FILE_BYTES = 1 << 30
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -145,5 +146,6 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
             yield from emit(file, group)
 
     ranges = index.select("file", "offset", "length")
-    dealt = ranges.repartition("file", F.expr(f"offset div {RANGE_BYTES}")).sortWithinPartitions("file", "offset")
+    total = ranges.agg(F.sum("length")).first()[0] or 0  # index rows are narrow: the tasks are counted by what they will read
+    dealt = ranges.repartition(max(1, -(-total // TASK_BYTES)), "file", F.expr(f"offset div {RANGE_BYTES}")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, RECORD)
