@@ -49,11 +49,11 @@ def counts(docs: DataFrame) -> DataFrame:
         "lang",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"),
-        F.char_length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.char_length("text") - F.char_length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
-        (F.char_length("text") - F.char_length(F.translate("text", "!", ""))).cast("long").alias("n_exclamations"),
+        (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[^\x20\x09-\x0D]++", ""))).cast("long").alias("word_chars"),
+        F.regexp_replace("text", f"[^A-Z!{SYMBOLS}]++", "").alias("marks"),
     )
+    count = lambda wanted: F.char_length(F.regexp_replace("marks", f"[^{wanted}]++", "")).cast("long")
+    rows = rows.withColumns({"n_symbols": count(SYMBOLS), "n_capitals": count("A-Z"), "n_exclamations": count("!")})
     n = F.size("words")
     rows = rows.withColumn("bits", F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int"))
     packed = F.expr("IF(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | i))")
