@@ -1,6 +1,6 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-from surveyqc.llm import rules
+from surveyqc.llm import rules, secrets
 
 #: The payload of a page is its html in UTF-8; DuckDB's strings are UTF-8.
 WARC = """
@@ -54,4 +54,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN c USING (lang)
 """
 
-SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op7_quality_rules": RULES, "op9_warc": WARC}
+_KINDS = (("assign", secrets.ASSIGN.replace("'", "''").replace(r"\x20", " "), 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0), ("token", secrets.TOKEN, 0))
+_FOUND = " UNION ALL ".join(
+    f"""SELECT row, {rank} AS rank, '{kind}' AS kind, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i,
+      unnest(regexp_extract_all(text, '{p}')) AS match, unnest(regexp_extract_all(text, '{p}', {g})) AS value,
+      unnest(regexp_split_to_array(text, '{p}')[:-2]) AS gap FROM d WHERE regexp_matches(text, '{p}')"""
+    for rank, (kind, p, g) in enumerate(_KINDS)
+)
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS ({_FOUND}),
+p AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY row, rank ORDER BY i)::BIGINT AS stop FROM m),
+b AS (SELECT row, rank, kind, value, stop - length(match) AS start, stop FROM p WHERE rank < 3 AND (rank > 0 OR length(value) >= 6)
+  UNION ALL SELECT row, rank, kind, value, stop - length(match), stop FROM p AS t WHERE rank = 3
+    AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
+    AND NOT EXISTS (FROM p AS x WHERE x.row = t.row AND x.rank < 3 AND (x.rank > 0 OR length(x.value) >= 6) AND x.stop - length(x.match) < t.stop AND t.stop - length(t.match) < x.stop)),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 1 AND len(list_distinct(string_split(value, ''))) >= 6 AS live FROM b JOIN d USING (row) GROUP BY value),
+s AS (SELECT b.*, live FROM b JOIN o USING (value) WHERE live OR rank < 3),
+a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+  count(*) FILTER (live) AS n_live FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN a USING (row)
+"""
+
+SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op7_quality_rules": RULES, "op9_warc": WARC, "op10_secret_scans": SECRETS}

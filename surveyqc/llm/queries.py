@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, html, packing, rules, warc
+from surveyqc.llm import chat, html, packing, rules, secrets, warc
 from surveyqc.llm.common import table
 
 
@@ -53,4 +53,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op9_warc)}
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(said(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op9_warc, op10_secret_scans)}
