@@ -50,7 +50,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_digits(F.col("f0")).alias("fingerprint"), "component_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,23 @@ CHUNK = 4096
 STEP = 8
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (signed 64-bit) of each whole text, A-Z lower-cased, over shingles with repeats, XXH64 with seed 42.
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several hash functions made from one (k = 0: itself)."""
+    if k:
+        h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+    return h
 
-    A bit is 1 if it is set in over half of the hashes. Fewer words than a shingle: the whole sequence is the only one. A null
-    or empty text has fingerprint 0. Repeated rows are kept; other columns are ignored.
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFrame:
+    """doc_id, f0, f1 … (signed 64-bit words of the fingerprint) of each whole text, A-Z lower-cased.
+
+    Over shingles with repeats, XXH64 with seed 42 (further words of the fingerprint from mixes of it). A bit is 1 if it is set
+    in over half of the hashes. Fewer words than a shingle: the whole sequence is the only one. A null or empty text has
+    fingerprint 0. Repeated rows are kept; other columns are ignored.
     """
+    names = [f"f{k}" for k in range(words64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -48,15 +59,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 last = np.minimum(first + shingle, edges[row + 1]) - 1
                 hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist(), strict=True)), np.uint64, len(row))
-                fp = np.zeros(len(n), np.uint64)
+                fp = np.zeros((words64, len(n)), np.uint64)
                 full = np.flatnonzero(count)
                 starts = (np.cumsum(count) - count)[full]
-                for bit in range(BITS if len(full) else 0):
-                    ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), starts)
-                    fp[full] |= (2 * ones > count[full]).astype(np.uint64) << np.uint64(bit)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                for k in range(words64 if len(full) else 0):
+                    bits = np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+                    fp[k, full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, fp.view(np.int64))], ["doc_id", *names])
 
-    return text_table(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_table(docs).mapInArrow(run, ", ".join(["doc_id long", *[f"{x} long" for x in names]]))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -64,10 +76,10 @@ def hex_digits(fp: Column) -> Column:
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
-    """planes[b]: bit b of all rows, 64 rows to a word, and one word more for shifts."""
-    padded = np.zeros(-(-len(fp) // 64) * 64 + 64, np.uint64)
+    """planes[b]: bit b of all rows of fp (rows x words), 64 rows to a word, and one word more for shifts."""
+    padded = np.zeros((-(-len(fp) // 64) * 64 + 64, fp.shape[1]), np.uint64)
     padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little").T
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -78,7 +90,7 @@ def within(planes: np.ndarray, shift: int, n: int, radius: int) -> np.ndarray:
     width = (radius + 1).bit_length()
     counters = [np.zeros(len(alive), np.uint64) for _ in range(width)]
     over = np.zeros(len(alive), np.uint64)
-    for b in range(BITS):
+    for b in range(len(planes)):
         p = planes[b]
         other = p[alive + word]
         if by:
@@ -153,24 +165,39 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def links(reps: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """src, dst: links that connect all nodes of reps(node, fp) with at most `radius` differing bits, none else.
+def agreeing_blocks(radius: int = 2, blocks: int = 4) -> list[list[int]]:
+    """Masks of 64 bits, one of which any two fingerprints within the radius agree on: all choices of blocks - radius blocks."""
+    width = BITS // blocks
+    return [[sum(((1 << (BITS - width * k if k == blocks - 1 else width)) - 1) << (width * k) for k in c)] for c in combinations(range(blocks), blocks - radius)]
+
+
+def sampled_bits(words64: int, bands: int, width: int, seed: int = 1) -> list[list[int]]:
+    """Masks of `width` bits drawn from those of a long fingerprint, for radii that no choice of whole blocks reaches."""
+    rng, found = np.random.default_rng(seed), []
+    for _ in range(bands):
+        picked = rng.choice(BITS * words64, width, replace=False).tolist()
+        found.append([sum(1 << (b % BITS) for b in picked if b // BITS == k) for k in range(words64)])
+    return found
+
+
+def links(reps: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+    """src, dst: links that connect the nodes of reps(node, f0, f1 …) that share a mask's bits and differ in `radius` bits at most.
 
-    blocks > radius; blocks - radius of them agree in a bucket, so every pair within the radius shares a bucket.
+    Buckets of one row need no comparison; large ones are cut into chunks by fingerprint, every two of which meet in a task.
     """
-    width, choices = BITS // blocks, list(combinations(range(blocks), blocks - radius))
-    masks = [sum(((1 << (BITS - width * (blocks - 1) if k == blocks - 1 else width)) - 1) << (width * k) for k in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "value"))
+    names = [c for c in reps.columns if c != "node"]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    values = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=True)]) for mask in masks])
+    keyed = reps.select("node", *names, F.posexplode(values).alias("choice", "value"))
     size = keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1")
-    bucket = keyed.join(size, ["choice", "value"])
     chunks = F.when(F.col("n") <= CHUNK, 1).otherwise(F.ceil(2 * F.col("n") / CHUNK)).cast("int")
-    bucket = bucket.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    bucket = keyed.join(size, ["choice", "value"]).withColumn("chunks", chunks)
+    bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int"))
     dealt = bucket.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    dealt = dealt.select(F.xxhash64("choice", "value", low, high).alias("g"), "choice", "value", low.alias("low"), high.alias("high"), "node", "fp")
-    order = ["g", "choice", "value", "low", "high", "node"]
-    return dealt.repartition("g").sortWithinPartitions(*order).select("choice", "value", "low", "high", "node", "fp").mapInArrow(_linker(radius), "src long, dst long")
+    group = F.struct("choice", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    dealt = dealt.select(F.xxhash64(group).alias("g"), group.alias("key"), "node", *names)
+    rows = dealt.repartition("g").sortWithinPartitions("g", "key", "node").select("key.choice", "key.value", "key.low", "key.high", "node", *names)
+    return rows.mapInArrow(_linker(radius), "src long, dst long")
 
 
 def _linker(radius: int):
@@ -179,13 +206,13 @@ def _linker(radius: int):
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum((np.diff(rows[:, :4], axis=0, prepend=rows[:1, :4] - 1) != 0).any(axis=1))
-            src, dst = bucket_links(group, rows[:, 5].astype(np.int64).view(np.uint64), radius)
+            src, dst = bucket_links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(rows[src, 4]), pa.array(rows[dst, 4])], ["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(batch.column(i).fill_null(0)).astype(np.int64) for i in range(6)], axis=1)
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
             held.append(rows)
             last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
             if len(last):  # all but the last bucket are whole
@@ -221,14 +248,31 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included) for each row of docs.
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words64: int = 1, masks: list[list[int]] | None = None) -> DataFrame:
+    """doc_id, f0 …, component_id (the smallest doc_id that links reach, itself included) for each row of docs.
 
     Equal fingerprints are one node, known by its smallest doc_id; only nodes are compared. A null doc_id has the component of
-    its equals, or null if they have none. Empty texts (fingerprint 0) link like any other.
+    its equals, or null if they have none. Empty texts (fingerprint 0) link like any other. The default masks lose no pair.
+    """
+    names = [f"f{k}" for k in range(words64)]
+    prints = written(fingerprints(docs, shingle, words64), "fingerprints")
+    reps = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
+    found = components(links(reps, masks or agreeing_blocks(radius), radius))
+    named = reps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, names, "left").select("doc_id", *names, "component_id")
+
+
+#: For similarity of five-word shingles of 0.8 or more: so much changes 2.2 % of the words, thus 6.5 % of the three-word
+#: shingles, thus 30 of 256 bits on average. Bands of sampled bits meet such pairs (README has the measured share).
+NEAR = {"shingle": 3, "radius": 30, "words64": 4, "masks": sampled_bits(4, bands=24, width=20)}
+
+
+def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated rows, one).
+
+    Rows with a null doc_id stay if nothing with an id is like them.
     """
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
-    found = components(links(reps, radius, blocks))
-    named = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    found = near_duplicates(docs, **(parameters or NEAR))
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
