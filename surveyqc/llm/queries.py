@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, html, packing, rules, secrets, simhash, warc
+from surveyqc.llm import chat, decontamination, html, packing, rules, secrets, simhash, warc
 from surveyqc.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -69,4 +73,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op8_simhash_near_dedup, op9_warc, op10_secret_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op8_simhash_near_dedup, op9_warc, op10_secret_scans)}
