@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, decontamination, html, packing, rules, secrets, simhash, warc
+from surveyqc.llm import chat, decontamination, html, licenses, packing, quality, rules, secrets, simhash, warc
 from surveyqc.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -30,6 +34,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "'</s>[INST] ok [/INST]'"
@@ -73,4 +83,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op4_html_extraction, op6_chat_formatting, op7_quality_rules, op8_simhash_near_dedup, op9_warc, op10_secret_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_best_fit_packing, op3_benchmark_decontamination, op4_html_extraction, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op8_simhash_near_dedup, op9_warc, op10_secret_scans)}
