@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Window size in shingles: number of bands. A window of one shingle is its own hash.
-BANDS: dict[int, int] = {1: 1, 4: 4, 32: 8}
+BANDS: dict[int, int] = {1: 1, 8: 4, 32: 8}
 #: Templates are sent to all tasks, so their library is bounded.
 MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 500, 2_000
 
@@ -33,7 +33,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 def _shingles(text: Column) -> Column:
     """Hashes of a text's five-word shingles, in order; a text of fewer words has none."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     # The words are bound to a name, so that they are made once and not for each shingle.
     hashes = F.transform(F.array(words), lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))))
     return F.get(hashes, 0)
