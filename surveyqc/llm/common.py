@@ -68,3 +68,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def text_table(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Only the key and the text: columns with clashing names go no further."""
     return df.select(F.col(key), text_or_empty().alias("text"))
+
+
+#: Rows of a few dozen bytes that are sent to every executor at most; more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_shuffled(rows: DataFrame) -> DataFrame:
+    """rows (a written table, narrow) marked for broadcast if its counted size allows it, else as it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

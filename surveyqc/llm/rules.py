@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import SPACE, written
+from surveyqc.llm.common import SPACE, small_or_shuffled, written
 
 #: Share of a stratum's good documents that all rules together may reject, and the probability that this fails.
 LIMIT = 0.02
@@ -35,16 +35,19 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and counts of each whole text; a null or empty text has none of anything.
+def counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang and counts of each whole text (carry: and the whole row as row_); a null or empty text has none of anything.
 
     Repeated three-word windows are found within the row: window hashes with their positions in the low bits are sorted, equal
     neighbours are compared word by word, and the positions that repeated windows cover are counted. No row is moved.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "lang", text.alias("text"))
+    row = [F.struct("*").alias("row_")] if carry else []
+    kept = ["row_"] if carry else []
+    rows = docs.select(*row, "doc_id", "lang", text.alias("text"))
     trimmed = F.btrim("text", F.lit(BLANKS))
     rows = rows.select(
+        *kept,
         "doc_id",
         "lang",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)).alias("words"),
@@ -63,7 +66,7 @@ def counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("mask", F.expr("shiftleft(1L, bits) - 1")).withColumn("repeated", repeated)
     covered = F.expr("aggregate(sort_array(transform(repeated, x -> x & mask)), struct(0L AS n, 0L AS until), (s, p) -> struct(s.n + least(3L, p + 3L - s.until) AS n, p + 3L AS until), s -> s.n)")
     return rows.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
+        *kept, "doc_id", "lang", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), "n_capitals", "n_exclamations",
     )
@@ -103,6 +106,14 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", limit:
     return strata.select(F.col(stratum).alias("stratum_"), *[c.alias(f"cut_{r}") for r, c in found.items()])
 
 
+def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """counted with base_failed, broken (the rules) and kept; cuts has a row for each stratum."""
+    joined = counted.join(small_or_shuffled(cuts), F.col("lang").eqNullSafe(F.col("stratum_")), "left")
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(f"n_words > 0 AND {m} > cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _) in RULES.items()]))
+    joined = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.size("broken") == 0))
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the rules broken, one row per row of docs.
 
@@ -110,8 +121,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels nothing but the base rule rejects. Repeated rows are judged alike; an empty table gives none.
     """
     counted = written(counts(docs), "counts")
-    cuts = cutoffs(counted, labels)
-    joined = counted.join(cuts, F.col("lang").eqNullSafe(F.col("stratum_")), "left")
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(f"n_words > 0 AND {m} > cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _) in RULES.items()]))
-    joined = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
-    return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
+    return judged(counted, written(cutoffs(counted, labels), "cutoffs")).select("doc_id", *COUNTS, "base_failed", "kept", "broken")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep. The texts are counted again rather than moved to a verdict."""
+    cuts = written(cutoffs(written(counts(docs), "counts"), labels), "cutoffs")
+    return judged(counts(docs, carry=True), cuts).where("kept").select("row_.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import written
+from surveyqc.llm.common import small_or_shuffled, written
 
 # The base patterns. A shorter match is dropped, as it stands where a longer one could not begin.
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -94,9 +94,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source") ->
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
     """docs with the values of live spans replaced by their kind in angle brackets; copied examples stay. n_chars follows the text."""
-    found = scan(docs, owner, repository).where(F.exists("spans", lambda s: s["live"])).dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.filter("spans", lambda s: s["live"]).alias("spans_"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("hash_")), "left")
+    live = scan(docs, owner, repository).where(F.exists("spans", lambda s: s["live"])).dropDuplicates(["doc_id", "text_hash"])
+    found = written(live.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.filter("spans", lambda s: s["live"]).alias("spans_")), "live")
+    joined = docs.join(small_or_shuffled(found), docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("hash_")), "left")
 
     def step(s: Column, x: Column) -> Column:
         begin = F.greatest(x["stop"] - F.char_length(x["value"]), s["at"])

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import slices, text_table, words_of, written
+from surveyqc.llm.common import slices, small_or_shuffled, text_table, words_of, written
 
 BITS = 64
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into chunks of half as many.
@@ -268,11 +268,15 @@ NEAR = {"shingle": 3, "radius": 30, "words64": 4, "masks": sampled_bits(4, bands
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated rows, one).
+    """docs without near copies: of each component the row with the smallest doc_id stays (of rows with one doc_id, one).
 
-    Rows with a null doc_id stay if nothing with an id is like them.
+    Rows with a null doc_id stay. Ids are moved rather than texts, as long as their number allows it.
     """
-    found = near_duplicates(docs, **(parameters or NEAR))
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    found = written(near_duplicates(docs, **(parameters or NEAR)).select("doc_id", "component_id"), "components")
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    some = small_or_shuffled(repeated)
+    return kept.join(some, "doc_id", "left_anti").unionByName(kept.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
