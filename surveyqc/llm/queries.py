@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyqc.llm import chat, decontamination, html, licenses, packing, quality, rules, secrets, simhash, warc
-from surveyqc.llm.common import table
+from surveyqc.llm.common import table, written
 
 
 def tokenizer_path() -> str:
@@ -63,7 +63,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    found = simhash.near_duplicates(prints, simhash.agreeing_blocks(radius=2, blocks=4), radius=2)
     return found.select("doc_id", simhash.hex_digits(F.col("f0")).alias("fingerprint"), "component_id")
 
 

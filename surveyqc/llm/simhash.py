@@ -24,6 +24,8 @@ BITS = 64
 CHUNK = 4096
 #: Planes after which abandoned words are dropped.
 STEP = 8
+#: Bytes of text that are sketched at once.
+SLICE = 4 << 20
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -35,14 +37,25 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFrame:
-    """doc_id, f0, f1 … (signed 64-bit words of the fingerprint) of each whole text, A-Z lower-cased.
+def _majorities(hashes: np.ndarray, count: np.ndarray, words64: int) -> np.ndarray:
+    """Fingerprints (words64 x texts): the bits that over half of a text's hashes, or of mixes of them, have set."""
+    fp = np.zeros((words64, len(count)), np.uint64)
+    full = np.flatnonzero(count)
+    starts = (np.cumsum(count) - count)[full]
+    for k in range(words64 if len(full) else 0):
+        bits = np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        fp[k, full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return fp
 
-    Over shingles with repeats, XXH64 with seed 42 (further words of the fingerprint from mixes of it). A bit is 1 if it is set
-    in over half of the hashes. Fewer words than a shingle: the whole sequence is the only one. A null or empty text has
-    fingerprint 0. Repeated rows are kept; other columns are ignored.
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, f0 (signed 64-bit fingerprint) of each whole text, A-Z lower-cased.
+
+    Over shingles with repeats, XXH64 with seed 42. A bit is 1 if it is set in over half of the hashes. Fewer words than a
+    shingle: the whole sequence is the only one. A null or empty text has fingerprint 0. Repeated rows are kept; other columns
+    are ignored.
     """
-    names = [f"f{k}" for k in range(words64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -59,14 +72,39 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFra
                 first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 last = np.minimum(first + shingle, edges[row + 1]) - 1
                 hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist(), strict=True)), np.uint64, len(row))
-                fp = np.zeros((words64, len(n)), np.uint64)
-                full = np.flatnonzero(count)
-                starts = (np.cumsum(count) - count)[full]
-                for k in range(words64 if len(full) else 0):
-                    bits = np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-                    fp[k, full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, fp.view(np.int64))], ["doc_id", *names])
+                fp = _majorities(hashes, count, 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, fp.view(np.int64))], ["doc_id", "f0"])
+
+    return text_table(docs).mapInArrow(run, "doc_id long, f0 long")
+
+
+def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
+    """doc_id, f0, f1 …: for each (shingle, words64) of parts a fingerprint of that many 64-bit words, one after another.
+
+    As `fingerprints`, but a shingle's hash is mixed from its words' hashes, each distinct word being hashed once.
+    """
+    names = [f"f{k}" for k in range(sum(n for _, n in parts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                words, edges = words_of(pc.ascii_lower(batch.column("text")))
+                coded = words.dictionary_encode()
+                own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+                h = np.append(own[np.asarray(coded.indices)] if len(words) else own, np.uint64(0))
+                n, found = np.diff(edges), []
+                for shingle, words64 in parts:
+                    count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
+                    row = np.repeat(np.arange(len(n)), count)
+                    first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    mixed = np.zeros(len(row), np.uint64)
+                    for k in range(shingle):  # behind the end of a short text there is a word of hash 0
+                        mixed = (mixed ^ h[np.where(first + k < edges[row + 1], first + k, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+                        mixed ^= mixed >> np.uint64(29)
+                    found.append(_majorities(mixed, count, words64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, np.concatenate(found).view(np.int64))], ["doc_id", *names])
 
     return text_table(docs).mapInArrow(run, ", ".join(["doc_id long", *[f"{x} long" for x in names]]))
 
@@ -180,14 +218,17 @@ def sampled_bits(words64: int, bands: int, width: int, seed: int = 1) -> list[li
     return found
 
 
-def links(reps: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int = 0) -> DataFrame:
     """src, dst: links that connect the nodes of reps(node, f0, f1 …) that share a mask's bits and differ in `radius` bits at most.
 
+    Masks are of the first words; the words from `compared` on are compared.
+
     Buckets of one row need no comparison; large ones are cut into chunks by fingerprint, every two of which meet in a task.
     """
     names = [c for c in reps.columns if c != "node"]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
-    values = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=True)]) for mask in masks])
+    values = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=False)]) for mask in masks])
+    names = names[compared:]
     keyed = reps.select("node", *names, F.posexplode(values).alias("choice", "value"))
     size = keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.when(F.col("n") <= CHUNK, 1).otherwise(F.ceil(2 * F.col("n") / CHUNK)).cast("int")
@@ -248,31 +289,33 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words64: int = 1, masks: list[list[int]] | None = None) -> DataFrame:
-    """doc_id, f0 …, component_id (the smallest doc_id that links reach, itself included) for each row of docs.
+def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, compared: int = 0) -> DataFrame:
+    """doc_id, f0 …, component_id (the smallest doc_id that links reach, itself included) for each row of prints(doc_id, f0 …).
 
-    Equal fingerprints are one node, known by its smallest doc_id; only nodes are compared. A null doc_id has the component of
-    its equals, or null if they have none. Empty texts (fingerprint 0) link like any other. The default masks lose no pair.
+    prints is read twice: give a written table. Equal fingerprints are one node, known by its smallest doc_id; only nodes are
+    compared. A null doc_id has the component of its equals, or null if they have none. Empty texts link like any other.
     """
-    names = [f"f{k}" for k in range(words64)]
-    prints = written(fingerprints(docs, shingle, words64), "fingerprints")
+    names = [c for c in prints.columns if c != "doc_id"]
     reps = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
-    found = components(links(reps, masks or agreeing_blocks(radius), radius))
+    found = components(links(reps, masks, radius, compared))
     named = reps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")
 
 
-#: For similarity of five-word shingles of 0.8 or more: so much changes 2.2 % of the words, thus 6.5 % of the three-word
-#: shingles, thus 30 of 256 bits on average. Bands of sampled bits meet such pairs (README has the measured share).
-NEAR = {"shingle": 3, "radius": 30, "words64": 4, "masks": sampled_bits(4, bands=24, width=20)}
+#: Near copies at similarity 0.8 or more of five-word shingles: at 0.8 the cosine of shingle counts is 0.89, thus 78 of 512 bits
+#: bits differ on average. Bands are of a second fingerprint, of word pairs, which such copies share more of: 24 bands of 20
+#: sampled bits (README has the measured share of pairs that meet).
+PARTS = ((2, 4), (5, 8))
+NEAR = {"masks": sampled_bits(4, bands=24, width=20), "radius": 86, "compared": 4}
 
 
-def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
+def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays (of rows with one doc_id, one).
 
     Rows with a null doc_id stay. Ids are moved rather than texts, as long as their number allows it.
     """
-    found = written(near_duplicates(docs, **(parameters or NEAR)).select("doc_id", "component_id"), "components")
+    prints = written(sketches(docs, PARTS), "sketches")
+    found = written(near_duplicates(prints, **NEAR).select("doc_id", "component_id"), "components")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
     repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
