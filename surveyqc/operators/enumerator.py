@@ -67,7 +67,7 @@ def staff_productivity(df: DataFrame, date: str, by: Sequence[str], period: str
     spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
     if len(spans) > most:
         raise ValueError(f"over {most} periods")
-    return dated.groupBy(*by).pivot("period_", [r["period_"] for r in spans]).agg(F.count("*")).fillna(0)
+    return dated.groupBy(*by).pivot("period_", [r["period_"] for r in spans]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def _stat(column: str, stat: str) -> Column:

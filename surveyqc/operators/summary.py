@@ -39,7 +39,7 @@ def progress_by_column(df: DataFrame, date: str, column: str, period: str = "Aut
     spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
     if len(spans) > most:
         raise ValueError(f"over {most} periods")
-    return dated.groupBy(column).pivot("period_", [r["period_"] for r in spans]).agg(F.count("*")).fillna(0)
+    return dated.groupBy(column).pivot("period_", [r["period_"] for r in spans]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def data_quality_metrics(df: DataFrame, survey_id: str, outliers: DataFrame | None = None, backchecks: DataFrame | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
 """The SQL of the registered queries."""
 
-SQL: dict = {}
+from surveyqc.plans.queries import SQL
+
+__all__ = ["SQL"]
