@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 RADIUS_M = 6_371_008.8
 # The WGS-84 ellipsoid.
@@ -18,7 +19,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Metres on the WGS-84 ellipsoid by Vincenty's inverse formula, a batch at a time; null where it doesn't converge."""
     p1, p2 = np.arctan((1 - WGS84_F) * np.tan(np.radians(lat1))), np.arctan((1 - WGS84_F) * np.tan(np.radians(lat2)))
