@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import suppress
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +47,22 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> list[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, beside others and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each (a longer text stands alone)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     if not len(size):
-        return []
-    part = np.cumsum(size) // most
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    edges = [0, *cuts.tolist(), len(size)]
-    return [batch.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), len(size)]):
+        yield batch.slice(a, b - a)
+        give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -25,7 +25,7 @@ END_ID = 1
 #: Rows of one length that are ranked together, on average, if all rows had one length.
 RANK_ROWS = 1_000
 #: Bytes of text that are tokenised at once.
-SLICE = 12 << 20
+SLICE = 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -106,6 +106,7 @@ class WordEncoder:
     """
 
     MARKS = ".,;:!?#*$%&()"
+    AT_ONCE = 100
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
@@ -115,16 +116,20 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), self.AT_ONCE):  # encodings hold much besides the ids
+            for coded in self.tok.encode_batch_fast(texts[i : i + self.AT_ONCE], add_special_tokens=False):
+                yield coded.ids
+
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), "<u4", int(size.sum())), size
+        found = [np.array(ids, "<u4") for ids in self._encoded(words)]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = []
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for group, coded in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, "<u4")
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, coded in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(coded, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             # A letter whose lower case is more than letters ends more than one stretch.
             found.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(group) else self._each(group))
@@ -168,30 +173,34 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     gives one piece with end_id alone. Repeated rows give repeated pieces; other columns are ignored; an empty table gives none.
     """
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, edges = words_of(batch.column("text"))
+        coded = words.dictionary_encode()
+        codes = np.asarray(coded.indices)
+        flat, begin, count = word_encoder(tokenizer_path)(coded.dictionary)
+        end = len(flat)  # an end after each document's words
+        begin = np.insert(begin[codes], edges[1:], end, axis=0).ravel()
+        count = np.insert(count[codes], edges[1:], [1, 0], axis=0).ravel()
+        flat = np.append(flat, np.uint32(end_id))
+        ends = np.cumsum(count)
+        at = np.repeat((begin - (ends - count)).astype(np.int32), count)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[at]
+        ends = ends[1::2]
+        doc_end = ends[edges[1:] + np.arange(len(edges) - 1)]
+        doc_len = np.diff(doc_end, prepend=0)
+        pieces = -(-doc_len // capacity)
+        row = np.repeat(np.arange(len(doc_len)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, doc_len[row] - start)
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum(length)) * 4), pa.py_buffer(ids.astype("<u4"))])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pc.cast(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                words, edges = words_of(batch.column("text"))
-                coded = words.dictionary_encode()
-                codes = np.asarray(coded.indices, dtype=np.int64)
-                flat, begin, count = encode(coded.dictionary)
-                end = len(flat)  # an end after each document's words
-                begin = np.insert(begin[codes], edges[1:], end, axis=0).ravel()
-                count = np.insert(count[codes], edges[1:], [1, 0], axis=0).ravel()
-                flat = np.append(flat, np.uint32(end_id))
-                ends = np.cumsum(count)
-                ids = flat[np.repeat((begin - (ends - count)).astype(np.int32), count) + np.arange(ends[-1], dtype=np.int32)]
-                ends = ends[1::2]
-                doc_end = ends[edges[1:] + np.arange(len(edges) - 1)]
-                doc_len = np.diff(doc_end, prepend=0)
-                pieces = -(-doc_len // capacity)
-                row = np.repeat(np.arange(len(doc_len)), pieces)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(capacity, doc_len[row] - start)
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum(length)) * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pc.cast(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                yield work(batch)
 
     return text_table(docs).mapInArrow(run, PIECES)
 

@@ -49,6 +49,15 @@ def _majorities(hashes: np.ndarray, count: np.ndarray, words64: int) -> np.ndarr
     return fp
 
 
+def _stretches(edges: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose words begin at edges: the number of shingles of each, and the first and last word of every shingle."""
+    n = np.diff(edges)
+    count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
+    row = np.repeat(np.arange(len(n)), count)
+    first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return count, first, np.minimum(first + shingle, edges[row + 1]) - 1
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, f0 (signed 64-bit fingerprint) of each whole text, A-Z lower-cased.
 
@@ -57,23 +66,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
+        words, edges = words_of(pc.ascii_lower(batch.column("text")))
+        size = np.asarray(pc.binary_length(words), dtype=np.int64)
+        joined = b" ".join(words.cast(pa.binary()).to_pylist())  # a shingle is a stretch of it
+        begin = np.cumsum(size + 1) - size - 1
+        count, first, last = _stretches(edges, shingle)
+        hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist(), strict=True)), np.uint64, len(first))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _majorities(hashes, count, 1).view(np.int64))], ["doc_id", "f0"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                words, edges = words_of(pc.ascii_lower(batch.column("text")))
-                size = np.asarray(pc.binary_length(words), dtype=np.int64)
-                joined = b" ".join(words.cast(pa.binary()).to_pylist())  # a shingle is a stretch of it
-                begin = np.cumsum(size + 1) - size - 1
-                n = np.diff(edges)
-                count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
-                row = np.repeat(np.arange(len(n)), count)
-                first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                last = np.minimum(first + shingle, edges[row + 1]) - 1
-                hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist(), strict=True)), np.uint64, len(row))
-                fp = _majorities(hashes, count, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, fp.view(np.int64))], ["doc_id", "f0"])
+            for batch in slices(whole, "text", SLICE):
+                yield work(batch)
 
     return text_table(docs).mapInArrow(run, "doc_id long, f0 long")
 
@@ -85,26 +92,27 @@ def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
     """
     names = [f"f{k}" for k in range(sum(n for _, n in parts))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
+        words, edges = words_of(pc.ascii_lower(batch.column("text")))
+        coded = words.dictionary_encode()
+        own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        h = np.append(own[np.asarray(coded.indices)] if len(words) else own, np.uint64(0))
+        found = []
+        for shingle, words64 in parts:
+            count, first, last = _stretches(edges, shingle)
+            mixed = np.zeros(len(first), np.uint64)
+            for k in range(shingle):  # behind the end of a short text there is a word of hash 0
+                mixed = (mixed ^ h[np.where(first + k <= last, first + k, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            found.append(_majorities(mixed, count, words64))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, np.concatenate(found).view(np.int64))], ["doc_id", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                words, edges = words_of(pc.ascii_lower(batch.column("text")))
-                coded = words.dictionary_encode()
-                own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-                h = np.append(own[np.asarray(coded.indices)] if len(words) else own, np.uint64(0))
-                n, found = np.diff(edges), []
-                for shingle, words64 in parts:
-                    count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
-                    row = np.repeat(np.arange(len(n)), count)
-                    first = edges[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                    mixed = np.zeros(len(row), np.uint64)
-                    for k in range(shingle):  # behind the end of a short text there is a word of hash 0
-                        mixed = (mixed ^ h[np.where(first + k < edges[row + 1], first + k, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
-                        mixed ^= mixed >> np.uint64(29)
-                    found.append(_majorities(mixed, count, words64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, np.concatenate(found).view(np.int64))], ["doc_id", *names])
+                yield work(batch)
 
     return text_table(docs).mapInArrow(run, ", ".join(["doc_id long", *[f"{x} long" for x in names]]))
 
