@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveyqc.functions.shared import written
+
 # Texts that stand for a missing value.
 MISSING_TOKENS = ("", "NA", "N/A", "na", "n/a", "Na", "N/a", "null", "NULL", "Null", "None", "none", "NONE", "nan", "NaN", "NAN", "-", "--", "---", ".", "..", "...", "?", "??", "???", "Missing", "missing", "MISSING", "Unknown", "unknown", "UNKNOWN")
 
@@ -96,14 +98,13 @@ def n_unique(column: str) -> Column:
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
     """0-based row number in a declared order, without sorting in one task.
 
-    A range sort deals the rows; the counts of the partitions (as many rows as there are partitions) give their offsets. Ties
-    in `order` are told apart by all other columns, so that a repeated task numbers alike.
+    A range sort deals the rows; the counts of the parts (as many as shuffle partitions) give their offsets. The dealt rows are
+    written first: range borders are sampled, and counts and rows must come from the same ones. Ties in `order` are told apart
+    by all other columns.
     """
     rest = [c for c in df.columns if c not in order]
-    dealt = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    from pyspark.sql import Window
-
+    dealt = written(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "index")
     sizes = dealt.groupBy("part_").agg(F.count("*").alias("n_"))
-    offsets = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).drop("n_")
+    offsets = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).drop("n_")  # a row a part
     own = F.row_number().over(Window.partitionBy("part_").orderBy(*order, *rest)) - 1
     return dealt.withColumn("own_", own).join(F.broadcast(offsets), "part_").withColumn(name, (F.col("before_") + F.col("own_")).cast("long")).drop("part_", "own_", "before_")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import percent
 from surveyqc.functions.geo import RADIUS_M, haversine
+from surveyqc.functions.shared import written
 
 
 def parse_gps(df: DataFrame, gps: str | None = None, latitude: str | None = None, longitude: str | None = None) -> DataFrame:
@@ -136,14 +135,6 @@ def gps_kmeans_areas(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return model.transform(vectors).drop("at_").unionByName(df.where("latitude IS NULL OR longitude IS NULL"), allowMissingColumns=True)
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{folder}/gps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def nearest_neighbours(spots: DataFrame, k: int, start_metres: float = 50.0, rounds: int = 24) -> DataFrame:
     """point, other, distance: the k nearest rows of each place (a place with n rows counts n times, itself less one).
 
@@ -157,8 +148,8 @@ def nearest_neighbours(spots: DataFrame, k: int, start_metres: float = 50.0, rou
         w = Window.partitionBy("point").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         near = near.withColumn("n_other", F.when(F.col("point") == F.col("other"), F.col("n_other") - 1).otherwise(F.col("n_other"))).where("n_other > 0").withColumn("rank_", F.sum("n_other").over(w))
         done = near.groupBy("point").agg(F.max("rank_").alias("have_")).where(F.col("have_") >= k).select("point")
-        found.append(_shared(near.where(F.col("rank_") - F.col("n_other") < k).withColumn("take", F.least(F.col("n_other"), k - (F.col("rank_") - F.col("n_other")))).join(done, "point", "left_semi").select("point", "other", "distance", "take")))
-        left = _shared(left.join(done, "point", "left_anti"))
+        found.append(written(near.where(F.col("rank_") - F.col("n_other") < k).withColumn("take", F.least(F.col("n_other"), k - (F.col("rank_") - F.col("n_other")))).join(done, "point", "left_semi").select("point", "other", "distance", "take")))
+        left = written(left.join(done, "point", "left_anti"))
         if left.isEmpty():
             break
         metres *= 2
@@ -171,7 +162,7 @@ def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float
     Per distinct place: k-distance, reachability, its mean's inverse (a small constant keeps it finite where all neighbours
     share the place), then the neighbours' mean density over the own.
     """
-    spots = _shared(places(df))
+    spots = written(places(df))
     near = nearest_neighbours(spots, k)
     kdist = near.groupBy("point").agg(F.max("distance").alias("kdist"))
     reach = near.join(kdist.select(F.col("point").alias("other"), F.col("kdist").alias("kdist_other")), "other").withColumn("reach", F.greatest("distance", "kdist_other"))

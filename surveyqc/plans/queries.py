@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from surveyqc.functions import columns as C
 from surveyqc.functions import periods as P
 from surveyqc.functions import transforms as X
+from surveyqc.functions.shared import new_folder
 from surveyqc.operators import backchecks as B
 from surveyqc.operators import corrections as K
 from surveyqc.operators import descriptive as D
@@ -52,12 +51,6 @@ def add(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None, d
         SQL[name] = f"WITH {WITH}, coded AS (SELECT survey_key, survey_date, enumerator, team, {coded} FROM survey) " + replaced.format(sql)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def coded(t: Tables) -> DataFrame:
     return M.missing_encode(t.survey.select("survey_key", "survey_date", "enumerator", "team", *CELLS), CODES, CELLS)
 
@@ -66,21 +59,21 @@ def coded(t: Tables) -> DataFrame:
 
 
 def _csv(t: Tables) -> DataFrame:
-    folder = scratch(t.spark)
+    folder = new_folder(t.spark)
     df = t.survey.select("survey_key", "survey_date", "age", "income", "region")
     df.write.option("header", True).csv(folder)
     return files.scan_csv(t.spark, folder).withColumns({"survey_key": F.col("survey_key").cast("long"), "age": F.col("age").cast("long")})
 
 
 def _json(t: Tables) -> DataFrame:
-    folder = scratch(t.spark)
+    folder = new_folder(t.spark)
     t.survey.select("survey_key", "age", "region").write.json(folder)
     return t.spark.read.json(folder, schema="survey_key long, age long, region string")
 
 
 def _stata(t: Tables) -> DataFrame:
     """Written by tasks (one file each) with pandas, read by scan_stata_many."""
-    folder = scratch(t.spark).removeprefix("file://")
+    folder = new_folder(t.spark).removeprefix("file://")
 
     def save(batches):
         import os
@@ -130,7 +123,7 @@ add("value_labels", lambda t: forms.value_labels(_form(t)[0], "KEY", _form(t)[1]
 
 
 def _stages(t: Tables) -> DataFrame:
-    root = scratch(t.spark)
+    root = new_folder(t.spark)
     files.save_stage(t.survey, root, "p", "raw", "my survey!")
     files.save_stage(t.survey.where("survey_key % 2 = 0"), root, "p", "prep", "my survey!")
     files.save_stage(t.survey.where("false"), root, "p", "corrected", "my survey!")
@@ -138,7 +131,7 @@ def _stages(t: Tables) -> DataFrame:
 
 
 def _bundle(t: Tables) -> DataFrame:
-    folder = scratch(t.spark)
+    folder = new_folder(t.spark)
     log = _log(t)
     files.export_bundle({"raw": t.survey, "corrections": log, "codebook": D.codebook(t.survey, CELLS), "actions": K.correction_summary(log)}, folder)
     return t.spark.read.parquet(f"{folder}/actions")
@@ -202,19 +195,6 @@ add("validate_key", lambda t: R.validate_key(t.survey, "age"), "SELECT count(*)
 # Joins and sets
 
 
-def checked(t: Tables) -> DataFrame:
-    own = t.survey.withColumn("survey_id", F.col("survey_key"))
-    return B.backcheck_compare(own, t.visits, "survey_id", "survey_key", COMPARED, TEXT)
-
-
-def staffed(t: Tables) -> DataFrame:
-    own = t.survey.withColumn("survey_id", F.col("survey_key"))
-    with_staff = B.staff_attach(checked(t), own, "survey_key", "enumerator")
-    return B.visit_dates_attach(with_staff, own, t.visits, "survey_key", "survey_date", "backcheck_date", "survey_key__BCCL")
-
-
-_value = lambda c: f"trim(regexp_replace(lower({c}::VARCHAR), '[^\\w\\s]', '', 'g'))"
-_text = {"income": lambda a: f"regexp_replace({a}.income::VARCHAR, '[^\\w\\s]', '', 'g')", "children": lambda a: f"regexp_replace({a}.children::VARCHAR, '[^\\w\\s]', '', 'g')", "region": lambda a: f"regexp_replace(trim(lower({a}.region)), '[^\\w\\s]', '', 'g')"}
 add("backcheck_merge", lambda t: B.backcheck_merge(t.survey.withColumn("survey_id", F.col("survey_key")), t.visits, "survey_id").select("survey_id", "income", "income__BCCL", "backchecker", "survey_key__BCCL"),
     "SELECT v.survey_id, s.income, v.income AS income__BCCL, v.backchecker, v.survey_key AS survey_key__BCCL FROM survey s JOIN visits v ON s.survey_key = v.survey_id", "income income__BCCL")
 #: Back-check comparison without text normalisation, which keeps numbers as they are in both engines.
@@ -282,7 +262,6 @@ add("submission_metrics", lambda t: S.submission_metrics(t.survey, "survey_date"
     "SELECT first_date, last_date, total, today, week, month, " + ", ".join(f"coalesce(({k} - b_{k}) * 100.0::DOUBLE / nullif(b_{k}, 0), 0) AS {k}_change" for k in _now) + f" FROM (SELECT min(survey_date) AS first_date, max(survey_date) AS last_date, count(*) AS total, {', '.join(f'{_span(a, DAY)} AS {k}, {_span(b, a)} AS b_{k}' for k, (a, b) in _now.items())} FROM survey)", "today_change week_change month_change")
 add("submissions_by_date", lambda t: S.submissions_by_date(t.survey, "survey_date"), "SELECT survey_date AS date, count(*) AS submissions FROM survey GROUP BY ALL")
 add("progress_metrics", lambda t: S.progress_metrics(t.survey, "survey_date", 20000), "SELECT count(*) AS submissions, count(*) * 100.0::DOUBLE / 20000 AS target_pct, count(*) / count(DISTINCT survey_date) AS per_day, count(*) / count(DISTINCT date_trunc('week', survey_date)) AS per_week, count(*) / count(DISTINCT date_trunc('month', survey_date)) AS per_month FROM survey", "target_pct per_day per_week per_month")
-_months = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
 add("progress_by_column", lambda t: S.progress_by_column(t.survey.where("year(survey_date) = 1996"), "survey_date", "region"),
     "SELECT region, " + ", ".join(f"count(*) FILTER (strftime(survey_date, '%B') = '{m}') AS \"{m} 1996\"" for m in "January February March April May June July August September October November December".split()) + " FROM survey WHERE year(survey_date) = 1996 GROUP BY region")
 add("data_quality_metrics", lambda t: S.data_quality_metrics(t.survey.select("survey_id", "age", "income"), "survey_id", _flags(t), t.visits.select(F.col("survey_id"))),
@@ -472,7 +451,7 @@ add("quotient_diff", lambda t: t.survey.select("survey_key", X.across("quotient"
 add("strip_mode", lambda t: t.survey.select("survey_key", X.strip("region", "12345-").alias("strip"), X.across("mode", ["children", "team", "enumerator"]).alias("mode")), "SELECT survey_key, trim(region, '12345-') AS strip, CASE WHEN children = team OR children = enumerator THEN children WHEN team = enumerator THEN team ELSE least(children, team, enumerator) END::DOUBLE AS mode FROM survey")
 add("time_period", lambda t: t.survey.select("survey_key", *[P.period_label("survey_date", p, "Sunday").alias(p.lower()) for p in ("Day", "Week", "Month")]),
     "SELECT survey_key, strftime(survey_date, '%b %d, %Y') AS day, strftime(survey_date - dayofweek(survey_date)::INT, '%b %d, %Y') || ' to ' || strftime(survey_date - dayofweek(survey_date)::INT + 6, '%b %d, %Y') AS week, strftime(survey_date, '%B %Y') AS month FROM survey")
-add("date_difference", lambda t: t.survey.select("survey_key", X.days_between("survey_date", "first_").alias("days")) if False else t.survey.withColumn("first_", F.lit("1995-01-01").cast("date")).select("survey_key", X.days_between("survey_date", "first_").alias("days")), "SELECT survey_key, survey_date - DATE '1995-01-01' AS days FROM survey")
+add("date_difference", lambda t: t.survey.withColumn("first_", F.lit("1995-01-01").cast("date")).select("survey_key", X.days_between("survey_date", "first_").alias("days")), "SELECT survey_key, survey_date - DATE '1995-01-01' AS days FROM survey")
 add("clean_label", lambda t: t.survey.select("survey_key", X.clean_label(F.concat(F.lit("<b>"), "note", F.lit("</b>  x "))).alias("label")), "SELECT survey_key, trim(regexp_replace(' ' || note || '   x ', '\\s+', ' ', 'g')) AS label FROM survey")
 
 # Pipelines
@@ -496,13 +475,13 @@ add("quality_report", lambda t: report.quality_report(t.survey, t.visits, CODES,
 
 
 def _stream(t: Tables) -> DataFrame:
-    folder = scratch(t.spark)
+    folder = new_folder(t.spark)
     t.read("events").select("event_id", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "user_id", "value").repartitionByRange(4, "ts").write.parquet(folder)
     return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").parquet(folder)
 
 
 def _finished(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
-    out = scratch(t.spark)
+    out = new_folder(t.spark)
     if mode == "append":
         df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
         return t.spark.read.schema(df.schema).parquet(out)
@@ -523,7 +502,7 @@ add("stream_enumerator_activity", lambda t: _finished(t, streams.stream_enumerat
 
 
 def _upserted(t: Tables) -> DataFrame:
-    out = scratch(t.spark)
+    out = new_folder(t.spark)
     query = streams.stream_upsert(_stream(t).select("event_id", "value"), out, "event_id", out + "-state")
     query.awaitTermination()
     return t.spark.read.schema("event_id long, value double").parquet(f"{out}/v={query.lastProgress['batchId'] if query.lastProgress else 0}")
