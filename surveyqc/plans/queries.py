@@ -247,11 +247,11 @@ add("centroid_attach", lambda t: G.centroid_attach(t.gps, "cluster").select("sur
 SPOTS = "(SELECT DISTINCT latitude AS lat, longitude AS lon FROM gps WHERE latitude IS NOT NULL)"
 add("neighbour_join", lambda t: G.neighbour_join(G.places(t.gps), 150.0).agg(F.count("*").alias("pairs"), F.sum("distance").alias("total"), F.max("distance").alias("longest")),
     f"SELECT count(*) AS pairs, sum(d) AS total, max(d) AS longest FROM (SELECT {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM {SPOTS} a, {SPOTS} b WHERE abs(a.lat - b.lat) < 0.0015 AND abs(a.lon - b.lon) < 0.0015) WHERE d <= 150", "total longest")
-add("diagonal_union", lambda t: files.union_all([t.survey.select("survey_key", "age"), t.visits.select("survey_key", "backchecker")]), "SELECT survey_key, age, NULL::BIGINT AS backchecker FROM survey UNION ALL SELECT survey_key, NULL, backchecker FROM visits")
-add("vertical_union", lambda t: t.survey.select("survey_key", F.col("age").cast("double").alias("x")).unionByName(t.visits.select("survey_key", F.col("income").alias("x"))), "SELECT survey_key, age::DOUBLE AS x FROM survey UNION ALL SELECT survey_key, income FROM visits", "x")
+add("set1", lambda t: files.union_all([t.survey.select("survey_key", "age"), t.visits.select("survey_key", "backchecker")]), "SELECT survey_key, age, NULL::BIGINT AS backchecker FROM survey UNION ALL SELECT survey_key, NULL, backchecker FROM visits")
+add("set2", lambda t: t.survey.select("survey_key", F.col("age").cast("double").alias("x")).unionByName(t.visits.select("survey_key", F.col("income").alias("x"))), "SELECT survey_key, age::DOUBLE AS x FROM survey UNION ALL SELECT survey_key, income FROM visits", "x")
 add("distinct_values", lambda t: t.survey.select("region", "team").distinct(), "SELECT DISTINCT region, team FROM survey")
-add("unpivot", lambda t: C.long_form(t.survey, ["survey_key"], ["age", "income"]), "SELECT survey_key, 'age' AS column_name, age::DOUBLE AS value FROM survey UNION ALL SELECT survey_key, 'income', income FROM survey", "value")
-add("pivot", lambda t: t.survey.groupBy("team").pivot("consent", ["no", "yes"]).agg(F.count(F.lit(1))).fillna(0), "SELECT team, count(*) FILTER (consent = 'no') AS no, count(*) FILTER (consent = 'yes') AS yes FROM survey GROUP BY team")
+add("set4", lambda t: C.long_form(t.survey, ["survey_key"], ["age", "income"]), "SELECT survey_key, 'age' AS column_name, age::DOUBLE AS value FROM survey UNION ALL SELECT survey_key, 'income', income FROM survey", "value")
+add("set5", lambda t: t.survey.groupBy("team").pivot("consent", ["no", "yes"]).agg(F.count(F.lit(1))).fillna(0), "SELECT team, count(*) FILTER (consent = 'no') AS no, count(*) FILTER (consent = 'yes') AS yes FROM survey GROUP BY team")
 
 # Summary, progress
 
@@ -430,29 +430,29 @@ def _parts(t: Tables) -> DataFrame:
     return t.survey.select("survey_key", *[f(F.col("survey_date")).alias(k.replace(" ", "_")) for k, f in X.DATE_PARTS.items() if k not in ("hour", "minute", "second")])
 
 
-add("date_parts", _parts, "SELECT survey_key, day(survey_date) AS day_of_month, isodow(survey_date) AS day_of_week, dayofyear(survey_date) AS day_of_year, survey_date AS date, weekofyear(survey_date) AS week, month(survey_date) AS month, year(survey_date) AS year, quarter(survey_date) AS quarter FROM survey")
-add("time_parts", lambda t: t.read("events").select("event_id", *[X.DATE_PARTS[k]("ts").alias(k) for k in ("hour", "minute", "second")]), "SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second FROM events")
-add("rounding", lambda t: t.survey.select("survey_key", *[f(F.col("income")).cast("double").alias(k) for k, f in X.ROUNDING.items()]), "SELECT survey_key, floor(income) AS floor, ceil(income) AS ceil, round(income) AS round, abs(income) AS absolute FROM survey")
-add("arithmetic", lambda t: t.survey.select("survey_key", *[X.arithmetic("income", k, 3.0).alias(k) for k in ("add", "subtract", "multiply", "divide")]), "SELECT survey_key, income + 3 AS add, income - 3 AS subtract, income * 3 AS multiply, income / 3 AS divide FROM survey", "add subtract multiply divide")
-add("text_case", lambda t: t.survey.select("survey_key", F.trim("note").alias("trim"), F.lower("note").alias("lower"), F.upper("note").alias("upper")), "SELECT survey_key, trim(note) AS trim, lower(note) AS lower, upper(note) AS upper FROM survey")
-add("string_to_number", lambda t: prep.transform_column(t.survey.select("survey_key", "note"), "note", "to number"), "SELECT survey_key, TRY_CAST(note AS DOUBLE) AS note FROM survey")
-add("string_to_date", lambda t: prep.transform_column(t.survey.select("survey_key", F.date_format("survey_date", "MMM dd, yyyy").alias("d")), "d", "to date"), "SELECT survey_key, survey_date::TIMESTAMP AS d FROM survey")
-add("get_dummies", lambda t: X.dummies(t.survey.select("survey_key", "consent"), "consent"), "SELECT survey_key, (consent = 'no')::TINYINT AS consent_no, (consent = 'yes')::TINYINT AS consent_yes FROM survey")
-add("replace_first", lambda t: t.survey.select("survey_key", X.replace_first("region", "[A-Z]", "_").alias("r")), "SELECT survey_key, regexp_replace(region, '[A-Z]', '_') AS r FROM survey")
-add("substring", lambda t: t.survey.select("survey_key", X.substring("region", 2, 5).alias("r")), "SELECT survey_key, region[3:5] AS r FROM survey")
-add("extract_pattern", lambda t: t.survey.select("survey_key", X.extract("region", "-(H|L)").alias("r")), "SELECT survey_key, nullif(regexp_extract(region, '-(H|L)', 1), '') AS r FROM survey")
+add("fun1", _parts, "SELECT survey_key, day(survey_date) AS day_of_month, isodow(survey_date) AS day_of_week, dayofyear(survey_date) AS day_of_year, survey_date AS date, weekofyear(survey_date) AS week, month(survey_date) AS month, year(survey_date) AS year, quarter(survey_date) AS quarter FROM survey")
+add("fun1_time", lambda t: t.read("events").select("event_id", *[X.DATE_PARTS[k]("ts").alias(k) for k in ("hour", "minute", "second")]), "SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second FROM events")
+add("fun2", lambda t: t.survey.select("survey_key", *[f(F.col("income")).cast("double").alias(k) for k, f in X.ROUNDING.items()]), "SELECT survey_key, floor(income) AS floor, ceil(income) AS ceil, round(income) AS round, abs(income) AS absolute FROM survey")
+add("fun3", lambda t: t.survey.select("survey_key", *[X.arithmetic("income", k, 3.0).alias(k) for k in ("add", "subtract", "multiply", "divide")]), "SELECT survey_key, income + 3 AS add, income - 3 AS subtract, income * 3 AS multiply, income / 3 AS divide FROM survey", "add subtract multiply divide")
+add("fun4", lambda t: t.survey.select("survey_key", F.trim("note").alias("trim"), F.lower("note").alias("lower"), F.upper("note").alias("upper")), "SELECT survey_key, trim(note) AS trim, lower(note) AS lower, upper(note) AS upper FROM survey")
+add("fun5", lambda t: prep.transform_column(t.survey.select("survey_key", "note"), "note", "to number"), "SELECT survey_key, TRY_CAST(note AS DOUBLE) AS note FROM survey")
+add("fun6", lambda t: prep.transform_column(t.survey.select("survey_key", F.date_format("survey_date", "MMM dd, yyyy").alias("d")), "d", "to date"), "SELECT survey_key, survey_date::TIMESTAMP AS d FROM survey")
+add("fun7", lambda t: X.dummies(t.survey.select("survey_key", "consent"), "consent"), "SELECT survey_key, (consent = 'no')::TINYINT AS consent_no, (consent = 'yes')::TINYINT AS consent_yes FROM survey")
+add("fun8", lambda t: t.survey.select("survey_key", X.replace_first("region", "[A-Z]", "_").alias("r")), "SELECT survey_key, regexp_replace(region, '[A-Z]', '_') AS r FROM survey")
+add("fun9", lambda t: t.survey.select("survey_key", X.substring("region", 2, 5).alias("r")), "SELECT survey_key, region[3:5] AS r FROM survey")
+add("fun10", lambda t: t.survey.select("survey_key", X.extract("region", "-(H|L)").alias("r")), "SELECT survey_key, nullif(regexp_extract(region, '-(H|L)', 1), '') AS r FROM survey")
 ROW = ("age", "children", "duration")
 _list = "list_filter([age, children, duration]::DOUBLE[], lambda x: x IS NOT NULL)"
-add("across_reduced", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("sum", "mean", "min", "max")]), f"SELECT survey_key, coalesce(list_sum({_list}), 0) AS sum, list_avg({_list}) AS mean, list_min({_list}) AS min, list_max({_list}) AS max FROM survey", "sum mean min max")
-add("across_spread", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("median", "std", "var")]), f"SELECT survey_key, list_median({_list}) AS median, list_stddev_samp({_list}) AS std, list_var_samp({_list}) AS var FROM survey", "median std var")
-add("across_positional", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("first", "last", "count", "nunique")]), "SELECT survey_key, age::DOUBLE AS first, duration::DOUBLE AS last, 3 AS count, len(list_distinct([age, children, duration])) + ((age IS NULL) OR (children IS NULL))::INT AS nunique FROM survey")
-add("across_product", lambda t: t.survey.select("survey_key", X.across("product", ROW).alias("product")), "SELECT survey_key, age::DOUBLE * children * duration AS product FROM survey")
-add("quotient_diff", lambda t: t.survey.select("survey_key", X.across("quotient", ["duration", "children"]).alias("quotient"), X.across("diff", ["duration", "children"]).alias("diff")), "SELECT survey_key, duration / nullif(children, 0) AS quotient, (duration - children)::DOUBLE AS diff FROM survey", "quotient")
-add("strip_mode", lambda t: t.survey.select("survey_key", X.strip("region", "12345-").alias("strip"), X.across("mode", ["children", "team", "enumerator"]).alias("mode")), "SELECT survey_key, trim(region, '12345-') AS strip, CASE WHEN children = team OR children = enumerator THEN children WHEN team = enumerator THEN team ELSE least(children, team, enumerator) END::DOUBLE AS mode FROM survey")
+add("fun11", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("sum", "mean", "min", "max")]), f"SELECT survey_key, coalesce(list_sum({_list}), 0) AS sum, list_avg({_list}) AS mean, list_min({_list}) AS min, list_max({_list}) AS max FROM survey", "sum mean min max")
+add("fun12", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("median", "std", "var")]), f"SELECT survey_key, list_median({_list}) AS median, list_stddev_samp({_list}) AS std, list_var_samp({_list}) AS var FROM survey", "median std var")
+add("fun13", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("first", "last", "count", "nunique")]), "SELECT survey_key, age::DOUBLE AS first, duration::DOUBLE AS last, 3 AS count, len(list_distinct([age, children, duration])) + ((age IS NULL) OR (children IS NULL))::INT AS nunique FROM survey")
+add("fun14", lambda t: t.survey.select("survey_key", X.across("product", ROW).alias("product")), "SELECT survey_key, age::DOUBLE * children * duration AS product FROM survey")
+add("fun15", lambda t: t.survey.select("survey_key", X.across("quotient", ["duration", "children"]).alias("quotient"), X.across("diff", ["duration", "children"]).alias("diff")), "SELECT survey_key, duration / nullif(children, 0) AS quotient, (duration - children)::DOUBLE AS diff FROM survey", "quotient")
+add("fun16", lambda t: t.survey.select("survey_key", X.strip("region", "12345-").alias("strip"), X.across("mode", ["children", "team", "enumerator"]).alias("mode")), "SELECT survey_key, trim(region, '12345-') AS strip, CASE WHEN children = team OR children = enumerator THEN children WHEN team = enumerator THEN team ELSE least(children, team, enumerator) END::DOUBLE AS mode FROM survey")
 add("time_period", lambda t: t.survey.select("survey_key", *[P.period_label("survey_date", p, "Sunday").alias(p.lower()) for p in ("Day", "Week", "Month")]),
     "SELECT survey_key, strftime(survey_date, '%b %d, %Y') AS day, strftime(survey_date - dayofweek(survey_date)::INT, '%b %d, %Y') || ' to ' || strftime(survey_date - dayofweek(survey_date)::INT + 6, '%b %d, %Y') AS week, strftime(survey_date, '%B %Y') AS month FROM survey")
-add("date_difference", lambda t: t.survey.withColumn("first_", F.lit("1995-01-01").cast("date")).select("survey_key", X.days_between("survey_date", "first_").alias("days")), "SELECT survey_key, survey_date - DATE '1995-01-01' AS days FROM survey")
-add("clean_label", lambda t: t.survey.select("survey_key", X.clean_label(F.concat(F.lit("<b>"), "note", F.lit("</b>  x "))).alias("label")), "SELECT survey_key, trim(regexp_replace(' ' || note || '   x ', '\\s+', ' ', 'g')) AS label FROM survey")
+add("fun18", lambda t: t.survey.withColumn("first_", F.lit("1995-01-01").cast("date")).select("survey_key", X.days_between("survey_date", "first_").alias("days")), "SELECT survey_key, survey_date - DATE '1995-01-01' AS days FROM survey")
+add("fun19", lambda t: t.survey.select("survey_key", X.clean_label(F.concat(F.lit("<b>"), "note", F.lit("</b>  x "))).alias("label")), "SELECT survey_key, trim(regexp_replace(' ' || note || '   x ', '\\s+', ' ', 'g')) AS label FROM survey")
 
 # Pipelines
 
