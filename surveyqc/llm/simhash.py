@@ -24,8 +24,10 @@ BITS = 64
 CHUNK = 4096
 #: Planes after which abandoned words are dropped.
 STEP = 8
+#: Words of 64 rows that are counted at once.
+CELLS = 16_384
 #: Bytes of text that are sketched at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -129,41 +131,43 @@ def _planes(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(planes: np.ndarray, shift: int, n: int, radius: int) -> np.ndarray:
-    """Rows i < n with at most `radius` bits between row i and row i + shift, by carry-save counters over bit planes."""
-    word, by = divmod(shift, 64)
-    alive = np.arange(min(planes.shape[1] - word - 1, -(-n // 64)))
+def within(planes: np.ndarray, low: int, high: int, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shift) of the rows of n with at most `radius` bits between row and row + shift, for the shifts low..high - 1.
+
+    Carry-save counters over bit planes: a cell is a word of 64 rows at one shift, all cells are counted at once.
+    """
+    words = -(-(n - low) // 64)
+    shift, at = np.repeat(np.arange(low, high), words), np.tile(np.arange(words), high - low)
+    inside = at * 64 + shift < n
+    shift, at = shift[inside], at[inside]
+    other, by = at + shift // 64, (shift % 64).astype(np.uint64)
     width = (radius + 1).bit_length()
-    counters = [np.zeros(len(alive), np.uint64) for _ in range(width)]
-    over = np.zeros(len(alive), np.uint64)
+    counters = [np.zeros(len(at), np.uint64) for _ in range(width)]
+    over = np.zeros(len(at), np.uint64)
     for b in range(len(planes)):
         p = planes[b]
-        other = p[alive + word]
-        if by:
-            other = (other >> np.uint64(by)) | (p[alive + word + 1] << np.uint64(64 - by))
-        carry = p[alive] ^ other
+        carry = p[at] ^ ((p[other] >> by) | (p[other + 1] << (np.uint64(63) - by) << np.uint64(1)))
         for k in range(width):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry  # the counter ran over
         if (b + 1) % STEP == 0:
-            past = over.copy()
-            equal = np.full(len(alive), ~np.uint64(0))
+            equal = np.full(len(at), ~np.uint64(0))
             for k in reversed(range(width)):  # counters > radius, bit by bit
                 if radius >> k & 1:
                     equal &= counters[k]
                 else:
-                    past |= equal & counters[k]
+                    over |= equal & counters[k]
                     equal &= ~counters[k]
-            over = past
             some = np.flatnonzero(~over)
-            if len(some) < len(alive):
-                alive, over, counters = alive[some], over[some], [c[some] for c in counters]
-            if not len(alive):
-                return np.empty(0, np.int64)
+            if len(some) < len(at):
+                at, other, by, shift, over, counters = at[some], other[some], by[some], shift[some], over[some], [c[some] for c in counters]
+            if not len(at):
+                break
     bits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at, bit = np.nonzero(bits)
-    rows = alive[at] * 64 + bit
-    return rows[rows < n]
+    cell, bit = np.nonzero(bits)
+    rows, shifts = at[cell] * 64 + bit, shift[cell]
+    real = rows + shifts < n
+    return rows[real], shifts[real]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -193,13 +197,14 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
         if size[kind == k].max() < 2:
             continue
         part, planes, label = group[rows], _planes(fp[rows]), None
-        a, b, held = [], [], 0
-        for shift in range(1, int(size[kind == k].max())):
-            hit = within(planes, shift, len(rows) - shift, radius)
-            hit = hit[part[hit] == part[hit + shift]]
-            a.append(hit)
-            b.append(hit + shift)
-            held += len(hit)
+        a, b, held, most = [], [], 0, int(size[kind == k].max())
+        block = max(1, min(64, CELLS * 64 // len(rows)))
+        for low in range(1, most, block):
+            hit, shift = within(planes, low, min(low + block, most), len(rows), radius)
+            same = part[hit] == part[hit + shift]
+            a.append(hit[same])
+            b.append((hit + shift)[same])
+            held += len(a[-1])
             if held > 1 << 20:
                 label, a, b, held = forest(len(rows), np.concatenate(a), np.concatenate(b), label), [], [], 0
         if a or label is not None:
