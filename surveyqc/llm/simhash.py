@@ -87,36 +87,65 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return text_table(docs).mapInArrow(run, "doc_id long, f0 long")
 
 
-def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
-    """doc_id, f0, f1 …: for each (shingle, words64) of parts a fingerprint of that many 64-bit words, one after another.
+def _shingle_sets(texts: pa.Array, shingles: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each shingle length: how many distinct shingles each text has, and their hashes, ascending within a text.
+
+    A shingle's hash is mixed from its words' hashes (A-Z lower-cased), each distinct word being hashed once.
+    """
+    from xxhash import xxh64_intdigest
+
+    words, edges = words_of(pc.ascii_lower(texts))
+    coded = words.dictionary_encode()
+    own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = np.append(own[np.asarray(coded.indices)] if len(words) else own, np.uint64(0))
+    for shingle in shingles:
+        count, first, last = _stretches(edges, shingle)
+        mixed = np.zeros(len(first), np.uint64)
+        for k in range(shingle):  # behind the end of a short text there is a word of hash 0
+            mixed = (mixed ^ h[np.where(first + k <= last, first + k, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        row = np.repeat(np.arange(len(count)), count)
+        order = np.lexsort((mixed, row))
+        row, mixed = row[order], mixed[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (mixed[1:] != mixed[:-1]))[: len(row)]
+        yield np.bincount(row[new], minlength=len(count)), mixed[new]
 
-    As `fingerprints`, but a shingle's hash is mixed from its words' hashes, each distinct word being hashed once.
+
+def _set_hashes(count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A signed hash of each text's set of shingles; 0 for an empty one."""
+    found, full = np.zeros(len(count), np.uint64), np.flatnonzero(count)
+    if len(full):
+        found[full] = np.add.reduceat(_mixed(hashes, 99), (np.cumsum(count) - count)[full])
+    return found.view(np.int64)
+
+
+def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
+    """doc_id, node (hash of the last part's set of shingles), f0, f1 …: for each (shingle, words64) of parts a fingerprint of that
+    many 64-bit words, one after another, over distinct shingles.
     """
     names = [f"f{k}" for k in range(sum(n for _, n in parts))]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from xxhash import xxh64_intdigest
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                sets = list(_shingle_sets(batch.column("text"), tuple(shingle for shingle, _ in parts)))
+                found = np.concatenate([_majorities(h, count, n) for (count, h), (_, n) in zip(sets, parts, strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_set_hashes(*sets[-1])), *map(pa.array, found.view(np.int64))], ["doc_id", "node", *names])
 
-        words, edges = words_of(pc.ascii_lower(batch.column("text")))
-        coded = words.dictionary_encode()
-        own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        h = np.append(own[np.asarray(coded.indices)] if len(words) else own, np.uint64(0))
-        found = []
-        for shingle, words64 in parts:
-            count, first, last = _stretches(edges, shingle)
-            mixed = np.zeros(len(first), np.uint64)
-            for k in range(shingle):  # behind the end of a short text there is a word of hash 0
-                mixed = (mixed ^ h[np.where(first + k <= last, first + k, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            found.append(_majorities(mixed, count, words64))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, np.concatenate(found).view(np.int64))], ["doc_id", *names])
+    return text_table(docs).mapInArrow(run, ", ".join(["doc_id long, node long", *[f"{x} long" for x in names]]))
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (distinct hashes) of each text, node as in `sketches`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                yield work(batch)
+                ((count, h),) = _shingle_sets(batch.column("text"), (shingle,))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(count, h)), lists], ["node", "shingles"])
 
-    return text_table(docs).mapInArrow(run, ", ".join(["doc_id long", *[f"{x} long" for x in names]]))
+    return text_table(docs).mapInArrow(run, "node long, shingles array<long>")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -185,6 +214,41 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
         label = moved
 
 
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of n rows with pairs a-b at distances `far`, which pairs make a minimum spanning forest (Boruvka)."""
+    order = np.argsort(far, kind="stable")
+    a, b, label, chosen = a[order], b[order], np.arange(n), [np.empty(0, np.int64)]
+    at = np.arange(len(order))
+    while True:
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return order[np.concatenate(chosen)]
+        best = np.full(n, len(order))
+        np.minimum.at(best, label[a[at]], at)
+        np.minimum.at(best, label[b[at]], at)
+        take = np.unique(best[best < len(order)])
+        chosen.append(take)
+        label = forest(n, a[take], b[take], label)
+
+
+def _pairs(group: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows sorted by group: (rows, a, b) for parts of the pairs a-b of rows of a group within the radius; `rows` are those compared."""
+    edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    size = np.diff(np.append(edges, len(group)))
+    kind = np.frexp(size)[1]  # buckets of like size are compared together
+    for k in np.unique(kind):
+        rows = np.flatnonzero(np.repeat(kind == k, size))
+        most = int(size[kind == k].max())
+        if most < 2:
+            continue
+        part, planes = group[rows], _planes(fp[rows])
+        block = max(1, min(64, CELLS * 64 // len(rows)))
+        for low in range(1, most, block):
+            hit, shift = within(planes, low, min(low + block, most), len(rows), radius)
+            same = part[hit] == part[hit + shift]
+            yield rows, hit[same], (hit + shift)[same]
+
+
 def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by group: pairs (row, smallest row of its component) among rows of a group within the radius."""
     edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
@@ -216,6 +280,31 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
+def bucket_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As bucket_links, but the links are pairs within the radius themselves, the nearest that connect what is connected."""
+    a, b, far, held = *(np.empty(0, np.int64) for _ in range(3)), 0
+    for rows, x, y in _pairs(group, fp, radius):
+        for low in range(0, len(x), 1 << 17):
+            p, q = rows[x[low : low + (1 << 17)]], rows[y[low : low + (1 << 17)]]
+            d = np.bitwise_count(fp[p] ^ fp[q]).sum(axis=1, dtype=np.int64)
+            a, b, far, held = np.append(a, p), np.append(b, q), np.append(far, d), held + len(p)
+            if held > 1 << 18:
+                keep = nearest_forest(len(group), a, b, far)
+                a, b, far, held = a[keep], b[keep], far[keep], 0
+    keep = nearest_forest(len(group), a, b, far)
+    return a[keep], b[keep]
+
+
+def bucket_crossing(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius whose rows differ in the last word, which names what is connected already."""
+    found = [(np.empty(0, np.int64),) * 2]
+    for rows, x, y in _pairs(group, np.ascontiguousarray(fp[:, :-1]), radius):
+        p, q = rows[x], rows[y]
+        apart = fp[p, -1] != fp[q, -1]
+        found.append((p[apart], q[apart]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def agreeing_blocks(radius: int = 2, blocks: int = 4) -> list[list[int]]:
     """Masks of 64 bits, one of which any two fingerprints within the radius agree on: all choices of blocks - radius blocks."""
     width = BITS // blocks
@@ -231,10 +320,10 @@ def sampled_bits(words64: int, bands: int, width: int, seed: int = 1) -> list[li
     return found
 
 
-def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int = 0) -> DataFrame:
+def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int = 0, found=bucket_links) -> DataFrame:
     """src, dst: links that connect the nodes of reps(node, f0, f1 …) that share a mask's bits and differ in `radius` bits at most.
 
-    Masks are of the first words; the words from `compared` on are compared.
+    `found` gives a bucket's links. Masks are of the first words; the words from `compared` on are compared.
 
     Buckets of one row need no comparison; large ones are cut into chunks by fingerprint, every two of which meet in a task.
     """
@@ -251,16 +340,16 @@ def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int =
     group = F.struct("choice", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     dealt = dealt.select(F.xxhash64(group).alias("g"), group.alias("key"), "node", *names)
     rows = dealt.repartition("g").sortWithinPartitions("g", "key", "node").select("key.choice", "key.value", "key.low", "key.high", "node", *names)
-    return rows.mapInArrow(_linker(radius), "src long, dst long")
+    return rows.mapInArrow(_linker(radius, found), "src long, dst long")
 
 
-def _linker(radius: int):
+def _linker(radius: int, found):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum((np.diff(rows[:, :4], axis=0, prepend=rows[:1, :4] - 1) != 0).any(axis=1))
-            src, dst = bucket_links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), radius)
+            src, dst = found(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(rows[src, 4]), pa.array(rows[dst, 4])], ["src", "dst"])
 
         for batch in batches:
@@ -315,11 +404,49 @@ def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, comp
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")
 
 
-#: Near copies at similarity 0.8 or more of five-word shingles: at 0.8 the cosine of shingle counts is 0.89, thus 78 of 512 bits
-#: bits differ on average. Bands are of a second fingerprint, of word pairs, which such copies share more of: 24 bands of 20
-#: sampled bits (README has the measured share of pairs that meet).
-PARTS = ((2, 4), (5, 8))
-NEAR = {"masks": sampled_bits(4, bands=24, width=20), "radius": 86, "compared": 4}
+#: Near copies at similarity 0.8 or more of five-word shingles: at 0.8 the cosine of two sets of shingles is 0.89 at least, so that
+#: each bit differs with a probability of 0.15 at most, 78 of 512 on average (deviation 8). The radius leaves four deviations, as
+#: links are verified. Bands are of a second fingerprint, of word pairs, which such copies share as many or more of: 64 bands of
+#: 16 sampled bits are met by such a pair with a probability of 1 - (1 - 0.85 ** 16) ** 64 = 0.992.
+SHINGLE, SIMILARITY = 5, 0.8
+PARTS = ((2, 4), (SHINGLE, 8))
+NEAR = {"masks": sampled_bits(4, bands=64, width=16), "radius": 112, "compared": 4}
+
+
+def similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """pairs(src, dst) of nodes with `near`: whether the Jaccard similarity of their sets of shingles is SIMILARITY at least."""
+    nodes = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    some = written(prints.join(small_or_shuffled(written(nodes, "paired")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "read")
+    texts = docs.join(small_or_shuffled(written(some.select("doc_id").distinct(), "read-ids")), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts, SHINGLE).dropDuplicates(["node"]), "shingles")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    shared = F.size(F.array_intersect("src_set", "dst_set"))
+    return both.select("src", "dst", (shared >= SIMILARITY * (F.size("src_set") + F.size("dst_set") - shared)).alias("near"))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, masks: list[list[int]], radius: int, compared: int) -> DataFrame:
+    """src, dst: links at SIMILARITY or more that connect all nodes of prints which pairs meeting in a bucket connect.
+
+    First the nearest pairs that connect a bucket are verified. Where that leaves apart what the pairs connect, all other pairs
+    between the parts are verified too, so that nothing hangs on which pairs came first.
+    """
+    names = [c for c in prints.columns if c[0] == "f"]
+    reps = written(prints.where("doc_id IS NOT NULL").groupBy("node").agg(*[F.min(c).alias(c) for c in names]), "nodes")
+    ordered = lambda found: found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    tried = written(ordered(links(reps, masks, radius, compared, bucket_forest)), "pairs")
+    tried = written(similar(tried, docs, prints), "verified")
+    near = tried.where("near").select("src", "dst")
+    if tried.where("NOT near").isEmpty():
+        return near
+    part = components(near).select("node", F.col("component").alias("c"))
+    whole = components(tried.select("src", "dst")).join(part, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    split = whole.groupBy("component").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("component")
+    apart = written(whole.join(split, "component", "left_semi").select("node", "c"), "apart")
+    rest = written(ordered(links(reps.join(small_or_shuffled(apart), "node"), masks, radius, compared, bucket_crossing)).join(tried, ["src", "dst"], "left_anti"), "crossing")
+    if rest.isEmpty():
+        return near
+    return near.unionByName(written(similar(rest, docs, prints), "verified").where("near").select("src", "dst"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -328,10 +455,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. Ids are moved rather than texts, as long as their number allows it.
     """
     prints = written(sketches(docs, PARTS), "sketches")
-    found = written(near_duplicates(prints, **NEAR).select("doc_id", "component_id"), "components")
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    tied = components(similar_links(docs, prints, **NEAR))
+    named = prints.select("doc_id", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named.select("doc_id", "component"), "components")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    gone = written(named.join(least, "component").where("doc_id <> least").select("doc_id").distinct(), "near-copies")
     kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
-    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
     some = small_or_shuffled(repeated)

@@ -173,6 +173,30 @@ def test_deduplicate_keeps_one_of_a_group(docs, empty):
     assert simhash.deduplicate(empty).columns == empty.columns
     assert simhash.deduplicate(empty).count() == 0
 
+@pytest.mark.parametrize("replaced", [False, True])
+def test_isolated_pairs_are_found_and_verified(spark, replaced):
+    near, r = [], random.Random(8)
+    for k in range(150):  # a block appended or replaced; even pairs lie at 0.8-0.83, odd ones at 0.70-0.77
+        n = r.randint(150, 500)
+        a = prose(10_000 + k, n).split()
+        m = n - 4
+        j = r.uniform(0.80, 0.83) if k % 2 == 0 else r.uniform(0.70, 0.77)
+        b = prose(20_000 + k, n).split()
+        if replaced:
+            cut = int(m - 2 * j * m / (1 + j)) - (k % 2 == 0)
+            b = a[: n - cut] + b[:cut]
+        else:
+            b = a + b[: int(m / j - m)]
+        near.append((" ".join(a), " ".join(b)))
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    want = [len(sets(a) & sets(b)) / len(sets(a) | sets(b)) >= 0.8 for a, b in near]
+    assert sum(want) == 75
+    own = spark.createDataFrame([(2 * k + side, t) for k, pair in enumerate(near) for side, t in enumerate(pair)], "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.deduplicate(own).collect()}
+    assert all(2 * k in kept for k in range(150))
+    lost = [k for k in range(150) if want[k] and 2 * k + 1 in kept]
+    assert len(lost) <= 3 and all(2 * k + 1 in kept for k in range(150) if not want[k])
+
 
 # Decontamination
 
