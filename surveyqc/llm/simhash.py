@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import slices, small_or_shuffled, text_table, words_of, written
+from surveyqc.llm.common import slices, small_or_shuffled, text_or_empty, text_table, words_of, written
 
 BITS = 64
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into chunks of half as many.
@@ -120,7 +120,7 @@ def _set_hashes(count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
-    """doc_id, node (hash of the last part's set of shingles), f0, f1 …: for each (shingle, words64) of parts a fingerprint of that
+    """doc_id, row (xxhash64 of the text), node (hash of the last part's set of shingles), f0, f1 …: for each (shingle, words64) of parts a fingerprint of that
     many 64-bit words, one after another, over distinct shingles.
     """
     names = [f"f{k}" for k in range(sum(n for _, n in parts))]
@@ -130,9 +130,9 @@ def sketches(docs: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
             for batch in slices(whole, "text", SLICE):
                 sets = list(_shingle_sets(batch.column("text"), tuple(shingle for shingle, _ in parts)))
                 found = np.concatenate([_majorities(h, count, n) for (count, h), (_, n) in zip(sets, parts, strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_set_hashes(*sets[-1])), *map(pa.array, found.view(np.int64))], ["doc_id", "node", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(_set_hashes(*sets[-1])), *map(pa.array, found.view(np.int64))], ["doc_id", "row", "node", *names])
 
-    return text_table(docs).mapInArrow(run, ", ".join(["doc_id long, node long", *[f"{x} long" for x in names]]))
+    return text_table(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, ", ".join(["doc_id long, row long, node long", *[f"{x} long" for x in names]]))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -450,19 +450,21 @@ def similar_links(docs: DataFrame, prints: DataFrame, masks: list[list[int]], ra
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of rows with one doc_id, one).
+    """docs without near copies: of each component the row with the smallest doc_id stays (of equal rows, one).
 
-    Rows with a null doc_id stay. Ids are moved rather than texts, as long as their number allows it.
+    A row is known by doc_id and text hash, so that different texts with one doc_id are judged apart. Rows with a null doc_id
+    stay. Ids are moved rather than texts, as long as their number allows it.
     """
     prints = written(sketches(docs, PARTS), "sketches")
     tied = components(similar_links(docs, prints, **NEAR))
-    named = prints.select("doc_id", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named.select("doc_id", "component"), "components")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    gone = written(named.join(least, "component").where("doc_id <> least").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
-    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    some = small_or_shuffled(repeated)
-    return kept.join(some, "doc_id", "left_anti").unionByName(kept.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    named = prints.where("doc_id IS NOT NULL").select("doc_id", "row", "node").join(tied, "node", "left")
+    named = written(named.select(F.struct("doc_id", "row").alias("id_"), F.coalesce("component", "node").alias("component")), "components")
+    least = named.groupBy("component").agg(F.min("id_").alias("least"))
+    gone = written(named.join(least, "component").where("id_ <> least").select("id_.doc_id", F.col("id_.row").alias("row_")).distinct(), "near-copies")
+    rows = docs.withColumn("row_", F.xxhash64(text_or_empty()))
+    kept = rows.join(small_or_shuffled(gone), ["doc_id", "row_"], "left_anti")
+    repeated = written(named.groupBy("id_").agg(F.count("*").alias("n")).where("n > 1").select("id_.doc_id", F.col("id_.row").alias("row_")), "repeated")
+    if not repeated.isEmpty():
+        some = small_or_shuffled(repeated)
+        kept = kept.join(some, ["doc_id", "row_"], "left_anti").unionByName(kept.join(some, ["doc_id", "row_"], "left_semi").dropDuplicates(["doc_id", "row_"]))
+    return kept.select(*docs.columns)

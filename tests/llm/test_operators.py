@@ -198,6 +198,12 @@ def test_isolated_pairs_are_found_and_verified(spark, replaced):
     assert len(lost) <= 3 and all(2 * k + 1 in kept for k in range(150) if not want[k])
 
 
+def test_deduplicate_judges_texts_of_one_id_apart(spark):
+    a, b, c = (prose(k, 90) for k in (61, 62, 63))
+    own = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, c), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate(own).collect())) == sorted([(1, a), (2, b), (3, c)])
+
+
 # Decontamination
 
 
