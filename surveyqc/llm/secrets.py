@@ -21,6 +21,8 @@ TOKEN = r"[A-Za-z0-9_-]{20,}"
 MIN_VALUE = 6
 #: A value held by more owners than this has been copied around.
 MAX_OWNERS = 1
+#: For redaction: owners that a copied value has more than, where copies of one text have one vote together.
+SEVERAL_OWNERS = 3
 #: Distinct characters that a live-looking value has at least.
 MIN_DISTINCT = 6
 KINDS = ("assign", "access", "hex", "token")
@@ -60,28 +62,31 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.array_sort(F.concat("base_", fresh))).drop("base_", "token_")
 
 
-def ownership(found: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
+def ownership(found: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, text: str | None = None) -> DataFrame:
     """value_hash, owners, repositories, rows, live for candidates found(…, spans); partial counts are made before each shuffle.
 
-    A null owner is an owner. live: held by at most MAX_OWNERS owners and of enough distinct characters.
+    A null owner is an owner. live: held by at most max_owners owners and of enough distinct characters.
+    With `text` (a column that names the text) rows of one text are one vote, of the smallest of their owners.
     """
-    spans = found.select(F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.explode("spans").alias("s"))
+    spans = found.select(F.col(owner).alias("owner"), F.col(repository).alias("repository"), *([F.col(text).alias("text_")] if text else []), F.explode("spans").alias("s"))
+    if text:
+        spans = spans.groupBy("text_", F.col("s.value").alias("value")).agg(F.min("owner").alias("owner"), F.min("repository").alias("repository")).withColumn("s", F.struct("value"))
     values = spans.select("owner", "repository", F.sha2("s.value", 256).alias("value_hash"), F.size(F.array_distinct(F.split("s.value", ""))).alias("distinct_"))
     pairs = values.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("distinct_").alias("distinct_"))
     owners = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"), F.max("distinct_").alias("distinct_"))
     counted = owners.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("rows"), F.max("distinct_").alias("distinct_"))
-    return counted.withColumn("live", (F.col("owners") <= MAX_OWNERS) & (F.col("distinct_") >= MIN_DISTINCT)).drop("distinct_")
+    return counted.withColumn("live", (F.col("owners") <= max_owners) & (F.col("distinct_") >= MIN_DISTINCT)).drop("distinct_")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, by_text: bool = False) -> DataFrame:
     """doc_id, text_hash and `spans` of each row of docs: all base spans, and generic tokens that their owner alone holds.
 
     Each span has start, rank, stop (code points, exclusive), kind, value and live. Rows are known by doc_id and text hash, so
-    repeated rows and null ids are judged alike; an empty table gives none. Texts are read once, then spans alone are moved.
+    repeated rows and null ids are judged alike; by_text: copies of a text are one vote (`ownership`); an empty table gives none. Texts are read once, then spans alone are moved.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(owner).alias("owner_"), F.col(repository).alias("repository_"))
     found = written(candidates(rows).withColumn("text_hash", F.xxhash64("text")).drop("text"), "candidates")
-    owned = ownership(found.select("owner_", "repository_", "spans"), "owner_", "repository_")
+    owned = ownership(found.select("owner_", "repository_", "text_hash", "spans"), "owner_", "repository_", max_owners, "text_hash" if by_text else None)
     key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("text_hash").alias("hash_")]
     some = found.where(F.size("spans") > 0).groupBy(*key).agg(F.first("spans").alias("found_"))
     each = some.select("id_", "hash_", F.explode("found_").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
@@ -92,9 +97,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source") ->
     return rest.join(by_row, ["id_", "hash_"], "left").select("doc_id", "text_hash", F.coalesce("spans", F.array().cast(JUDGED)).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, by_text: bool = False) -> DataFrame:
     """docs with the values of live spans replaced by their kind in angle brackets; copied examples stay. n_chars follows the text."""
-    live = scan(docs, owner, repository).where(F.exists("spans", lambda s: s["live"])).dropDuplicates(["doc_id", "text_hash"])
+    live = scan(docs, owner, repository, max_owners, by_text).where(F.exists("spans", lambda s: s["live"])).dropDuplicates(["doc_id", "text_hash"])
     found = written(live.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.filter("spans", lambda s: s["live"]).alias("spans_")), "live")
     joined = docs.join(small_or_shuffled(found), docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("hash_")), "left")
 

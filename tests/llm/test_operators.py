@@ -375,6 +375,15 @@ def test_secret_spans(spark, empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(own).columns == own.columns
 
 
+def test_redaction_gives_copies_of_a_text_one_vote(spark):
+    key, shared, example = "0123456789abcdef01234567", "fedcba9876543210fedcba98", "00112233445566778899aabb"
+    texts = [(f"a password={key}", k) for k in range(6)] + [(f"{k} token={shared}", k) for k in range(2)] + [(f"{k} token={example}", k) for k in range(6)]
+    own = spark.createDataFrame([(i, t, f"s{k}") for i, (t, k) in enumerate(texts)], "doc_id long, text string, source string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(own, max_owners=secrets.SEVERAL_OWNERS, by_text=True).collect()}
+    assert [clean[i] for i in range(8)] == ["a password=<assign>"] * 6 + ["0 token=<assign>", "1 token=<assign>"]
+    assert all(clean[i] == texts[i][0] for i in range(8, 14))
+
+
 def test_licences_are_brute_force(spark, empty):
     notices = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
     texts = [prose(i, 30) + " " + t + "\n" + prose(i + 50, 3) for i, (_, t) in enumerate(notices)] + [prose(99, 50), None, "", "MIT License", notices[3][1].replace("person", "human"), notices[0][1].upper()]
