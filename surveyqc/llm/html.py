@@ -36,7 +36,12 @@ NO_CONTENT = frozenset("aside button dialog footer form head header input label
 MAIN = frozenset("article main".split())
 #: Words in class, id or role that name what isn't content.
 NO_CONTENT_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pager pagination popup promo promotion promoted recommended related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary alert".split())
-DROP, KEEP, ASK = 0, 1, 2
+#: NAMED: dropped by its names alone, so that a main or article in it is content. DOUBT: as ASK, with a lower prior.
+DROP, KEEP, ASK, DOUBT, NAMED = range(5)
+#: Share of its importance that a branch keeps whose names only hold such a word.
+PRIOR = 0.5
+#: Elements that their names say nothing about.
+WHOLE = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -51,13 +56,15 @@ _WORDS = re.compile(r"[a-z]+")
 PARSED = "page_id long, url string, host string, blocks array<struct<path:string,kind:int,text:string>>, styles array<struct<path:string,style:string>>"
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """The element's part of a path that its attributes give, and whether they name what isn't content."""
+def _names(attrs: str) -> tuple[str, int]:
+    """The element's part of a path that its attributes give, and NAMED if a name is a word for what isn't content, DOUBT if one only holds it."""
     if not attrs or "=" not in attrs:
-        return "", False
+        return "", ASK
     found = [(k.lower(), v.strip("\"'")) for k, v in _NAMES.findall(attrs)]
     words = {w for _, v in found for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
-    return "".join(f".{v}" for k, v in found if k == "class"), not words.isdisjoint(NO_CONTENT_WORDS)
+    whole = {w for _, v in found for w in v.lower().split()}
+    bad = ASK if words.isdisjoint(NO_CONTENT_WORDS) else DOUBT if whole.isdisjoint(NO_CONTENT_WORDS) else NAMED
+    return "".join(f".{v}" for k, v in found if k == "class"), bad
 
 
 def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
@@ -74,14 +81,14 @@ def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
 
     def flush() -> None:
         if text:
-            if (found := " ".join("".join(text).split())) and stack[-1][2] != DROP:
+            if (found := " ".join("".join(text).split())) and stack[-1][2] not in (DROP, NAMED):
                 at = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
                 blocks.append((at[1], stack[-1][2], found))
             text.clear()
 
     def pop() -> None:
         name, path, kind, children = stack.pop()
-        if kind == ASK and name in BLOCK:
+        if kind in (ASK, DOUBT) and name in BLOCK:
             styles.append((path, " ".join(children)))
 
     at = 0
@@ -120,10 +127,12 @@ def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
             named, bad = _names(m["attrs"])
             if block:
                 children.append(tag + named)
-            if bad or (tag in NO_CONTENT and not (tag == "header" and kind == KEEP)):
+            if kind == DROP or (tag in NO_CONTENT and not (tag == "header" and kind == KEEP)):
                 kind = DROP
-            elif kind != DROP and tag in MAIN:
+            elif tag in MAIN:
                 kind = KEEP
+            elif tag not in WHOLE and (bad == NAMED or (bad == DOUBT and kind != NAMED)):
+                kind = bad
             elif kind == KEEP and block and (named or tag not in FLOW):
                 kind = ASK
             stack.append([tag, f"{path}/{tag}{named}" if block else path, kind, []])
@@ -164,7 +173,7 @@ def _entropy(counts: DataFrame, value: str, name: str) -> DataFrame:
 
 def style_tree(rows: DataFrame) -> DataFrame:
     """host, path, importance of the elements whose markup doesn't decide; counts are made before the shuffle."""
-    asked = rows.select("host", F.explode(F.filter("blocks", lambda b: b["kind"] == ASK)).alias("b")).select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("feature"))
+    asked = rows.select("host", F.explode(F.filter("blocks", lambda b: b["kind"].isin(ASK, DOUBT))).alias("b")).select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("feature"))
     # A text that all m pages share has entropy 1 among pages, one that is on one page has 0: importance is 1 - that.
     content = _entropy(asked.groupBy("host", "path", "feature").agg(F.count("*").alias("n")), "feature", "content")
     style = rows.select("host", F.explode("styles").alias("s")).select("host", F.col("s.path").alias("path"), F.xxhash64("s.style").alias("style"))
@@ -181,10 +190,11 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table gives none. Only pages with branches that markup doesn't decide are joined with their host's tree.
     """
     rows = parsed(pages)
-    open_ = F.exists("blocks", lambda b: b["kind"] == ASK)
-    low = style_tree(rows.where(open_)).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("low"))
+    open_ = F.exists("blocks", lambda b: b["kind"].isin(ASK, DOUBT))
+    weak = style_tree(rows.where(open_)).where(F.col("importance") * PRIOR < threshold)
+    low = weak.groupBy("host").agg(F.collect_set(F.when(F.col("importance") < threshold, F.col("path"))).alias("low"), F.collect_set("path").alias("weak"))
     joined = rows.where(open_).join(low, "host", "left")
     keep = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    undecided = joined.select("page_id", "url", keep(F.filter("blocks", lambda b: (b["kind"] == KEEP) | ~F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b["path"]))).alias("text"))
+    undecided = joined.select("page_id", "url", keep(F.filter("blocks", lambda b: (b["kind"] == KEEP) | ~F.array_contains(F.coalesce(F.when(b["kind"] == DOUBT, F.col("weak")).otherwise(F.col("low")), F.array().cast("array<string>")), b["path"]))).alias("text"))
     decided = rows.where(~open_).select("page_id", "url", keep(F.col("blocks")).alias("text"))
     return decided.unionByName(undecided).withColumn("n_chars", F.char_length("text").cast("long"))

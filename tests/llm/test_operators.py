@@ -255,6 +255,21 @@ def test_style_tree_drops_what_pages_repeat(spark):
     assert got == Counter([*((i, t, len(t)) for i, t in enumerate(stories)), (8, "Only page", 9), (9, "", 0), (9, "", 0), (None, "", 0)])
 
 
+def test_doubtful_names_do_not_lose_articles(spark):
+    story = lambda i: f"<p>Story {prose(i, 12)}</p>"
+    pages = [
+        lambda i: f'<body class="has-sidebar"><article>{story(i)}</article></body>',
+        lambda i: f'<div id="page" class="no-header"><div class="text">{story(i)}</div></div>',
+        lambda i: f'<article><div class="elementor-widget elementor-widget-text-editor">{story(i)}</div></article>',
+        lambda i: f'<main class="search-enabled">{story(i)}</main>',
+        lambda i: f'<div class="widget">junk<article>{story(i)}</article></div><div class="my-banner">Same on all</div>',
+        lambda i: f'<div class="my-banner">Same on all</div><div class="comments">reader</div><div class="text">{story(i)}</div><aside><article>side</article></aside>',
+    ]
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", page(10 * k + i)) for k, page in enumerate(pages) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {prose(i, 12)}" for i, _, _ in rows}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 600 + "</p>"
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (7, None, big), (3, "u v", "x"), (4, "u", "x"), (5, "u", None), (None, "n", big), (7, None, big)]
