@@ -1,17 +1,22 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-Each text is swept with windows as long as the benchmark's items. Prefix sums of the hash bits of its shingles give the
-fingerprint of any window by one subtraction. A fingerprint is looked up in four 16-bit blocks: if it is within the radius of
-an item's, some block is within a quarter of it, and the tables of blocks hold every value that near. Candidates are then
-compared by their shingles with multiplicities, at every alignment that the stride has skipped.
+A window can only be similar to an item if at least 4 (its length + the item's) / 9 of its shingles are shingles of items of
+that length, so windows are built just where the text is that dense in them; no similar window is lost by this. Prefix sums of
+hash bits give the fingerprint of each such window. It is looked up in four 16-bit blocks: if it is within the radius of an
+item's fingerprint, some block is within a quarter of the radius of the item's, and the tables of blocks hold every value that
+near. The windows that are near an item are then compared with it by their shingles with multiplicities.
+
+The benchmark's hashes are a table in the shared folder, cut into blocks of bounded size. Tasks read a block at a time, so a
+document is read and hashed once, however many items there are, and nothing of the benchmark goes through the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
+from functools import lru_cache
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,201 +24,273 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import slices, text_table, words_of
+from surveyqc.llm.common import shared_dir, slices, text_or_empty, text_table, words_of
 
 SHINGLE = 5
-SIMILARITY = 0.8
-#: Bits; two texts of similarity 0.8 differ in 10 of 64 on average, in over 15 about once in thirty cases.
-RADIUS = 15
+#: As a fraction, so that the least number of shared shingles is exact.
+SIMILARITY = 4 / 5
+#: Bits. At similarity 0.8 a window and an item differ in 9.7 of 64 bits on average (deviation 2.9), in over 19 once in 3000 cases.
+RADIUS = 19
 BLOCKS = 4
-#: A window begins every (item's shingles / STRIDE_PART) shingles; the alignment that is missed costs under 7 %.
-STRIDE_PART = 8
-#: Items that one pass over the documents searches for: what is sent to tasks is bounded, more items take more passes.
-ITEMS = 4096
+#: Tables of block values; items of one length share a table, and with more lengths than tables several lengths do.
+TABLES = 256
+#: Bytes of benchmark text and number of items in a block of the index, about; a task holds KEPT blocks at most.
+INDEX_BYTES, ITEMS, KEPT = 8 << 20, 16_384, 4
 SLICE = 4 << 20
-#: Windows at once.
-CACHED = 4096
+#: Shingles whose bits are summed at once.
+SUMMED = 1 << 16
 FOUND = "doc_id long, item_id long, start_word long, similarity double, distance int"
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of all texts (A-Z lower-cased), and where each text's begin (one entry more)."""
+def shingle_hashes(texts: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each width: hashes of the shingles of so many words of all texts (A-Z lower-cased), and where each text's begin (one entry more)."""
     from xxhash import xxh64_intdigest
 
     words, edges = words_of(pc.ascii_lower(texts))
     coded = words.dictionary_encode()
     own = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     h = own[np.asarray(coded.indices)] if len(words) else own
-    n = np.maximum(np.diff(edges) - SHINGLE + 1, 0)
-    at = np.repeat(edges[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    mixed = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        mixed = (mixed ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed, np.append(0, np.cumsum(n))
+    for width in widths:
+        n = max(len(h) - width + 1, 0)
+        mixed = np.zeros(n, np.uint64)
+        for k in range(width):
+            mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        count = np.maximum(np.diff(edges) - width + 1, 0)
+        inside = np.zeros(n + 1, np.int8)  # shingles that run over a text's end go
+        full = np.flatnonzero(count)
+        np.add.at(inside, edges[:-1][full], 1)
+        np.add.at(inside, edges[:-1][full] + count[full], -1)
+        yield mixed[np.cumsum(inside[:-1], dtype=np.int8) > 0], np.append(0, np.cumsum(count))
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _packed(ones: np.ndarray, half: np.ndarray | int) -> np.ndarray:
-    return np.packbits(ones > half, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def _packed(over: np.ndarray) -> np.ndarray:
+    return np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _near(width: int, bits: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(width), k)], np.int64)
+NEAR = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), k)], np.int64)
+
+
+def least_shared(window: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Shingles with multiplicity that a window and an item of these lengths share at least at SIMILARITY."""
+    return -(-4 * (window + item) // 9)
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 … (count[0] numbers), begin[1] …"""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class Index:
-    """The items of one pass, by their number of shingles: fingerprints, block tables, shingle counts."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        hashes, edges = shingle_hashes(pa.array([t for _, t in items], pa.string()))
-        self.sizes: dict[int, dict] = {}
-        by_size = defaultdict(list)
-        for k, (item, _) in enumerate(items):
-            if edges[k + 1] > edges[k]:
-                by_size[int(edges[k + 1] - edges[k])].append((item, hashes[edges[k] : edges[k + 1]]))
-        near = _near(16, RADIUS // BLOCKS)
-        for m, found in by_size.items():
-            fp = np.array([_packed(_bits(h).sum(axis=0, dtype=np.int64)[None], m // 2)[0] for _, h in found], np.uint64)
-            tables = np.zeros((BLOCKS, 1 << 16), bool)
-            for b in range(BLOCKS):
-                for value in (fp >> np.uint64(16 * b)) & np.uint64(0xFFFF):
-                    tables[b, near ^ int(value)] = True
-            self.sizes[m] = {"ids": [i for i, _ in found], "fp": fp, "tables": tables, "counts": [Counter(h.tolist()) for _, h in found]}
-        self.largest = max(self.sizes, default=0)
-
-
-def _candidates(fp: np.ndarray, size: dict) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(rows of fp, item, distances) within the radius."""
-    blocks = fp.view(np.uint16).reshape(-1, BLOCKS)
-    some = size["tables"][0][blocks[:, 0]]
-    for b in range(1, BLOCKS):
-        some |= size["tables"][b][blocks[:, b]]
-    rows = np.flatnonzero(some)
-    near = fp[rows]
-    for k, item in enumerate(size["fp"]):
-        distance = np.bitwise_count(near ^ item)
-        hit = distance <= RADIUS
-        if hit.any():
-            yield rows[hit], k, distance[hit]
-
-
-def _prefix_sums(bits: np.ndarray, kind: type) -> np.ndarray:
-    """Sums of the first 0, 1, 2 … rows, modulo the type's range: within runs of 64 rows, then over runs."""
-    n = -(-len(bits) // 64)
-    runs = np.zeros((n, 64, bits.shape[1]), kind)
-    runs.reshape(-1, bits.shape[1])[: len(bits)] = bits
-    for j in range(1, 64):
-        runs[:, j] += runs[:, j - 1]
-    before = np.zeros((n, 1, bits.shape[1]), kind)
-    for i in range(1, n):
-        np.add(before[i - 1, 0], runs[i - 1, 63], out=before[i, 0])
-    runs += before
-    return np.concatenate([np.zeros((1, bits.shape[1]), kind), runs.reshape(-1, bits.shape[1])[: len(bits)]])
-
-
-def _windows(sums: np.ndarray, m: int, stride: int, size: dict) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(begins, item, distances) of windows of m shingles within the radius, over parts that a processor's cache holds."""
-    upper, lower = sums[m::stride], sums[: len(sums) - m : stride]
-    for c in range(0, len(upper), CACHED):
-        ones = upper[c : c + CACHED] - lower[c : c + CACHED]
-        fp = np.packbits((ones > m // 2).reshape(-1), bitorder="little").view(np.uint64)
-        for rows, k, distance in _candidates(fp, size):
-            yield (rows + c) * stride, k, distance
-
-
-def _best(hashes: list[int], low: int, high: int, length: int, first: int, last: int, item: Counter) -> tuple[float, int]:
-    """The highest similarity of stretches of `length` shingles that begin in low..high within first..last, and its begin."""
-    best, at, total = 0.0, low, sum(item.values())
-    for a in range(max(first, low), min(high, last - length) + 1):
-        own = Counter(hashes[a : a + length])
-        both = sum(min(n, own[x]) for x, n in item.items() if x in own)
-        if (found := both / (length + total - both)) > best:
-            best, at = found, a
-    return best, at
-
-
-def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, float, int]]:
+    """Items of one block whose shingles have the same width: their shingles, fingerprints by length, tables of block values."""
+
+    def __init__(self, ids: list[int | None], hashes: list[np.ndarray]) -> None:
+        self.ids, self.hashes = ids, hashes
+        length = np.array([len(h) for h in hashes])
+        self.sizes, size = np.unique(length, return_inverse=True)
+        flat = np.concatenate(hashes)
+        self.known, at = np.unique(flat, return_inverse=True)
+        self.mask = np.uint64((1 << max(16, (8 * len(self.known)).bit_length())) - 1)
+        self.seen = np.zeros(int(self.mask) + 1, bool)
+        self.seen[self.known & self.mask] = True
+        pairs = np.unique(at * len(self.sizes) + np.repeat(size, length))  # a shingle and a length that has it
+        self.size_of, self.begin = pairs % len(self.sizes), np.searchsorted(pairs // len(self.sizes), np.arange(len(self.known) + 1))
+        self.items = [np.flatnonzero(size == s) for s in range(len(self.sizes))]
+        half = (length // 2)[:, None]
+        self.fp = _packed(np.stack([_bits(h).sum(axis=0, dtype=np.int64) for h in hashes]) > half)
+        self.tables = np.zeros((min(TABLES, len(self.sizes)), BLOCKS, 1 << 16), bool)
+        for b in range(BLOCKS):
+            for s, value in zip(size.tolist(), (self.fp >> np.uint64(16 * b) & np.uint64(0xFFFF)).tolist(), strict=True):
+                self.tables[s % len(self.tables), b, NEAR ^ value] = True
+
+    def near(self, fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(rows of fp, item, distances) of fingerprints of windows for items of these lengths, within the radius."""
+        blocks, table = fp.view(np.uint16).reshape(-1, BLOCKS), size % len(self.tables)
+        some = self.tables[table, 0, blocks[:, 0]]
+        for b in range(1, BLOCKS):
+            some |= self.tables[table, b, blocks[:, b]]
+        rows = np.flatnonzero(some)
+        for s in np.unique(size[rows]):
+            own = rows[size[rows] == s]
+            for k in self.items[s].tolist():
+                distance = np.bitwise_count(fp[own] ^ self.fp[k])
+                hit = distance <= RADIUS
+                if hit.any():
+                    yield own[hit], k, distance[hit]
+
+    def windows(self, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(size, text, begin, length) of the windows that hold enough shingles of items of a size, in order of size and begin.
+
+        A window is as long as the items, or a whole text that is a little shorter.
+        """
+        at = np.flatnonzero(self.seen[h & self.mask])
+        if not len(at):
+            return (at,) * 4
+        j = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        at, j = (x[self.known[j] == h[at]] for x in (at, j))
+        count = self.begin[j + 1] - self.begin[j]
+        size, at = self.size_of[_ranges(self.begin[j], count)], np.repeat(at, count)
+        order = np.lexsort((at, size))
+        size, at = size[order], at[order]
+        if not len(at):
+            return (at,) * 4
+        text = np.searchsorted(edges, at, side="right") - 1
+        length = np.minimum(np.diff(edges)[text], self.sizes[size])
+        need = least_shared(length, self.sizes[size])
+        slack = length - need
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(size) != 0) | (np.diff(text) != 0) | (np.diff(at) > slack[1:] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        run = first[last - first + 1 >= np.maximum(need[first], 1)]
+        end = at[np.append(first[1:], len(at)) - 1][np.searchsorted(first, run)]
+        low = np.maximum(edges[text[run]], at[run] - slack[run])
+        high = np.minimum(edges[text[run] + 1] - length[run], end - need[run] + 1)
+        n = np.maximum(high - low + 1, 0)
+        begin = _ranges(low, n)
+        size_, text_, length_, need_ = (np.repeat(x[run], n) for x in (size, text, length, need))
+        key, wide = size * (len(h) + 1) + at, size_ * (len(h) + 1)
+        held = np.searchsorted(key, wide + begin + length_) - np.searchsorted(key, wide + begin)
+        full = (held >= need_) & (need_ <= length_)
+        return tuple(x[full] for x in (size_, text_, begin, length_))
+
+    def search(self, h: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, float, int]]:
+        """(text, item, first shingle, similarity, distance) of windows that are similar to an item, the best of a stretch."""
+        size, text, begin, length = self.windows(h, edges)
+        apart = np.ones(len(begin), bool)
+        apart[1:] = (np.diff(size) != 0) | (np.diff(text) != 0) | (np.diff(begin) > length[1:])
+        cost = np.where(apart, length, np.diff(begin, prepend=begin[:1]))
+        part = np.cumsum(cost) // SUMMED
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(begin)]):
+            if a < b:
+                yield from self._compare(h, edges, size[a:b], text[a:b], begin[a:b], length[a:b], np.append(True, apart[a + 1 : b]))
+
+    def _compare(self, h, edges, size, text, begin, length, apart) -> Iterator[tuple[int, int, int, float, int]]:
+        first = np.flatnonzero(apart)
+        last = np.append(first[1:], len(begin)) - 1
+        wide = begin[last] + length[last] - begin[first]
+        stretch = np.cumsum(apart) - 1
+        at = begin - begin[first][stretch] + (np.cumsum(wide) - wide)[stretch]
+        bits = _bits(h[_ranges(begin[first], wide)])
+        sums = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        fp = _packed(sums[at + length] - sums[at] > (length // 2)[:, None])
+        for rows, k, distance in self.near(fp, size):
+            cut = np.flatnonzero(np.diff(stretch[rows])) + 1
+            for own, far in zip(np.split(rows, cut), np.split(distance, cut), strict=True):
+                n = int(length[own[0]])
+                similarity = _similarities(h[begin[own[0]] : begin[own[-1]] + n], n, self.hashes[k])[begin[own] - begin[own[0]]]
+                best = int(np.argmax(similarity))
+                if similarity[best] >= SIMILARITY:
+                    yield int(text[own[0]]), k, int(begin[own[best]] - edges[text[own[0]]]), float(similarity[best]), int(far[best])
+
+
+def _similarities(h: np.ndarray, n: int, item: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of an item and each window of n of the hashes h: counts follow the window."""
+    known = Counter(item.tolist())
+    values, own, both, found = h.tolist(), Counter(), 0, np.empty(len(h) - n + 1)
+    for i, x in enumerate(values):
+        if x in known:
+            own[x] += 1
+            both += own[x] <= known[x]
+        if i >= n and (y := values[i - n]) in known:
+            both -= own[y] <= known[y]
+            own[y] -= 1
+        if i >= n - 1:
+            found[i - n + 1] = both / (n + len(item) - both)
+    return found
+
+
+def write_index(benchmark: DataFrame, most: int = ITEMS) -> tuple[str, int]:
+    """Writes the items' hashes, by block, to the shared folder; its path and the number of blocks. An item with fewer words than a shingle has one of its own width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = list(shingle_hashes(batch.column("text"), tuple(range(1, SHINGLE + 1))))
+                n_words = np.diff(sets[0][1])
+                width = np.clip(n_words, 1, SHINGLE)
+                own = lambda i, hashes, edges: hashes[edges[i] : edges[i + 1]].view(np.int64)
+                rows = [own(i, *sets[w - 1]) for i, w in enumerate(width.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(width, pa.int32()), pa.array(rows, pa.list_(pa.int64())), batch.column("block")], ["item_id", "width", "hashes", "block"])
+
+    items = benchmark.select("item_id", text_or_empty().alias("text"))
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = max(1, -(-(size or 0) // INDEX_BYTES), -(-n // most))
+    path = f"{shared_dir(benchmark.sparkSession)}/benchmark-{uuid.uuid4().hex}"
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    hashed = dealt.mapInArrow(run, "item_id long, width int, hashes array<long>, block int").where(F.size("hashes") > 0)
+    hashed.write.partitionBy("block").parquet(path)
+    return path, blocks
+
+
+@lru_cache(maxsize=KEPT)
+def _block(path: str, block: int) -> dict[int, Index]:
+    """By the width of their shingles, the items of a block (a worker serves many tasks, so it keeps some)."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    at = f"{folder}/block={block}"
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return {}
+    rows = pq.read_table(at, filesystem=store, columns=["item_id", "width", "hashes"]).to_pylist()
+    found = {}
+    for width in {r["width"] for r in rows}:
+        own = [r for r in rows if r["width"] == width]
+        found[width] = Index([r["item_id"] for r in own], [np.array(r["hashes"], np.int64).view(np.uint64) for r in own])
+    return found
+
+
+def search(texts: pa.Array, path: str, blocks: int) -> list[tuple[int, int | None, int, float, int]]:
     """(row, item_id, start_word, similarity, distance) of the best window of each text and item that are similar."""
-    hashes, edges = shingle_hashes(texts)
-    if not len(hashes) or not index.sizes:
-        return []
-    kind = np.uint8 if index.largest < 1 << 8 else np.uint16 if index.largest < 1 << 16 else np.uint32
-    sums = _prefix_sums(_bits(hashes), kind)
-    doc = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
-    lengths, found, values = np.diff(edges), {}, hashes.tolist()
-
-    def compare(begin: np.ndarray, length: np.ndarray, distance: np.ndarray, stride: int, item_id: int, item: Counter) -> None:
-        for a, n, d in zip(begin.tolist(), length.tolist(), distance.tolist(), strict=True):
-            row = int(doc[a])
-            if row != doc[a + n - 1] or item.keys().isdisjoint(values[a : a + n]):
-                continue
-            similarity, at = _best(values, a - stride, a + stride, n, int(edges[row]), int(edges[row + 1]), item)
-            if similarity >= SIMILARITY and similarity > found.get((row, item_id), (0, 0.0, 0))[1]:
-                found[row, item_id] = at - int(edges[row]), similarity, d
-
-    for m, size in index.sizes.items():
-        stride = max(1, m // STRIDE_PART)
-        for begin, k, distance in _windows(sums, m, stride, size) if len(hashes) >= m else ():
-            compare(begin, np.full(len(begin), m), distance, stride, size["ids"][k], size["counts"][k])
-        # The first and last window of each text, and the whole of one that is a little shorter than the item.
-        long, short = np.flatnonzero(lengths >= m), np.flatnonzero((lengths < m) & (lengths >= SIMILARITY * m))
-        if stride == 1:
-            long = long[:0]
-        begin, length = np.concatenate([edges[long], edges[long + 1] - m, edges[short]]), np.concatenate([np.full(2 * len(long), m), lengths[short]])
-        if len(begin):
-            for rows, k, distance in _candidates(_packed(sums[begin + length] - sums[begin], (length // 2)[:, None].astype(kind)), size):
-                compare(begin[rows], length[rows], distance, stride, size["ids"][k], size["counts"][k])
+    hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found: dict[tuple[int, int | None], tuple[int, float, int]] = {}
+    for block in range(blocks):
+        index = _block(path, block)
+        if wanted := tuple(w for w in index if w not in hashed):
+            hashed |= zip(wanted, shingle_hashes(texts, wanted), strict=True)
+        for width, items in index.items():
+            for row, k, start, similarity, distance in items.search(*hashed[width]):
+                old = found.get((row, items.ids[k]), (0, 0.0, 0))
+                if (-similarity, start) < (-old[1], old[0]):
+                    found[row, items.ids[k]] = start, similarity, distance
     return [(row, item, *rest) for (row, item), rest in found.items()]
 
 
-def _passes(benchmark: DataFrame, items: int) -> Iterator[Index]:
-    """Indexes of about `items` items each, which hold the whole benchmark."""
-    wanted = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    passes = max(1, -(-wanted.count() // items))
-    for k in range(passes):
-        block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        yield Index([(r["item_id"], r["text"]) for r in block])
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, start_word, similarity, distance: the best window of each document and item that are similar.
 
-    Whole texts are searched for every item of five words or more (shorter ones are no passage). Null texts match nothing;
-    repeated rows are each reported; an empty benchmark or table gives none. No row is moved.
+    Whole texts are searched for every item; one of fewer than five words is a shingle of its own width, one without words
+    matches nothing. Of equal windows the first is reported. Rows of one item_id are one item with several texts. Null texts match
+    nothing; repeated rows are each reported; an empty benchmark or table gives none. No row is moved.
     """
+    path, blocks = write_index(benchmark, items)
 
-    def searcher(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text", SLICE):
-                    if rows := search(batch.column("text"), index):
-                        row, *rest = zip(*rows, strict=True)
-                        arrays = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)]
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *arrays], ["doc_id", "item_id", "start_word", "similarity", "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                if rows := search(batch.column("text"), path, blocks):
+                    row, *rest = zip(*rows, strict=True)
+                    arrays = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *arrays], ["doc_id", "item_id", "start_word", "similarity", "distance"])
 
-        return run
-
-    texts = text_table(docs)
-    return reduce(DataFrame.unionByName, [texts.mapInArrow(searcher(index), FOUND) for index in _passes(benchmark, items)])
+    return text_table(docs).mapInArrow(run, FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """docs, with all their columns, without the rows whose text holds a passage of the benchmark. No row is moved."""
+    path, blocks = write_index(benchmark, items)
 
-    def keeper(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text", SLICE):
-                    clean = np.ones(batch.num_rows, bool)
-                    clean[[row for row, *_ in search(batch.column("text"), index)]] = False
-                    yield batch.filter(pa.array(clean))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in search(batch.column("text"), path, blocks)]] = False
+                yield batch.filter(pa.array(clean))
 
-    for index in _passes(benchmark, items):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -233,6 +233,47 @@ def test_decontamination_is_brute_force(spark, docs, empty):
     assert decontamination.decontaminate(docs, bench).count() == docs.count()
 
 
+def plain_passages(texts, items, k=5):
+    """(text, item) with a window as long as the item, or a shorter whole text, of weighted similarity 0.8 or more."""
+    found, cut = {}, {}
+    grams = lambda x, n: [tuple(w[a : a + n]) for w in [words(x)] for a in range(len(w) - n + 1)] if n else []
+    for d, t in enumerate(texts):
+        for i, b in items:
+            n = min(k, len(words(b)))
+            if (d, n) not in cut:
+                cut[d, n] = grams(t, n)
+            s, c = cut[d, n], Counter(grams(b, n))
+            m = sum(c.values())
+            if len(c.keys() & set(s)) < 0.5 * len(c):  # no window can be similar
+                continue
+            for a in range(max(1, len(s) - m + 1) if m else 0):
+                both = sum((Counter(s[a : a + m]) & c).values())
+                found[d, i] = max(found.get((d, i), 0), both / (m + min(m, len(s)) - both))
+    return {p for p, x in found.items() if x >= 0.8 - 1e-12}, found
+
+
+def test_decontamination_near_the_threshold(spark):
+    r = random.Random(11)
+    items = [(i, prose(3000 + i, r.choice((12, 25, 40, 59, 120, 300)))) for i in range(60)]
+    items += [(100, "Three small words"), (101, "oneword"), (102, "..."), (103, ""), (104, "a b a b a b a b a b a b a b")]
+    texts = []
+    for k in range(240):  # words changed, dropped or put in
+        w = items[k % 60][1].split()
+        for _ in range(r.randint(0, max(1, len(w) // 40))):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = [prose(r.randrange(10**6), 1)] * r.randint(0, 1)
+        texts.append(f"{prose(5000 + k, r.randint(0, 60))} {' '.join(w)} {prose(6000 + k, r.randint(0, 60))}")
+    texts += ["x three SMALL words y", "three small", "an oneword", "b a b a b a b a b a b a b", "...", prose(9, 10_000) + " " + items[5][1] + " " + prose(10, 10_000), " ".join([items[7][1]] * 40)]
+    want, found = plain_passages(texts, items)
+    near = [p for p, x in found.items() if 0.8 <= x < 0.87]
+    assert len(near) >= 20 and {(240, 100), (242, 101), (244, 102), (245, 5), (246, 7)} <= want
+    own = spark.createDataFrame([(d, t) for d, t in enumerate(texts)] * 2, "doc_id long, text string").withColumn("hashes", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("block", F.lit("x"))
+    got = decontamination.contaminated(own, bench).collect()
+    assert Counter((x["doc_id"], x["item_id"]) for x in got) == Counter({p: 2 for p in want})
+    assert all(x["similarity"] == pytest.approx(found[x["doc_id"], x["item_id"]]) for x in got)
+
+
 # Pages
 
 
