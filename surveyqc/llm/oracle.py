@@ -25,10 +25,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_TESTS = [(r, m, c) for r, (m, grid) in rules.RULES.items() for c in grid]
-_SHARE = rules.LIMIT / len(rules.RULES)
-_BROKEN = " OR ".join(f"coalesce(n_words > 0 AND {m} > cut_{r}, false)" for r, (m, _) in rules.RULES.items())
-_CUTS = ", ".join(f"min(cut) FILTER (rule = '{r}' AND safe) AS cut_{r}" for r in rules.RULES)
+_BROKEN = [" OR ".join(f"coalesce(n_words > 0 AND {m} > {grid[i]}, false)" for m, grid in rules.RULES.values()) for i in range(rules.SETTINGS)]
 #: The same counts by unnesting words; the same exact test by the gamma function.
 RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -45,12 +42,13 @@ f AS (SELECT doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars,
   FROM d LEFT JOIN s USING (row) LEFT JOIN p USING (row) LEFT JOIN l USING (row)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-t AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (above) AS k FROM (
-    {" UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c} AS cut, {m} > {c} AS above FROM h" for r, m, c in _TESTS)}) GROUP BY ALL),
-v AS (SELECT lang, rule, cut, k < {_SHARE} * n AND (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))
-    FROM (SELECT unnest(generate_series(0, k)) AS j)) <= {rules.DELTA} / ({len(_TESTS)} * (SELECT count(DISTINCT lang) FROM h)) AS safe FROM t),
-c AS (SELECT lang, {_CUTS} FROM v GROUP BY lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept
+t AS (SELECT lang, setting, count(*) AS n, count(*) FILTER (lost) AS k FROM (
+    {" UNION ALL ".join(f"SELECT lang, {i} AS setting, {x} AS lost FROM h" for i, x in enumerate(_BROKEN))}) GROUP BY ALL),
+v AS (SELECT lang, setting, k < {rules.LIMIT} * n AND (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({rules.LIMIT}) + (n - j) * ln(1 - {rules.LIMIT})))
+    FROM (SELECT unnest(generate_series(0, k)) AS j)) <= {rules.DELTA} / (SELECT count(DISTINCT lang) FROM h) AS safe FROM t),
+c AS (SELECT lang, coalesce(min(setting) FILTER (NOT safe), {rules.SETTINGS}) - 1 AS setting FROM v GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (CASE setting {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_BROKEN))} ELSE false END) AS kept
 FROM b LEFT JOIN c USING (lang)
 """
 

@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations.
 
 Counts of each whole text come first. The base rule rejects short and repetitive texts. For the further rules, labelled
-holdouts decide: for each stratum and rule, the strictest cutoff of a stated grid whose false-rejection rate of good documents
-is proven, by the exact binomial test, to stay under the rule's share of the limit. The tests of all cutoffs and rules share
-the error probability (Bonferroni), so with probability 1 - DELTA no stratum loses more than LIMIT of its good documents.
+holdouts decide. Settings of all rules together are ordered from lenient to strict. In each stratum the exact binomial test
+asks, setting by setting in that fixed order, whether the rate of good documents that it rejects is proven to stay under
+LIMIT, and the last one before the first that is not proven is taken. Tests in a fixed order need no correction among
+themselves; strata share the error probability (Bonferroni). So with probability 1 - DELTA no stratum loses more than LIMIT of
+its good documents to these rules.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +26,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Rule: (measure, cutoffs from strict to lenient); a document above the cutoff is rejected.
+#: Rule: (measure, cutoffs from lenient to strict, one for each setting); a document above the cutoff is rejected.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / n_words", (0.05, 0.1, 0.2, 0.4, 0.8)),
-    "duplicate_lines": ("n_dup_lines / n_lines", (0.1, 0.2, 0.3, 0.5, 0.7)),
-    "repeats": ("n_repeat_words / n_words", (0.1, 0.2, 0.3, 0.4)),
-    "capitals": ("n_capitals / word_chars", (0.1, 0.2, 0.3, 0.5)),
-    "exclamations": ("n_exclamations / n_words", (0.1, 0.2, 0.4, 0.8)),
-    "long_words": ("word_chars / n_words", (8.0, 10.0, 12.0, 15.0)),
+    "symbols": ("n_symbols / n_words", (3.2, 1.6, 0.8, 0.4, 0.2, 0.1)),
+    "duplicate_lines": ("n_dup_lines / n_lines", (0.8, 0.7, 0.5, 0.4, 0.3, 0.2)),
+    "repeats": ("n_repeat_words / n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    "capitals": ("n_capitals / word_chars", (0.8, 0.6, 0.4, 0.3, 0.2, 0.1)),
+    "exclamations": ("n_exclamations / n_words", (3.2, 1.6, 0.8, 0.4, 0.2, 0.1)),
+    "long_words": ("word_chars / n_words", (30.0, 25.0, 20.0, 15.0, 12.0, 10.0)),
 }
+SETTINGS = 6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -89,28 +93,33 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.exp(F.aggregate(steps, first, add, lambda s: s["total"])))
 
 
+def broken(rule: str, setting: int) -> Column:
+    measure, grid = RULES[rule]
+    return F.coalesce(F.expr(f"n_words > 0 AND {measure} > {grid[setting]}D"), F.lit(False))
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """stratum and one column for each rule: the strictest cutoff that the labelled good documents prove safe, or null.
+    """stratum_, setting and one column for each rule: the cutoffs of the strictest setting that is proven safe, or null.
 
     A labelled document is good if all its labels say 1. Documents that the base rule rejects don't count. One pass counts the
-    rejections of every cutoff, by stratum; a stratum with few labels proves nothing and loses nothing.
+    rejections of every setting, by stratum; a stratum with few labels proves nothing and loses nothing.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = counted.where(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [(rule, measure, c) for rule, (measure, grid) in RULES.items() for c in grid]
-    counted_ = held.groupBy(stratum).agg(F.count("*").alias("n"), *[F.count_if(F.expr(f"{m} > {c}D")).alias(f"k{i}") for i, (_, m, c) in enumerate(tests)])
+    lost = [reduce(lambda a, b: a | b, [broken(rule, i) for rule in RULES]) for i in range(SETTINGS)]
+    counted_ = held.groupBy(stratum).agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"k{i}") for i, x in enumerate(lost)])
     strata = counted_.crossJoin(counted_.agg(F.count("*").alias("strata")))  # one row
-    share = limit / len(RULES)
-    safe = lambda i: (F.col(f"k{i}") < share * F.col("n")) & (binomial_cdf(F.col("n"), F.col(f"k{i}"), share) <= delta / (len(tests) * F.col("strata")))
-    found = {rule: F.coalesce(*[F.when(safe(i), F.lit(c)) for i, (r, _, c) in enumerate(tests) if r == rule]) for rule in RULES}
-    return strata.select(F.col(stratum).alias("stratum_"), *[c.alias(f"cut_{r}") for r, c in found.items()])
+    safe = lambda i: (F.col(f"k{i}") < limit * F.col("n")) & (binomial_cdf(F.col("n"), F.col(f"k{i}"), limit) <= delta / F.col("strata"))
+    setting = F.coalesce(*[F.when(~safe(i), F.lit(i - 1)) for i in range(SETTINGS)], F.lit(SETTINGS - 1))
+    found = {rule: F.get(F.array(*map(F.lit, grid)), F.col("setting")) for rule, (_, grid) in RULES.items()}
+    return strata.select(F.col(stratum).alias("stratum_"), setting.alias("setting")).select("stratum_", "setting", *[c.alias(f"cut_{r}") for r, c in found.items()])
 
 
 def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
     """counted with base_failed, broken (the rules) and kept; cuts has a row for each stratum."""
     joined = counted.join(small_or_shuffled(cuts), F.col("lang").eqNullSafe(F.col("stratum_")), "left")
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(f"n_words > 0 AND {m} > cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _) in RULES.items()]))
-    joined = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
+    named = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(f"n_words > 0 AND {m} > cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _) in RULES.items()]))
+    joined = joined.withColumn("base_failed", base_failed()).withColumn("broken", named)
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.size("broken") == 0))
 
 
@@ -125,6 +134,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. The texts are counted again rather than moved to a verdict."""
-    cuts = written(cutoffs(written(counts(docs), "counts"), labels), "cutoffs")
-    return judged(counts(docs, carry=True), cuts).where("kept").select("row_.*")
+    """The rows of docs, with all their columns, that the rules keep. Rows are written once beside their counts, so no text is counted twice or shuffled."""
+    counted = written(counts(docs, carry=True), "counted")
+    return judged(counted, written(cutoffs(counted, labels), "cutoffs")).where("kept").select("row_.*")

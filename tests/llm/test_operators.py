@@ -386,6 +386,43 @@ def test_rules_reject_only_what_labels_prove(spark, docs, empty):
     assert rules.keep(empty, labels).count() == 0
 
 
+def test_settings_are_tried_in_order_until_one_is_not_proven(spark):
+    from math import comb
+
+    at_most = lambda n, k: sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1))
+    row = lambda i, lang, share: (i, lang, 100, 500, int(100 * share), 0, 0, 10, 0, 0)
+    cases = {"few": (150, {}), "clean": (300, {}), "some": (400, {0.15: 20}), "all": (400, {0.9: 40}), "two": (400, {0.3: 1, 0.15: 1}), None: (300, {0.5: 30})}
+    rows, want = [], {}
+    for k, (lang, (n, above)) in enumerate(cases.items()):
+        shares = [s for s, times in above.items() for _ in range(times)]
+        rows += [row(10_000 * k + i, lang, shares[i] if i < len(shares) else 0) for i in range(n)]
+        lost = [sum(s > c for s in shares) for c in rules.RULES["symbols"][1]]
+        unsafe = [i for i, x in enumerate(lost) if at_most(n, x) > rules.DELTA / len(cases)]
+        want[lang] = (unsafe or [rules.SETTINGS])[0] - 1
+    assert want == {"few": -1, "clean": 5, "some": 4, "all": 1, "two": want["two"], None: 2}
+    counted = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_exclamations long")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    cuts = {r["stratum_"]: r for r in rules.cutoffs(counted, labels).collect()}
+    assert {k: r["setting"] for k, r in cuts.items()} == want
+    assert cuts["few"]["cut_symbols"] is None and cuts["clean"]["cut_symbols"] == rules.RULES["symbols"][1][-1]
+
+
+def test_proven_cutoffs_reject_as_their_sql_does(spark):
+    import duckdb
+
+    from surveyqc.llm import oracle
+
+    sf = "/root/testdata/sf0.1"
+    judged = rules.apply_rules(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = Counter(tuple(r) for r in judged.select("doc_id", *rules.COUNTS, "base_failed", "kept").collect())
+    assert sum(n for r, n in got.items() if not r[-1] and not r[-2]) > 0
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    names = ", ".join(["doc_id", *rules.COUNTS, "base_failed", "kept"])
+    assert got == Counter(con.execute(f"SELECT {names} FROM ({oracle.RULES})").fetchall())
+
+
 # Chats
 
 
