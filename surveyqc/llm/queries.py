@@ -64,7 +64,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
-    found = simhash.near_duplicates(prints, simhash.agreeing_blocks(radius=2, blocks=4), radius=2)
+    found = simhash.near_duplicates(prints, simhash.agreeing_blocks(radius=2, blocks=4), radius=2, refined=simhash.refined_blocks(radius=2, blocks=4))
     return found.select("doc_id", simhash.hex_digits(F.col("f0")).alias("fingerprint"), "component_id")
 
 

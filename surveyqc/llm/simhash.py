@@ -311,6 +311,16 @@ def agreeing_blocks(radius: int = 2, blocks: int = 4) -> list[list[int]]:
     return [[sum(((1 << (BITS - width * k if k == blocks - 1 else width)) - 1) << (width * k) for k in c)] for c in combinations(range(blocks), blocks - radius)]
 
 
+def refined_blocks(radius: int = 2, blocks: int = 4) -> list[list[list[int]]]:
+    """For each mask of `agreeing_blocks`, stronger ones: its bits and all choices but `radius` of as many parts of the rest."""
+    found = []
+    for (mask,) in agreeing_blocks(radius, blocks):
+        rest = [b for b in range(BITS) if not mask >> b & 1]
+        parts = [rest[k * len(rest) // blocks : (k + 1) * len(rest) // blocks] for k in range(blocks)]
+        found.append([[mask | sum(1 << b for p in c for b in p)] for c in combinations(parts, blocks - radius)])
+    return found
+
+
 def sampled_bits(words64: int, bands: int, width: int, seed: int = 1) -> list[list[int]]:
     """Masks of `width` bits drawn from those of a long fingerprint, for radii that no choice of whole blocks reaches."""
     rng, found = np.random.default_rng(seed), []
@@ -320,21 +330,33 @@ def sampled_bits(words64: int, bands: int, width: int, seed: int = 1) -> list[li
     return found
 
 
-def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int = 0, found=bucket_links) -> DataFrame:
+def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int = 0, found=bucket_links, refined: list[list[list[int]]] | None = None) -> DataFrame:
     """src, dst: links that connect the nodes of reps(node, f0, f1 …) that share a mask's bits and differ in `radius` bits at most.
 
     `found` gives a bucket's links. Masks are of the first words; the words from `compared` on are compared.
 
-    Buckets of one row need no comparison; large ones are cut into chunks by fingerprint, every two of which meet in a task.
+    Buckets of one row need no comparison. The rows of a bucket over CHUNK are dealt by the `refined` masks of its own, if given;
+    what is still larger is cut into chunks by fingerprint, every two of which meet in a task.
     """
     names = [c for c in reps.columns if c != "node"]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
-    values = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=False)]) for mask in masks])
+    value = lambda mask: F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=False)])
+    told = names if refined else names[compared:]
+    keyed = reps.select("node", *told, F.posexplode(F.array(*map(value, masks))).alias("choice", "value"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1"), ["choice", "value"])
+
+    bucket = counted(keyed)
+    if refined:
+        deeper = F.array(*[F.array(*map(value, own)) for own in refined])
+        large = bucket.where(F.col("n") > CHUNK).drop("n")
+        large = large.select("node", *told, F.posexplode(F.get(deeper, F.col("choice"))).alias("part", "deep"), (F.col("choice") + 1).alias("from_"))
+        large = large.select((F.col("from_") * len(masks) ** 2 + F.col("part")).alias("choice"), F.col("deep").alias("value"), "node", *told)
+        bucket = bucket.where(F.col("n") <= CHUNK).unionByName(counted(large))
     names = names[compared:]
-    keyed = reps.select("node", *names, F.posexplode(values).alias("choice", "value"))
-    size = keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.when(F.col("n") <= CHUNK, 1).otherwise(F.ceil(2 * F.col("n") / CHUNK)).cast("int")
-    bucket = keyed.join(size, ["choice", "value"]).withColumn("chunks", chunks)
+    bucket = bucket.withColumn("chunks", chunks)
     bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int"))
     dealt = bucket.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = F.struct("choice", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
@@ -373,16 +395,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of edges(src, dst) reaches.
 
     Alternating stars over written tables: every node points to its smallest neighbour until nothing changes, in a number of
-    rounds that is logarithmic in the longest path. A node with many links is counted, not gathered.
+    rounds that is logarithmic in the longest path. A node with many links is counted, not gathered: what is joined to its links
+    is one row of a written table, so that the join can be a broadcast, or one whose large partitions Spark splits.
     """
     edges = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = both.where("b > a").join(small_or_shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        joined = large.join(small_or_shuffled(least), "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         small = written(small.where("a <> b").distinct(), "small-star")
         same = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (edges, small)]
@@ -391,7 +414,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, compared: int = 0) -> DataFrame:
+def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, compared: int = 0, refined: list[list[list[int]]] | None = None) -> DataFrame:
     """doc_id, f0 …, component_id (the smallest doc_id that links reach, itself included) for each row of prints(doc_id, f0 …).
 
     prints is read twice: give a written table. Equal fingerprints are one node, known by its smallest doc_id; only nodes are
@@ -399,9 +422,9 @@ def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, comp
     """
     names = [c for c in prints.columns if c != "doc_id"]
     reps = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
-    found = components(links(reps, masks, radius, compared))
-    named = reps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names, "left").select("doc_id", *names, "component_id")
+    found = components(links(reps, masks, radius, compared, refined=refined))
+    named = written(reps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")), "named")
+    return prints.join(small_or_shuffled(named), names, "left").select("doc_id", *names, "component_id")
 
 
 #: Near copies at similarity 0.8 or more of five-word shingles: at 0.8 the cosine of two sets of shingles is 0.89 at least, so that

@@ -153,6 +153,17 @@ def test_components_are_those_of_all_pairs(spark, seed, monkeypatch):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     assert got == {i: root(i) for i in parent}
+    deeper = simhash.near_duplicates(prints, simhash.agreeing_blocks(2, 4), 2, refined=simhash.refined_blocks(2, 4))
+    assert {x["doc_id"]: x["component_id"] for x in deeper.collect()} == got
+
+
+def test_refined_masks_meet_all_pairs_of_a_bucket():
+    r = random.Random(4)
+    for (mask,), own in zip(simhash.agreeing_blocks(2, 4), simhash.refined_blocks(2, 4), strict=True):
+        assert all(m & mask == mask and m.bit_count() == 48 for (m,) in own)
+        for _ in range(300):
+            far = sum(1 << b for b in r.sample([b for b in range(64) if not mask >> b & 1], 2))
+            assert any(not far & m for (m,) in own)
 
 
 @pytest.mark.parametrize("shift", [1, 63, 64, 65, 200])
@@ -172,6 +183,8 @@ def test_deduplicate_keeps_one_of_a_group(docs, empty):
     assert kept == [1, 4, 5, 8, 9, None]
     assert simhash.deduplicate(empty).columns == empty.columns
     assert simhash.deduplicate(empty).count() == 0
+    assert simhash.near_duplicates(written(simhash.fingerprints(empty), "none"), simhash.agreeing_blocks(), 2).count() == 0
+
 
 @pytest.mark.parametrize("replaced", [False, True])
 def test_isolated_pairs_are_found_and_verified(spark, replaced):
