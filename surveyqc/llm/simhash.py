@@ -39,15 +39,29 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+#: The lowest bit of each byte of a word.
+LOWEST = np.uint64(0x0101010101010101)
+
+
+def _bit_counts(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes (count[i] > 0 of them) have each of the 64 bits set: eight bits are summed in the bytes of a word, 255 hashes at most."""
+    parts = -(-count // 255)
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(np.cumsum(count) - count - 255 * first, parts) + 255 * np.arange(parts.sum())
+    ones = np.empty((len(count), 8, 8), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat(hashes >> np.uint64(k) & LOWEST, begin)
+        ones[:, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return ones.reshape(-1, 64)
+
+
 def _majorities(hashes: np.ndarray, count: np.ndarray, words64: int) -> np.ndarray:
     """Fingerprints (words64 x texts): the bits that over half of a text's hashes, or of mixes of them, have set."""
     fp = np.zeros((words64, len(count)), np.uint64)
     full = np.flatnonzero(count)
-    starts = (np.cumsum(count) - count)[full]
     for k in range(words64 if len(full) else 0):
-        bits = np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        fp[k, full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        over = 2 * _bit_counts(_mixed(hashes, k), count[full]) > count[full, None]
+        fp[k, full] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return fp
 
 
