@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one style tree: an element is known by its path of tags and classes. An element has a
-presentation importance (entropy of the child sequences that its pages show) and a content importance (one minus the mean
-entropy, over the host's pages, of the texts seen there): what all pages of a host repeat carries little information. Branches
-of low importance are removed from each page. Where markup itself says what a branch is, that is the prior: navigation,
-adverts, forms and the like have none, the flow of an article or main element has full importance, and where a page has such
-an element, nothing outside it is important. The entropies decide about all other branches.
+The pages of a host are merged into one style tree: an element is known by its path of tags and classes. An element's composite
+importance joins its presentation importance (entropy of the child sequences that its pages show) and its content importance
+(one minus the mean entropy, over the host's pages with it, of the texts seen there): what all pages of a host repeat carries
+little information. Copies of one main text are one page of the tree, as they say nothing about the site.
+
+Markup is a prior to the composite importance c of a branch that m pages have: navigation, adverts, forms and what lies outside
+a page's article or main element keep a quarter of c; a name that only holds such a word leaves 0.6 of it; the flow of an
+article or main element counts as two more pages of full importance, (m c + 2) / (m + 2). Branches below the threshold go.
 """
 
 from __future__ import annotations
@@ -15,17 +17,17 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import slices
+from surveyqc.llm.common import slices, small_or_shuffled, written
 
-#: Branches under this composite importance go.
+#: Branches under this importance go.
 THRESHOLD = 0.3
-#: A branch seen on fewer pages of a host can't be told from content.
-MIN_PAGES = 3
 #: Weight of a further style, as in the published method.
 GAMMA = 0.9
+#: Share of its importance that a branch keeps which markup names as no content, or whose names only hold such a word; pages of full importance that an article's flow has besides.
+NO_CONTENT_SHARE, DOUBT_SHARE, ARTICLE_PAGES = 0.25, 0.6, 2
 
 # HTML's element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,11 +37,11 @@ FLOW = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup
 NO_CONTENT = frozenset("aside button dialog footer form head header input label menu nav option search select".split())
 MAIN = frozenset("article main".split())
 #: Words in class, id or role that name what isn't content.
-NO_CONTENT_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pager pagination popup promo promotion promoted recommended related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary alert".split())
-#: NAMED: dropped by its names alone, so that a main or article in it is content. DOUBT: as ASK, with a lower prior.
+NO_CONTENT_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pager pagination popup promo promotion promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe contentinfo".split())
+#: Words that also name parts of articles: even as a whole name they are only doubtful.
+DOUBTFUL_WORDS = frozenset("alert complementary header search toolbar widget".split())
+#: What markup says: no content; the flow of an article; nothing; that its names hold a doubtful word; no content by its names alone, so that a main or article in it is content.
 DROP, KEEP, ASK, DOUBT, NAMED = range(5)
-#: Share of its importance that a branch keeps whose names only hold such a word.
-PRIOR = 0.5
 #: Elements that their names say nothing about.
 WHOLE = frozenset("html body main article".split())
 
@@ -53,7 +55,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
-PARSED = "page_id long, url string, host string, blocks array<struct<path:string,kind:int,text:string>>, styles array<struct<path:string,style:string>>"
+#: node: hash of the path; style: hash of the child sequence; main: hash of what markup doesn't call no content.
+PARSED = "page_id long, url string, host string, main long, blocks array<struct<node:long,kind:int,text:string>>, styles array<struct<node:long,style:long>>"
 
 
 def _names(attrs: str) -> tuple[str, int]:
@@ -63,12 +66,12 @@ def _names(attrs: str) -> tuple[str, int]:
     found = [(k.lower(), v.strip("\"'")) for k, v in _NAMES.findall(attrs)]
     words = {w for _, v in found for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
     whole = {w for _, v in found for w in v.lower().split()}
-    bad = ASK if words.isdisjoint(NO_CONTENT_WORDS) else DOUBT if whole.isdisjoint(NO_CONTENT_WORDS) else NAMED
+    bad = ASK if words.isdisjoint(NO_CONTENT_WORDS | DOUBTFUL_WORDS) else DOUBT if whole.isdisjoint(NO_CONTENT_WORDS) else NAMED
     return "".join(f".{v}" for k, v in found if k == "class"), bad
 
 
-def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
-    """Blocks of text (path, kind, text) in page order, and (path, child sequence) of the elements that may hold some.
+def walk(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
+    """All blocks of text (path, kind, text) in page order, and (path, child sequence) of the block elements.
 
     Tags that are never closed end where HTML ends them: a block element ends an open p, an end tag closes what is open
     within its element, one that matches nothing is skipped.
@@ -81,14 +84,14 @@ def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
 
     def flush() -> None:
         if text:
-            if (found := " ".join("".join(text).split())) and stack[-1][2] not in (DROP, NAMED):
+            if found := " ".join("".join(text).split()):
                 at = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
                 blocks.append((at[1], stack[-1][2], found))
             text.clear()
 
     def pop() -> None:
-        name, path, kind, children = stack.pop()
-        if kind in (ASK, DOUBT) and name in BLOCK:
+        name, path, _, children = stack.pop()
+        if name in BLOCK:
             styles.append((path, " ".join(children)))
 
     at = 0
@@ -141,60 +144,92 @@ def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
     flush()
     while len(stack) > 1:
         pop()
-    if any("/article" in p or "/main" in p for p, _, _ in blocks):
-        blocks = [b for b in blocks if "/article" in b[0] or "/main" in b[0]]
+    if any("/article" in p or "/main" in p for p, k, _ in blocks if k not in (DROP, NAMED)):
+        blocks = [(p, k if "/article" in p or "/main" in p else DROP, t) for p, k, t in blocks]
     return blocks, [s for s in styles if s[1]]
 
 
+def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
+    """As `walk`, without the blocks that markup calls no content."""
+    blocks, styles = walk(html)
+    return [b for b in blocks if b[1] not in (DROP, NAMED)], styles
+
+
 def parsed(pages: DataFrame) -> DataFrame:
+    """PARSED of each row of pages(page_id, url, html); every page is read once."""
+    from xxhash import xxh64_intdigest
+
+    def number(x: str) -> int:
+        h = xxh64_intdigest(x)
+        return h - (1 << 64) if h >> 63 else h
+
+    blocks_type, styles_type = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                rows = [parse(h) for h in batch.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("page_id"), batch.column("url"), batch.column("host"),
-                        pa.array([[{"path": p, "kind": k, "text": t} for p, k, t in b] for b, _ in rows], pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("text", pa.string())]))),
-                        pa.array([[{"path": p, "style": s} for p, s in st] for _, st in rows], pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))),
-                    ],
-                    ["page_id", "url", "host", "blocks", "styles"],
-                )
+                rows, known = [walk(h) for h in batch.column("html").to_pylist()], {}
+                node = lambda path: known[path] if path in known else known.setdefault(path, number(path))  # noqa: B023, E731
+                main = [number("\n".join(t for _, k, t in b if k not in (DROP, NAMED))) for b, _ in rows]
+                blocks = [[{"node": node(p), "kind": k, "text": t} for p, k, t in b] for b, _ in rows]
+                styles = [[{"node": node(p), "style": node(s)} for p, s in st] for _, st in rows]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), pa.array(main), pa.array(blocks, blocks_type), pa.array(styles, styles_type)], ["page_id", "url", "host", "main", "blocks", "styles"])
 
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     return pages.select("page_id", "url", F.lower(host).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, PARSED)
 
 
-def _entropy(counts: DataFrame, value: str, name: str) -> DataFrame:
-    """counts(host, path, <value>, n) -> host, path, total, number of values, entropy to the base of total (0..1)."""
-    found = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.count("*").alias(f"{name}_n"), F.sum(F.col("n") * F.log("n")).alias("s_"))
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s_") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return found.select("host", "path", F.col("m").alias(f"{name}_m"), f"{name}_n", entropy.alias(name))
-
-
 def style_tree(rows: DataFrame) -> DataFrame:
-    """host, path, importance of the elements whose markup doesn't decide; counts are made before the shuffle."""
-    asked = rows.select("host", F.explode(F.filter("blocks", lambda b: b["kind"].isin(ASK, DOUBT))).alias("b")).select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("feature"))
-    # A text that all m pages share has entropy 1 among pages, one that is on one page has 0: importance is 1 - that.
-    content = _entropy(asked.groupBy("host", "path", "feature").agg(F.count("*").alias("n")), "feature", "content")
-    style = rows.select("host", F.explode("styles").alias("s")).select("host", F.col("s.path").alias("path"), F.xxhash64("s.style").alias("style"))
-    look = _entropy(style.groupBy("host", "path", "style").agg(F.count("*").alias("n")), "style", "look")
-    fade = F.pow(F.lit(GAMMA), F.coalesce("look_n", F.lit(1)))
-    importance = F.when(F.col("content_m") < MIN_PAGES, 1.0).otherwise((1 - fade) * F.coalesce("look", F.lit(0.0)) + fade * F.col("content"))
-    return content.join(look, ["host", "path"], "left").select("host", "path", importance.alias("importance"))
+    """host, node, m (pages with it), composite (importance, 0..1) of all elements with text of rows(host, main, blocks, styles, row_id).
+
+    A text or style counts once for a page; rows of one host with equal `main` are one page. Counts are made before the shuffle.
+    A text that n of m pages have has the entropy log n / log m; on a single page all is important.
+    """
+    one = small_or_shuffled(written(rows.groupBy("host", "main").agg(F.min("row_id").alias("row_id")).select("row_id"), "tree-pages"))
+    entry = lambda node, kind, value: F.struct(node.alias("node"), F.lit(kind).alias("kind"), value.alias("value"))
+    seen = F.concat(
+        F.transform("blocks", lambda b: entry(b["node"], 0, F.lit(0).cast("long"))),
+        F.transform("blocks", lambda b: entry(b["node"], 1, F.xxhash64(b["text"]))),
+        F.transform("styles", lambda s: entry(s["node"], 2, s["style"])),
+    )
+    entries = rows.join(one, "row_id", "left_semi").select("host", F.explode(F.array_distinct(seen)).alias("e")).select("host", "e.*")
+    counted = entries.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
+    sums = counted.groupBy("host", "node").agg(
+        of(0, F.col("n")).alias("m"), of(1, F.lit(1)).alias("texts"), of(1, F.log("n")).alias("same"),
+        of(2, F.lit(1)).alias("looks"), of(2, F.col("n")).alias("shown"), of(2, F.col("n") * F.log("n")).alias("spread"),
+    ).where("m > 0")
+    content = 1 - F.col("same") / (F.col("texts") * F.log("m"))
+    look = F.when(F.col("shown") > 0, F.least(F.lit(1.0), (F.log("shown") - F.col("spread") / F.col("shown")) / F.log("m"))).otherwise(0.0)
+    fade = F.pow(F.lit(GAMMA), F.greatest("looks", F.lit(1)))
+    composite = F.when(F.col("m") == 1, 1.0).otherwise((1 - fade) * look + fade * content)
+    return sums.select("host", "node", "m", composite.alias("composite"))
+
+
+def importance(kind: Column, composite: Column, m: Column) -> Column:
+    flow = (m * composite + ARTICLE_PAGES) / (m + ARTICLE_PAGES)
+    return F.when(kind == KEEP, flow).when(kind == ASK, composite).when(kind == DOUBT, DOUBT_SHARE * composite).otherwise(NO_CONTENT_SHARE * composite)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of pages(page_id, url, html).
 
     A null or empty html gives an empty text; a null url is a host of its own; repeated rows are each returned; an empty
-    table gives none. Only pages with branches that markup doesn't decide are joined with their host's tree.
+    table gives none. Pages are parsed once and written; of them only (row, element) pairs are joined with the tree, and only where
+    its importance can decide; rows with a branch to remove are then told which.
     """
-    rows = parsed(pages)
-    open_ = F.exists("blocks", lambda b: b["kind"].isin(ASK, DOUBT))
-    weak = style_tree(rows.where(open_)).where(F.col("importance") * PRIOR < threshold)
-    low = weak.groupBy("host").agg(F.collect_set(F.when(F.col("importance") < threshold, F.col("path"))).alias("low"), F.collect_set("path").alias("weak"))
-    joined = rows.where(open_).join(low, "host", "left")
-    keep = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    undecided = joined.select("page_id", "url", keep(F.filter("blocks", lambda b: (b["kind"] == KEEP) | ~F.array_contains(F.coalesce(F.when(b["kind"] == DOUBT, F.col("weak")).otherwise(F.col("low")), F.array().cast("array<string>")), b["path"]))).alias("text"))
-    decided = rows.where(~open_).select("page_id", "url", keep(F.col("blocks")).alias("text"))
-    return decided.unionByName(undecided).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = written(parsed(pages).withColumn("row_id", F.monotonically_increasing_id()), "parsed-pages")
+    most = {DROP: NO_CONTENT_SHARE, NAMED: NO_CONTENT_SHARE}  # of the importance that a kind can have; 1 for others
+    sure = [k for k, x in most.items() if x < threshold]
+    weak = style_tree(rows).where(F.least(*[importance(F.lit(k), F.col("composite"), F.col("m")) for k in range(5) if k not in sure]) < threshold)
+    asked = rows.select("row_id", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: ~b["kind"].isin(*sure)), lambda b: b["node"]))).alias("node"))
+    hits = asked.join(small_or_shuffled(written(weak, "weak-branches")), ["host", "node"])
+    low = written(hits.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("composite", "m")))).alias("weak")), "weak-rows")
+    found = rows.join(small_or_shuffled(low), "row_id", "left").withColumn("weak", F.coalesce("weak", F.create_map().cast("map<long,struct<composite:double,m:long>>")))
+
+    def stays(b: Column) -> Column:
+        told = F.try_element_at("weak", b["node"])
+        return ~b["kind"].isin(*sure) & (told.isNull() | (importance(b["kind"], told["composite"], told["m"]) >= threshold))
+
+    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n")
+    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

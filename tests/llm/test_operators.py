@@ -324,6 +324,73 @@ def test_doubtful_names_do_not_lose_articles(spark):
     assert got == {i: f"Story {prose(i, 12)}" for i, _, _ in rows}
 
 
+def plain_tree(pages):
+    """(host, path) -> pages, composite importance, element by element."""
+    from math import log
+
+    seen, distinct = {}, {}
+    for host, page in pages:
+        blocks, styles = html.walk(page)
+        distinct.setdefault((host, tuple(t for _, k, t in blocks if k not in (html.DROP, html.NAMED))), (blocks, styles))
+    for (host, _), (blocks, styles) in distinct.items():
+        for path in {p for p, _, _ in blocks}:
+            seen.setdefault((host, path), []).append(({t for p, _, t in blocks if p == path}, {s for p, s in styles if p == path}))
+    found = {}
+    for key, own in seen.items():
+        m, texts, looks = len(own), Counter(t for ts, _ in own for t in ts), Counter(s for _, ss in own for s in ss)
+        if m == 1:
+            found[key] = 1, 1.0
+            continue
+        content = 1 - sum(log(n) / log(m) for n in texts.values()) / len(texts)
+        shown = sum(looks.values())
+        look = min(1.0, -sum(n / shown * log(n / shown) for n in looks.values()) / log(m)) if shown else 0.0
+        fade = html.GAMMA ** max(1, len(looks))
+        found[key] = m, (1 - fade) * look + fade * content
+    return found
+
+
+def test_tree_is_brute_force(spark):
+    from xxhash import xxh64_intdigest
+
+    r = random.Random(5)
+    body = lambda i: "".join(f"<{t}>{r.choice(['Same', 'Other', prose(i, 3), prose(i + 50, 3)])}</{t}>" for t in r.choices(["p", "h2", "div", "ul class='x'"], k=r.randint(0, 5))).replace("</ul class='x'>", "</ul>")
+    pages = [(f"h{i % 4}.example", f"<nav><a>Menu {i % 3}</a></nav><div class='box'>{body(i)}</div><article><h1>T</h1>{body(i)}</article>") for i in range(60)]
+    pages += [pages[0]] * 5 + [("one.example", pages[1][1])]
+    own = spark.createDataFrame([(i, f"http://{h}/", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    rows = written(html.parsed(own).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    got = {(x["host"], x["node"]): (x["m"], x["composite"]) for x in html.style_tree(rows).collect()}
+    want = {(h, (lambda n: n - 2**64 if n >> 63 else n)(xxh64_intdigest(p))): x for (h, p), x in plain_tree(pages).items()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == m and got[k][1] == pytest.approx(c) for k, (m, c) in want.items())
+    assert any(c < html.THRESHOLD for _, c in want.values()) and any(c > 0.8 for m, c in want.values() if m > 1)
+
+
+def test_what_pages_of_a_host_repeat_goes_even_in_articles(spark):
+    story = lambda i: f"<p>Story {prose(i, 12)}</p>"
+    kinds = {
+        "two.example": (2, lambda i: f"<div class='text'>{story(i)}</div><div>All rights reserved</div>"),
+        "art.example": (6, lambda i: f"<article class='post related'>{story(i)}<h5>Share this</h5></article>"),
+        "few.example": (2, lambda i: f"<article><h1>Title</h1>{story(i)}</article>"),
+        "wid.example": (6, lambda i: f"<article>{story(i)}<div class='widget'>Fact {prose(i + 90, 5)}</div><section id='comments-on-policy'>Policy {i}</section></article>"),
+        "copy.example": (7, lambda i: f"<nav>Menu {i}</nav><article><h1>Title</h1>{story(1)}</article>"),
+        "long.example": (1, lambda i: "<div>" * 300 + "<p>" + prose(i, 60_000) + "</p>" + "</div>" * 300),
+    }
+    rows = [(1000 * k + i, f"http://{h}/{i}", page(i)) for k, (h, (n, page)) in enumerate(kinds.items()) for i in range(n)]
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [f"Story {prose(i, 12)}" for i in range(2)] + [f"Story {prose(i, 12)}" for i in range(6)] + [f"Title\nStory {prose(i, 12)}" for i in range(2)]
+    want += [f"Story {prose(i, 12)}\nFact {prose(i + 90, 5)}\nPolicy {i}" for i in range(6)] + [f"Title\nStory {prose(1, 12)}"] * 7 + [prose(0, 60_000)]
+    assert [got[i] for i, _, _ in rows] == want
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").where("false")).count() == 0
+
+
+def test_tree_removes_branches_of_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = written(html.parsed(pages).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    branches = rows.select("host", F.explode("blocks").alias("b")).select("host", "b.node", "b.kind").distinct()
+    told = branches.join(html.style_tree(rows), ["host", "node"]).withColumn("importance", html.importance(F.col("kind"), F.col("composite"), F.col("m")))
+    assert told.where(F.col("importance") < html.THRESHOLD).count() > 0 and told.where(F.col("importance") >= html.THRESHOLD).count() > 0
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 600 + "</p>"
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (7, None, big), (3, "u v", "x"), (4, "u", "x"), (5, "u", None), (None, "n", big), (7, None, big)]
