@@ -67,8 +67,9 @@ b AS (SELECT row, rank, kind, value, stop - length(match) AS start, stop FROM p
   UNION ALL SELECT row, rank, kind, value, stop - length(match), stop FROM p AS t WHERE rank = 3
     AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
     AND NOT EXISTS (FROM p AS x WHERE x.row = t.row AND x.rank < 3 AND (x.rank > 0 OR length(x.value) >= 6) AND x.stop - length(x.match) < t.stop AND t.stop - length(t.match) < x.stop)),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 1 AND len(list_distinct(string_split(value, ''))) >= 6 AS live FROM b JOIN d USING (row) GROUP BY value),
-s AS (SELECT b.*, live FROM b JOIN o USING (value) WHERE live OR rank < 3),
+v AS (SELECT value, text, min(source) AS owner FROM b JOIN d USING (row) GROUP BY value, text),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) <= {secrets.SEVERAL_OWNERS} AND count(*) <= {secrets.MANY_TEXTS} AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT} AS live FROM v GROUP BY value),
+s AS (SELECT b.*, live FROM b JOIN o USING (value)),
 a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
   count(*) FILTER (live) AS n_live FROM s GROUP BY row)

@@ -1,8 +1,8 @@
 """Secret scans in DataFrame operations: patterns find candidates, corpus-wide ownership tells examples from live secrets.
 
 Base kinds are exact patterns. The method then looks at who has a candidate: its hash is aggregated over distinct repositories
-and owners. A value that many owners hold was copied around (documentation, examples, checksums of public files); one that a
-single owner holds, with the look of a generated value, is live-looking. Generic tokens are only reported where that holds.
+and owners. A value that many owners hold, or that lies in many places, was copied around (documentation, examples, checksums of
+public files); one that few hold, with the look of a generated value, is live-looking. All found spans are reported with that verdict.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MIN_VALUE = 6
 MAX_OWNERS = 1
 #: For redaction: owners that a copied value has more than, where copies of one text have one vote together.
 SEVERAL_OWNERS = 3
+#: Distinct texts that a copied value lies in more than, whoever owns them.
+MANY_TEXTS = 100
 #: Distinct characters that a live-looking value has at least.
 MIN_DISTINCT = 6
 KINDS = ("assign", "access", "hex", "token")
@@ -62,35 +64,39 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.array_sort(F.concat("base_", fresh))).drop("base_", "token_")
 
 
-def ownership(found: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, text: str | None = None) -> DataFrame:
+def ownership(found: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, text: str | None = None, max_repositories: int | None = None) -> DataFrame:
     """value_hash, owners, repositories, rows, live for candidates found(…, spans); partial counts are made before each shuffle.
 
-    A null owner is an owner. live: held by at most max_owners owners and of enough distinct characters.
-    With `text` (a column that names the text) rows of one text are one vote, of the smallest of their owners.
+    A null owner is an owner. live: held by at most max_owners owners, in at most max_repositories repositories (if given), and of
+    enough distinct characters. With `text` (a column that names the text) rows of one text are one vote, of the smallest of their
+    owners, and each text is a repository.
     """
     spans = found.select(F.col(owner).alias("owner"), F.col(repository).alias("repository"), *([F.col(text).alias("text_")] if text else []), F.explode("spans").alias("s"))
     if text:
-        spans = spans.groupBy("text_", F.col("s.value").alias("value")).agg(F.min("owner").alias("owner"), F.min("repository").alias("repository")).withColumn("s", F.struct("value"))
+        spans = spans.groupBy("text_", F.col("s.value").alias("value")).agg(F.min("owner").alias("owner")).withColumn("repository", F.col("text_")).withColumn("s", F.struct("value"))
     values = spans.select("owner", "repository", F.sha2("s.value", 256).alias("value_hash"), F.size(F.array_distinct(F.split("s.value", ""))).alias("distinct_"))
     pairs = values.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("distinct_").alias("distinct_"))
     owners = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"), F.max("distinct_").alias("distinct_"))
     counted = owners.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("rows"), F.max("distinct_").alias("distinct_"))
-    return counted.withColumn("live", (F.col("owners") <= max_owners) & (F.col("distinct_") >= MIN_DISTINCT)).drop("distinct_")
+    few = F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories
+    return counted.withColumn("live", (F.col("owners") <= max_owners) & few & (F.col("distinct_") >= MIN_DISTINCT)).drop("distinct_")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, by_text: bool = False) -> DataFrame:
-    """doc_id, text_hash and `spans` of each row of docs: all base spans, and generic tokens that their owner alone holds.
+def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, by_text: bool = False, max_repositories: int | None = None) -> DataFrame:
+    """doc_id, text_hash and `spans` of each row of docs: all base spans and generic tokens, each with the verdict on its value.
 
     Each span has start, rank, stop (code points, exclusive), kind, value and live. Rows are known by doc_id and text hash, so
     repeated rows and null ids are judged alike; by_text: copies of a text are one vote (`ownership`); an empty table gives none. Texts are read once, then spans alone are moved.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(owner).alias("owner_"), F.col(repository).alias("repository_"))
     found = written(candidates(rows).withColumn("text_hash", F.xxhash64("text")).drop("text"), "candidates")
-    owned = ownership(found.select("owner_", "repository_", "text_hash", "spans"), "owner_", "repository_", max_owners, "text_hash" if by_text else None)
+    owned = ownership(found.select("owner_", "repository_", "text_hash", "spans"), "owner_", "repository_", max_owners, "text_hash" if by_text else None, max_repositories)
+    copied = written(owned.where("NOT live").select("value_hash", F.lit(False).alias("live")), "copied")
     key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("text_hash").alias("hash_")]
     some = found.where(F.size("spans") > 0).groupBy(*key).agg(F.first("spans").alias("found_"))
     each = some.select("id_", "hash_", F.explode("found_").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
-    judged = each.join(owned.select("value_hash", "live"), "value_hash").where("live OR s.rank < 3")
+    # The spans of a widely copied value are many: what they are joined with is a row a value.
+    judged = each.join(small_or_shuffled(copied), "value_hash", "left").withColumn("live", F.coalesce("live", F.lit(True)))
     span = F.struct("s.start", "s.rank", "s.stop", "s.kind", "s.value", "live")
     by_row = judged.groupBy("id_", "hash_").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     rest = found.select("doc_id", "text_hash", *key)

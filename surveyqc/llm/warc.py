@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.llm.common import shared_dir, written
+from surveyqc.llm.common import shared_dir, small_or_shuffled, written
 
 MIN_REVISIT_BYTES = 1000
 #: Ranges of one file that lie within this gap are read at once, up to RANGE_BYTES.
@@ -31,12 +31,13 @@ def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages(page_id, url, html) with payload_bytes, digest, record_type, refers_to.
 
     A null html is an empty payload; payloads under min_bytes are always responses. Of repeated rows with the largest
-    page_id, all are responses. Equal digests are counted before they are joined, so a common page costs no large task.
+    page_id, all are responses. Equal digests are counted and written before they are joined: a row a common page is broadcast, or
+    joined by a shuffle whose large partitions Spark splits.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first_"), F.count("*").alias("n_"))
-    joined = rows.join(shared.where("n_ > 1").drop("n_"), "digest", "left")
+    joined = rows.join(small_or_shuffled(written(shared.where("n_ > 1").drop("n_"), "digests")), "digest", "left")
     revisit = F.col("first_").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_")).alias("refers_to"))
 

@@ -407,6 +407,7 @@ def test_warc_round_trip(spark):
     one = warc.read_records(index.where("page_id = 3")).collect()
     assert [(r["page_id"], r["url"]) for r in one] == [(3, "u v")]
     assert warc.read_records(index.where("false")).count() == 0
+    assert warc.read_records(warc.write_archives(warc.classify(pages.where("false")))).count() == 0
 
 
 # Quality
@@ -557,6 +558,21 @@ def test_redaction_gives_copies_of_a_text_one_vote(spark):
     assert all(clean[i] == texts[i][0] for i in range(8, 14))
 
 
+def test_owners_and_texts_decide_and_no_span_is_dropped(spark):
+    mine, shared, spread, token = "0123456789abcdef01234567", "fedcba9876543210fedcba98", "00112233445566778899aabb", "Aq3_zX9-Kd8_Lm2-Pw7_Rt5"
+    rows = [(1, f"a password={mine}", "s1"), (1, f"a password={mine}", "s1"), (2, f"a password={mine}", "s2")]  # copies of one text
+    rows += [(10 + i, f"{i} token={shared}", f"s{i}") for i in range(4)]  # four owners
+    rows += [(100 + i, f"{i} {spread}", "s1") for i in range(101)]  # one owner, many texts
+    rows += [(300 + i, f"{i} {token}", f"s{i}") for i in range(5)] + [(400, "x " * 60_000 + token, "s1"), (None, None, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("value_hash", F.lit(1))
+    found = secrets.scan(own, max_owners=secrets.SEVERAL_OWNERS, by_text=True, max_repositories=secrets.MANY_TEXTS)
+    got = Counter((x["doc_id"], *((s["kind"], s["start"], s["live"]) for s in x["spans"])) for x in found.collect())
+    want = Counter({(1, ("assign", 2, True), ("hex", 11, True)): 2, (2, ("assign", 2, True), ("hex", 11, True)): 1, (None,): 1, (400, ("token", 120_000, False)): 1})
+    want += Counter((10 + i, ("assign", 2, False), ("hex", 8, False)) for i in range(4))
+    want += Counter((100 + i, ("hex", len(f"{i} "), False)) for i in range(101)) + Counter((300 + i, ("token", 2, False)) for i in range(5))
+    assert got == want
+
+
 def test_licences_are_brute_force(spark, empty):
     notices = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
     texts = [prose(i, 30) + " " + t + "\n" + prose(i + 50, 3) for i, (_, t) in enumerate(notices)] + [prose(99, 50), None, "", "MIT License", notices[3][1].replace("person", "human"), notices[0][1].upper()]
