@@ -349,34 +349,33 @@ def links(reps: DataFrame, masks: list[list[int]], radius: int, compared: int =
 
     `found` gives a bucket's links. Masks are of the first words; the words from `compared` on are compared.
 
-    Buckets of one row need no comparison. The rows of a bucket over CHUNK are dealt by the `refined` masks of its own, if given;
-    what is still larger is cut into chunks by fingerprint, every two of which meet in a task.
+    The rows of a bucket over CHUNK are dealt by the `refined` masks of its own, if given; what is still larger is cut into chunks
+    by fingerprint, every two of which meet in a task. Only large buckets are joined with rows, by their hash: should two buckets
+    have one hash, their rows are compared with each other too.
     """
     names = [c for c in reps.columns if c != "node"]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
     value = lambda mask: F.xxhash64(*[F.col(c).bitwiseAND(signed(m)) for c, m in zip(names, mask, strict=False)])
     told = names if refined else names[compared:]
-    keyed = reps.select("node", *told, F.posexplode(F.array(*map(value, masks))).alias("choice", "value"))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1"), ["choice", "value"])
+    def sized(rows: DataFrame) -> DataFrame:
+        large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+        return rows.join(small_or_shuffled(written(large, "large-buckets")), "bucket", "left")
 
-    bucket = counted(keyed)
+    keyed = reps.select("node", *told, F.posexplode(F.array(*map(value, masks))).alias("choice", "value"))
+    rows = sized(keyed.select("node", *told, "choice", F.xxhash64("choice", "value").alias("bucket")))
     if refined:
-        deeper = F.array(*[F.array(*map(value, own)) for own in refined])
-        large = bucket.where(F.col("n") > CHUNK).drop("n")
-        large = large.select("node", *told, F.posexplode(F.get(deeper, F.col("choice"))).alias("part", "deep"), (F.col("choice") + 1).alias("from_"))
-        large = large.select((F.col("from_") * len(masks) ** 2 + F.col("part")).alias("choice"), F.col("deep").alias("value"), "node", *told)
-        bucket = bucket.where(F.col("n") <= CHUNK).unionByName(counted(large))
+        deeper = F.get(F.array(*[F.array(*map(value, own)) for own in refined]), F.col("choice"))
+        large = rows.where("n IS NOT NULL").select("node", *told, "choice", F.posexplode(deeper).alias("part", "value"))
+        large = sized(large.select("node", *told, "choice", F.xxhash64("choice", "part", "value").alias("bucket")))
+        rows = rows.where("n IS NULL").unionByName(large)
     names = names[compared:]
-    chunks = F.when(F.col("n") <= CHUNK, 1).otherwise(F.ceil(2 * F.col("n") / CHUNK)).cast("int")
-    bucket = bucket.withColumn("chunks", chunks)
-    bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int"))
-    dealt = bucket.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    group = F.struct("choice", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    dealt = dealt.select(F.xxhash64(group).alias("g"), group.alias("key"), "node", *names)
-    rows = dealt.repartition("g").sortWithinPartitions("g", "key", "node").select("key.choice", "key.value", "key.low", "key.high", "node", *names)
-    return rows.mapInArrow(_linker(radius, found), "src long, dst long")
+    rows = rows.withColumn("chunks", F.when(F.col("n").isNull(), 1).otherwise(F.ceil(2 * F.col("n") / CHUNK)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    group = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    dealt = rows.select(group.alias("g"), "node", *names).repartition("g").sortWithinPartitions("g", "node")
+    return dealt.mapInArrow(_linker(radius, found), "src long, dst long")
 
 
 def _linker(radius: int, found):
@@ -384,16 +383,16 @@ def _linker(radius: int, found):
         held: list[np.ndarray] = []
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum((np.diff(rows[:, :4], axis=0, prepend=rows[:1, :4] - 1) != 0).any(axis=1))
-            src, dst = found(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[src, 4]), pa.array(rows[dst, 4])], ["src", "dst"])
+            group = np.cumsum(np.diff(rows[:, 0], prepend=rows[:1, 0]) != 0)
+            src, dst = found(group, np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[src, 1]), pa.array(rows[dst, 1])], ["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
+            rows = np.stack([np.asarray(c) for c in batch.columns], axis=1)
             held.append(rows)
-            last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
             if len(last):  # all but the last bucket are whole
                 data = np.concatenate(held)
                 cut = len(data) - (len(rows) - last[-1] - 1)
@@ -442,12 +441,12 @@ def near_duplicates(prints: DataFrame, masks: list[list[int]], radius: int, comp
 
 
 #: Near copies at similarity 0.8 or more of five-word shingles: at 0.8 the cosine of two sets of shingles is 0.89 at least, so that
-#: each bit differs with a probability of 0.15 at most, 78 of 512 on average (deviation 8). The radius leaves four deviations, as
+#: each bit differs with a probability of 0.15 at most, 29 of 192 on average (deviation 5). The radius leaves four deviations, as
 #: links are verified. Bands are of a second fingerprint, of word pairs, which such copies share as many or more of: 64 bands of
 #: 16 sampled bits are met by such a pair with a probability of 1 - (1 - 0.85 ** 16) ** 64 = 0.992.
 SHINGLE, SIMILARITY = 5, 0.8
-PARTS = ((2, 4), (SHINGLE, 8))
-NEAR = {"masks": sampled_bits(4, bands=64, width=16), "radius": 112, "compared": 4}
+PARTS = ((2, 4), (SHINGLE, 3))
+NEAR = {"masks": sampled_bits(4, bands=64, width=16), "radius": 49, "compared": 4}
 
 
 def similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
