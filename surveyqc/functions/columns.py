@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from surveyqc.functions.shared import written
 
 # Texts that stand for a missing value.
-MISSING_TOKENS = ("", "NA", "N/A", "na", "n/a", "Na", "N/a", "null", "NULL", "Null", "None", "none", "NONE", "nan", "NaN", "NAN", "-", "--", "---", ".", "..", "...", "?", "??", "???", "Missing", "missing", "MISSING", "Unknown", "unknown", "UNKNOWN")
+MISSING_TOKENS = (
+    "", "   ", "\t", "\n", "NULL", "null", "Null", "None", "none", "NONE", "N/A", "n/a", "NA", "na", "#N/A", "N/a", "-", "--", ".", "?", "???",
+    "Missing", "missing", "MISSING", "Unknown", "unknown", "UNKNOWN", "NaN", "NAN", "nan", "NaT",
+)
 
 
 def column_types(df: DataFrame) -> dict[str, list[str]]:
@@ -63,12 +66,12 @@ def safe_to_numeric(df: DataFrame, *names: str) -> DataFrame:
 
 
 def standardize_missing(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Strings are trimmed; what reads as missing, in any column, is null."""
+    """Strings lose the white space around them; what then reads as missing, in any column, is null."""
     text = set(column_types(df)["string"])
     cleaned = {}
     for n in names or df.columns:
-        value = F.trim(n) if n in text else F.col(n)
-        cleaned[n] = F.when(F.trim(F.col(n).cast("string")).isin(*MISSING_TOKENS), None).otherwise(value)
+        value = F.regexp_replace(n, r"(?U)^\s+|\s+$", "") if n in text else F.col(n)
+        cleaned[n] = F.when(value.cast("string").isin(*MISSING_TOKENS), None).otherwise(value)
     return df.withColumns(cleaned)
 
 

@@ -19,14 +19,21 @@ TEXT = {"trim": F.trim, "lower": F.lower, "upper": F.upper, "to number": number}
 
 # The date forms that are tried, in this order; the first that all values have is used.
 DATE_FORMS = (
+    (r"^\d{1,2}[a-zA-Z]{3}\d{4} \d{2}:\d{2}:\d{2}$", "dMMMyyyy HH:mm:ss"),
+    (r"^\d{1,2}-[a-zA-Z]{3}-\d{4} \d{2}:\d{2}:\d{2}$", "d-MMM-yyyy HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "d/M/yyyy HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+)
+#: Further forms, tried after those.
+MORE_DATE_FORMS = (
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"^[A-Z][a-z]{2} \d{2}, \d{4}$", "MMM dd, yyyy"),
     (r"^[A-Z][a-z]{2} \d{2}, \d{4} \d{2}:\d{2}:\d{2}$", "MMM dd, yyyy HH:mm:ss"),
-    (r"^\d{2}[a-z]{3}\d{4}$", "ddMMMyyyy"),
+    (r"^\d{1,2}[a-zA-Z]{3}\d{4}$", "dMMMyyyy"),
 )
 
 
@@ -52,13 +59,18 @@ def extract(column: str, pattern: str) -> Column:
 
 
 def parse_dates(df: DataFrame, column: str) -> DataFrame:
-    """Texts of one of the known forms to timestamps; the first form that all non-null values have; else an error."""
-    tests = [F.coalesce(F.bool_and(F.regexp_like(column, F.lit(p))), F.lit(True)).alias(str(i)) for i, (p, _) in enumerate(DATE_FORMS)]
+    """Texts of one of the known forms to timestamps; the first form that all non-null values have and are dates in; else an error.
+
+    So day/month/year with a time is reached where a day over 12 shows that it isn't month/day/year.
+    """
+    forms = DATE_FORMS + MORE_DATE_FORMS
+    has = lambda p, f: F.regexp_like(column, F.lit(p)) & F.try_to_timestamp(F.col(column), F.lit(f)).isNotNull()
+    tests = [F.coalesce(F.bool_and(F.when(F.col(column).isNotNull(), has(p, f))), F.lit(True)).alias(str(i)) for i, (p, f) in enumerate(forms)]
     fits = df.agg(*tests).first()
-    form = next((f for i, (_, f) in enumerate(DATE_FORMS) if fits[i]), None)
+    form = next((f for i, (_, f) in enumerate(forms) if fits[i]), None)
     if form is None:
         raise ValueError(f"{column}: no known date form fits all values")
-    return df.withColumn(column, F.try_to_timestamp(F.regexp_replace(column, "T", " ") if "HH" in form and form[0] == "y" else F.col(column), F.lit(form)))
+    return df.withColumn(column, F.try_to_timestamp(F.col(column), F.lit(form)))
 
 
 def dummies(df: DataFrame, column: str, most: int = 100) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyqc.functions.columns import dense_index
+
 #: seq orders the entries; action is "modify value", "remove value" or "remove row".
 LOG = "seq long, key string, action string, column string, new_value string, reason string"
 
@@ -29,7 +31,7 @@ def apply_corrections(df: DataFrame, log: DataFrame, key: str) -> DataFrame:
 
 def remove_correction(log: DataFrame, position: int) -> DataFrame:
     """The log without its position-th entry (0-based, by seq); replay it with apply_corrections."""
-    nth = log.withColumn("nth_", F.row_number().over(Window.orderBy("seq")) - 1)  # a log of hand-made entries
+    nth = dense_index(log, ["seq"], "nth_")
     return nth.where(F.col("nth_") != position).drop("nth_")
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import percent
@@ -89,8 +89,21 @@ def _cells(df: DataFrame, metres: float) -> DataFrame:
     """Grid cells of about `metres` (rows of latitude; columns by the row's circle), for points lat, lon."""
     step = math.degrees(metres / RADIUS_M)
     row = F.floor(F.col("lat") / step)
-    across = F.greatest(F.cos(F.radians(F.least(F.abs(row), F.abs(row + 1)) * step)), F.lit(0.01))
-    return df.withColumn("cell_y", row.cast("long")).withColumn("cell_x", F.floor(F.col("lon") * across / step).cast("long"))
+    return df.withColumn("cell_y", row.cast("long")).withColumn("cell_x", _column(row, step))
+
+
+def _across(row: Column, step: float) -> Column:
+    """How much shorter a row's circle is than the equator."""
+    return F.greatest(F.cos(F.radians(F.least(F.abs(row), F.abs(row + 1)) * step)), F.lit(0.0))
+
+
+def _columns(row: Column, step: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(360.0 * _across(row, step) / step)).cast("long")
+
+
+def _column(row: Column, step: float) -> Column:
+    """Cell of lon in a row, counted from -180 degrees; 180 is the same place."""
+    return F.pmod(F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) * _across(row, step) / step).cast("long"), _columns(row, step))
 
 
 def neighbour_join(points: DataFrame, metres: float, by: Sequence[str] = (), among: DataFrame | None = None) -> DataFrame:
@@ -101,10 +114,11 @@ def neighbour_join(points: DataFrame, metres: float, by: Sequence[str] = (), amo
     """
     step = math.degrees(metres / RADIUS_M)
     left = points.withColumn("row_", F.explode(F.sequence(F.floor((F.col("lat")) / step) - 1, F.floor(F.col("lat") / step) + 1)))
-    across = lambda row: F.greatest(F.cos(F.radians(F.least(F.abs(row), F.abs(row + 1)) * step)), F.lit(0.01))
-    column = F.floor(F.col("lon") * across(F.col("row_")) / step)
-    # A row nearer to a pole is up to a cell narrower over 180 degrees; one column to each side covers `metres` in any row.
-    left = left.withColumn("col_", F.explode(F.sequence(column - 2, column + 2))).select(*by, "point", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("row_").alias("cell_y"), F.col("col_").alias("cell_x"))
+    column, n = _column(F.col("row_"), step), _columns(F.col("row_"), step)
+    # A row nearer to a pole is up to a cell narrower over 180 degrees; one column to each side covers `metres` in any row. Columns
+    # go round, and the last one of a row may be narrower.
+    around = F.array_distinct(F.transform(F.sequence(column - 3, column + 3), lambda c: F.pmod(c, n)))
+    left = left.withColumn("col_", F.explode(around)).select(*by, "point", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("row_").alias("cell_y"), F.col("col_").alias("cell_x"))
     right = _cells(points if among is None else among, metres).select(*by, F.col("point").alias("other"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("n").alias("n_other"), "cell_y", "cell_x")
     near = left.join(right, [*by, "cell_y", "cell_x"]).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
     return near.where(F.col("distance") <= metres).select(*by, "point", "other", "n_other", "distance")
@@ -157,6 +171,8 @@ def nearest_neighbours(spots: DataFrame, k: int, rounds: int = 24) -> DataFrame:
         if left.isEmpty():
             break
         metres *= 3
+    else:
+        raise ValueError(f"no {k} neighbours within {metres} metres for some places")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -164,9 +180,11 @@ def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float
     """key, lof, is_outlier: Local Outlier Factor by k nearest neighbours in metres; the `contamination` share with the highest.
 
     Per distinct place: k-distance, reachability, its mean's inverse (a small constant keeps it finite where all neighbours
-    share the place), then the neighbours' mean density over the own.
+    share the place), then the neighbours' mean density over the own. A row alone has no neighbours: its lof is 1, no outlier.
     """
     spots = written(places(df))
+    if (spots.agg(F.sum("n")).first()[0] or 0) < 2:
+        return df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(key, F.lit(1.0).alias("lof"), F.lit(False).alias("is_outlier"))
     near = nearest_neighbours(spots, k)
     kdist = near.groupBy("point").agg(F.max("distance").alias("kdist"))
     reach = near.join(kdist.select(F.col("point").alias("other"), F.col("kdist").alias("kdist_other")), "other").withColumn("reach", F.greatest("distance", "kdist_other"))

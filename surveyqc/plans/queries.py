@@ -186,10 +186,13 @@ add("add_constant", lambda t: R.add_constant(R.add_constant(R.add_constant(t.sur
 add("add_uuid", lambda t: R.add_uuid(t.survey.select("survey_key"), "uuid", "proj", ["survey_key"]), "SELECT survey_key, sha256('proj_' || (row_number() OVER (ORDER BY survey_key) - 1)) AS uuid FROM survey")
 add("add_random", lambda t: R.add_random(t.survey.select("survey_key"), "u", 7, "survey_key").agg(F.count("*").alias("n"), F.min("u").between(0, 0.01).alias("low"), F.max("u").between(0.99, 1).alias("high"), F.avg("u").between(0.48, 0.52).alias("mid")), "SELECT count(*) AS n, true AS low, true AS high, true AS mid FROM survey")
 add("add_index", lambda t: R.add_index(t.survey.select("survey_key", "survey_date"), "i", ["survey_date", "survey_key"]), "SELECT survey_key, survey_date, row_number() OVER (ORDER BY survey_date, survey_key) - 1 AS i FROM survey")
-add("standardize_missing", lambda t: C.standardize_missing(t.survey.select("survey_key", "note", "age")), "SELECT survey_key, CASE WHEN trim(note) NOT IN ('', 'N/A') THEN trim(note) END AS note, age FROM survey")
+#: Notes with each of the missing tokens, within white space.
+NOTED = "CASE survey_key % 97 " + " ".join(f"WHEN {i} THEN concat(chr(9), ' {x.strip()} ', chr(10))" for i, x in enumerate(C.MISSING_TOKENS)) + " ELSE note END"
+_bare = "trim(note, ' ' || chr(9) || chr(10))"
+add("standardize_missing", lambda t: C.standardize_missing(t.survey.select("survey_key", F.expr(NOTED).alias("note"), "age")), f"SELECT survey_key, CASE WHEN {_bare} NOT IN ({', '.join(repr(x) for x in C.MISSING_TOKENS if x.strip() == x)}) THEN {_bare} END AS note, age FROM (SELECT * REPLACE ({NOTED} AS note) FROM survey)")
 add("safe_to_numeric", lambda t: C.safe_to_numeric(t.survey.select("survey_key", "note"), "note"), "SELECT survey_key, TRY_CAST(note AS DOUBLE) AS note FROM survey")
-add("append_context_columns", lambda t: R.append_context_columns(U.column_duplicates(t.survey.where("survey_key % 50 = 0"), "age", ["survey_key"]), t.survey, "survey_key", ["region", "team"]),
-    "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE n END AS duplicate_count, region, team FROM (SELECT *, count(*) OVER (PARTITION BY age) AS n FROM survey WHERE survey_key % 50 = 0) WHERE n > 1")
+add("append_context_columns", lambda t: R.append_context_columns(U.column_duplicates(t.survey, "age", ["survey_key"]), t.survey, "survey_key", ["region", "team"]),
+    "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE n END AS duplicate_count, region, team FROM (SELECT *, count(*) OVER (PARTITION BY age) AS n FROM survey) WHERE n > 1")
 add("validate_key", lambda t: R.validate_key(t.survey, "age"), "SELECT count(*) AS rows, count(*) - count(age) AS nulls, count(age) - count(DISTINCT age) AS repeats, false AS valid FROM survey")
 
 # Joins and sets
@@ -262,8 +265,10 @@ add("submission_metrics", lambda t: S.submission_metrics(t.survey, "survey_date"
     "SELECT first_date, last_date, total, today, week, month, " + ", ".join(f"coalesce(({k} - b_{k}) * 100.0::DOUBLE / nullif(b_{k}, 0), 0) AS {k}_change" for k in _now) + f" FROM (SELECT min(survey_date) AS first_date, max(survey_date) AS last_date, count(*) AS total, {', '.join(f'{_span(a, DAY)} AS {k}, {_span(b, a)} AS b_{k}' for k, (a, b) in _now.items())} FROM survey)", "today_change week_change month_change")
 add("submissions_by_date", lambda t: S.submissions_by_date(t.survey, "survey_date"), "SELECT survey_date AS date, count(*) AS submissions FROM survey GROUP BY ALL")
 add("progress_metrics", lambda t: S.progress_metrics(t.survey, "survey_date", 20000), "SELECT count(*) AS submissions, count(*) * 100.0::DOUBLE / 20000 AS target_pct, count(*) / count(DISTINCT survey_date) AS per_day, count(*) / count(DISTINCT date_trunc('week', survey_date)) AS per_week, count(*) / count(DISTINCT date_trunc('month', survey_date)) AS per_month FROM survey", "target_pct per_day per_week per_month")
-add("progress_by_column", lambda t: S.progress_by_column(t.survey.where("year(survey_date) = 1996"), "survey_date", "region"),
-    "SELECT region, " + ", ".join(f"count(*) FILTER (strftime(survey_date, '%B') = '{m}') AS \"{m} 1996\"" for m in "January February March April May June July August September October November December".split()) + " FROM survey WHERE year(survey_date) = 1996 GROUP BY region")
+#: One column a month, of whatever months there are.
+MONTHS = "FROM (PIVOT (SELECT *, strftime({date}, '%B %Y') AS month_ FROM {of}) ON month_ USING {what} GROUP BY {by})"
+add("progress_by_column", lambda t: S.progress_by_column(t.survey, "survey_date", "region"),
+    MONTHS.format(by="region", date="survey_date", what="count(*)", of="survey"))
 add("data_quality_metrics", lambda t: S.data_quality_metrics(t.survey.select("survey_id", "age", "income"), "survey_id", _flags(t), t.visits.select(F.col("survey_id"))),
     f"SELECT (count(*) - count(DISTINCT survey_id)) * 100.0::DOUBLE / count(*) AS duplicate_pct, (count(*) * 2 - count(age) - count(income)) * 100.0::DOUBLE / (count(*) * 3) AS missing_pct, (SELECT count(*) FILTER (reason <> 'no outlier') * 100.0::DOUBLE / count(*) FROM {FLAGS}) AS outlier_pct, (SELECT count(*) FILTER (survey_id IN (SELECT survey_id FROM visits)) * 100.0::DOUBLE / count(*) FROM (SELECT DISTINCT survey_id FROM survey)) AS backcheck_pct FROM survey", "duplicate_pct missing_pct outlier_pct backcheck_pct")
 add("progress_summary", lambda t: V.progress_summary(t.survey, 20000), "SELECT count(*) AS submissions, 20000 AS target, count(*) * 100.0::DOUBLE / 20000 AS progress_pct FROM survey", "progress_pct")
@@ -342,13 +347,15 @@ _share = lambda test: f"avg(({' + '.join(f'({c} {test})::INT' for c in CELLS)})
 add("enumerator_missing", lambda t: E.enumerator_missing(t.survey, CODES, ["enumerator"], CELLS), f"SELECT enumerator, {_share('= 1')} AS pct_null, {_share('= 2')} AS pct_dont_know, {_share('= 3')} AS pct_refused, {_share('> 0')} AS pct_missing FROM coded GROUP BY enumerator", PCTS)
 add("enumerator_summary", lambda t: E.enumerator_summary(flagged(t), "survey_date", ["enumerator"], AS_OF, "formversion", "duration", CODES, CELLS),
     f"SELECT s.enumerator, min(s.survey_date) AS first_date, max(s.survey_date) AS last_date, count(*) AS submissions, count(DISTINCT s.survey_date) AS active_days, count(*) FILTER (s.survey_date = {DAY}) AS today, count(*) FILTER (s.survey_date BETWEEN date_trunc('week', {DAY}) AND {DAY}) AS this_week, count(*) FILTER (s.survey_date BETWEEN date_trunc('month', {DAY}) AND {DAY}) AS this_month, {_share('> 0').replace('(age', '(c.age').replace('(income', '(c.income').replace('(children', '(c.children').replace('(region', '(c.region')} AS pct_missing, min(duration) AS min_duration, avg(duration) AS mean_duration, quantile_cont(duration, 0.5) AS median_duration, max(duration) AS max_duration, count(DISTINCT formversion) AS form_versions, max(formversion) AS latest_form, count(*) FILTER (formversion < newest) AS outdated_forms, avg((consent = 'yes')::INT) AS mean_consent, avg((outcome = 'complete')::INT) AS mean_completion FROM (SELECT *, max(formversion) OVER (PARTITION BY survey_date) AS newest FROM survey) s JOIN coded c USING (survey_key) GROUP BY s.enumerator", "pct_missing mean_duration median_duration mean_consent mean_completion")
-SHORT = "survey WHERE survey_date BETWEEN '1996-01-01' AND '1996-03-31'"
-_short = lambda t: t.survey.where("survey_date BETWEEN '1996-01-01' AND '1996-03-31'")
-_three = "January February March".split()
-add("enumerator_productivity", lambda t: E.staff_productivity(_short(t), "survey_date", ["enumerator"], "Month"), "SELECT enumerator, " + ", ".join(f"count(*) FILTER (strftime(survey_date, '%B') = '{m}') AS \"{m} 1996\"" for m in _three) + f" FROM {SHORT} GROUP BY enumerator")
+add("enumerator_productivity", lambda t: E.staff_productivity(t.survey, "survey_date", ["enumerator"], "Month"), MONTHS.format(by="enumerator", date="survey_date", what="count(*)", of="survey"))
 _stats = {"count": "count({c})", "min": "min({c})", "mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "max": "max({c})", "std": "stddev_samp({c})", "p25": "quantile_cont({c}, 0.25)", "p75": "quantile_cont({c}, 0.75)"}
 add("enumerator_statistics", lambda t: E.enumerator_statistics(t.survey, ["enumerator"], ["income"]), "SELECT enumerator, " + ", ".join(f"{e.format(c='income')} AS income_{k}" for k, e in _stats.items()) + " FROM survey GROUP BY enumerator", " ".join(f"income_{k}" for k in _stats if k != "count"))
-add("enumerator_statistics_overtime", lambda t: E.enumerator_statistics_overtime(_short(t), "survey_date", ["enumerator"], "income", "mean").withColumnsRenamed({f"{m} 1996": m for m in _three}), "SELECT enumerator, " + ", ".join(f"avg(income) FILTER (strftime(survey_date, '%B') = '{m}') AS {m}" for m in _three) + f" FROM {SHORT} GROUP BY enumerator", " ".join(_three))
+def _rounded_months(df: DataFrame) -> DataFrame:
+    return df.select("enumerator", *[(F.round(F.col(c), 6) + 0.0).alias(c) for c in df.columns if c != "enumerator"])
+
+
+add("enumerator_statistics_overtime", lambda t: _rounded_months(E.enumerator_statistics_overtime(t.survey, "survey_date", ["enumerator"], "income", "mean")),
+    MONTHS.format(by="enumerator", date="survey_date", what="round(avg(income), 6) + 0.0", of="survey"))
 add("enumerator_duration_zscore", lambda t: E.enumerator_duration_zscore(t.survey, "enumerator", "duration"), "SELECT enumerator, m AS mean_duration, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS zscore FROM (SELECT enumerator, avg(duration) AS m FROM survey GROUP BY enumerator)", "mean_duration zscore")
 add("enumerator_consent_rate", lambda t: E.enumerator_consent_rate(t.survey, "enumerator", "consent", ["yes"]), "SELECT enumerator, count(*) AS persons, count(*) FILTER (consent = 'yes') AS consenting, count(*) FILTER (consent = 'yes') * 100.0::DOUBLE / count(*) AS consent_pct FROM survey GROUP BY enumerator", "consent_pct")
 add("interviews_per_enumerator_day", lambda t: E.interviews_per_enumerator_day(t.survey, "enumerator", "survey_date"), f"SELECT enumerator, sum(submissions)::BIGINT AS interviews, count(*) AS days, avg(submissions) AS per_day, (SELECT avg(submissions) FROM {DAILY}) AS overall_per_day FROM {DAILY} GROUP BY enumerator", "per_day overall_per_day")
@@ -414,7 +421,7 @@ def _spread(t: Tables) -> DataFrame:
 
 add("reliability", lambda t: B.reliability(compared(t)), f"SELECT column_name, var_samp(s - b) / 2 AS srv, 1 - var_samp(s - b) / 2 / var_samp(s) AS reliability FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "srv reliability")
 add("backcheck_summary", lambda t: B.backcheck_summary(t.survey, t.visits, "survey_id", "enumerator", "backchecker"), "SELECT *, backchecks * 100.0::DOUBLE / surveys AS coverage_pct FROM (SELECT count(*) AS surveys, count(DISTINCT enumerator) AS enumerators FROM survey), (SELECT count(*) AS backchecks, count(DISTINCT backchecker) AS backcheckers FROM visits)", "coverage_pct")
-add("backchecker_productivity", lambda t: E.staff_productivity(t.visits.where("year(backcheck_date) = 1996 AND month(backcheck_date) < 4"), "backcheck_date", ["backchecker"], "Month"), "SELECT backchecker, " + ", ".join(f"count(*) FILTER (month(backcheck_date) = {i + 1}) AS \"{m} 1996\"" for i, m in enumerate(_three)) + " FROM visits WHERE year(backcheck_date) = 1996 AND month(backcheck_date) < 4 GROUP BY backchecker")
+add("backchecker_productivity", lambda t: E.staff_productivity(t.visits, "backcheck_date", ["backchecker"], "Month"), MONTHS.format(by="backchecker", date="backcheck_date", what="count(*)", of="visits"))
 _rate = lambda k, w: RATES.format(w=w, k=k)
 add("staff_backcheck_stats", lambda t: B.staff_backcheck_stats(attached(t), "enumerator", "survey_id"),
     f"SELECT enumerator, backchecks, mean_days, * EXCLUDE (enumerator, backchecks, mean_days) FROM (SELECT enumerator, count(*) AS backchecks, round(avg(backcheck_date::DATE - survey_date), 1) AS mean_days FROM (SELECT DISTINCT enumerator, survey_id, survey_date, backcheck_date FROM {PAIRS}) GROUP BY enumerator) JOIN (SELECT enumerator, {_rate('', '')}, {_rate('_1', 'category = 1 AND')}, {_rate('_2', 'category = 2 AND')}, {_rate('_3', 'category = 3 AND')} FROM {PAIRS} GROUP BY enumerator) USING (enumerator)", "mean_days error_rate error_rate_1 error_rate_2 error_rate_3")

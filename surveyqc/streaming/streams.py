@@ -30,12 +30,16 @@ def stream_enumerator_activity(events: DataFrame, time: str, enumerator: str, de
     return events.withWatermark(time, delay).groupBy(F.window(time, "7 days", "1 day"), enumerator).agg(F.count("*").alias("submissions")).select(F.to_date("window.start").alias("from_date"), enumerator, "submissions")
 
 
-def stream_upsert(events: DataFrame, folder: str, key: str, checkpoint: str):
-    """Upserts each micro-batch by key into the newest version under the folder (v=0, v=1 ...); a repeated batch writes the same version."""
+def stream_upsert(events: DataFrame, folder: str, key: str, checkpoint: str, time: str | None = None):
+    """Upserts each micro-batch by key into the newest version under the folder (v=0, v=1 ...); a repeated batch writes the same version.
+
+    Of the rows of a key in one batch the latest by `time` is used, ties by all columns; without `time`, the largest row.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates([key])
+        row = F.struct(*[time] if time else [], *[c for c in batch.columns if c != time])
+        latest = batch.groupBy(F.col(key).alias("key_")).agg(F.max(row).alias("row_")).select("row_.*").select(*batch.columns)
         old = spark.read.parquet(f"{folder}/v={number - 1}") if number else None
         (latest if old is None else upsert_by_key(old, latest, key)).write.mode("overwrite").parquet(f"{folder}/v={number}")
 

@@ -196,3 +196,28 @@ def test_entry_survives_without_the_training_data_operators(spark):
 
     assert set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() > 0
+
+
+def test_standardize_missing_knows_every_token(spark):
+    tokens = ["", "   ", "\t", "\n", "NULL", "null", "Null", "None", "none", "NONE", "N/A", "n/a", "NA", "na", "#N/A", "N/a", "-", "--", ".", "?", "???", "Missing", "missing", "MISSING", "Unknown", "unknown", "UNKNOWN", "NaN", "NAN", "nan", "NaT"]
+    df = spark.createDataFrame([(f"\t{t}\n", float("nan")) for t in tokens] + [(" ..\t", 1.5), ("Na", 2.0)], "t string, d double")
+    assert [tuple(r) for r in C.standardize_missing(df).collect()] == [(None, None)] * len(tokens) + [("..", 1.5), ("Na", 2.0)]
+
+
+def test_each_date_form(spark):
+    forms = {
+        "8aug2025 19:49:00": "2025-08-08 19:49:00", "18-AUG-2025 19:49:00": "2025-08-18 19:49:00", "2025-08-18 19:49:00": "2025-08-18 19:49:00", "8/18/2025 19:49:00": "2025-08-18 19:49:00",
+        "18/8/2025 19:49:00": "2025-08-18 19:49:00", "2025-08-18": "2025-08-18 00:00:00", "1/2/2024": "2024-01-02 00:00:00", "18-8-2025": "2025-08-18 00:00:00",
+    }
+    for text, want in forms.items():
+        got = X.parse_dates(spark.createDataFrame([(text,), (None,)], "d string"), "d").collect()
+        assert [str(r["d"]) for r in got] == [want, "None"], text
+
+
+def test_neighbours_across_the_antimeridian_and_a_point_alone(spark):
+    df = spark.createDataFrame([(1, "a", 10.0, 179.9999), (2, "a", 10.0, -179.9999), (3, "a", 10.0, 0.0), (4, "a", 89.9999, 0.0), (5, "a", 89.9999, 180.0)], "k int, area string, latitude double, longitude double")
+    near = {r["k"] for r in G.gps_too_clustered(df, "k", "area", 50.0).collect() if r["too_clustered"]}
+    assert near == {1, 2, 4, 5}
+    alone = G.gps_lof_outliers(df.where("k = 3"), "k").collect()
+    assert [(r["k"], r["lof"], r["is_outlier"]) for r in alone] == [(3, 1.0, False)]
+    assert G.gps_lof_outliers(df.where("false"), "k").count() == 0
