@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of documents that hold a known license notice."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.winners(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

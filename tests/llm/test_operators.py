@@ -590,6 +590,25 @@ def test_licences_are_brute_force(spark, empty):
     assert len(want) > len(notices) and licenses.scan(empty).count() == 0
 
 
+def test_short_long_and_many_templates(spark):
+    known = {f"L{i}": (prose(40_000 + i, 30),) for i in range(1000)} | {"short": ("Zulu Yankee Xray", "..."), "long": (prose(77, 6000),)}
+    long = known["long"][0].split()
+    texts = [prose(1, 20) + " zulu-YANKEE xray. " + prose(2, 9), known["L7"][0] + " " + known["L999"][0], " ".join(long[:5500]), " ".join(long[:2900] + ["in"] * 300 + long[2900:]), " ".join(long[:4000]), prose(5, 60_000), None]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "doc_id long, text string").withColumn("key", F.lit("x"))
+    got = Counter((r["doc_id"], r["license_id"]) for r in licenses.scan(own, known).collect())
+    assert got == Counter({(0, "short"): 2, (1, "L7"): 1, (1, "L999"): 1, (None, "L7"): 1, (None, "L999"): 1, (2, "long"): 1, (3, "long"): 1})
+    only = licenses.scan(own, {"short": known["short"]})
+    assert Counter(r["doc_id"] for r in only.collect()) == Counter({0: 2})
+    assert licenses.scan(own, {}).count() == 0
+
+
+def test_the_better_of_competing_templates_wins(spark):
+    texts = ["x " + t + " y" for n in ("GPL-2.0", "GPL-3.0", "AGPL-3.0") for t in licenses.TEMPLATES[n]]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license_id"]) for r in licenses.winners(licenses.scan(own)).collect())
+    assert got == [(0, "GPL-2.0"), (1, "GPL-2.0"), (2, "GPL-3.0"), (3, "GPL-3.0"), (4, "AGPL-3.0")]
+
+
 def test_pipeline_small(spark, tmp_path):
     import corpus_pipeline
 
