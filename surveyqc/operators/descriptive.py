@@ -8,29 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import long_form, percent
+from surveyqc.functions.quantiles import with_quantiles
 
 
 def summary_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """column_name, n, missing, missing_pct (1 dp), mean, median, std, min, max, q1, q3 (midpoints), skewness (n >= 3), kurtosis (n >= 4; excess), 4 dp.
-
-    A first job counts the columns' values, so that the order statistics beside each quartile can be named exactly.
-    """
-    columns = {n: F.col(n).try_cast("double") for n in names}
-    counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
-
-    def stats(n: str) -> list:
-        c, m = columns[n], counts[n]
-        at = lambda q, up: (-(-(m - 1) * q // 1) if up else (m - 1) * q // 1) / (m - 1) if m > 1 else 0.0
-        middle = lambda q: (F.percentile(c, at(q, False)) + F.percentile(c, at(q, True))) / 2
-        lit = F.lit(None).cast("double")
-        made = {
-            "mean": F.avg(c), "median": middle(0.5), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "q1": middle(0.25), "q3": middle(0.75),
-            "skewness": F.skewness(c) if m >= 3 else lit, "kurtosis": F.kurtosis(c) if m >= 4 else lit,
-        }
-        return [F.count(c).alias("n"), F.count_if(c.isNull()).alias("missing"), F.round(percent(F.count_if(c.isNull()), F.count("*")), 1).alias("missing_pct"), *[F.round(v, 4).alias(k) for k, v in made.items()]]
-
-    one = df.agg(*[F.struct(F.lit(n).alias("column_name"), *stats(n)).alias(f"s{i}") for i, n in enumerate(names)])
-    return one.select(F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
+    """column_name, n, missing, missing_pct (1 dp), mean, median, std, min, max, q1, q3 (midpoints), skewness (n >= 3), kurtosis (n >= 4; excess), 4 dp."""
+    cells = long_form(df, [], names)
+    v = F.col("value")
+    plain = cells.groupBy("column_name").agg(
+        F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.round(percent(F.count_if(v.isNull()), F.count("*")), 1).alias("missing_pct"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.when(F.count(v) >= 3, F.skewness(v)).alias("skewness"), F.when(F.count(v) >= 4, F.kurtosis(v)).alias("kurtosis"),
+    )
+    found = with_quantiles(plain, cells, ["column_name"], "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}, "midpoint")
+    return found.select("column_name", "n", "missing", "missing_pct", *[F.round(k, 4).alias(k) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skewness", "kurtosis")])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyqc.functions.columns import n_unique, percent
+from surveyqc.functions.columns import all_of, long_form, n_unique, percent
 from surveyqc.functions.periods import period_label, period_start
+from surveyqc.functions.quantiles import quantiles, with_quantiles
 from surveyqc.operators.missing import missing_encode
 
 STATS = ("count", "min", "mean", "median", "max", "std", "p25", "p75")
@@ -52,13 +53,14 @@ def enumerator_summary(df: DataFrame, date: str, by: Sequence[str], as_of: str,
     kept = df.select("*", day.alias("day_"), *[F.col(n).alias(f"code_{n}") for n in names])
     rows = missing_encode(kept, codes, [f"code_{n}" for n in names]).join(newest, "day_", "left")
     d = F.col(duration)
-    return rows.groupBy(*by).agg(
+    found = rows.groupBy(*by).agg(
         F.min("day_").alias("first_date"), F.max("day_").alias("last_date"), F.count("*").alias("submissions"), n_unique("day_").alias("active_days"),
         F.count_if(F.col("day_") == now).alias("today"), F.count_if((F.col("day_") >= period_start(now, "Week")) & (F.col("day_") <= now)).alias("this_week"), F.count_if((F.col("day_") >= period_start(now, "Month")) & (F.col("day_") <= now)).alias("this_month"),
-        _missing_shares(rows, codes, names)[-1], F.min(d).alias("min_duration"), F.avg(d).alias("mean_duration"), F.percentile(d, 0.5).alias("median_duration"), F.max(d).alias("max_duration"),
+        _missing_shares(rows, codes, names)[-1], F.min(d).alias("min_duration"), F.avg(d).alias("mean_duration"), F.max(d).alias("max_duration"),
         n_unique(formversion).alias("form_versions"), F.max(formversion).alias("latest_form"), F.count_if(F.col(formversion) < F.col("newest_")).alias("outdated_forms"),
         F.avg("consent_flag").alias("mean_consent"), F.avg("outcome_flag").alias("mean_completion"),
     )
+    return with_quantiles(found, df, by, duration, {"median_duration": 0.5})
 
 
 def staff_productivity(df: DataFrame, date: str, by: Sequence[str], period: str = "Week", first: str = "Monday", most: int = 1000) -> DataFrame:
@@ -70,14 +72,23 @@ def staff_productivity(df: DataFrame, date: str, by: Sequence[str], period: str
     return dated.groupBy(*by).pivot("period_", [r["period_"] for r in spans]).agg(F.count(F.lit(1))).fillna(0)
 
 
+_QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+
+
 def _stat(column: str, stat: str) -> Column:
     c = F.col(column)
-    made = {"count": F.count, "min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp, "median": lambda c: F.percentile(c, 0.5), "p25": lambda c: F.percentile(c, 0.25), "p75": lambda c: F.percentile(c, 0.75), "missing": lambda c: F.avg(c.isNull().cast("double")) * 100}
+    made = {"count": F.count, "min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp, "missing": lambda c: F.avg(c.isNull().cast("double")) * 100}
     return made[stat](c)
 
 
 def enumerator_statistics(df: DataFrame, by: Sequence[str], names: Sequence[str], stats: Sequence[str] = STATS) -> DataFrame:
-    return df.groupBy(*by).agg(*[_stat(n, s).alias(f"{n}_{s}") for n in names for s in stats])
+    ordered = {s: q for s, q in _QUANTILES.items() if s in stats}
+    plain = df.groupBy(*by).agg(F.count("*").alias("rows_"), *[_stat(n, s).alias(f"{n}_{s}") for n in names for s in stats if s not in ordered])
+    if ordered:
+        found = quantiles(long_form(df, by, names), [*by, "column_name"], "value", ordered)
+        wide = found.groupBy(*[F.col(b).alias(f"{b}__") for b in by]).agg(*[F.max(F.when(F.col("column_name") == n, F.col(s))).alias(f"{n}_{s}") for n in names for s in ordered])
+        plain = plain.join(wide, all_of([F.col(b).eqNullSafe(F.col(f"{b}__")) for b in by]), "left")
+    return plain.select(*by, *[f"{n}_{s}" for n in names for s in stats])
 
 
 def enumerator_statistics_overtime(df: DataFrame, date: str, by: Sequence[str], column: str, stat: str, period: str = "Month", first: str = "Monday", most: int = 1000) -> DataFrame:
@@ -86,7 +97,11 @@ def enumerator_statistics_overtime(df: DataFrame, date: str, by: Sequence[str],
     spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
     if len(spans) > most:
         raise ValueError(f"over {most} periods")
-    return dated.groupBy(*by).pivot("period_", [r["period_"] for r in spans]).agg(_stat(column, stat))
+    periods = [r["period_"] for r in spans]
+    if stat not in _QUANTILES:
+        return dated.groupBy(*by).pivot("period_", periods).agg(_stat(column, stat))
+    told = with_quantiles(dated.groupBy(*by, "period_").agg(F.count("*").alias("rows_")), dated, [*by, "period_"], column, {"told_": _QUANTILES[stat]})
+    return told.groupBy(*by).pivot("period_", periods).agg(F.max("told_"))
 
 
 def enumerator_duration_zscore(df: DataFrame, enumerator: str, duration: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import percent
 from surveyqc.functions.geo import RADIUS_M, haversine
+from surveyqc.functions.quantiles import quantiles, with_quantiles
 from surveyqc.functions.shared import written
 
 
@@ -51,7 +52,7 @@ def centroid_attach(df: DataFrame, cluster: str | None, latitude: str = "latitud
 def gps_cluster_outliers(df: DataFrame, cluster: str | None = None, multiplier: float = 1.5, distance=haversine) -> DataFrame:
     """Distance to the cluster's centroid and whether it is above q3 + 1.5 IQR or below q1 - 1.5 IQR of the cluster; never with under 4 points or no spread."""
     far = centroid_attach(df, cluster).withColumn("distance", distance(F.col("latitude"), F.col("longitude"), F.col("centre_lat"), F.col("centre_lon")))
-    fence = far.groupBy("cluster_").agg(F.percentile("distance", 0.25).alias("q1_"), F.percentile("distance", 0.75).alias("q3_"))
+    fence = quantiles(far, ["cluster_"], "distance", {"q1_": 0.25, "q3_": 0.75})
     iqr = F.col("q3_") - F.col("q1_")
     out = (F.col("cluster_n") >= 4) & (iqr > 0) & ((F.col("distance") > F.col("q3_") + multiplier * iqr) | (F.col("distance") < F.col("q1_") - multiplier * iqr))
     return far.join(fence, "cluster_").withColumn("is_outlier", out).drop("q1_", "q3_").withColumnRenamed("cluster_", "cluster")
@@ -62,9 +63,10 @@ def gps_outlier_metrics(flagged: DataFrame) -> DataFrame:
 
 
 def gps_accuracy_stats(df: DataFrame, accuracy: str, cluster: str) -> DataFrame:
-    a = F.col(accuracy)
-    quantiles = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
-    return df.groupBy(cluster).agg(F.count(a).alias("n"), F.min(a).alias("min"), F.avg(a).alias("mean"), F.max(a).alias("max"), F.stddev_samp(a).alias("std"), *[F.percentile(a, q).alias(k) for k, q in quantiles.items()])
+    a = F.col("value_")
+    cells = df.select(cluster, F.col(accuracy).cast("double").alias("value_"))
+    plain = cells.groupBy(cluster).agg(F.count(a).alias("n"), F.min(a).alias("min"), F.avg(a).alias("mean"), F.max(a).alias("max"), F.stddev_samp(a).alias("std"))
+    return with_quantiles(plain, cells, [cluster], "value_", {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95})
 
 
 def gps_validity(df: DataFrame, accuracy: str, worst: float = 10.0) -> DataFrame:
@@ -79,9 +81,12 @@ def gps_validity(df: DataFrame, accuracy: str, worst: float = 10.0) -> DataFrame
 def gps_distance_outliers_global(df: DataFrame, area: str, method: str = "iqr", distance=haversine) -> DataFrame:
     """Kilometres to the area's centre; the fence is over all rows: IQR 1.5 or mean and 2 sd."""
     far = centroid_attach(df, area).withColumn("distance_km", distance(F.col("latitude"), F.col("longitude"), F.col("centre_lat"), F.col("centre_lon")) / 1000)
-    q1, q3 = F.percentile("distance_km", 0.25), F.percentile("distance_km", 0.75)
-    low, high = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if method == "iqr" else (F.avg("distance_km") - 2 * F.stddev_samp("distance_km"), F.avg("distance_km") + 2 * F.stddev_samp("distance_km"))
-    fence = far.agg(low.alias("low_"), high.alias("high_"))
+    if method == "iqr":
+        spread = 1.5 * (F.col("q3_") - F.col("q1_"))
+        fence = quantiles(far, [], "distance_km", {"q1_": 0.25, "q3_": 0.75}).select((F.col("q1_") - spread).alias("low_"), (F.col("q3_") + spread).alias("high_"))
+    else:
+        mean, sd = F.avg("distance_km"), F.stddev_samp("distance_km")
+        fence = far.agg((mean - 2 * sd).alias("low_"), (mean + 2 * sd).alias("high_"))
     return far.crossJoin(fence).withColumn("is_outlier", (F.col("distance_km") < F.col("low_")) | (F.col("distance_km") > F.col("high_"))).drop("low_", "high_").withColumnRenamed("cluster_", "area")  # one row
 
 
@@ -192,4 +197,4 @@ def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float
     factor = near.join(lrd.select(F.col("point").alias("other"), F.col("lrd").alias("lrd_other")), "other").groupBy("point").agg((F.sum(F.col("lrd_other") * F.col("take")) / F.sum("take")).alias("mean_"))
     lof = factor.join(lrd, "point").select("point", (F.col("mean_") / F.col("lrd")).alias("lof"))
     rows = df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(key, F.xxhash64("latitude", "longitude").alias("point")).join(lof, "point").select(key, "lof")
-    return rows.crossJoin(rows.agg(F.percentile("lof", 1 - contamination).alias("cut_"))).select(key, "lof", (F.col("lof") > F.col("cut_")).alias("is_outlier"))  # one row
+    return rows.crossJoin(quantiles(rows, [], "lof", {"cut_": 1 - contamination})).select(key, "lof", (F.col("lof") > F.col("cut_")).alias("is_outlier"))  # one row

@@ -9,21 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import long_form, match_columns
+from surveyqc.functions.quantiles import with_quantiles
 
 MULTIPLIER = {"iqr": 1.5, "sd": 3.0}
 LEAST_VALUES = {"iqr": 20, "sd": 30}
 
 
-def _stats(method: str, multiplier: float | None) -> list[Column]:
+def _stats(cells: DataFrame, by: str, method: str, multiplier: float | None, rule: str) -> DataFrame:
     m, v = MULTIPLIER[method] if multiplier is None else multiplier, F.col("value")
-    q1, q3, mean, sd = F.percentile(v, 0.25), F.percentile(v, 0.75), F.avg(v), F.stddev_samp(v)
+    plain = cells.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    found = with_quantiles(plain, cells, [by], "value", {"q1_": 0.25, "median": 0.5, "q3_": 0.75}, rule)
+    q1, q3, mean, sd = map(F.col, ("q1_", "q3_", "mean", "sd"))
     low, high = (q1 - m * (q3 - q1), q3 + m * (q3 - q1)) if method == "iqr" else (mean - m * sd, mean + m * sd)
-    return [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), mean.alias("mean"), F.percentile(v, 0.5).alias("median"), sd.alias("sd"), (q3 - q1).alias("iqr"), low.alias("lower"), high.alias("upper")]
+    return found.select(by, "n", "min", "max", "mean", "median", "sd", (q3 - q1).alias("iqr"), low.alias("lower"), high.alias("upper"))
 
 
-def outlier_stats(df: DataFrame, names: Sequence[str], method: str = "iqr", multiplier: float | None = None) -> DataFrame:
-    """column_name, n, min, max, mean, median, sd, iqr, lower, upper; all null for columns without values."""
-    return long_form(df, [], names).groupBy("column_name").agg(*_stats(method, multiplier))
+def outlier_stats(df: DataFrame, names: Sequence[str], method: str = "iqr", multiplier: float | None = None, rule: str = "linear") -> DataFrame:
+    """column_name, n, min, max, mean, median, sd, iqr, lower, upper; all null for columns without values. rule: see `quantiles`."""
+    return _stats(long_form(df, [], names), "column_name", method, multiplier, rule)
 
 
 def _flagged(cells: DataFrame, stats: DataFrame, by: str, least: int) -> DataFrame:
@@ -33,18 +36,18 @@ def _flagged(cells: DataFrame, stats: DataFrame, by: str, least: int) -> DataFra
     return cells.where("value IS NOT NULL").join(F.broadcast(stats), by).withColumn("reason", reason)
 
 
-def outlier_flags(df: DataFrame, ids: Sequence[str], names: Sequence[str], method: str = "iqr", multiplier: float | None = None, least: int | None = None) -> DataFrame:
+def outlier_flags(df: DataFrame, ids: Sequence[str], names: Sequence[str], method: str = "iqr", multiplier: float | None = None, least: int | None = None, rule: str = "linear") -> DataFrame:
     """ids, column_name, value, the column's statistics and the reason; no flags with fewer than `least` values."""
-    stats = outlier_stats(df, names, method, multiplier)
+    stats = outlier_stats(df, names, method, multiplier, rule)
     return _flagged(long_form(df, ids, names), stats, "column_name", LEAST_VALUES[method] if least is None else least)
 
 
-def outlier_flags_grouped(df: DataFrame, ids: Sequence[str], groups: Mapping[str, Sequence[str]], method: str = "iqr", multiplier: float | None = None, least: int | None = None) -> DataFrame:
+def outlier_flags_grouped(df: DataFrame, ids: Sequence[str], groups: Mapping[str, Sequence[str]], method: str = "iqr", multiplier: float | None = None, least: int | None = None, rule: str = "linear") -> DataFrame:
     """As outlier_flags, with statistics pooled over the columns of each group."""
     of = {n: g for g, names in groups.items() for n in names}
     mapped = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
     cells = long_form(df, ids, list(of)).withColumn("group_name", F.element_at(mapped, F.col("column_name")))
-    stats = cells.groupBy("group_name").agg(*_stats(method, multiplier))
+    stats = _stats(cells, "group_name", method, multiplier, rule)
     return _flagged(cells, stats, "group_name", LEAST_VALUES[method] if least is None else least)
 
 
@@ -109,10 +112,11 @@ def column_outlier_summary(flags: DataFrame, key: str) -> DataFrame:
     return once.groupBy("column_name").agg(F.count("*").alias("n_values"), F.count_if(F.col("reason") != "no outlier").alias("n_outliers"), *[F.max(s).alias(s) for s in stats])
 
 
-def inspect_column(df: DataFrame, column: str) -> DataFrame:
-    v = F.col(column).try_cast("double")
-    quantiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    return df.agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), *[F.percentile(v, q).alias(k) for k, q in quantiles.items()], F.max(v).alias("max"))
+def inspect_column(df: DataFrame, column: str, rule: str = "linear") -> DataFrame:
+    cells = df.select(F.col(column).try_cast("double").alias("value"))
+    v = F.col("value")
+    plain = cells.agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_quantiles(plain, cells, [], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, rule).select("n", "nulls", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
 def outlier_admin_join(flags: DataFrame, df: DataFrame, key: str, roles: Sequence[str]) -> DataFrame:
