@@ -481,9 +481,14 @@ add("quality_report", lambda t: report.quality_report(t.survey, t.visits, CODES,
 # Streams, run to the end of what there is
 
 
-def _stream(t: Tables) -> DataFrame:
+def _stream(t: Tables, repeats: bool = False) -> DataFrame:
+    """The events as a stream; with repeats each row comes twice, and an hour earlier with another value."""
     folder = new_folder(t.spark)
-    t.read("events").select("event_id", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "user_id", "value").repartitionByRange(4, "ts").write.parquet(folder)
+    rows = t.read("events").select("event_id", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "user_id", "value")
+    if repeats:
+        earlier = rows.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 HOUR"), "value": F.col("value") + 1})
+        rows = rows.unionByName(rows).unionByName(earlier)
+    rows.repartitionByRange(4, "ts").write.parquet(folder)
     return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").parquet(folder)
 
 
@@ -504,15 +509,15 @@ def _finished(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
 
 add("stream_submissions_by_day", lambda t: _finished(t, streams.stream_submissions_by_day(_stream(t), "ts"), "complete"), "SELECT ts::DATE AS date, count(*) AS submissions FROM events GROUP BY ALL")
 add("stream_constraint_flags", lambda t: _finished(t, streams.stream_constraint_flags(_stream(t), ["event_id"], {"value": O.Bounds(soft_max=20, hard_max=50)}).select("event_id", "value", "reason")), "SELECT event_id, value, 'soft_max' AS reason FROM events WHERE value > 20")
-add("stream_dedupe_key", lambda t: _finished(t, streams.stream_dedupe_key(_stream(t), "event_id", "ts").select("event_id", "user_id")), "SELECT event_id, user_id FROM events")
+add("stream_dedupe_key", lambda t: _finished(t, streams.stream_dedupe_key(_stream(t, repeats=True), "event_id", "ts").select("event_id", "user_id")), "SELECT event_id, user_id FROM events")
 add("stream_enumerator_activity", lambda t: _finished(t, streams.stream_enumerator_activity(_stream(t), "ts", "user_id"), "complete"), "SELECT (ts::DATE - k)::DATE AS from_date, user_id, count(*) AS submissions FROM events, (SELECT unnest(generate_series(0, 6))::INT AS k) GROUP BY ALL")
 
 
 def _upserted(t: Tables) -> DataFrame:
     out = new_folder(t.spark)
-    query = streams.stream_upsert(_stream(t).select("event_id", "value"), out, "event_id", out + "-state")
+    query = streams.stream_upsert(_stream(t, repeats=True).select("event_id", "ts", "value"), out, "event_id", out + "-state", time="ts")
     query.awaitTermination()
-    return t.spark.read.schema("event_id long, value double").parquet(f"{out}/v={query.lastProgress['batchId'] if query.lastProgress else 0}")
+    return t.spark.read.schema("event_id long, ts timestamp, value double").parquet(f"{out}/v={query.lastProgress['batchId'] if query.lastProgress else 0}").drop("ts")
 
 
 add("stream_upsert", _upserted, "SELECT event_id, value FROM events")
