@@ -78,4 +78,35 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (row)
 """
 
-SQL: dict[str, str] = {"op6_chat_formatting": CHAT, "op7_quality_rules": RULES, "op9_warc": WARC, "op10_secret_scans": SECRETS}
+#: Phrases are kept as lists of words; f has every phrase of one to four words.
+COLLOCATIONS = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: w[i : i + k - 1])) AS phrase FROM p, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*)::HUGEINT AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+s AS (SELECT lang, f AS longer, phrase[i : i + m - 1] AS part FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2))),
+c AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.lang = f.lang AND s.part = f.phrase AND 100 * s.longer >= 80 * f.f)),
+x AS (SELECT *, phrase[:cut] AS a, phrase[cut + 1:] AS b FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c)),
+y AS (SELECT x.lang, x.phrase, x.f AS a, l.f AS l, r.f AS r, cut, (2000000 * x.f) // (l.f + r.f) AS score
+  FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.a JOIN f AS r ON r.lang = x.lang AND r.phrase = x.b),
+z AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM z JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+SEARCH = r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS total, sum(len(terms))::BIGINT AS every FROM t WHERE len(terms) > 0),
+f AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, total),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(terms) * total) // every)))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN t USING (row), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+SQL: dict[str, str] = {
+    "op6_chat_formatting": CHAT, "op7_quality_rules": RULES, "op9_warc": WARC, "op10_secret_scans": SECRETS, "op11_phrase_collocations": COLLOCATIONS, "op13_ranked_search": SEARCH,
+}

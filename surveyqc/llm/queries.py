@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables, the columns of their contracts."""
+"""The registered queries of the operators: production parameters, whole tables, the columns of their contracts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, decontamination, html, licenses, packing, quality, rules, secrets, simhash, warc
+from surveyqc.llm import byte_bpe, chat, collocations, decontamination, html, licenses, packing, quality, rules, search, secrets, simhash, warc
 from surveyqc.llm.common import table, written
 
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of documents that hold a known license notice."""
     return licenses.winners(licenses.scan(table(spark, sf_dir, "documents")))
@@ -94,4 +100,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_best_fit_packing, op3_benchmark_decontamination, op4_html_extraction, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op8_simhash_near_dedup, op9_warc, op10_secret_scans)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document, and of the bytes that they decode to."""
+    back = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path()), ranks_path())
+    return back.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_license_scans, op2_best_fit_packing, op3_benchmark_decontamination, op4_html_extraction, op5_quality_classifier, op6_chat_formatting, op7_quality_rules,
+    op8_simhash_near_dedup, op9_warc, op10_secret_scans, op11_phrase_collocations, op12_byte_bpe, op13_ranked_search,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
