@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -29,3 +29,17 @@ def period_label(date: str | Column, period: str, first: str = "Monday") -> Colu
 
 def auto_period(days: int) -> str:
     return "Day" if days < 20 else "Week" if days < 140 else "Month"
+
+
+def period_labels(df: DataFrame, date: str, period: str, first: str = "Monday", most: int = 1000, between: tuple[str, str] | None = None) -> list[str]:
+    """Labels in order of the periods that df has rows in, or of all periods between two dates. Over `most` are an error, not a cut."""
+    if between:
+        step = {"Day": "INTERVAL 1 DAY", "Week": "INTERVAL 7 DAYS", "Month": "INTERVAL 1 MONTH"}[period]
+        ends = [period_start(F.lit(d).cast("date"), period, first) for d in between]
+        dates = df.sparkSession.range(1).select(F.explode(F.sequence(*ends, F.expr(step))).alias("start_"))
+    else:
+        dates = df.where(F.col(date).isNotNull()).select(period_start(date, period, first).alias("start_")).distinct()
+    rows = dates.orderBy("start_").limit(most + 1).select(period_label("start_", period, first).alias("label")).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} periods")
+    return [r["label"] for r in rows]

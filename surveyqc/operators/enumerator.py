@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import all_of, long_form, n_unique, percent
-from surveyqc.functions.periods import period_label, period_start
+from surveyqc.functions.periods import period_label, period_labels, period_start
 from surveyqc.functions.quantiles import quantiles, with_quantiles
 from surveyqc.operators.missing import missing_encode
 
@@ -63,13 +63,14 @@ def enumerator_summary(df: DataFrame, date: str, by: Sequence[str], as_of: str,
     return with_quantiles(found, df, by, duration, {"median_duration": 0.5})
 
 
-def staff_productivity(df: DataFrame, date: str, by: Sequence[str], period: str = "Week", first: str = "Monday", most: int = 1000) -> DataFrame:
-    """Rows by staff and period, one column a period, 0 where there are none. Serves enumerators and back-checkers."""
-    dated = df.where(F.col(date).isNotNull()).select(*by, period_label(date, period, first).alias("period_"), period_start(date, period, first).alias("start_"))
-    spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
-    if len(spans) > most:
-        raise ValueError(f"over {most} periods")
-    return dated.groupBy(*by).pivot("period_", [r["period_"] for r in spans]).agg(F.count(F.lit(1))).fillna(0)
+def staff_productivity(df: DataFrame, date: str, by: Sequence[str], period: str = "Week", first: str = "Monday", most: int = 1000, between: tuple[str, str] | None = None) -> DataFrame:
+    """Rows by staff and period, one column a period, 0 where there are none: of the periods that have rows, or of all between two dates.
+
+    Serves enumerators and back-checkers.
+    """
+    labels = period_labels(df, date, period, first, most, between)
+    dated = df.where(F.col(date).isNotNull()).select(*by, period_label(date, period, first).alias("period_"))
+    return dated.groupBy(*by).pivot("period_", labels).agg(F.count(F.lit(1))).fillna(0)
 
 
 _QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
@@ -91,13 +92,10 @@ def enumerator_statistics(df: DataFrame, by: Sequence[str], names: Sequence[str]
     return plain.select(*by, *[f"{n}_{s}" for n in names for s in stats])
 
 
-def enumerator_statistics_overtime(df: DataFrame, date: str, by: Sequence[str], column: str, stat: str, period: str = "Month", first: str = "Monday", most: int = 1000) -> DataFrame:
-    """One statistic of one column by group, one column a period, null where there is nothing."""
-    dated = df.where(F.col(date).isNotNull()).withColumns({"period_": period_label(date, period, first), "start_": period_start(date, period, first)})
-    spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
-    if len(spans) > most:
-        raise ValueError(f"over {most} periods")
-    periods = [r["period_"] for r in spans]
+def enumerator_statistics_overtime(df: DataFrame, date: str, by: Sequence[str], column: str, stat: str, period: str = "Month", first: str = "Monday", most: int = 1000, between: tuple[str, str] | None = None) -> DataFrame:
+    """One statistic of one column by group, one column a period, null where there is nothing: of the periods that have rows, or of all between two dates."""
+    periods = period_labels(df, date, period, first, most, between)
+    dated = df.where(F.col(date).isNotNull()).withColumn("period_", period_label(date, period, first))
     if stat not in _QUANTILES:
         return dated.groupBy(*by).pivot("period_", periods).agg(_stat(column, stat))
     told = with_quantiles(dated.groupBy(*by, "period_").agg(F.count("*").alias("rows_")), dated, [*by, "period_"], column, {"told_": _QUANTILES[stat]})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import column_types, n_unique, percent
-from surveyqc.functions.periods import auto_period, period_label, period_start
+from surveyqc.functions.periods import auto_period, period_label, period_labels, period_start
 
 
 def submission_metrics(df: DataFrame, date: str, as_of: str) -> DataFrame:
@@ -30,16 +30,14 @@ def progress_metrics(df: DataFrame, date: str, target: int | None = None) -> Dat
     return df.agg(F.count("*").alias("submissions"), percent(F.count("*"), F.lit(target)).alias("target_pct"), *each)
 
 
-def progress_by_column(df: DataFrame, date: str, column: str, period: str = "Auto", first: str = "Monday", most: int = 1000) -> DataFrame:
-    """Rows by category and period, one column a period (0 where there are none). Periods are counted first: `most` at most."""
+def progress_by_column(df: DataFrame, date: str, column: str, period: str = "Auto", first: str = "Monday", most: int = 1000, between: tuple[str, str] | None = None) -> DataFrame:
+    """Rows by category and period, one column a period (0 where there are none): of the periods that have rows, or of all between two dates."""
     if period == "Auto":
         a, b = df.agg(F.min(F.to_date(date)), F.max(F.to_date(date))).first()
         period = auto_period((b - a).days + 1 if a else 0)
-    dated = df.where(F.col(date).isNotNull()).withColumns({"period_": period_label(date, period, first), "start_": period_start(date, period, first)})
-    spans = dated.select("start_", "period_").distinct().orderBy("start_").limit(most + 1).collect()
-    if len(spans) > most:
-        raise ValueError(f"over {most} periods")
-    return dated.groupBy(column).pivot("period_", [r["period_"] for r in spans]).agg(F.count(F.lit(1))).fillna(0)
+    labels = period_labels(df, date, period, first, most, between)
+    dated = df.where(F.col(date).isNotNull()).withColumn("period_", period_label(date, period, first))
+    return dated.groupBy(column).pivot("period_", labels).agg(F.count(F.lit(1))).fillna(0)
 
 
 def data_quality_metrics(df: DataFrame, survey_id: str, outliers: DataFrame | None = None, backchecks: DataFrame | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from surveyqc.operators import summary as S
 from surveyqc.plans import prep, report
 from surveyqc.plans.fixtures import AS_OF, WITH, Tables
 from surveyqc.sources import files, forms
-from surveyqc.streaming import streams
+from surveyqc.streaming import keyed_table, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -265,10 +265,19 @@ add("submission_metrics", lambda t: S.submission_metrics(t.survey, "survey_date"
     "SELECT first_date, last_date, total, today, week, month, " + ", ".join(f"coalesce(({k} - b_{k}) * 100.0::DOUBLE / nullif(b_{k}, 0), 0) AS {k}_change" for k in _now) + f" FROM (SELECT min(survey_date) AS first_date, max(survey_date) AS last_date, count(*) AS total, {', '.join(f'{_span(a, DAY)} AS {k}, {_span(b, a)} AS b_{k}' for k, (a, b) in _now.items())} FROM survey)", "today_change week_change month_change")
 add("submissions_by_date", lambda t: S.submissions_by_date(t.survey, "survey_date"), "SELECT survey_date AS date, count(*) AS submissions FROM survey GROUP BY ALL")
 add("progress_metrics", lambda t: S.progress_metrics(t.survey, "survey_date", 20000), "SELECT count(*) AS submissions, count(*) * 100.0::DOUBLE / 20000 AS target_pct, count(*) / count(DISTINCT survey_date) AS per_day, count(*) / count(DISTINCT date_trunc('week', survey_date)) AS per_week, count(*) / count(DISTINCT date_trunc('month', survey_date)) AS per_month FROM survey", "target_pct per_day per_week per_month")
-#: One column a month, of whatever months there are.
-MONTHS = "FROM (PIVOT (SELECT *, strftime({date}, '%B %Y') AS month_ FROM {of}) ON month_ USING {what} GROUP BY {by})"
-add("progress_by_column", lambda t: S.progress_by_column(t.survey, "survey_date", "region"),
-    MONTHS.format(by="region", date="survey_date", what="count(*)", of="survey"))
+#: One column a month, over all months of the survey.
+BETWEEN = ("1995-01-01", "2001-08-31")
+_MONTH_NAMES = "January February March April May June July August September October November December".split()
+
+
+def months(by: str, date: str, what: str, of: str) -> str:
+    """what: SQL with {} for the condition of a month."""
+    each = [(y, m) for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
+    columns = [what.format(f"{date} >= DATE '{y}-{m:02}-01' AND {date} < DATE '{y}-{m:02}-01' + INTERVAL 1 MONTH") + f' AS "{_MONTH_NAMES[m - 1]} {y}"' for y, m in each]
+    return f"SELECT {by}, {', '.join(columns)} FROM {of} GROUP BY {by}"
+
+
+add("progress_by_column", lambda t: S.progress_by_column(t.survey, "survey_date", "region", between=BETWEEN), months("region", "survey_date", "count(*) FILTER ({})", "survey"))
 add("data_quality_metrics", lambda t: S.data_quality_metrics(t.survey.select("survey_id", "age", "income"), "survey_id", _flags(t), t.visits.select(F.col("survey_id"))),
     f"SELECT (count(*) - count(DISTINCT survey_id)) * 100.0::DOUBLE / count(*) AS duplicate_pct, (count(*) * 2 - count(age) - count(income)) * 100.0::DOUBLE / (count(*) * 3) AS missing_pct, (SELECT count(*) FILTER (reason <> 'no outlier') * 100.0::DOUBLE / count(*) FROM {FLAGS}) AS outlier_pct, (SELECT count(*) FILTER (survey_id IN (SELECT survey_id FROM visits)) * 100.0::DOUBLE / count(*) FROM (SELECT DISTINCT survey_id FROM survey)) AS backcheck_pct FROM survey", "duplicate_pct missing_pct outlier_pct backcheck_pct")
 add("progress_summary", lambda t: V.progress_summary(t.survey, 20000), "SELECT count(*) AS submissions, 20000 AS target, count(*) * 100.0::DOUBLE / 20000 AS progress_pct FROM survey", "progress_pct")
@@ -347,15 +356,15 @@ _share = lambda test: f"avg(({' + '.join(f'({c} {test})::INT' for c in CELLS)})
 add("enumerator_missing", lambda t: E.enumerator_missing(t.survey, CODES, ["enumerator"], CELLS), f"SELECT enumerator, {_share('= 1')} AS pct_null, {_share('= 2')} AS pct_dont_know, {_share('= 3')} AS pct_refused, {_share('> 0')} AS pct_missing FROM coded GROUP BY enumerator", PCTS)
 add("enumerator_summary", lambda t: E.enumerator_summary(flagged(t), "survey_date", ["enumerator"], AS_OF, "formversion", "duration", CODES, CELLS),
     f"SELECT s.enumerator, min(s.survey_date) AS first_date, max(s.survey_date) AS last_date, count(*) AS submissions, count(DISTINCT s.survey_date) AS active_days, count(*) FILTER (s.survey_date = {DAY}) AS today, count(*) FILTER (s.survey_date BETWEEN date_trunc('week', {DAY}) AND {DAY}) AS this_week, count(*) FILTER (s.survey_date BETWEEN date_trunc('month', {DAY}) AND {DAY}) AS this_month, {_share('> 0').replace('(age', '(c.age').replace('(income', '(c.income').replace('(children', '(c.children').replace('(region', '(c.region')} AS pct_missing, min(duration) AS min_duration, avg(duration) AS mean_duration, quantile_cont(duration, 0.5) AS median_duration, max(duration) AS max_duration, count(DISTINCT formversion) AS form_versions, max(formversion) AS latest_form, count(*) FILTER (formversion < newest) AS outdated_forms, avg((consent = 'yes')::INT) AS mean_consent, avg((outcome = 'complete')::INT) AS mean_completion FROM (SELECT *, max(formversion) OVER (PARTITION BY survey_date) AS newest FROM survey) s JOIN coded c USING (survey_key) GROUP BY s.enumerator", "pct_missing mean_duration median_duration mean_consent mean_completion")
-add("enumerator_productivity", lambda t: E.staff_productivity(t.survey, "survey_date", ["enumerator"], "Month"), MONTHS.format(by="enumerator", date="survey_date", what="count(*)", of="survey"))
+add("enumerator_productivity", lambda t: E.staff_productivity(t.survey, "survey_date", ["enumerator"], "Month", between=BETWEEN), months("enumerator", "survey_date", "count(*) FILTER ({})", "survey"))
 _stats = {"count": "count({c})", "min": "min({c})", "mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "max": "max({c})", "std": "stddev_samp({c})", "p25": "quantile_cont({c}, 0.25)", "p75": "quantile_cont({c}, 0.75)"}
 add("enumerator_statistics", lambda t: E.enumerator_statistics(t.survey, ["enumerator"], ["income"]), "SELECT enumerator, " + ", ".join(f"{e.format(c='income')} AS income_{k}" for k, e in _stats.items()) + " FROM survey GROUP BY enumerator", " ".join(f"income_{k}" for k in _stats if k != "count"))
 def _rounded_months(df: DataFrame) -> DataFrame:
     return df.select("enumerator", *[(F.round(F.col(c), 6) + 0.0).alias(c) for c in df.columns if c != "enumerator"])
 
 
-add("enumerator_statistics_overtime", lambda t: _rounded_months(E.enumerator_statistics_overtime(t.survey, "survey_date", ["enumerator"], "income", "mean")),
-    MONTHS.format(by="enumerator", date="survey_date", what="round(avg(income), 6) + 0.0", of="survey"))
+add("enumerator_statistics_overtime", lambda t: _rounded_months(E.enumerator_statistics_overtime(t.survey, "survey_date", ["enumerator"], "income", "mean", between=BETWEEN)),
+    months("enumerator", "survey_date", "round(avg(income) FILTER ({}), 6) + 0.0", "survey"))
 add("enumerator_duration_zscore", lambda t: E.enumerator_duration_zscore(t.survey, "enumerator", "duration"), "SELECT enumerator, m AS mean_duration, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS zscore FROM (SELECT enumerator, avg(duration) AS m FROM survey GROUP BY enumerator)", "mean_duration zscore")
 add("enumerator_consent_rate", lambda t: E.enumerator_consent_rate(t.survey, "enumerator", "consent", ["yes"]), "SELECT enumerator, count(*) AS persons, count(*) FILTER (consent = 'yes') AS consenting, count(*) FILTER (consent = 'yes') * 100.0::DOUBLE / count(*) AS consent_pct FROM survey GROUP BY enumerator", "consent_pct")
 add("interviews_per_enumerator_day", lambda t: E.interviews_per_enumerator_day(t.survey, "enumerator", "survey_date"), f"SELECT enumerator, sum(submissions)::BIGINT AS interviews, count(*) AS days, avg(submissions) AS per_day, (SELECT avg(submissions) FROM {DAILY}) AS overall_per_day FROM {DAILY} GROUP BY enumerator", "per_day overall_per_day")
@@ -421,7 +430,7 @@ def _spread(t: Tables) -> DataFrame:
 
 add("reliability", lambda t: B.reliability(compared(t)), f"SELECT column_name, var_samp(s - b) / 2 AS srv, 1 - var_samp(s - b) / 2 / var_samp(s) AS reliability FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "srv reliability")
 add("backcheck_summary", lambda t: B.backcheck_summary(t.survey, t.visits, "survey_id", "enumerator", "backchecker"), "SELECT *, backchecks * 100.0::DOUBLE / surveys AS coverage_pct FROM (SELECT count(*) AS surveys, count(DISTINCT enumerator) AS enumerators FROM survey), (SELECT count(*) AS backchecks, count(DISTINCT backchecker) AS backcheckers FROM visits)", "coverage_pct")
-add("backchecker_productivity", lambda t: E.staff_productivity(t.visits, "backcheck_date", ["backchecker"], "Month"), MONTHS.format(by="backchecker", date="backcheck_date", what="count(*)", of="visits"))
+add("backchecker_productivity", lambda t: E.staff_productivity(t.visits, "backcheck_date", ["backchecker"], "Month", between=BETWEEN), months("backchecker", "backcheck_date", "count(*) FILTER ({})", "visits"))
 _rate = lambda k, w: RATES.format(w=w, k=k)
 add("staff_backcheck_stats", lambda t: B.staff_backcheck_stats(attached(t), "enumerator", "survey_id"),
     f"SELECT enumerator, backchecks, mean_days, * EXCLUDE (enumerator, backchecks, mean_days) FROM (SELECT enumerator, count(*) AS backchecks, round(avg(backcheck_date::DATE - survey_date), 1) AS mean_days FROM (SELECT DISTINCT enumerator, survey_id, survey_date, backcheck_date FROM {PAIRS}) GROUP BY enumerator) JOIN (SELECT enumerator, {_rate('', '')}, {_rate('_1', 'category = 1 AND')}, {_rate('_2', 'category = 2 AND')}, {_rate('_3', 'category = 3 AND')} FROM {PAIRS} GROUP BY enumerator) USING (enumerator)", "mean_days error_rate error_rate_1 error_rate_2 error_rate_3")
@@ -481,43 +490,72 @@ add("quality_report", lambda t: report.quality_report(t.survey, t.visits, CODES,
 # Streams, run to the end of what there is
 
 
+def _replay(t: Tables, *files: DataFrame) -> DataFrame:
+    """Each table as a file of a stream, one a micro-batch, in this order."""
+    folder = new_folder(t.spark)
+    for rows in files:
+        rows.select("event_id", "ts", "user_id", "value").coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.read("events").select("event_id", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "user_id", "value")
+
+
+def _earlier(rows: DataFrame) -> DataFrame:
+    """The same events an hour before, with another value."""
+    return rows.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 HOUR"), "value": F.col("value") + 1})
+
+
 def _stream(t: Tables, repeats: bool = False) -> DataFrame:
     """The events as a stream; with repeats each row comes twice, and an hour earlier with another value."""
     folder = new_folder(t.spark)
-    rows = t.read("events").select("event_id", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "user_id", "value")
+    rows = _events(t)
     if repeats:
-        earlier = rows.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 HOUR"), "value": F.col("value") + 1})
-        rows = rows.unionByName(rows).unionByName(earlier)
+        rows = rows.unionByName(rows).unionByName(_earlier(rows))
     rows.repartitionByRange(4, "ts").write.parquet(folder)
     return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").parquet(folder)
 
 
-def _finished(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
+def _late(t: Tables) -> DataFrame:
+    """The events in two halves, then every tenth once more."""
+    rows = _events(t)
+    return _replay(t, rows.where("ts < '2024-01-16'"), rows.where("ts >= '2024-01-16'"), rows.where("event_id % 10 = 0"))
+
+
+def _finished(t: Tables, df: DataFrame) -> DataFrame:
     out = new_folder(t.spark)
-    if mode == "append":
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-        return t.spark.read.schema(df.schema).parquet(out)
-    latest = []
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(out)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v={number}")
-        latest.append(number)
 
-    df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(f"{out}/v={max(latest)}")
+def _windows(t: Tables, counted: DataFrame, *by: str) -> DataFrame:
+    """What all micro-batches gave, by window."""
+    return _finished(t, counted).groupBy(*by).agg(F.sum("submissions").alias("submissions"), F.sum("late").alias("late"))
 
 
-add("stream_submissions_by_day", lambda t: _finished(t, streams.stream_submissions_by_day(_stream(t), "ts"), "complete"), "SELECT ts::DATE AS date, count(*) AS submissions FROM events GROUP BY ALL")
-add("stream_constraint_flags", lambda t: _finished(t, streams.stream_constraint_flags(_stream(t), ["event_id"], {"value": O.Bounds(soft_max=20, hard_max=50)}).select("event_id", "value", "reason")), "SELECT event_id, value, 'soft_max' AS reason FROM events WHERE value > 20")
+#: Rows of the second half are in time for windows of the first; the third file's rows are late where a window ends before the watermark.
+WINDOWS = """SELECT from_date AS {date}{by}, (count(*) FILTER (part = 1 OR NOT closed) * is_out::INT)::BIGINT AS submissions, count(*) FILTER (part = 2 AND closed) AS late
+  FROM (SELECT *, stop < mark AS closed, stop + INTERVAL 1 MILLISECOND < mark AS is_out FROM (
+      SELECT user_id, part, (ts::DATE - k)::DATE AS from_date, (ts::DATE - k)::TIMESTAMP + INTERVAL {days} DAY AS stop
+      FROM (SELECT user_id, ts, 1 AS part FROM events UNION ALL SELECT user_id, ts, 2 FROM events WHERE event_id % 10 = 0), (SELECT unnest(generate_series(0, {days} - 1))::INT AS k)),
+    (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY AS mark FROM events))
+  GROUP BY from_date{by}, is_out HAVING is_out OR count(*) FILTER (part = 2 AND closed) > 0"""
+add("stream_submissions_by_day", lambda t: _windows(t, streams.stream_submissions_by_day(_late(t), "ts"), "date"), WINDOWS.format(date="date", by="", days=1))
+add("stream_constraint_flags", lambda t: _finished(t, streams.stream_constraint_flags(_stream(t), ["event_id"], {"value": O.Bounds(soft_max=20, hard_max=50)}).select("event_id", "value", "reason")),
+    "SELECT event_id, value, 'soft_max' AS reason FROM events WHERE value > 20")
 add("stream_dedupe_key", lambda t: _finished(t, streams.stream_dedupe_key(_stream(t, repeats=True), "event_id", "ts").select("event_id", "user_id")), "SELECT event_id, user_id FROM events")
-add("stream_enumerator_activity", lambda t: _finished(t, streams.stream_enumerator_activity(_stream(t), "ts", "user_id"), "complete"), "SELECT (ts::DATE - k)::DATE AS from_date, user_id, count(*) AS submissions FROM events, (SELECT unnest(generate_series(0, 6))::INT AS k) GROUP BY ALL")
+add("stream_enumerator_activity", lambda t: _windows(t, streams.stream_enumerator_activity(_late(t), "ts", "user_id"), "from_date", "user_id"),
+    WINDOWS.format(date="from_date", by=", user_id", days=7))
 
 
 def _upserted(t: Tables) -> DataFrame:
-    out = new_folder(t.spark)
-    query = streams.stream_upsert(_stream(t, repeats=True).select("event_id", "ts", "value"), out, "event_id", out + "-state", time="ts")
-    query.awaitTermination()
-    return t.spark.read.schema("event_id long, ts timestamp, value double").parquet(f"{out}/v={query.lastProgress['batchId'] if query.lastProgress else 0}").drop("ts")
+    """Three batches: two thirds of the events, then all an hour earlier (older rows of the first, new keys), then the last third with repeats and equal times."""
+    out, rows = new_folder(t.spark), _events(t)
+    rest = rows.where("event_id % 3 = 0")
+    source = _replay(t, rows.where("event_id % 3 <> 0"), _earlier(rows), rest.unionByName(rest).unionByName(rest.withColumn("value", F.col("value") - 1)))
+    streams.stream_upsert(source.select("event_id", "ts", "value"), out, "event_id", out + "-state", time="ts").awaitTermination()
+    return keyed_table.read(t.spark, out, "event_id long, ts timestamp, value double").drop("ts")
 
 
 add("stream_upsert", _upserted, "SELECT event_id, value FROM events")

@@ -2,18 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from surveyqc.operators.outliers import Bounds, constraint_violations
-from surveyqc.sources.forms import upsert_by_key
+from surveyqc.streaming import keyed_table
+
+
+def windowed_counts(events: DataFrame, time: str, by: Sequence[str], period: str, slide: str | None, delay: str) -> DataFrame:
+    """date (a window's first), by, submissions, late: rows of each window, once when the watermark has passed its end, and rows that came after, as they come.
+
+    A row is late in a window whose end is before the watermark, the greatest time of earlier batches less the delay. Every row comes
+    to the state twice: once with its time as the watermark's clock, which Spark drops when it is late, and once without a clock,
+    which is counted. So no row is lost: counts and late rows of closed windows add up to all of theirs. Rows without a time are in no
+    window. Output mode append; sums over a window's rows are final but for what is still late.
+    """
+    clock = F.explode(F.array(F.struct(F.col(time).alias("clock_"), F.lit(0).alias("n_")), F.struct(F.lit(None).cast("timestamp").alias("clock_"), F.lit(1).alias("n_"))))
+    twice = events.select(F.col(time).alias("at_"), *by, clock.alias("c_")).select("at_", *by, "c_.clock_", "c_.n_").withWatermark("clock_", delay)
+    windows = F.window("at_", period, slide) if slide else F.window("at_", period)
+    rows = twice.withColumn("window_", windows).withColumns({"end_": F.unix_millis("window_.end"), "date": F.to_date("window_.start")}).select("clock_", "end_", "date", *by, "n_")
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end, *own = key
+
+        def row(submissions: int, late: int) -> pd.DataFrame:
+            return pd.DataFrame([[*own, submissions, late]], columns=["date", *by, "submissions", "late"])
+
+        if state.hasTimedOut:
+            yield row(state.get[0], 0)
+            state.remove()
+            return
+        n = sum(int(f["n_"].sum()) for f in frames)
+        if not n:
+            return
+        if end < state.getCurrentWatermarkMs():
+            yield row(0, n)
+            return
+        state.update(((state.get[0] if state.exists else 0) + n,))
+        state.setTimeoutTimestamp(int(end) + 1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in ("date", *by)) + ", submissions long, late long"
+    return rows.groupBy("end_", "date", *by).applyInPandasWithState(count, out, "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_submissions_by_day(events: DataFrame, time: str, period: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Rows by day; what comes later than the delay is dropped by the watermark."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, period)).agg(F.count("*").alias("submissions")).select(F.to_date("window.start").alias("date"), "submissions")
+    """date, submissions, late: rows by day, and those that came too late for it (see windowed_counts)."""
+    return windowed_counts(events, time, [], period, None, delay)
 
 
 def stream_constraint_flags(events: DataFrame, ids: Sequence[str], bounds: Mapping[str, Bounds]) -> DataFrame:
@@ -26,21 +66,18 @@ def stream_dedupe_key(events: DataFrame, key: str, time: str, delay: str = "2 da
 
 
 def stream_enumerator_activity(events: DataFrame, time: str, enumerator: str, delay: str = "2 days") -> DataFrame:
-    """Rows of each enumerator in 7 days, ending each day."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, "7 days", "1 day"), enumerator).agg(F.count("*").alias("submissions")).select(F.to_date("window.start").alias("from_date"), enumerator, "submissions")
+    """from_date, enumerator, submissions, late: rows of each enumerator in 7 days, ending each day, and late ones (see windowed_counts)."""
+    return windowed_counts(events, time, [enumerator], "7 days", "1 day", delay).withColumnRenamed("date", "from_date")
 
 
-def stream_upsert(events: DataFrame, folder: str, key: str, checkpoint: str, time: str | None = None):
-    """Upserts each micro-batch by key into the newest version under the folder (v=0, v=1 ...); a repeated batch writes the same version.
+def stream_upsert(events: DataFrame, folder: str, key: str, checkpoint: str, time: str | None = None, buckets: int = 64) -> Any:
+    """Merges each micro-batch into the keyed table under the folder (keyed_table.read reads it); a repeated batch writes the same again.
 
-    Of the rows of a key in one batch the latest by `time` is used, ties by all columns; without `time`, the largest row.
+    Of all rows of a key, of whatever batch, the latest by `time` stays, ties by all columns; without `time`, the largest row. The
+    folder belongs to the checkpoint: both are kept or dropped together.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        row = F.struct(*[time] if time else [], *[c for c in batch.columns if c != time])
-        latest = batch.groupBy(F.col(key).alias("key_")).agg(F.max(row).alias("row_")).select("row_.*").select(*batch.columns)
-        old = spark.read.parquet(f"{folder}/v={number - 1}") if number else None
-        (latest if old is None else upsert_by_key(old, latest, key)).write.mode("overwrite").parquet(f"{folder}/v={number}")
+    def each(batch: DataFrame, number: int) -> None:
+        keyed_table.merge(batch, folder, number, key, time, buckets)
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
