@@ -30,3 +30,15 @@ def student_two_sided(t: float | None, df: int) -> float | None:
         return h
 
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def signed_rank_two_sided(doubled: list[int], w: float) -> float:
+    """P of a signed-rank sum as far out as w, either way, over all signs of the ranks (given twice over, as ties have halves).
+
+    Counts of the sums by dynamic programming: adding a rank shifts a copy of what was there.
+    """
+    ways = [1]
+    for rank in doubled:
+        ways = [a + b for a, b in zip(ways + [0] * rank, [0] * rank + ways, strict=True)]
+    low = round(2 * min(w, sum(doubled) / 2 - w))
+    return min(1.0, 2 * sum(ways[: low + 1]) / 2 ** len(doubled))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import percent
-from surveyqc.functions.stats import normal_two_sided, student_two_sided
+from surveyqc.functions.stats import normal_two_sided, signed_rank_two_sided, student_two_sided
 from surveyqc.operators.duplicates import dedupe_keep
 
 SUFFIX = "__BCCL"
@@ -140,22 +140,30 @@ def proportion_test(analysis: DataFrame) -> DataFrame:
     return analysis.sparkSession.createDataFrame(made, "column_name string, n long, z double, p double")
 
 
+#: Differences up to which p is exact: without and with ties.
+EXACT, EXACT_TIED = 50, 13
+
+
 def signed_rank_test(analysis: DataFrame) -> DataFrame:
-    """column_name, n (non-zero differences), w, z, p by the normal approximation with tie correction, note where it is skipped.
+    """column_name, n (non-zero differences), w, z, p, note where the test is skipped.
 
-    Differences are counted by size first; average ranks come from running counts of those, by column.
+    Differences are counted by size first; average ranks come from running counts of those, by column. p is exact for up to EXACT
+    differences, with ties for up to EXACT_TIED; for more it is the normal approximation with tie correction.
     """
     d = F.col("s") - F.col("b")
     sizes = _pairs(analysis).where(d != 0).groupBy("column_name", F.abs(d).alias("size")).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("up"))
     before = F.sum("n").over(Window.partitionBy("column_name").orderBy("size")) - F.col("n")
     ranked = sizes.withColumn("rank", before + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy("column_name").agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("up"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("down"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"), F.count("*").alias("sizes"))
+    few = F.when(F.col("rank") + (F.col("n") - 1) / 2 <= EXACT, F.struct("rank", "n"))  # of a column with more differences only some, which go unused
+    sums = ranked.groupBy("column_name").agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("up"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("down"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"), F.collect_list(few).alias("few"))
     made = []
     for r in sums.collect():  # a row a column
         n, w = r["n"], min(r["up"], r["down"])
         v = n * (n + 1) * (2 * n + 1) / 24 - r["ties"] / 48
         z = (w - n * (n + 1) / 4) / math.sqrt(v) if v > 0 else None
-        made.append((r["column_name"], n, float(w), z, normal_two_sided(z), None if v > 0 else "differences do not vary"))
+        exact = n <= (EXACT_TIED if r["ties"] else EXACT)
+        p = signed_rank_two_sided([round(2 * x["rank"]) for x in r["few"] for _ in range(x["n"])], w) if exact else normal_two_sided(z)
+        made.append((r["column_name"], n, float(w), z, p if v > 0 else None, None if v > 0 else "differences do not vary"))
     return analysis.sparkSession.createDataFrame(made, "column_name string, n long, w double, z double, p double, note string")
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import long_form, percent
+from surveyqc.functions.skew import join_counted
 
 
 def _with_counts(df: DataFrame, column: str) -> DataFrame:
     """df with rows_ (rows of the value) and n_ (0 for null). Counted before they are joined: a common value costs no large task."""
-    counts = df.groupBy(column).agg(F.count("*").alias("rows_"), F.count(column).alias("n_")).withColumnRenamed(column, "value_")
-    return df.join(counts.where("rows_ > 1"), F.col(column).eqNullSafe(F.col("value_"))).drop("value_")
+    counts = df.groupBy(column).agg(F.count("*").alias("rows_"), F.count(column).alias("n_"))
+    return join_counted(df, column, counts, "rows_").where("rows_ > 1")
 
 
 def id_duplicates(df: DataFrame, survey_id: str) -> DataFrame:
@@ -66,10 +67,10 @@ def anti_duplicates(df: DataFrame, survey_id: str) -> DataFrame:
 
 def count_over(df: DataFrame, column: str, name: str = "count") -> DataFrame:
     """Rows of the row's value as a column (null values: 0)."""
-    counts = df.groupBy(column).agg(F.count(column).alias(name)).withColumnRenamed(column, "value_")
-    return df.join(counts, F.col(column).eqNullSafe(F.col("value_")), "left").drop("value_")
+    counts = df.groupBy(column).agg(F.count("*").alias("rows_"), F.count(column).alias(name))
+    return join_counted(df, column, counts, "rows_").drop("rows_")
 
 
 def is_duplicated(df: DataFrame, column: str, name: str = "is_duplicated") -> DataFrame:
-    counts = df.groupBy(column).agg((F.count("*") > 1).alias(name)).withColumnRenamed(column, "value_")
-    return df.join(counts, F.col(column).eqNullSafe(F.col("value_")), "left").drop("value_")
+    counts = df.groupBy(column).agg(F.count("*").alias("rows_"), (F.count("*") > 1).alias(name))
+    return join_counted(df, column, counts, "rows_").drop("rows_")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyqc.functions.columns import all_of, long_form, n_unique, percent
 from surveyqc.functions.periods import period_label, period_labels, period_start
 from surveyqc.functions.quantiles import quantiles, with_quantiles
+from surveyqc.functions.scans import running_sum
 from surveyqc.operators.missing import missing_encode
 
 STATS = ("count", "min", "mean", "median", "max", "std", "p25", "p75")
@@ -125,4 +126,5 @@ def daily_max_over(df: DataFrame, date: str, column: str, name: str = "daily_max
 
 
 def running_total(df: DataFrame, by: str, order: str, value: str, name: str = "running_total") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """The value summed over the group's rows so far: a scan over parts, so that a group of any size spreads over tasks."""
+    return running_sum(df, [by], [order], value, name)

@@ -154,38 +154,91 @@ def gps_kmeans_areas(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return model.transform(vectors).drop("at_").unionByName(df.where("latitude IS NULL OR longitude IS NULL"), allowMissingColumns=True)
 
 
-def nearest_neighbours(spots: DataFrame, k: int, rounds: int = 24) -> DataFrame:
+#: Metres that level 0 of the cells covers, over half the equator; each level halves them, down to about a metre.
+TOP_WIDTH, LEVELS = 20_040_000.0, 24
+#: Levels that are counted in one pass; rows of a cell that meet in one task.
+AT_ONCE, CELL = 4, 1024
+
+
+def _step(level: Column) -> Column:
+    """Degrees that a cell of the level is high."""
+    return F.lit(math.degrees(TOP_WIDTH / RADIUS_M)) / F.pow(F.lit(2.0), level)
+
+
+def _leveled(spots: DataFrame, least: int) -> DataFrame:
+    """spots with `level`: the finest on which a place's own cell holds `least` rows, as in a quadtree that splits by counts.
+
+    Only places whose cell holds enough rows on one level are counted on the next ones.
+    """
+    found = []
+    alive = spots.withColumn("level", F.lit(0))
+    for base in range(0, LEVELS, AT_ONCE):
+        each = alive.withColumn("finer_", F.explode(F.sequence(F.lit(base + 1), F.lit(base + AT_ONCE))))
+        row = F.floor(F.col("lat") / _step(F.col("finer_"))).cast("long")
+        each = each.withColumn("cell_y", row).withColumn("cell_x", _column(F.col("cell_y"), _step(F.col("finer_"))))
+        full = each.groupBy("finer_", "cell_y", "cell_x").agg(F.sum("n").alias("rows_")).where(F.col("rows_") >= least).drop("rows_")
+        best = each.join(full, ["finer_", "cell_y", "cell_x"]).groupBy("point").agg(F.max("finer_").alias("best_"))
+        told = written(alive.join(best, "point", "left").withColumn("level", F.coalesce("best_", "level")).drop("best_"))
+        done = F.col("level") < base + AT_ONCE
+        found.append(told.where(done))
+        alive = told.where(~done)
+        if alive.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [*found, alive])
+
+
+def _around(left: DataFrame, spots: DataFrame) -> DataFrame:
+    """point, other, lat_b, lon_b, n_other, distance: for each place of left the rows of its cell and those around, on its level, as far as a cell is wide.
+
+    A cell of more than CELL places, as where a lone place looks into a town, is dealt in parts, each of which meets all that look into it.
+    """
+    step = _step(F.col("level"))
+    looking = left.withColumn("row_", F.explode(F.sequence(F.floor(F.col("lat") / step).cast("long") - 1, F.floor(F.col("lat") / step).cast("long") + 1)))
+    column, n = _column(F.col("row_"), step), _columns(F.col("row_"), step)
+    around = F.array_distinct(F.transform(F.sequence(column - 3, column + 3), lambda c: F.pmod(c, n)))
+    looking = looking.withColumn("cell_x", F.explode(around)).select("point", "level", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("row_").alias("cell_y"), "cell_x")
+    cell = ["level", "cell_y", "cell_x"]
+    levels = [r["level"] for r in left.select("level").distinct().collect()]  # LEVELS at most
+    seen = spots.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("cell_y", F.floor(F.col("lat") / step).cast("long"))
+    seen = seen.withColumn("cell_x", _column(F.col("cell_y"), step)).select(*cell, F.col("point").alias("other"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("n").alias("n_other"))
+    parts = written(seen.groupBy(*cell).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts_")).where("parts_ > 1"))
+    dealt = lambda df: df.join(parts, cell, "left").withColumn("parts_", F.coalesce("parts_", F.lit(1)))
+    looking = dealt(looking).withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1))).drop("parts_")
+    seen = dealt(seen).withColumn("part_", F.pmod(F.xxhash64("other"), F.col("parts_")).cast("int")).drop("parts_")
+    near = looking.join(seen, [*cell, "part_"]).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
+    return near.where(F.col("distance") <= TOP_WIDTH / F.pow(F.lit(2.0), F.col("level"))).select("point", "other", "lat_b", "lon_b", "n_other", "distance")
+
+
+def nearest_neighbours(spots: DataFrame, k: int) -> DataFrame:
     """point, other, distance, take: the k nearest rows of each place (a place with n rows counts n times, itself less one).
 
-    Cells begin at a width that should hold k rows, by the spread of the middle nine tenths, and grow threefold for the places
-    that lack neighbours within a cell's width: neighbours are exact without comparing all pairs.
+    Each place looks about in cells of its own level, which hold a few rows each wherever it lies; those that lack neighbours within a
+    cell's width look again one level up. Of places that are equally near (to a micrometre) those with the smaller coordinates come
+    first. Neighbours are exact; only k places of each part of a cell leave a task.
     """
-    span = lambda c: (F.percentile_approx(c, 0.95) - F.percentile_approx(c, 0.05)).alias(c)
-    total, high, wide = spots.agg(F.sum("n"), span("lat"), span("lon")).first()
-    total = total or 0
+    total = spots.agg(F.sum("n")).first()[0] or 0
     k = min(k, max(total - 1, 0))
-    area = math.radians(high or 0) * math.radians(wide or 0) * RADIUS_M**2
-    found, left, metres = [], spots, max(1.0, math.sqrt(area * k / max(total, 1)))
-    for _ in range(rounds):
-        near = neighbour_join(left, metres, among=spots)
-        w = Window.partitionBy("point").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        near = near.withColumn("n_other", F.when(F.col("point") == F.col("other"), F.col("n_other") - 1).otherwise(F.col("n_other"))).where("n_other > 0").withColumn("rank_", F.sum("n_other").over(w))
+    found, left = [], _leveled(spots, max(2, k // 3))
+    while True:
+        near = _around(left, spots).withColumn("n_other", F.when(F.col("point") == F.col("other"), F.col("n_other") - 1).otherwise(F.col("n_other"))).where("n_other > 0")
+        order = [F.round("distance", 6), F.col("lat_b"), F.col("lon_b")]
+        near = near.withColumn("nth_", F.row_number().over(Window.partitionBy("point").orderBy(*order))).where(F.col("nth_") <= k)
+        w = Window.partitionBy("point").orderBy("nth_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = written(near.withColumn("rank_", F.sum("n_other").over(w)))
         done = near.groupBy("point").agg(F.max("rank_").alias("have_")).where(F.col("have_") >= k).select("point")
-        found.append(written(near.where(F.col("rank_") - F.col("n_other") < k).withColumn("take", F.least(F.col("n_other"), k - (F.col("rank_") - F.col("n_other")))).join(done, "point", "left_semi").select("point", "other", "distance", "take")))
-        left = written(left.join(done, "point", "left_anti"))
+        taken = near.where(F.col("rank_") - F.col("n_other") < k).withColumn("take", F.least(F.col("n_other"), k - (F.col("rank_") - F.col("n_other"))))
+        found.append(taken.join(done, "point", "left_semi").select("point", "other", "distance", "take"))
+        left = written(left.where("level > 0").join(done, "point", "left_anti").withColumn("level", F.col("level") - 1))
         if left.isEmpty():
-            break
-        metres *= 3
-    else:
-        raise ValueError(f"no {k} neighbours within {metres} metres for some places")
-    return reduce(DataFrame.unionByName, found)
+            return reduce(DataFrame.unionByName, found)
 
 
-def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float = 0.1) -> DataFrame:
-    """key, lof, is_outlier: Local Outlier Factor by k nearest neighbours in metres; the `contamination` share with the highest.
+def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float | str = 0.1) -> DataFrame:
+    """key, lof, is_outlier: Local Outlier Factor by k nearest neighbours in metres; the `contamination` share with the highest, or with "auto" those over 1.5.
 
     Per distinct place: k-distance, reachability, its mean's inverse (a small constant keeps it finite where all neighbours
     share the place), then the neighbours' mean density over the own. A row alone has no neighbours: its lof is 1, no outlier.
+    Factors that are equal to nine places are equal.
     """
     spots = written(places(df))
     if (spots.agg(F.sum("n")).first()[0] or 0) < 2:
@@ -197,4 +250,6 @@ def gps_lof_outliers(df: DataFrame, key: str, k: int = 20, contamination: float
     factor = near.join(lrd.select(F.col("point").alias("other"), F.col("lrd").alias("lrd_other")), "other").groupBy("point").agg((F.sum(F.col("lrd_other") * F.col("take")) / F.sum("take")).alias("mean_"))
     lof = factor.join(lrd, "point").select("point", (F.col("mean_") / F.col("lrd")).alias("lof"))
     rows = df.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(key, F.xxhash64("latitude", "longitude").alias("point")).join(lof, "point").select(key, "lof")
-    return rows.crossJoin(quantiles(rows, [], "lof", {"cut_": 1 - contamination})).select(key, "lof", (F.col("lof") > F.col("cut_")).alias("is_outlier"))  # one row
+    if contamination == "auto":
+        return rows.withColumn("is_outlier", F.round("lof", 9) > 1.5)
+    return rows.crossJoin(quantiles(rows, [], "lof", {"cut_": 1 - contamination})).select(key, "lof", (F.round("lof", 9) > F.round("cut_", 9)).alias("is_outlier"))  # one row

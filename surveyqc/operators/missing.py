@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +73,42 @@ def missing_compare(coded: DataFrame, names: Sequence[str], group: str) -> DataF
     return by.crossJoin(by.agg(F.sum("n").alias("all_"))).select(group, "n", percent(F.col("n"), F.col("all_")).alias("pct_rows"), *[f"pct_{n}" for n in names])
 
 
+def nullity_patterns(coded: DataFrame, names: Sequence[str]) -> DataFrame:
+    """bits (which of the columns are missing, 63 to a number), n: rows of each pattern."""
+    words = [names[i : i + 63] for i in range(0, len(names), 63)]
+    packed = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(c) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(own)]) for own in words]
+    return coded.select(F.array(*packed).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
+
+
 def nullity_correlation(coded: DataFrame, names: Sequence[str]) -> DataFrame:
-    """column_1, column_2, correlation of the 0/1 indicators, for each pair once; null where an indicator never varies."""
-    indicator = coded.select(*[(F.col(n) > 0).cast("double").alias(n) for n in names])
-    pairs = list(combinations(names, 2))
-    one = indicator.agg(*[F.corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)])
-    parts = [F.struct(F.lit(b).alias("column_1"), F.lit(a).alias("column_2"), F.nanvl(F.col(str(i)), F.lit(None)).alias("correlation")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    """column_1, column_2, correlation of the 0/1 indicators, for each pair once; null where an indicator never varies.
+
+    Rows are packed to patterns of missing columns and counted by pattern. How many rows lack both of two columns comes from the bit
+    planes of the distinct patterns: one product of matrices a task, whose cells Spark sums.
+    """
+    k = len(names)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = np.zeros((k, k), np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                words = np.asarray(part.column("bits").flatten()).reshape(part.num_rows, -1)
+                planes = np.concatenate([words[:, i // 63] >> (i % 63) & 1 for i in range(k)]).reshape(k, -1).astype(np.float64)
+                n = np.asarray(part.column("n"))
+                for shift in (0, 24, 48):  # sums of products stay below 2 ** 53
+                    exact += (planes @ (planes * (n >> shift & 0xFFFFFF)).T).astype(np.int64) << shift
+        a, b = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(exact[a, b])], ["a", "b", "n"])
+
+    pairs = nullity_patterns(coded, names).mapInArrow(both, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    single = pairs.where("a = b")  # a row a column
+    rows = coded.agg(F.count("*").cast("double").alias("rows_"))
+    one = lambda end: F.broadcast(single.select(F.col("a").alias(end), F.col("n").cast("double").alias(f"n_{end}")))
+    told = pairs.where("a < b").join(one("a"), "a").join(one("b"), "b").crossJoin(rows)
+    spread = F.sqrt(F.col("n_a") * (F.col("rows_") - F.col("n_a"))) * F.sqrt(F.col("n_b") * (F.col("rows_") - F.col("n_b")))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c).cast("int") + 1)
+    return told.select(name("b").alias("column_1"), name("a").alias("column_2"), F.when(spread > 0, (F.col("rows_") * F.col("n") - F.col("n_a") * F.col("n_b")) / spread).alias("correlation"))
 
 
 def partially_missing_columns(coded: DataFrame, names: Sequence[str]) -> DataFrame:

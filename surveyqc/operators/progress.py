@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import percent
 from surveyqc.functions.periods import period_start
+from surveyqc.functions.scans import fill_both_ways
 
 
 def progress_summary(df: DataFrame, target: int) -> DataFrame:
@@ -33,18 +34,14 @@ def consent_completion(df: DataFrame, consent: str, consent_values: Sequence[Any
 
 
 def fill_within_id(df: DataFrame, survey_id: str, date: str, names: Sequence[str], key: str) -> DataFrame:
-    """First row of each id by date (then key) with columns filled forward, then backward, within the id."""
-    before = Window.partitionBy(survey_id).orderBy(date, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(survey_id).orderBy(date, key).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = [F.coalesce(F.last(n, True).over(before), F.first(n, True).over(after)).alias(n) for n in names]
-    nth = F.row_number().over(Window.partitionBy(survey_id).orderBy(date, key)).alias("nth_")
-    return df.select(survey_id, *filled, nth).where("nth_ = 1").drop("nth_")
+    """First row of each id by date (then key) with columns filled forward, then backward, within the id: each column's first value that isn't null."""
+    first = [F.min_by(n, F.when(F.col(n).isNotNull(), F.struct(date, key))).alias(n) for n in names]
+    return df.groupBy(survey_id).agg(*first)
 
 
 def fill_over(df: DataFrame, by: str, order: Sequence[str], names: Sequence[str]) -> DataFrame:
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumns({n: F.coalesce(F.last(n, True).over(before), F.first(n, True).over(after)) for n in names})
+    """df with columns filled forward, then backward, within `by`: a scan over parts, so that a group of any size spreads over tasks."""
+    return fill_both_ways(df, [by], order, names)
 
 
 def attempted_interviews(df: DataFrame, survey_id: str, date: str, most: int = 50) -> DataFrame:

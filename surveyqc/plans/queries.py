@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from surveyqc.functions import columns as C
 from surveyqc.functions import periods as P
 from surveyqc.functions import transforms as X
+from surveyqc.functions.geo import geodesic
 from surveyqc.functions.shared import new_folder
 from surveyqc.operators import backchecks as B
 from surveyqc.operators import corrections as K
@@ -96,6 +97,9 @@ add("scan_parquet", lambda t: files.scan_parquet(t.spark, f"{t.sf_dir}/orders.pa
 add("scan_stata_many", _stata, "SELECT survey_key, duration::DOUBLE AS duration FROM survey")
 add("incremental_append", lambda t: forms.incremental_append(t.survey.where("survey_date < '2000-01-01'").select("survey_key", "survey_date", "age"), t.survey.where("survey_key % 2 = 0").select("survey_key", "survey_date", "region"), "survey_date"),
     "SELECT survey_key, survey_date, age, NULL::VARCHAR AS region FROM survey WHERE survey_date < '2000-01-01' UNION ALL SELECT survey_key, survey_date, NULL, region FROM survey WHERE survey_key % 2 = 0 AND survey_date > (SELECT max(survey_date) FROM survey WHERE survey_date < '2000-01-01')")
+add("incremental_append_ties", lambda t: forms.incremental_append(t.survey.where("survey_date < '2000-01-01' AND survey_key % 3 <> 0").select("survey_key", "survey_date", "age"), t.survey.select("survey_key", "survey_date", "region"), "survey_date", key="survey_key", tolerance="10 days"),
+    """SELECT survey_key, survey_date, CASE WHEN survey_date < '2000-01-01' AND survey_key % 3 <> 0 THEN age END AS age, CASE WHEN NOT (survey_date < '2000-01-01' AND survey_key % 3 <> 0) THEN region END AS region
+    FROM survey WHERE survey_date < '2000-01-01' AND survey_key % 3 <> 0 OR survey_date >= (SELECT max(survey_date) FROM survey WHERE survey_date < '2000-01-01' AND survey_key % 3 <> 0) - INTERVAL 10 DAY""")
 add("upsert_by_key", lambda t: forms.upsert_by_key(t.survey.where("survey_key % 3 <> 0").select("survey_key", "duration"), t.survey.where("survey_key % 2 = 0").select("survey_key", (F.col("duration") + 1).alias("duration")), "survey_key"),
     "SELECT survey_key, CASE WHEN survey_key % 2 = 0 THEN duration + 1 ELSE duration END AS duration FROM survey WHERE survey_key % 3 <> 0 OR survey_key % 2 = 0")
 add("coalesce_key", lambda t: forms.coalesce_key(t.survey.select(F.when(F.col("survey_key") % 5 == 0, "").otherwise(F.concat(F.lit("k"), "survey_key")).alias("KEY"), F.concat(F.lit("i"), "survey_key").alias("instanceID"))),
@@ -205,7 +209,7 @@ PLAIN = B.TextOptions(case="lower", trim=True)
 
 
 def compared(t: Tables) -> DataFrame:
-    own = t.survey.withColumn("survey_id", F.col("survey_key")).where("income IS NULL OR income < 1e6")
+    own = t.survey.withColumn("survey_id", F.col("survey_key"))
     return B.backcheck_compare(own, t.visits, "survey_id", "survey_key", COMPARED, PLAIN)
 
 
@@ -215,7 +219,7 @@ def attached(t: Tables) -> DataFrame:
     return B.visit_dates_attach(rows, own, t.visits, "survey_key", "survey_date", "backcheck_date", "survey_key__BCCL")
 
 
-PAIRS = """(SELECT v.survey_id, s.survey_key, s.enumerator, s.survey_date, v.backcheck_date, c.* FROM (SELECT * FROM survey WHERE income IS NULL OR income < 1e6) s JOIN visits v ON s.survey_key = v.survey_id, LATERAL (
+PAIRS = """(SELECT v.survey_id, s.survey_key, s.enumerator, s.survey_date, v.backcheck_date, c.* FROM survey s JOIN visits v ON s.survey_key = v.survey_id, LATERAL (
   SELECT 'income' AS column_name, 1 AS category, s.income AS s, v.income AS b, CASE WHEN s.income IS NULL OR v.income IS NULL THEN 'missing' WHEN s.income = v.income THEN 'match' ELSE 'mismatch' END AS status, s.income IS NOT NULL AS has_s, v.income IS NOT NULL AS has_b, s.income - v.income BETWEEN -2 AND 2 AS within_range
   UNION ALL SELECT 'children', 2, s.children, v.children, CASE WHEN s.children IS NULL OR v.children IS NULL THEN 'missing' WHEN s.children = v.children THEN 'match' ELSE 'mismatch' END, s.children IS NOT NULL, v.children IS NOT NULL, CASE WHEN s.children <> 0 THEN (s.children - v.children) * 100.0::DOUBLE / abs(s.children) BETWEEN -10 AND 10 END
   UNION ALL SELECT 'region', 3, NULL, NULL, CASE WHEN trim(lower(s.region)) = trim(lower(v.region)) THEN 'match' ELSE 'mismatch' END, true, true, NULL) c)"""
@@ -230,6 +234,21 @@ _moved = lambda t: t.gps.withColumns({"latitude": F.col("latitude") + 1e-3 * (F.
 HAVERSINE = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
 PAIRED = f"(SELECT survey_key, a.latitude AS lat1, a.longitude AS lon1, b.latitude AS lat2, b.longitude AS lon2 FROM gps a JOIN (SELECT survey_key, latitude + 1e-3 * (survey_key % 3) AS latitude, longitude FROM gps WHERE survey_key % 2 = 0) b USING (survey_key) WHERE a.latitude IS NOT NULL)"
 DIST = HAVERSINE.format(a="lat1", b="lat2", c="lon1", d="lon2")
+#: Vincenty's iteration as a recursion, a row a pair and round.
+ELLIPSOID = f"""WITH RECURSIVE k AS (SELECT survey_key, sin(atan((1 - f) * tan(radians(lat1)))) AS s1, cos(atan((1 - f) * tan(radians(lat1)))) AS c1, sin(atan((1 - f) * tan(radians(lat2)))) AS s2, cos(atan((1 - f) * tan(radians(lat2)))) AS c2, radians(lon2 - lon1) AS span, f
+    FROM {PAIRED}, (SELECT 1 / 298.257223563::DOUBLE AS f)),
+  i AS (SELECT survey_key, 0 AS n, span AS x, 1e0 AS moved FROM k
+    UNION ALL SELECT survey_key, n, new, abs(new - x) FROM (SELECT *, span + (1 - c) * f * a * (atan2(s, co) + c * s * (m + c * co * (2 * m * m - 1))) AS new
+      FROM (SELECT *, f / 16 * r * (4 + f * (4 - 3 * r)) AS c FROM (SELECT *, CASE WHEN r = 0 THEN 0 ELSE co - 2 * s1 * s2 / r END AS m FROM (SELECT *, 1 - a * a AS r
+      FROM (SELECT *, CASE WHEN s = 0 THEN 0 ELSE c1 * c2 * sin(x) / s END AS a FROM (SELECT k.*, n + 1 AS n, x, sqrt(pow(c2 * sin(x), 2) + pow(c1 * s2 - s1 * c2 * cos(x), 2)) AS s, s1 * s2 + c1 * c2 * cos(x) AS co
+      FROM i JOIN k USING (survey_key) WHERE moved >= 1e-12 AND n < 30))))))),
+  l AS (SELECT survey_key, x FROM i WHERE moved < 1e-12),
+  p AS (SELECT *, sqrt(pow(c2 * sin(x), 2) + pow(c1 * s2 - s1 * c2 * cos(x), 2)) AS s, s1 * s2 + c1 * c2 * cos(x) AS co FROM k JOIN l USING (survey_key)),
+  q AS (SELECT *, 1 - pow(CASE WHEN s = 0 THEN 0 ELSE c1 * c2 * sin(x) / s END, 2) AS r, 6378137.0::DOUBLE * (1 - f) AS b FROM p),
+  z AS (SELECT *, CASE WHEN r = 0 THEN 0 ELSE co - 2 * s1 * s2 / r END AS m, r * (pow(6378137.0, 2) - b * b) / (b * b) AS u FROM q),
+  y AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS ba, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb FROM z)
+  SELECT survey_key, b * ba * (atan2(s, co) - bb * s * (m + bb / 4 * (co * (2 * m * m - 1) - bb / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))) AS metres FROM y"""
+add("gps_distance_ellipsoid", lambda t: G.gps_pair_merge(t.gps, _moved(t), "survey_key").select("survey_key", geodesic(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("metres")), ELLIPSOID, "metres")
 add("gps_pair_merge", lambda t: G.gps_pair_merge(t.gps, _moved(t), "survey_key"), f"SELECT * FROM {PAIRED}", "lat1 lon1 lat2 lon2")
 _flags = lambda t: O.outlier_flags(t.survey, ["survey_key"], ["age", "income", "duration"])
 LONG = "(SELECT survey_key, enumerator, 'age' AS column_name, age::DOUBLE AS value FROM survey UNION ALL SELECT survey_key, enumerator, 'income', income FROM survey UNION ALL SELECT survey_key, enumerator, 'duration', duration FROM survey)"
@@ -403,7 +422,18 @@ add("gps_validity", lambda t: G.gps_validity(t.gps, "gps_accuracy"), "SELECT cou
 add("gps_distance_outliers_global", lambda t: G.gps_distance_outliers_global(t.gps, "cluster").select("survey_key", "distance_km", "is_outlier"), f"SELECT survey_key, distance / 1000 AS distance_km, distance > q3 + 1.5 * (q3 - q1) OR distance < q1 - 1.5 * (q3 - q1) AS is_outlier FROM {FAR}, (SELECT quantile_cont(distance, 0.25) AS q1, quantile_cont(distance, 0.75) AS q3 FROM {FAR})", "distance_km")
 NEAREST = f"(SELECT a.cluster, a.latitude, a.longitude, min({HAVERSINE.format(a='a.latitude', b='b.latitude', c='a.longitude', d='b.longitude')}) AS d FROM (SELECT DISTINCT cluster, latitude, longitude FROM gps) a JOIN (SELECT DISTINCT cluster, latitude, longitude FROM gps) b ON a.cluster = b.cluster AND (a.latitude <> b.latitude OR a.longitude <> b.longitude) GROUP BY ALL)"
 add("gps_too_clustered", lambda t: G.gps_too_clustered(t.gps, "survey_key", "cluster", 500.0), f"SELECT survey_key, g.cluster, CASE WHEN d <= 500 THEN d END AS nearest, coalesce(d < 500, false) AS too_clustered FROM gps g LEFT JOIN {NEAREST} n ON g.cluster = n.cluster AND g.latitude = n.latitude AND g.longitude = n.longitude WHERE g.latitude IS NOT NULL", "nearest")
-add("gps_lof_outliers", lambda t: G.gps_lof_outliers(t.gps, "survey_key", 10), None, "lof")
+#: All pairs of places; a place of n rows counts n times, itself less one; then the factor step by step.
+LOF = f"""WITH p AS (SELECT latitude AS lat, longitude AS lon, count(*) AS n FROM gps WHERE latitude IS NOT NULL GROUP BY ALL),
+  d AS (SELECT a.lat, a.lon, b.lat AS lat_b, b.lon AS lon_b, b.n - ((a.lat = b.lat AND a.lon = b.lon)::INT) AS m, {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM p a, p b),
+  r AS (SELECT *, sum(m) OVER (PARTITION BY lat, lon ORDER BY round(d, 6), lat_b, lon_b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d WHERE m > 0),
+  k AS (SELECT lat, lon, lat_b, lon_b, d, least(m, 10 - (upto - m)) AS take FROM r WHERE upto - m < 10),
+  h AS (SELECT lat, lon, max(d) AS far FROM k GROUP BY ALL),
+  l AS (SELECT k.lat, k.lon, 1 / (sum(greatest(k.d, h.far) * take) / sum(take) + 1e-10) AS lrd FROM k JOIN h ON h.lat = k.lat_b AND h.lon = k.lon_b GROUP BY ALL),
+  f AS (SELECT k.lat, k.lon, sum(l.lrd * take) / sum(take) AS mean FROM k JOIN l ON l.lat = k.lat_b AND l.lon = k.lon_b GROUP BY ALL),
+  o AS (SELECT survey_key, mean / lrd AS lof FROM gps JOIN f ON f.lat = latitude AND f.lon = longitude JOIN l ON l.lat = latitude AND l.lon = longitude)
+  SELECT survey_key, lof, round(lof, 9) > {{cut}} AS is_outlier FROM o"""
+add("gps_lof_outliers", lambda t: G.gps_lof_outliers(t.gps, "survey_key", 10), LOF.format(cut="(SELECT round(quantile_cont(lof, 0.9), 9) FROM o)"), "lof")
+add("gps_lof_outliers_auto", lambda t: G.gps_lof_outliers(t.gps, "survey_key", 10, "auto"), LOF.format(cut="1.5"), "lof")
 add("gps_kmeans_areas", lambda t: G.gps_kmeans_areas(t.gps, 4).select("survey_key", "area"))
 
 # Back-checks
@@ -411,7 +441,15 @@ add("gps_kmeans_areas", lambda t: G.gps_kmeans_areas(t.gps, 4).select("survey_ke
 add("normalise_text", lambda t: t.visits.select("survey_key", B.normalise_text(F.col("region"), TEXT).alias("region")), "SELECT survey_key, regexp_replace(trim(lower(region)), '[^\\w\\s]', '', 'g') AS region FROM visits")
 add("match_status", lambda t: compared(t).groupBy("column_name", "status").agg(F.count("*").alias("n")), f"SELECT column_name, status, count(*) AS n FROM {PAIRS} GROUP BY ALL")
 add("numeric_difference", lambda t: compared(t).where("difference IS NOT NULL").select("survey_id", "column_name", "difference", "within_range"), f"SELECT survey_id, column_name, s - b AS difference, within_range FROM {PAIRS} WHERE s - b IS NOT NULL", "difference")
-add("paired_ttest", lambda t: B.paired_ttest(compared(t)).drop("p"), f"SELECT column_name, count(*) AS n, avg(s - b) AS mean_difference, avg(s - b) / (stddev_samp(s - b) / sqrt(count(*))) AS t FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "mean_difference t")
+def _area(density: str, to: str) -> str:
+    """SQL: the integral of a density of x from 0 to a value, by Simpson's rule."""
+    x = f"({to}) * i / 1000.0"
+    return f"list_sum(list_transform(generate_series(0, 1000), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('x', x)})) * ({to}) / 3000.0"
+
+
+_normal_p = lambda z: f"1 - 2 * {_area('exp(-pow(x, 2) / 2) / sqrt(2 * pi())'.replace('exp', 'EXP'), f'least(abs({z}), 9)')}"
+_student_p = lambda t, df: f"1 - 2 * EXP(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * {_area(f'pow(1 + pow(x, 2) / ({df}), -({df} + 1) / 2.0)', f'least(abs({t}), 50)')}"
+add("paired_ttest", lambda t: B.paired_ttest(compared(t)), f"SELECT *, {_student_p('t', '(n - 1)')} AS p FROM (SELECT column_name, count(*) AS n, avg(s - b) AS mean_difference, avg(s - b) / (stddev_samp(s - b) / sqrt(count(*))) AS t FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name)", "mean_difference t p")
 
 
 def _binary(t: Tables) -> DataFrame:
@@ -419,16 +457,29 @@ def _binary(t: Tables) -> DataFrame:
     return one.withColumns({c: (F.col(c).cast("int") > 3).cast("int").cast("string") for c in ("survey_value", "backcheck_value")})
 
 
-add("proportion_test", lambda t: B.proportion_test(_binary(t)).drop("p"), f"SELECT column_name, n, (p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / n) AS z FROM (SELECT column_name, count(*) AS n, avg((s > 3)::INT) AS p1, avg((b > 3)::INT) AS p2 FROM {PAIRS} WHERE column_name = 'children' AND s IS NOT NULL AND b IS NOT NULL GROUP BY column_name)", "z")
-add("signed_rank_test", lambda t: B.signed_rank_test(_spread(t)).select("column_name", "n", "w", "z"),
-    f"SELECT column_name, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (SELECT column_name, sum(n)::DOUBLE::BIGINT AS n, least(sum(rank * up), sum(rank * (n - up))) AS w, sum(pow(n, 3) - n) AS ties FROM (SELECT *, sum(n) OVER (PARTITION BY column_name ORDER BY size) - n + (n + 1) / 2 AS rank FROM (SELECT column_name, abs(s - b - 1 + survey_id % 3) AS size, count(*) AS n, count(*) FILTER (s - b - 1 + survey_id % 3 > 0) AS up FROM {PAIRS} WHERE column_name = 'children' AND s - b - 1 + survey_id % 3 <> 0 GROUP BY ALL)) GROUP BY column_name)", "w z")
-
-
+add("proportion_test", lambda t: B.proportion_test(_binary(t)), f"SELECT *, {_normal_p('z')} AS p FROM (SELECT column_name, n, (p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / n) AS z FROM (SELECT column_name, count(*) AS n, avg((s > 3)::INT) AS p1, avg((b > 3)::INT) AS p2 FROM {PAIRS} WHERE column_name = 'children' AND s IS NOT NULL AND b IS NOT NULL GROUP BY column_name))", "z p")
 def _spread(t: Tables) -> DataFrame:
     return compared(t).where("column_name = 'children'").withColumn("survey_value", (F.col("survey_value").cast("long") - 1 + F.col("survey_id") % 3).cast("string"))
 
 
-add("reliability", lambda t: B.reliability(compared(t)), f"SELECT column_name, var_samp(s - b) / 2 AS srv, 1 - var_samp(s - b) / 2 / var_samp(s) AS reliability FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "srv reliability")
+#: Ranks of the differences of groups g, and their sums.
+RANKED = """(SELECT *, sum(n) OVER (PARTITION BY g ORDER BY size) - n + (n + 1) / 2 AS rank FROM (
+  SELECT {g} AS g, abs(s - b - 1 + survey_id % 3) AS size, count(*) AS n, count(*) FILTER (s - b - 1 + survey_id % 3 > 0) AS up
+  FROM {pairs} WHERE column_name = 'children' AND s - b - 1 + survey_id % 3 <> 0 GROUP BY ALL))"""
+SIGNED = """SELECT g AS column_name, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z
+  FROM (SELECT g, sum(n)::DOUBLE::BIGINT AS n, least(sum(rank * up), sum(rank * (n - up))) AS w, sum(pow(n, 3) - n) AS ties FROM {} GROUP BY g)"""
+_all_ranks = RANKED.format(g="column_name", pairs=PAIRS)
+add("signed_rank_test", lambda t: B.signed_rank_test(_spread(t)).select("column_name", "n", "w", "z", "p"), f"SELECT *, {_normal_p('z')} AS p FROM ({SIGNED.format(_all_ranks)})", "w z p")
+_few_ranks = RANKED.format(g="(survey_id // 10 % 173)::VARCHAR", pairs=PAIRS)
+#: Few differences, with ties: every choice of signs is tried.
+add("signed_rank_test_exact", lambda t: B.signed_rank_test(_spread(t).withColumn("column_name", F.expr("cast(survey_id div 10 % 173 AS string)"))).where("n <= 13").select("column_name", "n", "w", "p"),
+    f"""SELECT g AS column_name, n, w, least(1.0, 2 * count(*) FILTER (total <= w) / count(*)) AS p FROM (
+      SELECT g, n, w, signs, coalesce(sum(rank) FILTER ((signs >> (i - 1)::INT) & 1 = 1), 0) AS total
+      FROM (SELECT column_name AS g, n, w, unnest(generate_series(0, (1 << n::INT) - 1)) AS signs FROM ({SIGNED.format(_few_ranks)}) WHERE n <= 13)
+      JOIN (SELECT g, rank, row_number() OVER (PARTITION BY g) AS i FROM (SELECT g, rank, unnest(generate_series(1, n)) FROM {_few_ranks})) USING (g) GROUP BY ALL) GROUP BY ALL""", "w p")
+
+
+add("reliability", lambda t: B.reliability(compared(t)).withColumn("srv", F.col("srv") / 1e6), f"SELECT column_name, var_samp(s - b) / 2e6 AS srv, 1 - var_samp(s - b) / 2 / var_samp(s) AS reliability FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "srv reliability")
 add("backcheck_summary", lambda t: B.backcheck_summary(t.survey, t.visits, "survey_id", "enumerator", "backchecker"), "SELECT *, backchecks * 100.0::DOUBLE / surveys AS coverage_pct FROM (SELECT count(*) AS surveys, count(DISTINCT enumerator) AS enumerators FROM survey), (SELECT count(*) AS backchecks, count(DISTINCT backchecker) AS backcheckers FROM visits)", "coverage_pct")
 add("backchecker_productivity", lambda t: E.staff_productivity(t.visits, "backcheck_date", ["backchecker"], "Month", between=BETWEEN), months("backchecker", "backcheck_date", "count(*) FILTER ({})", "visits"))
 _rate = lambda k, w: RATES.format(w=w, k=k)

@@ -16,11 +16,21 @@ STANDARD_NUMBERS = ("duration", "formdef_version")
 MEDIA = ("image", "audio", "video", "file", "text audit", "audio audit", "sensor_stream")
 
 
-def incremental_append(stored: DataFrame, fresh: DataFrame, date: str, default: str = "1970-01-01") -> DataFrame:
-    """stored and those of fresh that are newer than its latest date; columns that one side lacks are null."""
+def incremental_append(stored: DataFrame, fresh: DataFrame, date: str, default: str = "1970-01-01", key: str | None = None, tolerance: str = "0 seconds") -> DataFrame:
+    """stored and those of fresh that are newer than its latest date; columns that one side lacks are null.
+
+    With a key, rows of fresh at that date, or up to the tolerance before it, are taken too unless stored has their key there: rows
+    that share the latest time, or came late, are neither lost nor stored twice. Only that stretch of stored is read for keys.
+    """
     mark = stored.agg(F.coalesce(F.max(date), F.lit(default).cast("timestamp")).alias("mark_"))
-    newer = fresh.crossJoin(F.broadcast(mark)).where(F.col(date) > F.col("mark_")).drop("mark_")  # one row
-    return stored.unionByName(newer, allowMissingColumns=True)
+    dated = fresh.crossJoin(F.broadcast(mark))  # one row
+    if key is None:
+        newer = dated.where(F.col(date) > F.col("mark_"))
+    else:
+        since = F.col("mark_") - F.expr(f"INTERVAL {tolerance}")
+        known = stored.crossJoin(F.broadcast(mark)).where(F.col(date) >= since).select(F.col(key).alias("known_")).distinct()
+        newer = dated.where(F.col(date) >= since).join(known, F.col(key).eqNullSafe(F.col("known_")), "left_anti")
+    return stored.unionByName(newer.drop("mark_"), allowMissingColumns=True)
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, keep_new: bool = True) -> DataFrame:

@@ -122,7 +122,7 @@ def test_dates_take_the_first_form_that_all_values_have(spark):
 
 def test_distances(spark):
     row = spark.range(1).select(*[F.lit(x).alias(n) for n, x in (("a", 50.06632), ("b", -5.71475), ("c", 58.64402), ("d", -3.07009))])
-    got = row.select(haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")), geodesic("a", "b", "c", "d")).first()
+    got = row.select(haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")), geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()
     assert got[1] == pytest.approx(969_954.17, abs=30)
     assert got[0] == pytest.approx(got[1], rel=0.005)
 
