@@ -9,7 +9,7 @@ A bucket gives a spanning forest of its links, never all its pairs, and large bu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -309,14 +309,40 @@ def bucket_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nd
     return a[keep], b[keep]
 
 
-def bucket_crossing(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius whose rows differ in the last word, which names what is connected already."""
-    found = [(np.empty(0, np.int64),) * 2]
-    for rows, x, y in _pairs(group, np.ascontiguousarray(fp[:, :-1]), radius):
-        p, q = rows[x], rows[y]
-        apart = fp[p, -1] != fp[q, -1]
-        found.append((p[apart], q[apart]))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+def joining_links(part: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with a part, a fingerprint and a set of hashes: links at the similarity that join all parts which such pairs join.
+
+    Pairs of different parts within the radius are compared by their sets until their parts are joined; so there are fewer links
+    than parts.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    begin = np.cumsum(size) - size
+    flat = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, bool)
+    label, src, dst = np.unique(part, return_inverse=True)[1], [], []
+    for rows, x, y in _pairs(np.zeros(len(fp), np.int64), fp, radius):
+        x, y = rows[x], rows[y]
+        apart = np.flatnonzero(label[x] != label[y])
+        apart = apart[np.argsort(x[apart], kind="stable")]
+        x, y = x[apart], y[apart]
+        edges = np.flatnonzero(np.diff(x, prepend=-1))
+        for p, others in zip(x[edges].tolist(), np.split(y, edges[1:]), strict=True) if len(x) else ():
+            others = others[(label[others] != label[p]) & (size[others] > 0)]
+            if not len(others) or not size[p]:
+                continue
+            own = flat[begin[p] : begin[p] + size[p]]
+            mark[own] = True
+            count = size[others]
+            first = np.cumsum(count) - count
+            held = flat[np.repeat(begin[others] - first, count) + np.arange(count.sum())]
+            shared = np.add.reduceat(mark[held], first, dtype=np.int64)
+            mark[own] = False
+            for q in others[shared >= similarity * (size[p] + count - shared)].tolist():
+                if label[q] != label[p]:
+                    src.append(p)
+                    dst.append(q)
+                    label[label == label[q]] = label[p]
+    return np.array(src, np.int64), np.array(dst, np.int64)
 
 
 def agreeing_blocks(radius: int = 2, blocks: int = 4) -> list[list[int]]:
@@ -449,7 +475,7 @@ PARTS = ((2, 4), (SHINGLE, 3))
 NEAR = {"masks": sampled_bits(4, bands=64, width=16), "radius": 49, "compared": 4}
 #: Between groups that are close but apart, all pairs are tried, so that they are compared by more bits: 1024, of which such a pair
 #: differs in 155 on average (deviation 11.5) and one at similarity 0.65 in 217; the radius leaves three deviations.
-LONG_PARTS, LONG_RADIUS = ((2, 4), (SHINGLE, 16)), 190
+LONG_PARTS, LONG_RADIUS = ((SHINGLE, 16),), 190
 
 
 def similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -464,11 +490,67 @@ def similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
     return both.select("src", "dst", (shared >= SIMILARITY * (F.size("src_set") + F.size("dst_set") - shared)).alias("near"))
 
 
+def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, node, c, fingerprint, shingles) sorted by g: the links of each group that join its parts."""
+    held: list[pa.RecordBatch] = []
+
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = np.asarray(rows["g"])
+        edges = [*np.flatnonzero(np.diff(g, prepend=g[:1] - 1)).tolist(), len(g)]
+        node = np.asarray(rows["node"])
+        for a, b in pairwise(edges):
+            own = rows.slice(a, b - a).combine_chunks()
+            fp = np.stack([np.asarray(own[c]) for c in rows.column_names if c[0] == "f"], axis=1).view(np.uint64)
+            lists = own["shingles"].combine_chunks()
+            offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            src, dst = joining_links(np.asarray(own["c"]), np.ascontiguousarray(fp), [flat[x:y] for x, y in pairwise(offsets.tolist())], LONG_RADIUS, SIMILARITY)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a + src]), pa.array(node[a + dst])], ["src", "dst"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = np.asarray(batch.column("g"))
+        last = np.flatnonzero(g != g[-1])
+        if held and (len(last) or held[0].column("g")[0].as_py() != g[-1]):
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held, batch = [], batch.slice(cut)
+        elif len(last):
+            cut = int(last[-1]) + 1
+            yield from emit(pa.Table.from_batches([batch.slice(0, cut)]))
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield from emit(pa.Table.from_batches(held))
+
+
+#: Rows, and hashes of shingles, of a chunk of what may be joined.
+JOIN_ROWS, JOIN_HASHES = 1024, 500_000
+
+
+def joining(apart: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """src, dst: verified links that join the parts c of apart(node, component, c), as far as any pairs within LONG_RADIUS do.
+
+    The nodes of a component meet in one task, with their shingles; those of a large one are dealt in chunks, every two of which
+    meet. A task verifies what it finds itself and gives back fewer links than parts.
+    """
+    some = prints.join(small_or_shuffled(apart), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    texts = written(docs.join(small_or_shuffled(written(some, "apart-ids")), "doc_id", "left_semi").select("doc_id", "text"), "apart-texts")
+    long = sketches(texts, LONG_PARTS).drop("doc_id", "row").dropDuplicates(["node"])
+    rows = written(long.join(shingle_sets(texts, SHINGLE).dropDuplicates(["node"]), "node").join(apart, "node"), "apart-rows")
+    size = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / JOIN_ROWS), F.ceil(F.sum(F.size("shingles")) / JOIN_HASHES)).cast("int").alias("n"))
+    rows = rows.join(small_or_shuffled(written(size, "apart-sizes")), "component").withColumn("n", F.when(F.col("n") > 1, 2 * F.col("n")).otherwise(1))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    g = F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    names = [c for c in long.columns if c[0] == "f"]
+    return rows.select(g.alias("g"), "node", "c", *names, "shingles").repartition("g").sortWithinPartitions("g", "node").mapInArrow(_joiner, "src long, dst long")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, masks: list[list[int]], radius: int, compared: int) -> DataFrame:
     """src, dst: links at SIMILARITY or more that connect all nodes of prints which pairs meeting in a bucket connect.
 
-    First the nearest pairs that connect a bucket are verified. Where that leaves apart what the pairs connect, all other pairs
-    between the parts are verified too, so that nothing hangs on which pairs came first.
+    First the nearest pairs that connect a bucket are verified. Where that leaves apart what the pairs connect, all pairs between
+    the parts that are close by more bits are verified where they meet, so that nothing hangs on which pairs came first.
     """
     names = [c for c in prints.columns if c[0] == "f"]
     reps = written(prints.where("doc_id IS NOT NULL").groupBy("node").agg(*[F.min(c).alias(c) for c in names]), "nodes")
@@ -481,14 +563,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, masks: list[list[int]], ra
     part = components(near).select("node", F.col("component").alias("c"))
     whole = components(tried.select("src", "dst")).join(part, "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = whole.groupBy("component").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("component")
-    apart = written(whole.join(split, "component", "left_semi").select("node", "c"), "apart")
-    some = prints.join(small_or_shuffled(apart), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.join(small_or_shuffled(written(some, "apart-ids")), "doc_id", "left_semi")
-    long = written(sketches(texts, LONG_PARTS).drop("doc_id", "row").dropDuplicates(["node"]).join(small_or_shuffled(apart), "node"), "long-sketches")
-    rest = written(ordered(links(long, masks, LONG_RADIUS, compared, bucket_crossing)).join(tried, ["src", "dst"], "left_anti"), "crossing")
-    if rest.isEmpty():
-        return near
-    return near.unionByName(written(similar(rest, docs, prints), "verified").where("near").select("src", "dst"))
+    apart = written(whole.join(split, "component", "left_semi").select("node", "component", "c"), "apart")
+    return near.unionByName(written(joining(apart, docs, prints), "joining"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,20 @@ def test_fingerprints(docs):
         assert {x["f0"] % 2**64 for x in own} == {fingerprint(r["text"])}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_links_join_what_all_pairs_join(seed):
+    r = np.random.default_rng(seed)
+    bases = [np.unique(r.integers(0, 1 << 40, 60)) for _ in range(4)]
+    sets = [np.sort(np.where(r.random(len(b)) < r.choice([0.02, 0.2]), r.integers(0, 1 << 40, len(b)), b)) for b in bases for _ in range(12)] + [np.empty(0, np.int64)]
+    part, fp = r.integers(0, 20, len(sets)), np.zeros((len(sets), 16), np.uint64)  # every pair is within the radius
+    src, dst = simhash.joining_links(part, fp, sets, 190, 0.8)
+    alike = lambda a, b: len(x := np.intersect1d(a, b)) > 0 and len(x) >= 0.8 * (len(a) + len(b) - len(x))
+    assert all(alike(sets[a], sets[b]) for a, b in zip(src, dst, strict=True)) and len(src) < 20
+    pairs = [(part[a], part[b]) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+    one = lambda found: simhash.forest(20, *(np.array([x[k] for x in found], np.int64) for k in (0, 1))).tolist()
+    assert one(pairs) == one([(part[a], part[b]) for a, b in zip(src, dst, strict=True)])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_are_those_of_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)  # large buckets are cut
