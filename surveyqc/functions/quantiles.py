@@ -12,18 +12,20 @@ from surveyqc.functions.shared import written
 RULES = ("linear", "midpoint", "nearest", "lower", "higher")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float], rule: str = "linear") -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float], rule: str = "linear", weight: str | None = None) -> DataFrame:
     """`by` and a column for each quantile in `at` of the double column `value`; without `by` one row, null if there are no values.
 
     The rank q * (n - 1) lies between two values: `linear` weighs them, `midpoint` takes their mean, `nearest` the closer one (of
     two as close the higher), `lower` and `higher` one of them. Nulls don't count; groups without values have no row; a null group
     is a group. Equal values are counted first and the counts are dealt by ranges of group and value, so that a group of any size
     lies in many parts. Sums over the parts' groups give each value its rank, and a group's task sees but the values asked for.
+    weight: a column with the rows that each row stands for, where df has been counted already.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     group = F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0).alias("all_"))
-    counted = df.where(F.col(value).isNotNull()).select(group.alias("g_"), F.col(value).cast("double").alias("v_")).groupBy("g_", "v_").agg(F.count("*").alias("c_"))
+    rows = F.lit(1).cast("long") if weight is None else F.col(weight)
+    counted = df.where(F.col(value).isNotNull()).select(group.alias("g_"), F.col(value).cast("double").alias("v_"), rows.alias("w_")).groupBy("g_", "v_").agg(F.sum("w_").alias("c_"))
     dealt = written(counted.repartitionByRange("g_", "v_").withColumn("part_", F.spark_partition_id()), "value-counts")
     sizes = dealt.groupBy("g_", "part_").agg(F.sum("c_").alias("s_"))
     whole = Window.partitionBy("g_")  # a row a part of the group
@@ -53,9 +55,9 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, flo
     return found.select(*[F.col(f"g_.{b}").alias(b) for b in by], *[told(name) for name in at])
 
 
-def with_quantiles(stats: DataFrame, df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float], rule: str = "linear") -> DataFrame:
+def with_quantiles(stats: DataFrame, df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float], rule: str = "linear", weight: str | None = None) -> DataFrame:
     """stats (a row a group) and the quantiles of df's values by the same groups."""
-    found = quantiles(df, by, value, at, rule)
+    found = quantiles(df, by, value, at, rule, weight)
     if not by:
         return stats.crossJoin(found)  # one row each
     renamed = found.select(*[F.col(b).alias(f"{b}__") for b in by], *at)

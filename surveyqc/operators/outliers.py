@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import long_form, match_columns
 from surveyqc.functions.quantiles import with_quantiles
+from surveyqc.functions.shared import written
 
 MULTIPLIER = {"iqr": 1.5, "sd": 3.0}
 LEAST_VALUES = {"iqr": 20, "sd": 30}
@@ -77,14 +78,19 @@ class Bounds:
 _BROKEN = {"hard_min": lambda v, b: v < b, "soft_min": lambda v, b: v < b, "soft_max": lambda v, b: v > b, "hard_max": lambda v, b: v > b}
 
 
-def constraint_violations(df: DataFrame, ids: Sequence[str], bounds: Mapping[str, Bounds]) -> DataFrame:
-    """ids, column_name, value, reason (the first bound broken of hard_min, soft_min, soft_max, hard_max), breached (all of them)."""
+def breaches(bounds: Mapping[str, Bounds]) -> Column:
+    """A row's array of (column_name, value, breached), one for each checked column."""
     rows = []
     for n, b in bounds.items():
         v = F.col(n).try_cast("double")
         broken = [F.when(test(v, F.lit(getattr(b, k))), F.lit(k)) for k, test in _BROKEN.items() if getattr(b, k) is not None]
         rows.append(F.struct(F.lit(n).alias("column_name"), v.alias("value"), F.array_compact(F.array(*broken)).cast("array<string>").alias("breached")))
-    cells = df.select(*ids, F.explode(F.array(*rows)).alias("c")).select(*ids, "c.*")
+    return F.array(*rows)
+
+
+def constraint_violations(df: DataFrame, ids: Sequence[str], bounds: Mapping[str, Bounds]) -> DataFrame:
+    """ids, column_name, value, reason (the first bound broken of hard_min, soft_min, soft_max, hard_max), breached (all of them)."""
+    cells = df.select(*ids, F.explode(breaches(bounds)).alias("c")).select(*ids, "c.*")
     return cells.where(F.size("breached") > 0).withColumn("reason", F.get("breached", 0))
 
 
@@ -105,6 +111,23 @@ def outlier_metrics(flags: DataFrame, enumerator: str) -> DataFrame:
     )
 
 
+def outlier_metrics_of(df: DataFrame, names: Sequence[str], enumerator: str, multiplier: float | None = None, least: int | None = None) -> DataFrame:
+    """outlier_metrics of a table's columns by the IQR rule, in one pass: values are counted by enumerator, and all else comes from the counts."""
+    m, few = MULTIPLIER["iqr"] if multiplier is None else multiplier, LEAST_VALUES["iqr"] if least is None else least
+    cells = long_form(df, [enumerator], names).where("value IS NOT NULL")
+    counted = written(cells.groupBy(enumerator, "column_name", "value").agg(F.count("*").alias("rows_")), "value-counts")
+    fences = with_quantiles(counted.groupBy("column_name").agg(F.sum("rows_").alias("n_")), counted, ["column_name"], "value", {"q1_": 0.25, "q3_": 0.75}, weight="rows_")
+    spread = m * (F.col("q3_") - F.col("q1_"))
+    fences = fences.select("column_name", "n_", (F.col("q1_") - spread).alias("low_"), (F.col("q3_") + spread).alias("high_"))
+    out = (F.col("n_") >= few) & ((F.col("value") < F.col("low_")) | (F.col("value") > F.col("high_")))
+    judged = counted.join(F.broadcast(fences), "column_name").groupBy("column_name", enumerator).agg(F.sum(F.when(out, F.col("rows_")).otherwise(0)).alias("out_"))
+    some = F.col("out_") > 0
+    return judged.agg(
+        F.count_distinct("column_name").alias("columns_checked"), F.count_distinct(F.when(some, F.col("column_name"))).alias("columns_with"),
+        F.coalesce(F.sum("out_"), F.lit(0)).alias("total"), F.count_distinct(F.when(some, F.col(enumerator))).alias("enumerators_with"),
+    )
+
+
 def column_outlier_summary(flags: DataFrame, key: str) -> DataFrame:
     """column_name, values, outliers and the column's statistics; a key counts once for a column."""
     once = flags.dropDuplicates(["column_name", key])

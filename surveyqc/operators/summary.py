@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyqc.functions.columns import column_types, n_unique, percent
 from surveyqc.functions.periods import auto_period, period_label, period_labels, period_start
 
 
-def submission_metrics(df: DataFrame, date: str, as_of: str) -> DataFrame:
-    """First and last date; rows of the day, the last 7 days and the last month with their change in %; all rows."""
+def period_tests(date: str, as_of: str) -> dict[str, tuple[Column, Column]]:
+    """Whether a row is of the day, the last 7 days, the last month; and of the one before that."""
     day, now = F.to_date(date), F.lit(as_of).cast("date")
-    within = lambda low, high: F.count_if((day > low) & (day <= high))
     spans = {"today": (F.date_sub(now, 1), F.date_sub(now, 2)), "week": (F.date_sub(now, 7), F.date_sub(now, 14)), "month": (F.add_months(now, -1), F.add_months(now, -2))}
-    counts = [c for k, (a, b) in spans.items() for c in (within(a, now).alias(k), within(b, a).alias(f"before_{k}"))]
+    return {k: ((day > a) & (day <= now), (day > b) & (day <= a)) for k, (a, b) in spans.items()}
+
+
+def submission_metrics(df: DataFrame, date: str, as_of: str) -> DataFrame:
+    """First and last date; rows of the day, the last 7 days and the last month with their change in %; all rows."""
+    day, spans = F.to_date(date), period_tests(date, as_of)
+    counts = [F.count_if(test).alias(name) for k, tests in spans.items() for name, test in zip((k, f"before_{k}"), tests, strict=True)]
     found = df.agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.count("*").alias("total"), *counts)
     change = [F.coalesce(percent(F.col(k) - F.col(f"before_{k}"), F.col(f"before_{k}")), F.lit(0.0)).alias(f"{k}_change") for k in spans]
     return found.select("first_date", "last_date", "total", *spans, *change)

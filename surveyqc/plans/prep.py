@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from surveyqc.functions import transforms as T
@@ -69,6 +69,25 @@ def apply_step(df: DataFrame, step: Step) -> tuple[DataFrame, DataFrame]:
     return after, counts.select((F.col("before_") - F.col("remaining")).alias("affected"), "remaining")
 
 
+def apply_prep_observed(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The table after all steps, and a function that tells, once an action has run on it, what each step did: step, action, affected, remaining.
+
+    Rows are counted as they pass, so all counts come from the pass that uses the table, whatever the number of steps.
+    """
+    counts = [Observation() for _ in range(len(steps) + 1)]
+    df = df.observe(counts[0], F.count(F.lit(1)).alias("n"))
+    for step, count in zip(steps, counts[1:], strict=True):
+        df = apply_prep(df, [step]).observe(count, F.count(F.lit(1)).alias("n"))
+    spark = df.sparkSession
+
+    def told() -> DataFrame:
+        n = [c.get["n"] for c in counts]
+        rows = [(i, s.action, a - b, b) for i, (s, a, b) in enumerate(zip(steps, n[:-1], n[1:], strict=True))]
+        return spark.createDataFrame(rows, "step int, action string, affected long, remaining long")
+
+    return df, told
+
+
 def remove_prep_step(steps: Sequence[Step], position: int) -> list[Step]:
     return [s for i, s in enumerate(steps) if i != position]
 

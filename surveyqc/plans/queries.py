@@ -11,7 +11,7 @@ from surveyqc.functions import columns as C
 from surveyqc.functions import periods as P
 from surveyqc.functions import transforms as X
 from surveyqc.functions.geo import geodesic
-from surveyqc.functions.shared import new_folder
+from surveyqc.functions.shared import new_folder, written
 from surveyqc.operators import backchecks as B
 from surveyqc.operators import corrections as K
 from surveyqc.operators import descriptive as D
@@ -529,6 +529,16 @@ STEPS = [
 ]
 PREPPED = "(SELECT survey_key, age, income / 1000 AS income, coalesce(children, 0) + team + 0.0::DOUBLE AS household, lower(region) AS region FROM survey WHERE age >= 0)"
 add("apply_prep", lambda t: prep.apply_prep(t.survey, STEPS).select("survey_key", "age", "income", "household", "region"), f"SELECT * FROM {PREPPED}", "income household")
+
+
+def _step_counts(t: Tables) -> DataFrame:
+    after, counts = prep.apply_prep_observed(t.survey, STEPS)
+    written(after, "prepared")
+    return counts()
+
+
+_left = ("count(*)", "count(age)", *["count(*) FILTER (age >= 0)"] * 5)
+add("prep_counts", _step_counts, "SELECT unnest([" + ", ".join(f"{{'step': {i}, 'action': '{s.action}', 'affected': {_left[i]} - {_left[i + 1]}, 'remaining': {_left[i + 1]}}}" for i, s in enumerate(STEPS)) + "], recursive := true) FROM survey")
 FIXED = f"""(SELECT s.survey_key, CASE WHEN l.action = 'remove value' THEN NULL WHEN l.action = 'modify value' THEN 33 ELSE s.age END AS age, CASE WHEN s.survey_key % 21 = 7 AND s.survey_key % 2 = 0 THEN 'moved' ELSE s.region END AS region
   FROM survey s LEFT JOIN (SELECT * FROM ({LOG}) WHERE col = 'age') l ON l.key = s.survey_key::VARCHAR WHERE s.survey_key::VARCHAR NOT IN (SELECT key FROM ({LOG}) WHERE action = 'remove row'))"""
 add("apply_corrections", lambda t: K.apply_corrections(t.survey.select("survey_key", "age", "region"), _log(t), "survey_key"), f"SELECT * FROM {FIXED}")

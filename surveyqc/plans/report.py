@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyqc.operators import backchecks, corrections, duplicates, enumerator, missing, outliers, progress, summary
+from surveyqc.functions.columns import percent
+from surveyqc.functions.shared import written
+from surveyqc.operators import corrections, missing, outliers, summary
 from surveyqc.plans.prep import Step, apply_prep
 from surveyqc.sources.forms import incremental_append
 
@@ -18,28 +19,46 @@ def refresh(stored: DataFrame, fresh: DataFrame, date: str, steps: Sequence[Step
     return corrections.apply_corrections(apply_prep(incremental_append(stored, fresh, date), steps), log, key)
 
 
-def _tidy(check: str, row: DataFrame) -> DataFrame:
-    """A row of metrics to (check_name, metric, value)."""
-    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c, kind in row.dtypes if kind not in ("date", "timestamp", "string")]
-    return row.select(F.lit(check).alias("check_name"), F.explode(F.array(*cells)).alias("c")).select("check_name", "c.*")
+def counts_by_id(survey: DataFrame, codes: Mapping[str, Sequence[str]], cells: Sequence[str], bounds: Mapping[str, outliers.Bounds], as_of: str) -> DataFrame:
+    """survey_id, enumerator and all counts of the report that add up: one pass over the survey."""
+    kept = survey.select("survey_id", "enumerator", "survey_date", "consent", "outcome", outliers.breaches(bounds).alias("breaches"), *[F.col(c).alias(f"code_{c}") for c in cells])
+    rows = missing.missing_encode(kept, codes, [f"code_{c}" for c in cells])
+    spans = {k: tests[0] for k, tests in summary.period_tests("survey_date", as_of).items()}
+    broken = lambda k: F.size(F.filter("breaches", lambda b: F.get(b["breached"], F.lit(0)) == k if k else F.size(b["breached"]) > 0))
+    counts = {"n": F.count("*"), **{k: F.count_if(test) for k, test in spans.items()}}
+    counts |= {"consenting": F.count_if(F.col("consent") == "yes"), "completed": F.count_if(F.col("outcome") == "complete")}
+    counts |= {"missing": F.sum(sum(((F.col(f"code_{c}") > 0).cast("int") for c in cells), F.lit(0)))}
+    counts |= {"broken": F.sum(broken(None))} | {k: F.sum(broken(k)) for k in ("hard_min", "soft_min", "soft_max", "hard_max")}
+    return rows.groupBy("survey_id", "enumerator").agg(*[c.alias(k) for k, c in counts.items()])
 
 
 def quality_report(survey: DataFrame, visits: DataFrame, codes: Mapping[str, Sequence[str]], cells: Sequence[str], bounds: Mapping[str, outliers.Bounds], as_of: str) -> DataFrame:
-    """check_name, metric, value of all configured checks of a survey."""
-    coded = missing.missing_encode(survey.select(*cells), codes)
-    flags = outliers.outlier_flags(survey, ["survey_key", "enumerator"], ["age", "income", "duration"])
-    violations = outliers.constraint_violations(survey, ["survey_key"], bounds)
-    parts = {
-        "summary": summary.submission_metrics(survey, "survey_date", as_of).select("total", "today", "week", "month"),
-        "progress": progress.consent_completion(survey, "consent", ["yes"], "outcome", ["complete"]),
-        "missing": missing.missing_summary(coded, cells).select("mean_missing_pct"),
-        "duplicates": duplicates.id_duplicate_metrics(survey, "survey_id").select("duplicate_rows", "missing_id"),
-        "outliers": outliers.outlier_metrics(flags, "enumerator"),
-        "constraints": outliers.constraint_metrics(violations, len(bounds)).select("total", "hard_min", "soft_min", "soft_max", "hard_max"),
-        "enumerators": enumerator.enumerator_overview(survey, "survey_date", "enumerator", as_of).select("enumerators", "active"),
-        "backchecks": backchecks.backcheck_summary(survey, visits, "survey_id", "enumerator", "backchecker").select("backchecks", "coverage_pct"),
-    }
-    return reduce(DataFrame.unionByName, [_tidy(k, v) for k, v in parts.items()])
+    """check_name, metric, value of all configured checks of a survey.
+
+    The survey is read twice: once for counts by id and enumerator, of which all metrics but the outliers' are sums, and once for those.
+    """
+    by_id = written(counts_by_id(survey, codes, cells, bounds, as_of), "report-counts")
+    sums = [c for c in by_id.columns if c not in ("survey_id", "enumerator")]
+    staff = by_id.groupBy("enumerator").agg(*[F.sum(c).alias(c) for c in sums])
+    active = F.count_if((F.col("week") > 0) & F.col("enumerator").isNotNull()).alias("active")
+    one = staff.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count("*").alias("enumerators"), active)
+    ids = by_id.groupBy("survey_id").agg(F.sum("n").alias("n"))
+    repeated, missing_id = F.sum(F.when((F.col("n") > 1) & F.col("survey_id").isNotNull(), F.col("n")).otherwise(0)), F.sum(F.when(F.col("survey_id").isNull(), F.col("n")).otherwise(0))
+    one = one.crossJoin(ids.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in (("duplicate_rows", repeated), ("missing_id", missing_id))]))  # one row each
+    one = one.crossJoin(outliers.outlier_metrics_of(survey, ["age", "income", "duration"], "enumerator").withColumnRenamed("total", "outliers")).crossJoin(visits.agg(F.count("*").alias("backchecks")))
+    n = F.col("n")
+    metrics = {
+        "summary": {"total": n, "today": F.col("today"), "week": F.col("week"), "month": F.col("month")},
+        "progress": {"consent_pct": percent(F.col("consenting"), n), "completed_pct": percent(F.col("completed"), n)},
+        "missing": {"mean_missing_pct": percent(F.col("missing"), n * len(cells))},
+        "duplicates": {c: F.col(c) for c in ("duplicate_rows", "missing_id")},
+        "outliers": {"total": F.col("outliers")} | {c: F.col(c) for c in ("columns_checked", "columns_with", "enumerators_with")},
+        "constraints": {"total": F.col("broken")} | {c: F.col(c) for c in ("hard_min", "soft_min", "soft_max", "hard_max")},
+        "enumerators": {"enumerators": F.col("enumerators"), "active": F.col("active")},
+        "backchecks": {"backchecks": F.col("backchecks"), "coverage_pct": percent(F.col("backchecks"), n)},
+    }
+    told = [F.struct(F.lit(check).alias("check_name"), F.lit(k).alias("metric"), c.cast("double").alias("value")) for check, own in metrics.items() for k, c in own.items()]
+    return one.select(F.explode(F.array(*told)).alias("m")).select("m.*")
 
 
 #: The same report for DuckDB, over the tables of plans.fixtures.
