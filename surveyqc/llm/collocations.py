@@ -1,9 +1,10 @@
 """Phrase collocations: phrases of two to four words that occur together more than their parts do.
 
 Counts are exact and made level by level: words, then pairs of frequent words, then phrases all of whose pairs are frequent.
-A task counts in a HAT-trie: a shallow trie over word ids with hash containers below it, which burst into the next level when
-they grow. Beyond a size the trie spills its largest subtrees as sorted runs; runs are dealt by prefix and merged there. What is
-frequent on one level reaches the tasks of the next as a bitmap of bounded size, which lets through too much, never too little.
+A task counts in a HAT-trie: a shallow trie over word ids, whose containers hold the phrases of a range of prefixes and burst into
+two when they grow, down to containers of one prefix. Beyond a size the trie spills its largest subtrees as sorted runs; runs are
+dealt by prefix and merged there. What is frequent on one level reaches the tasks of the next as a bitmap of bounded size, which
+lets through too much, never too little.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ TOP = 2000
 SUBSUMED = 80
 #: Fixed by the contract: scores are floors of parts of this.
 SCALE = 2_000_000
-#: Entries of a container that bursts, and of a trie that spills (some 100 bytes each).
-BURST, LIMIT = 4_096, 500_000
-#: Words that are counted at once; bits of a word's number in a task, which spills and begins again when it has seen half as many.
-AT_ONCE, ID_BITS = 1 << 19, 21
+#: Entries of a container that bursts, and of all of a task's that spill (16 bytes each).
+BURST, LIMIT = 1 << 16, 2_000_000
+#: Words that are counted at once; words and pairs that a task numbers before it spills and begins again.
+AT_ONCE, NUMBERED = 1 << 19, 1 << 20
 #: Bits of a bitmap of frequent phrases at most (32 MB).
 MAX_BITS = 28
 RUNS = "part int, lang string, phrase string, n long"
@@ -110,68 +111,76 @@ class Bitmap:
         return (self.map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+class Container:
+    """An array hash: blocks of (key, count) that are combined when they have grown to twice what they came to last."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.blocks, self.size, self.combined = [(keys, counts)], len(keys), len(keys)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.blocks.append((keys, counts))
+        self.size += len(keys)
+        if self.size > 2 * self.combined:
+            self.combine()
+
+    def combine(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, ascending, and their counts."""
+        keys, counts = map(np.concatenate, zip(*self.blocks, strict=True))
+        if len(self.blocks) > 1:
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            keys, counts = keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+        self.blocks, self.size, self.combined = [(keys, counts)], len(keys), len(keys)
+        return keys, counts
+
+
 class HatTrie:
-    """Counts of sequences of up to `length` word ids: containers by first word, which burst into containers by the next.
+    """Counts of phrases, packed as a prefix (the high 32 bits) and what follows it: a root over containers of ranges of prefixes.
 
-    A container is a hash table from the packed ids that follow its path to a count. `spill` gives back sorted (path, count) of
-    whole subtrees and forgets them.
+    A container with over `burst` entries bursts into two of half its entries each, down to one of a single prefix, which may grow.
+    `spill` gives back the sorted runs of whole subtrees and forgets them.
     """
 
-    def __init__(self, length: int, burst: int = BURST) -> None:
-        self.below, self.burst, self.nodes, self.size = length - 2, burst, {}, 0
-
-    def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> None:
-        """Adds counts of sequences, ascending by first word: `rest` packs the words after it, ID_BITS each (0: none)."""
-        edges = [*np.flatnonzero(np.diff(first, prepend=-1)).tolist(), len(first)]
-        for a, b in pairwise(edges):
-            self._into(self.nodes, int(first[a]), zip(rest[a:b].tolist(), counts[a:b].tolist(), strict=True), self.below)
-
-    def _into(self, nodes: dict, word: int, items, below: int) -> None:
-        held = nodes.get(word)
-        if held is None:
-            held = nodes[word] = Container()
-        if not isinstance(held, Container):
-            self._split(held, items, below)
+    def __init__(self, burst: int = BURST) -> None:
+        self.burst, self.bounds, self.nodes = burst, np.zeros(1, np.int64), [Container(*[np.empty(0, np.int64)] * 2)]
+
+    @property
+    def size(self) -> int:
+        return sum(x.size for x in self.nodes)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds counts of distinct keys, ascending."""
+        edges = [*np.searchsorted(keys, self.bounds).tolist(), len(keys)]
+        for i in range(len(self.nodes) - 1, -1, -1):
+            a, b = edges[i], edges[i + 1]
+            if a < b:
+                self.nodes[i].add(keys[a:b], counts[a:b])
+                if self.nodes[i].size > self.burst:
+                    self._burst(i)
+
+    def _burst(self, i: int) -> None:
+        keys, counts = self.nodes[i].combine()
+        if len(keys) <= max(self.burst, 1) or keys[0] >> 32 == keys[-1] >> 32:
             return
-        n = len(held)
-        for k, c in items:
-            held[k] = held.get(k, 0) + c
-        self.size += len(held) - n
-        if len(held) > self.burst and below:
-            self.size -= len(held)
-            nodes[word] = {}
-            self._split(nodes[word], held.items(), below)
-
-    def _split(self, nodes: dict, items, below: int) -> None:
-        shift = ID_BITS * below
-        by: dict[int, list] = {}
-        for k, c in items:
-            by.setdefault(k >> shift, []).append((k & ((1 << shift) - 1), c))
-        for word, own in by.items():
-            self._into(nodes, word, own, below - 1)
-
-    def _drain(self, held, path: tuple, below: int) -> Iterator[tuple[tuple, int]]:
-        if isinstance(held, Container):
-            for k in sorted(held):
-                yield (*path, *((k >> ID_BITS * i) & ((1 << ID_BITS) - 1) for i in range(below, -1, -1))), held[k]
-        else:
-            for word in sorted(held):
-                yield from self._drain(held[word], (*path, word), below - 1)
-
-    def _count(self, held) -> int:
-        return len(held) if isinstance(held, Container) else sum(map(self._count, held.values()))
-
-    def spill(self, down_to: int = 0) -> Iterator[tuple[tuple, int]]:
-        """Sorted runs of whole subtrees, the largest first, until at most down_to entries are left."""
-        for n, word in sorted(((self._count(x), w) for w, x in self.nodes.items()), reverse=True):
-            if self.size <= down_to:
+        middle = keys[len(keys) // 2] >> 32 << 32  # a prefix is never cut
+        if middle <= keys[0]:
+            middle = (keys[len(keys) // 2] >> 32) + 1 << 32
+        cut = int(np.searchsorted(keys, middle))
+        self.nodes[i : i + 1] = [Container(keys[:cut], counts[:cut]), Container(keys[cut:], counts[cut:])]
+        self.bounds = np.insert(self.bounds, i + 1, middle)
+        self._burst(i + 1)
+        self._burst(i)
+
+    def spill(self, down_to: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sorted runs of containers, the largest first, until at most down_to entries are left."""
+        size = self.size
+        for i in sorted(range(len(self.nodes)), key=lambda i: -self.nodes[i].size):
+            if size <= down_to:
                 break
-            yield from self._drain(self.nodes.pop(word), (word,), self.below)
-            self.size -= n
-
-
-class Container(dict):
-    """A hash table of the trie, apart from the dicts that are its inner nodes."""
+            size -= self.nodes[i].size
+            yield self.nodes[i].combine()
+            self.nodes[i] = Container(*[np.empty(0, np.int64)] * 2)
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
@@ -184,83 +193,92 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("text"))
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    part, lang, phrase, n = zip(*found, strict=True) if found else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], ["part", "lang", "phrase", "n"])
+def _table(lang: str, phrases: pa.Array | None, n: np.ndarray, part: np.ndarray | None = None) -> pa.RecordBatch:
+    part = np.zeros(len(n), np.int32) if part is None else part
+    phrases = pa.nulls(len(n), pa.string()) if phrases is None else phrases.cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases, pa.array(n, pa.int64())], ["part", "lang", "phrase", "n"])
 
 
-def word_runs(docs: DataFrame) -> DataFrame:
+def word_runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """part, lang, phrase, n: counts of words by task; a null phrase counts all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.RecordBatch] = []
         totals: Counter = Counter()
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            rows = _rows([(0, lang, word.decode(), n) for (lang, word), n in held.items()])
-            held.clear()
-            return rows
+        def combined() -> list[pa.RecordBatch]:
+            both = pa.Table.from_batches(held).group_by(["part", "lang", "phrase"]).aggregate([("n", "sum")])
+            return both.rename_columns(["part", "lang", "phrase", "n"]).select(["part", "lang", "phrase", "n"]).combine_chunks().to_batches()
 
         for whole in batches:
             for batch in slices(whole, "text"):
                 for lang, texts in _by_lang(batch):
                     words = split_words(texts)
                     totals[lang] += len(words.codes)
-                    for w, n in zip(words.distinct.to_pylist(), np.bincount(words.codes, minlength=len(words.distinct)).tolist(), strict=True):
-                        held[lang, w] += n
-                if len(held) > LIMIT:
-                    yield out()
-        yield out()
-        yield _rows([(0, lang, None, n) for lang, n in totals.items()])
+                    held.append(_table(lang, words.distinct, np.bincount(words.codes, minlength=len(words.distinct))))
+                    size += len(words.distinct)
+                if size > limit:
+                    held = combined()
+                    size = sum(x.num_rows for x in held)
+                    if size > limit // 2:
+                        yield from held
+                        held, size = [], 0
+        if held:
+            yield from combined()
+        yield from (_table(lang, None, np.array([n])) for lang, n in totals.items())
 
     return _texts(docs).mapInArrow(run, RUNS)
 
 
-def phrase_runs(docs: DataFrame, lengths: tuple[int, ...], frequent, hot, burst: int = BURST, limit: int = LIMIT) -> DataFrame:
-    """part, lang, phrase, n: sorted runs of phrase counts by task, for phrases of 2, or of 3 and 4 words.
+class Numbers:
+    """Numbers of things that a task has met, in order."""
 
-    frequent: a broadcast Bitmap of the words (lengths (2,)) or pairs (lengths (3, 4)) that a phrase may consist of. hot: a
-    broadcast set of (lang, prefix) that are dealt one word deeper. part is the hash of the prefix by which runs are merged.
+    def __init__(self) -> None:
+        self.of: dict = {}
+
+    def __call__(self, found: list) -> np.ndarray:
+        of = self.of
+        return np.fromiter((of.setdefault(x, len(of)) for x in found), np.int64, len(found))
+
+
+def phrase_runs(docs: DataFrame, depth: int, frequent, hot, burst: int = BURST, limit: int = LIMIT) -> DataFrame:
+    """part, lang, phrase, n: sorted runs of phrase counts by task.
+
+    depth is the number of words of a prefix. With 1, phrases are pairs of words of which both are in the broadcast Bitmap
+    `frequent`; with 2, they are three or four words of which all pairs are in it. hot: broadcast hashes of the prefixes that are dealt
+    one word deeper. part is a hash of the prefix by which runs are merged.
     """
-    depth = min(lengths) - 1  # words of a prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh32_intdigest
-
         tries: dict[str, HatTrie] = {}
-        number: dict[bytes, int] = {}
-        names: list[str] = [""]
+        words_met, pairs_met = Numbers(), Numbers()  # pairs are packed numbers of two words
 
         def out(down_to: int) -> Iterator[pa.RecordBatch]:
-            """Spills the tries one after another, until all together hold down_to entries."""
+            """Spills the tries, the largest first, until all together hold down_to entries."""
+            names = pa.array(list(words_met.of), pa.large_binary())
+            hashes = word_hashes(names)
+            pairs = np.fromiter(pairs_met.of, np.int64, len(pairs_met.of))
             for lang, trie in sorted(tries.items(), key=lambda x: -x[1].size):
                 excess = sum(t.size for t in tries.values()) - down_to
                 if excess <= 0:
                     return
-                rows, seen = [], {}
-                for path, n in trie.spill(max(0, trie.size - excess)):
-                    own = [names[i] for i in path if i]
-                    prefix = " ".join(own[:depth])
-                    if (lang, prefix) in hot.value:
-                        prefix = " ".join(own[: depth + 1])
-                    if (part := seen.get(prefix)) is None:
-                        part = seen[prefix] = xxh32_intdigest(f"{lang} {prefix}") & 0x7FFFFFFF
-                    rows.append((part, lang, " ".join(own), n))
-                    if len(rows) == 50_000:
-                        yield _rows(rows)
-                        rows = []
-                yield _rows(rows)
-
-        def numbers(words: pa.Array, used: np.ndarray) -> np.ndarray:
-            """The task's number of each used word."""
-            ids = np.zeros(len(words), np.int64)
-            used = np.unique(used)
-            for i, w in zip(used.tolist(), words.take(pa.array(used)).to_pylist(), strict=True):
-                if (own := number.get(w)) is None:
-                    own = number[w] = len(names)
-                    names.append(w.decode())
-                ids[i] = own
-            return ids
+                for keys, n in trie.spill(max(0, trie.size - excess)):
+                    high, low = keys >> 32, keys & 0xFFFFFFFF
+                    if depth == 1:
+                        found = [([high, low], np.arange(len(keys)))]
+                    else:
+                        first, second = pairs[high], pairs[low >> 1]
+                        a, b, c, d = first >> 32, first & 0xFFFFFFFF, second >> 32, second & 0xFFFFFFFF
+                        three, four = np.flatnonzero(low & 1 == 0), np.flatnonzero(low & 1)
+                        found = [([a[three], b[three], d[three]], three), ([a[four], b[four], c[four], d[four]], four)]
+                    for ids, at in found:
+                        if len(at):
+                            h = [hashes[i] for i in ids]
+                            prefix = phrase_hashes(lang, *h[:depth])
+                            prefix = np.where(np.isin(prefix, hot.value), phrase_hashes(lang, *h[: depth + 1]), prefix)
+                            phrases = pc.binary_join_element_wise(*[names.take(pa.array(i)) for i in ids], pa.scalar(b" ", pa.large_binary()))
+                            yield _table(lang, phrases, n[at], (prefix >> np.uint64(33)).astype(np.int32))
 
         def count(lang: str, words: Words, h: np.ndarray, low: int) -> None:
             """Counts the phrases that begin at the AT_ONCE words from low on."""
@@ -268,34 +286,27 @@ def phrase_runs(docs: DataFrame, lengths: tuple[int, ...], frequent, hot, burst:
             at = np.flatnonzero(follows[1:])
             if depth == 1:
                 good = frequent.value.has(phrase_hashes(lang, h))
-                at = at[good[code[at]] & good[code[at + 1]]]
-            keys, code2, n2 = np.unique(code[at] << 31 | code[at + 1], return_inverse=True, return_counts=True)
-            first, second = keys >> 31, keys & ((1 << 31) - 1)
+                at = at[good[code[at]] & good[code[at + 1]] & (at < AT_ONCE)]
+            keys, pair, n = np.unique(code[at] << 32 | code[at + 1], return_inverse=True, return_counts=True)
+            first, second = keys >> 32, keys & 0xFFFFFFFF
+            if depth == 2:
+                good = frequent.value.has(phrase_hashes(lang, h[first], h[second]))
+                at, pair, first, second = at[good[pair]], (np.cumsum(good) - 1)[pair[good[pair]]], first[good], second[good]
+            used = np.unique(np.concatenate([first, second]))
+            ids = np.zeros(len(h), np.int64)
+            ids[used] = words_met(words.distinct.take(pa.array(used)).to_pylist())
+            packed = ids[first] << 32 | ids[second]
+            trie = tries.setdefault(lang, HatTrie(burst))
             if depth == 1:
-                if low + AT_ONCE < len(words.codes):
-                    n2 = np.bincount(code2[at < AT_ONCE], minlength=len(keys))
-                found = [([first, second], n2)]
-            else:
-                good = frequent.value.has(phrase_hashes(lang, h[first], h[second]))[code2]
-                at, code2 = at[good], code2[good]
-                pair_at = np.full(len(code) + 2, -1)
-                pair_at[at] = code2
-                at = at[(pair_at[at + 1] >= 0) & (at < AT_ONCE)]
-                found = []
-                for last in (1, 2):
-                    at = at[pair_at[at + last] >= 0]
-                    keys, n = np.unique(pair_at[at] << 31 | pair_at[at + last], return_counts=True)
-                    a, b = keys >> 31, keys & ((1 << 31) - 1)
-                    found.append(([first[a], second[a], *([first[b]] if last == 2 else []), second[b]], n))
-            ids = numbers(words.distinct, np.concatenate([w[n > 0] for ws, n in found for w in ws]))
-            trie = tries.setdefault(lang, HatTrie(max(lengths), burst))
-            for ws, n in found:
-                ws, n = [w[n > 0] for w in ws], n[n > 0]
-                rest = np.zeros(len(n), np.int64)
-                for k in range(1, max(lengths)):
-                    rest = rest << ID_BITS | (ids[ws[k]] if k < len(ws) else 0)
-                order = np.argsort(ids[ws[0]], kind="stable")
-                trie.add(ids[ws[0]][order], rest[order], n[order])
+                order = np.argsort(packed)
+                trie.add(packed[order], n[order])
+                return
+            pair_number = pairs_met(packed.tolist())
+            pair_at = np.full(len(code) + 2, -1)
+            pair_at[at] = pair_number[pair]
+            at = at[(pair_at[at + 1] >= 0) & (at < AT_ONCE)]
+            four = at[pair_at[at + 2] >= 0]
+            trie.add(*np.unique(np.concatenate([pair_at[at] << 32 | pair_at[at + 1] << 1, pair_at[four] << 32 | pair_at[four + 2] << 1 | 1]), return_counts=True))
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -304,13 +315,12 @@ def phrase_runs(docs: DataFrame, lengths: tuple[int, ...], frequent, hot, burst:
                     h = word_hashes(words.distinct)
                     for low in range(0, len(words.codes), AT_ONCE):
                         count(lang, words, h, low)
-                        if sum(t.size for t in tries.values()) > limit:
-                            yield from out(limit // 2)
-                        if len(names) > 1 << (ID_BITS - 1):
+                        if len(words_met.of) + len(pairs_met.of) > NUMBERED:
                             yield from out(0)
                             tries.clear()
-                            number.clear()
-                            names[1:] = []
+                            words_met, pairs_met = Numbers(), Numbers()
+                        elif sum(t.size for t in tries.values()) > limit:
+                            yield from out(limit // 2)
         yield from out(0)
 
     return _texts(docs).mapInArrow(run, RUNS)
@@ -344,10 +354,12 @@ def bitmap(spark: SparkSession, frequent: DataFrame):
 
 
 def hot_prefixes(spark: SparkSession, frequent: DataFrame):
-    """A broadcast set of the (lang, phrase) with more occurrences than a quarter of an even partition: at most four for each partition."""
+    """The broadcast hashes of the phrases with more occurrences than a quarter of an even partition: at most four for each partition."""
     total = frequent.agg(F.sum("f")).first()[0] or 0
     share = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.sparkContext.broadcast({(r["lang"], r["phrase"]) for r in frequent.where(F.col("f") * share > total).collect()})
+    rows = frequent.where(F.col("f") * share > total).collect()
+    hashes = [phrase_hashes(r["lang"], *word_hashes(pa.array(r["phrase"].split(" "))).reshape(-1, 1))[0] for r in rows]
+    return spark.sparkContext.broadcast(np.array(hashes, np.uint64))
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, burst: int = BURST, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -357,10 +369,10 @@ def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, burst: int = BURST,
     repeated rows count each time; other columns are ignored; an empty table gives empty ones.
     """
     spark = docs.sparkSession
-    counts = written(word_runs(docs).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= min_count)), "words")
+    counts = written(word_runs(docs, limit).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= min_count)), "words")
     words = counts.where("phrase IS NOT NULL")
-    pairs = merged(phrase_runs(docs, (2,), bitmap(spark, words), hot_prefixes(spark, words), burst, limit), min_count, "pairs")
-    longer = merged(phrase_runs(docs, (3, 4), bitmap(spark, pairs), hot_prefixes(spark, pairs), burst, limit), min_count, "phrases")
+    pairs = merged(phrase_runs(docs, 1, bitmap(spark, words), hot_prefixes(spark, words), burst, limit), min_count, "pairs")
+    longer = merged(phrase_runs(docs, 2, bitmap(spark, pairs), hot_prefixes(spark, pairs), burst, limit), min_count, "phrases")
     return words.unionByName(pairs).unionByName(longer), counts.where("phrase IS NULL AND f > 0").select("lang", F.col("f").alias("n"))
 
 

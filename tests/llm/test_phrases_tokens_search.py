@@ -80,22 +80,21 @@ def test_frequencies_with_small_tries_and_short_stretches(docs, monkeypatch):
 @pytest.mark.parametrize("burst", [1, 4, 100])
 def test_trie_counts_bursts_and_spills(burst):
     r = np.random.default_rng(burst)
-    trie, want, got = collocations.HatTrie(4, burst), Counter(), Counter()
+    trie, want, got = collocations.HatTrie(burst), Counter(), Counter()
     for step in range(20):
-        w = np.sort(r.integers(1, 6, (50, 4)), axis=0)
-        w[:, 3] *= r.integers(0, 2, 50)
-        want.update(map(tuple, w.tolist()))
-        b = collocations.ID_BITS
-        trie.add(w[:, 0], (w[:, 1] << b | w[:, 2]) << b | w[:, 3], np.ones(50, np.int64))
+        keys, n = np.unique((40 * r.random(200) ** 3).astype(np.int64) << 32 | r.integers(0, 30, 200), return_counts=True)
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+        trie.add(keys, n)
+        prefixes = [{k >> 32 for x, _ in node.blocks for k in x.tolist()} for node in trie.nodes]
+        assert sum(map(len, prefixes)) == len(set().union(*prefixes))  # no prefix in two containers
+        assert all(node.size <= burst or len(p) == 1 for node, p in zip(trie.nodes, prefixes, strict=True))
         if step % 5 == 4:
-            runs = list(trie.spill(trie.size // 2))
-            first = [p[0] for p, _ in runs]
-            for x in set(first):  # whole subtrees, sorted within
-                own = [p for p, _ in runs if p[0] == x]
-                assert own == sorted(own) and first.count(x) == len(own) and x not in trie.nodes
-            got.update(dict(runs))
-    got.update(dict(trie.spill()))
-    assert got == want and trie.size == 0
+            for keys, n in trie.spill(trie.size // 2):
+                assert (np.diff(keys) > 0).all()
+                got.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    for keys, n in trie.spill():
+        got.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    assert got == want and trie.size == 0 and (len(trie.nodes) > 5 or burst == 100)
 
 
 def test_words_are_split_in_chunks(spark, docs, monkeypatch):
