@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; where that is unset, one of our own in local mode and an error on a cluster."""
     sc = spark.sparkContext
     if (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -81,10 +83,15 @@ def text_table(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(F.col(key), text_or_empty().alias("text"))
 
 
-#: Rows of a few dozen bytes that are sent to every executor at most; more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their texts, lists and maps, that are sent to every executor at most; more are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def small_or_shuffled(rows: DataFrame) -> DataFrame:
-    """rows (a written table, narrow) marked for broadcast if its counted size allows it, else as it is."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """rows (a written table) marked for broadcast if its counted rows and bytes allow it, else as it is."""
+    if rows.count() > BROADCAST_ROWS:
+        return rows
+    wide = [c for c, kind in rows.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    if wide and (rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0) > BROADCAST_BYTES:
+        return rows
+    return F.broadcast(rows)

@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window can only be similar to an item if at least 4 (its length + the item's) / 9 of its shingles are shingles of items of
-that length, so windows are built just where the text is that dense in them; no similar window is lost by this. Prefix sums of
-hash bits give the fingerprint of each such window. It is looked up in four 16-bit blocks: if it is within the radius of an
-item's fingerprint, some block is within a quarter of the radius of the item's, and the tables of blocks hold every value that
-near. The windows that are near an item are then compared with it by their shingles with multiplicities.
+A window can only be similar to an item if it holds at least 4 (its length + the item's) / 9 shingles of items of that length, so
+a text that has fewer in all has no such window and is left out; no similar window is lost by this. Of every other text all windows
+of that length are fingerprinted, at every alignment, by prefix sums of hash bits. A window is looked up in four 16-bit blocks: if
+it is within the radius of an item's fingerprint, some block is within a quarter of the radius of the item's, and the tables of
+blocks hold every value that near. Only windows that are near an item are compared with it by their shingles with multiplicities.
 
 The benchmark's hashes are a table in the shared folder, cut into blocks of bounded size. Tasks read a block at a time, so a
 document is read and hashed once, however many items there are, and nothing of the benchmark goes through the driver.
@@ -37,8 +37,8 @@ TABLES = 256
 #: Bytes of benchmark text and number of items in a block of the index, about; a task holds KEPT blocks at most.
 INDEX_BYTES, ITEMS, KEPT = 8 << 20, 16_384, 4
 SLICE = 4 << 20
-#: Shingles whose bits are summed at once.
-SUMMED = 1 << 16
+#: Windows that are fingerprinted at once, if a text has no more.
+AT_ONCE = 1 << 16
 FOUND = "doc_id long, item_id long, start_word long, similarity double, distance int"
 
 
@@ -122,71 +122,52 @@ class Index:
                 if hit.any():
                     yield own[hit], k, distance[hit]
 
-    def windows(self, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(size, text, begin, length) of the windows that hold enough shingles of items of a size, in order of size and begin.
+    def candidates(self, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size, text, length) of the texts that hold enough shingles of items of a size for a window of this length to be similar to one.
 
         A window is as long as the items, or a whole text that is a little shorter.
         """
         at = np.flatnonzero(self.seen[h & self.mask])
-        if not len(at):
-            return (at,) * 4
         j = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         at, j = (x[self.known[j] == h[at]] for x in (at, j))
         count = self.begin[j + 1] - self.begin[j]
-        size, at = self.size_of[_ranges(self.begin[j], count)], np.repeat(at, count)
-        order = np.lexsort((at, size))
-        size, at = size[order], at[order]
-        if not len(at):
-            return (at,) * 4
-        text = np.searchsorted(edges, at, side="right") - 1
+        text = np.searchsorted(edges, np.repeat(at, count), side="right") - 1
+        key, held = np.unique(self.size_of[_ranges(self.begin[j], count)] * len(edges) + text, return_counts=True)
+        size, text = key // len(edges), key % len(edges)
         length = np.minimum(np.diff(edges)[text], self.sizes[size])
         need = least_shared(length, self.sizes[size])
-        slack = length - need
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(size) != 0) | (np.diff(text) != 0) | (np.diff(at) > slack[1:] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        run = first[last - first + 1 >= np.maximum(need[first], 1)]
-        end = at[np.append(first[1:], len(at)) - 1][np.searchsorted(first, run)]
-        low = np.maximum(edges[text[run]], at[run] - slack[run])
-        high = np.minimum(edges[text[run] + 1] - length[run], end - need[run] + 1)
-        n = np.maximum(high - low + 1, 0)
-        begin = _ranges(low, n)
-        size_, text_, length_, need_ = (np.repeat(x[run], n) for x in (size, text, length, need))
-        key, wide = size * (len(h) + 1) + at, size_ * (len(h) + 1)
-        held = np.searchsorted(key, wide + begin + length_) - np.searchsorted(key, wide + begin)
-        full = (held >= need_) & (need_ <= length_)
-        return tuple(x[full] for x in (size_, text_, begin, length_))
+        full = (held >= need) & (need <= length)
+        return size[full], text[full], length[full]
 
     def search(self, h: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, float, int]]:
         """(text, item, first shingle, similarity, distance) of windows that are similar to an item, the best of a stretch."""
-        size, text, begin, length = self.windows(h, edges)
-        apart = np.ones(len(begin), bool)
-        apart[1:] = (np.diff(size) != 0) | (np.diff(text) != 0) | (np.diff(begin) > length[1:])
-        cost = np.where(apart, length, np.diff(begin, prepend=begin[:1]))
-        part = np.cumsum(cost) // SUMMED
-        for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(begin)]):
+        size, text, length = self.candidates(h, edges)
+        n = edges[text + 1] - edges[text] - length + 1
+        part = np.cumsum(n) // AT_ONCE
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]):
             if a < b:
-                yield from self._compare(h, edges, size[a:b], text[a:b], begin[a:b], length[a:b], np.append(True, apart[a + 1 : b]))
-
-    def _compare(self, h, edges, size, text, begin, length, apart) -> Iterator[tuple[int, int, int, float, int]]:
-        first = np.flatnonzero(apart)
-        last = np.append(first[1:], len(begin)) - 1
-        wide = begin[last] + length[last] - begin[first]
-        stretch = np.cumsum(apart) - 1
-        at = begin - begin[first][stretch] + (np.cumsum(wide) - wide)[stretch]
-        bits = _bits(h[_ranges(begin[first], wide)])
+                yield from self._compare(h, edges, size[a:b], text[a:b], length[a:b], n[a:b])
+
+    def _compare(self, h, edges, size, text, length, n) -> Iterator[tuple[int, int, int, float, int]]:
+        """Fingerprints all n windows of each text, and compares those that are near an item."""
+        wide = n + length - 1
+        bits = _bits(h[_ranges(edges[text], wide)])
         sums = np.zeros((len(bits) + 1, 64), np.int32)
         np.cumsum(bits, axis=0, out=sums[1:])
-        fp = _packed(sums[at + length] - sums[at] > (length // 2)[:, None])
-        for rows, k, distance in self.near(fp, size):
-            cut = np.flatnonzero(np.diff(stretch[rows])) + 1
-            for own, far in zip(np.split(rows, cut), np.split(distance, cut), strict=True):
-                n = int(length[own[0]])
-                similarity = _similarities(h[begin[own[0]] : begin[own[-1]] + n], n, self.hashes[k])[begin[own] - begin[own[0]]]
+        own = np.repeat(np.arange(len(n)), n)
+        at = _ranges(np.cumsum(wide) - wide, n)
+        long = length[own]
+        fp = _packed(sums[at + long] - sums[at] > (long // 2)[:, None])
+        begin = _ranges(edges[text], n)
+        for rows, k, distance in self.near(fp, size[own]):
+            cut = np.flatnonzero((np.diff(own[rows]) != 0) | (np.diff(begin[rows]) > long[rows[1:]])) + 1
+            for near, far in zip(np.split(rows, cut), np.split(distance, cut), strict=True):
+                m = int(long[near[0]])
+                similarity = _similarities(h[begin[near[0]] : begin[near[-1]] + m], m, self.hashes[k])[begin[near] - begin[near[0]]]
                 best = int(np.argmax(similarity))
                 if similarity[best] >= SIMILARITY:
-                    yield int(text[own[0]]), k, int(begin[own[best]] - edges[text[own[0]]]), float(similarity[best]), int(far[best])
+                    t = int(text[own[near[0]]])
+                    yield t, k, int(begin[near[best]] - edges[t]), float(similarity[best]), int(far[best])
 
 
 def _similarities(h: np.ndarray, n: int, item: np.ndarray) -> np.ndarray:

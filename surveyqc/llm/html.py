@@ -6,8 +6,10 @@ importance joins its presentation importance (entropy of the child sequences tha
 little information. Copies of one main text are one page of the tree, as they say nothing about the site.
 
 Markup is a prior to the composite importance c of a branch that m pages have: navigation, adverts, forms and what lies outside
-a page's article or main element keep a quarter of c; a name that only holds such a word leaves 0.6 of it; the flow of an
-article or main element counts as two more pages of full importance, (m c + 2) / (m + 2). Branches below the threshold go.
+a page's article or main element keep a quarter of c; a name that only holds such a word leaves 0.6 of it; the flow of an article or
+main element counts as PRIOR_PAGES more pages of full importance, so that what all pages repeat goes from three pages on. An
+article or main element is the page's unless it lies in comments or teasers or is named a comment; if it holds but a small part of
+the page's text, nothing goes for lying outside it. Branches below the threshold go.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ THRESHOLD = 0.3
 #: Weight of a further style, as in the published method.
 GAMMA = 0.9
 #: Share of its importance that a branch keeps which markup names as no content, or whose names only hold such a word; pages of full importance that an article's flow has besides.
-NO_CONTENT_SHARE, DOUBT_SHARE, ARTICLE_PAGES = 0.25, 0.6, 2
+NO_CONTENT_SHARE, DOUBT_SHARE, PRIOR_PAGES = 0.25, 0.6, 0.9
+#: Share of a page's text that its articles must hold for what lies outside to go.
+ARTICLE_SHARE = 0.25
 
 # HTML's element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 FLOW = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre table tbody td tfoot th thead tr ul caption header".split())
 NO_CONTENT = frozenset("aside button dialog footer form head header input label menu nav option search select".split())
@@ -40,14 +44,19 @@ MAIN = frozenset("article main".split())
 NO_CONTENT_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pager pagination popup promo promotion promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe contentinfo".split())
 #: Words that also name parts of articles: even as a whole name they are only doubtful.
 DOUBTFUL_WORDS = frozenset("alert complementary header search toolbar widget".split())
-#: What markup says: no content; the flow of an article; nothing; that its names hold a doubtful word; no content by its names alone, so that a main or article in it is content.
-DROP, KEEP, ASK, DOUBT, NAMED = range(5)
+#: Words that name others' texts; an article or main element in them, or whose own name begins with one of the first kind, isn't the page's.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply".split())
+TEASER_WORDS = frozenset("promoted recommended related sponsored teaser teasers".split())
+#: What markup says: no content; the flow of an article; nothing; that its names hold a doubtful word; no content by its names alone, so that a main or article in it is content; others' texts.
+DROP, KEEP, ASK, DOUBT, NAMED, OTHERS = range(6)
+#: Kinds that don't count as the page's text.
+NO_TEXT = (DROP, NAMED, OTHERS)
 #: Elements that their names say nothing about.
 WHOLE = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|object)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
+      | <(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|object)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
       | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
       | </?[a-zA-Z][^>]*+>
       | <[!?/][^>]*+(?:>|\Z)""",
@@ -59,14 +68,17 @@ _WORDS = re.compile(r"[a-z]+")
 PARSED = "page_id long, url string, host string, main long, blocks array<struct<node:long,kind:int,text:string>>, styles array<struct<node:long,style:long>>"
 
 
-def _names(attrs: str) -> tuple[str, int]:
-    """The element's part of a path that its attributes give, and NAMED if a name is a word for what isn't content, DOUBT if one only holds it."""
+def _names(tag: str, attrs: str) -> tuple[str, int]:
+    """The element's part of a path that its attributes give, and NAMED if a name is a word for what isn't content, DOUBT if one only holds it, OTHERS if one names comments or teasers."""
     if not attrs or "=" not in attrs:
         return "", ASK
     found = [(k.lower(), v.strip("\"'")) for k, v in _NAMES.findall(attrs)]
     words = {w for _, v in found for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
     whole = {w for _, v in found for w in v.lower().split()}
     bad = ASK if words.isdisjoint(NO_CONTENT_WORDS | DOUBTFUL_WORDS) else DOUBT if whole.isdisjoint(NO_CONTENT_WORDS) else NAMED
+    others = {m[0] for x in whole if (m := _WORDS.match(x))} & COMMENT_WORDS if tag in MAIN else whole & (COMMENT_WORDS | TEASER_WORDS)
+    if others:
+        bad = OTHERS
     return "".join(f".{v}" for k, v in found if k == "class"), bad
 
 
@@ -127,13 +139,17 @@ def walk(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
             if tag in VOID:
                 continue
             _, path, kind, children = stack[-1]
-            named, bad = _names(m["attrs"])
+            named, bad = _names(tag, m["attrs"])
             if block:
                 children.append(tag + named)
             if kind == DROP or (tag in NO_CONTENT and not (tag == "header" and kind == KEEP)):
                 kind = DROP
+            elif kind == OTHERS or (bad == OTHERS and tag not in ("html", "body", "main")):
+                kind = OTHERS
             elif tag in MAIN:
                 kind = KEEP
+            elif tag not in WHOLE and tag in FLOW and bad == NAMED and kind in (KEEP, DOUBT):
+                kind = DOUBT  # a paragraph, heading or list of an article is its own, whatever its name
             elif tag not in WHOLE and (bad == NAMED or (bad == DOUBT and kind != NAMED)):
                 kind = bad
             elif kind == KEEP and block and (named or tag not in FLOW):
@@ -144,15 +160,19 @@ def walk(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
     flush()
     while len(stack) > 1:
         pop()
-    if any("/article" in p or "/main" in p for p, k, _ in blocks if k not in (DROP, NAMED)):
-        blocks = [(p, k if "/article" in p or "/main" in p else DROP, t) for p, k, t in blocks]
+    inside = lambda p: "/article" in p or "/main" in p
+    own, every = (sum(len(t) for p, k, t in blocks if k not in NO_TEXT and (all_ or inside(p))) for all_ in (False, True))
+    if own and own >= ARTICLE_SHARE * every:
+        blocks = [(p, k if inside(p) else DROP, t) for p, k, t in blocks]
+    elif own:
+        blocks = [(p, ASK if k == KEEP else k, t) for p, k, t in blocks]
     return blocks, [s for s in styles if s[1]]
 
 
 def parse(html: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
     """As `walk`, without the blocks that markup calls no content."""
     blocks, styles = walk(html)
-    return [b for b in blocks if b[1] not in (DROP, NAMED)], styles
+    return [b for b in blocks if b[1] not in NO_TEXT], styles
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -170,7 +190,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             for batch in slices(whole, "html"):
                 rows, known = [walk(h) for h in batch.column("html").to_pylist()], {}
                 node = lambda path: known[path] if path in known else known.setdefault(path, number(path))  # noqa: B023, E731
-                main = [number("\n".join(t for _, k, t in b if k not in (DROP, NAMED))) for b, _ in rows]
+                main = [number("\n".join(t for _, k, t in b if k not in NO_TEXT)) for b, _ in rows]
                 blocks = [[{"node": node(p), "kind": k, "text": t} for p, k, t in b] for b, _ in rows]
                 styles = [[{"node": node(p), "style": node(s)} for p, s in st] for _, st in rows]
                 yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), pa.array(main), pa.array(blocks, blocks_type), pa.array(styles, styles_type)], ["page_id", "url", "host", "main", "blocks", "styles"])
@@ -207,7 +227,8 @@ def style_tree(rows: DataFrame) -> DataFrame:
 
 
 def importance(kind: Column, composite: Column, m: Column) -> Column:
-    flow = (m * composite + ARTICLE_PAGES) / (m + ARTICLE_PAGES)
+    """What a branch's markup and its place in the tree come to, for composite importances 0..1 and m pages."""
+    flow = (m * composite + PRIOR_PAGES) / (m + PRIOR_PAGES)
     return F.when(kind == KEEP, flow).when(kind == ASK, composite).when(kind == DOUBT, DOUBT_SHARE * composite).otherwise(NO_CONTENT_SHARE * composite)
 
 
@@ -219,9 +240,9 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     its importance can decide; rows with a branch to remove are then told which.
     """
     rows = written(parsed(pages).withColumn("row_id", F.monotonically_increasing_id()), "parsed-pages")
-    most = {DROP: NO_CONTENT_SHARE, NAMED: NO_CONTENT_SHARE}  # of the importance that a kind can have; 1 for others
+    most = dict.fromkeys(NO_TEXT, NO_CONTENT_SHARE)  # of the importance that a kind can have; 1 for others
     sure = [k for k, x in most.items() if x < threshold]
-    weak = style_tree(rows).where(F.least(*[importance(F.lit(k), F.col("composite"), F.col("m")) for k in range(5) if k not in sure]) < threshold)
+    weak = style_tree(rows).where(F.least(*[importance(F.lit(k), F.col("composite"), F.col("m")) for k in range(6) if k not in sure]) < threshold)
     asked = rows.select("row_id", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: ~b["kind"].isin(*sure)), lambda b: b["node"]))).alias("node"))
     hits = asked.join(small_or_shuffled(written(weak, "weak-branches")), ["host", "node"])
     low = written(hits.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("composite", "m")))).alias("weak")), "weak-rows")

@@ -31,13 +31,19 @@ def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages(page_id, url, html) with payload_bytes, digest, record_type, refers_to.
 
     A null html is an empty payload; payloads under min_bytes are always responses. Of repeated rows with the largest
-    page_id, all are responses. Equal digests are counted and written before they are joined: a row a common page is broadcast, or
-    joined by a shuffle whose large partitions Spark splits.
+    page_id, all are responses. Equal digests are counted and written before they are joined: a row a common payload is broadcast. If
+    there are too many for that, revisits are told by narrow rows, and payloads are shuffled by page, never by a common digest.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first_"), F.count("*").alias("n_"))
-    joined = rows.join(small_or_shuffled(written(shared.where("n_ > 1").drop("n_"), "digests")), "digest", "left")
+    repeated = written(shared.where("n_ > 1").drop("n_"), "digests")
+    if (small := small_or_shuffled(repeated)) is repeated:
+        told = written(rows.select("page_id", "digest").join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_"))).distinct(), "revisits")
+        same = rows["page_id"].eqNullSafe(told["page_id"]) & (rows["digest"] == told["digest"])
+        joined = rows.join(told, same, "left").select(*[rows[c] for c in rows.columns], told["first_"])
+    else:
+        joined = rows.join(small, "digest", "left")
     revisit = F.col("first_").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_")).alias("refers_to"))
 

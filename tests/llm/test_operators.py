@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from surveyqc.llm import chat, decontamination, html, licenses, packing, quality, rules, secrets, simhash, warc
+from surveyqc.llm import chat, common, decontamination, html, licenses, packing, quality, rules, secrets, simhash, warc
 from surveyqc.llm.common import written
 from surveyqc.llm.queries import tokenizer_path
 
@@ -301,6 +301,29 @@ def test_decontamination_near_the_threshold(spark):
     assert all(x["similarity"] == pytest.approx(found[x["doc_id"], x["item_id"]]) for x in got)
 
 
+def test_fingerprints_choose_among_windows():
+    """More windows are fingerprinted than are near an item, and more are near than similar; texts without enough shared shingles have none."""
+    import pyarrow as pa
+
+    items = [prose(500 + i, 60) for i in range(3)]
+    texts = [f"{prose(1, 400)} {items[0]} {prose(2, 400)}", prose(3, 900), f"{prose(4, 300)} {' '.join(items[1].split()[:45])} {prose(5, 300)}"]
+    (flat, edges), (own, at) = *decontamination.shingle_hashes(pa.array(items), (5,)), *decontamination.shingle_hashes(pa.array(texts), (5,))
+    index = decontamination.Index([0, 1, 2], [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    made, near, real = [], [], index.near
+
+    def counted(fp, size):
+        made.append(len(fp))
+        for found in real(fp, size):
+            near.append(len(found[0]))
+            yield found
+
+    index.near = counted
+    similar = list(index.search(own, at))
+    assert [(t, k) for t, k, *_ in similar] == [(0, 0)]
+    assert sum(made) > 800 and sum(made) > sum(near) > len(similar)
+    assert index.candidates(own, at)[1].tolist() == [0, 2] or index.candidates(own, at)[1].tolist() == [0]
+
+
 # Pages
 
 
@@ -338,6 +361,49 @@ def test_doubtful_names_do_not_lose_articles(spark):
     assert got == {i: f"Story {prose(i, 12)}" for i, _, _ in rows}
 
 
+def extracted(spark, pages, n=6):
+    """Texts of n pages of each host: pages[k](i) is the i-th page of host k."""
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page(100 * k + i)) for k, page in enumerate(pages) for i in range(n)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [[found[100 * k + i] for i in range(n)] for k in range(len(pages))]
+
+
+def test_articles_of_others_are_not_the_page_s(spark):
+    """Comments and teaser cards as articles; formulas; names within articles that only sound like adverts."""
+    story = lambda i: f"Story {prose(i, 40)}"
+    reader = lambda i: "".join(f'<article class="comment-body"><p>Reader {prose(1000 + 10 * i + j, 12)}</p></article>' for j in range(3))
+    card = lambda i: f'<article><a href="/">More {prose(3000 + i, 3)}</a></article>'
+    pages = [
+        lambda i: f'<div class="text"><p>{story(i)}</p></div><section class="comments">{reader(i)}</section>',
+        lambda i: f'<div class="text"><p>{story(i)}</p></div><div>{reader(i)}</div>',
+        lambda i: f'<main><p>{story(i)}</p><section id="comments">{reader(i)}</section></main>',
+        lambda i: f'<article><p>{story(i)}</p></article><div class="commentlist">{reader(i)}</div>',
+        lambda i: f'<div id="content"><p>{story(i)}</p></div><div class="related">{card(i)}</div>',
+        lambda i: f'<article class="post has-comments"><p>{story(i)}</p></article>',
+        lambda i: f'<article><p class="promotion">{story(i)}</p></article>',
+        lambda i: f'<article><p class="social sciences">{story(i)}</p></article>',
+        lambda i: f'<article><p>Let <math><mi>x</mi></math> be {story(i)}</p></article>',
+        lambda i: f'<article><p>{story(i)}</p><section class="notice">Notice {prose(i, 5)}</section></article>',
+    ]
+    for k, texts in enumerate(extracted(spark, pages)):
+        assert texts == [f"Let x be {story(100 * k + i)}" if k == 8 else story(100 * k + i) for i in range(6)], k
+
+
+def test_a_small_article_does_not_lose_the_page(spark):
+    story = lambda i: f"Story {prose(i, 60)}"
+    (texts,) = extracted(spark, [lambda i: f'<div id="content"><p>{story(i)}</p></div><article>Card {prose(900 + i, 3)}</article>'])
+    assert all(t.startswith(story(i)) for i, t in enumerate(texts))
+    (texts,) = extracted(spark, [lambda i: f'<article>{story(i)}</article><div>Line {prose(900 + i, 8)}</div>'])
+    assert texts == [story(i) for i in range(6)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
+def test_what_all_pages_of_a_host_repeat_goes_at_any_size(spark, n):
+    """Of two pages alone a paragraph that both have stays, as a headline may be one article's on both."""
+    page = lambda i: f'<article><p>Story {prose(i, 12)}</p><div class="letter">Write to us for our letter</div><blockquote>Write to us</blockquote></article>'
+    assert extracted(spark, [page], n) == [[f"Story {prose(i, 12)}" + "\nWrite to us" * (n == 2) for i in range(n)]]
+
+
 def plain_tree(pages):
     """(host, path) -> pages, composite importance, element by element."""
     from math import log
@@ -345,7 +411,7 @@ def plain_tree(pages):
     seen, distinct = {}, {}
     for host, page in pages:
         blocks, styles = html.walk(page)
-        distinct.setdefault((host, tuple(t for _, k, t in blocks if k not in (html.DROP, html.NAMED))), (blocks, styles))
+        distinct.setdefault((host, tuple(t for _, k, t in blocks if k not in html.NO_TEXT)), (blocks, styles))
     for (host, _), (blocks, styles) in distinct.items():
         for path in {p for p, _, _ in blocks}:
             seen.setdefault((host, path), []).append(({t for p, _, t in blocks if p == path}, {s for p, s in styles if p == path}))
@@ -405,7 +471,9 @@ def test_tree_removes_branches_of_given_pages(spark):
     assert told.where(F.col("importance") < html.THRESHOLD).count() > 0 and told.where(F.col("importance") >= html.THRESHOLD).count() > 0
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("rows_sent", [200_000, -1])
+def test_warc_round_trip(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_sent)
     big = "<p>" + "é" * 600 + "</p>"
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (7, None, big), (3, "u v", "x"), (4, "u", "x"), (5, "u", None), (None, "n", big), (7, None, big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
@@ -424,6 +492,16 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(warc.classify(pages.where("false")))).count() == 0
 
 
+def test_broadcast_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = written(spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "array(id, id) AS list", "map(id, 'y') AS map"), "wide")
+    sent = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert sent(common.small_or_shuffled(rows))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 50_000)
+    assert not sent(common.small_or_shuffled(rows)) and sent(common.small_or_shuffled(rows.select("id", "list", "map")))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 99)
+    assert not sent(common.small_or_shuffled(rows.select("id")))
+
+
 # Quality
 
 
