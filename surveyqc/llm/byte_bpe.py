@@ -31,9 +31,9 @@ from surveyqc.llm.common import slices, text_table
 #: Characters of a leaf of a text's tree.
 LEAF = 8_192
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Entries of what a worker remembers of each kind, each of SHORT bytes at most.
-REMEMBERED, SHORT = 200_000, 64
+REMEMBERED, SHORT = 150_000, 64
 
 # Kinds of characters that the pattern tells apart.
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -184,8 +184,8 @@ class ByteBPE:
         chars = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
         edges = np.append(0, np.cumsum(np.asarray(pc.utf8_length(texts), dtype=np.int64)))
         start = matches(chars, edges)
-        byte = np.append(0, np.cumsum(1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000), dtype=np.int64))
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(byte[start], byte[-1])), pa.py_buffer(whole)])
+        byte = np.append(0, np.cumsum(1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000), dtype=np.int64))[np.append(start, len(chars))]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(byte), pa.py_buffer(whole)])
         coded = found.dictionary_encode()
         own = [self.encode_match(x) for x in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, own), np.int64, len(own))
@@ -193,8 +193,9 @@ class ByteBPE:
         codes = np.asarray(coded.indices)
         count = size[codes]
         ends = np.append(0, np.cumsum(count))
-        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], count) + np.arange(ends[-1])] if len(codes) else flat
-        return ids, ends[np.searchsorted(start, edges)]
+        at = np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], count)
+        at += np.arange(len(at))
+        return flat[at], ends[np.searchsorted(start, edges)]
 
     def decode_ids(self, ids: pa.Array) -> tuple[pa.Buffer | None, np.ndarray]:
         """The bytes of ids one after another, and where each id's begin (one entry more at the end)."""
@@ -267,11 +268,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded(doc_id, n_tokens, ids) and `decoded`: the bytes of each row's ids. A null list has none; an id outside the ranks is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable((b.slice(i, 500) for i in range(0, b.num_rows, 500)) for b in batches):
             lists = batch.column("ids")
             data, byte = encoder(ranks_path).decode_ids(lists.flatten())
             edges = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)))
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(byte[edges].copy()), data])
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(byte[edges].copy()), pa.py_buffer(b"") if data is None else data])
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
