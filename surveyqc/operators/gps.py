@@ -157,7 +157,7 @@ def gps_kmeans_areas(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 #: Metres that level 0 of the cells covers, over half the equator; each level halves them, down to about a metre.
 TOP_WIDTH, LEVELS = 20_040_000.0, 24
 #: Levels that are counted in one pass; rows of a cell that meet in one task.
-AT_ONCE, CELL = 4, 1024
+AT_ONCE, CELL = 8, 1024
 
 
 def _step(level: Column) -> Column:
@@ -194,8 +194,16 @@ def _around(left: DataFrame, spots: DataFrame) -> DataFrame:
     """
     step = _step(F.col("level"))
     looking = left.withColumn("row_", F.explode(F.sequence(F.floor(F.col("lat") / step).cast("long") - 1, F.floor(F.col("lat") / step).cast("long") + 1)))
-    column, n = _column(F.col("row_"), step), _columns(F.col("row_"), step)
-    around = F.array_distinct(F.transform(F.sequence(column - 3, column + 3), lambda c: F.pmod(c, n)))
+    # How far a cell's height reaches along the circles about here, in columns of the row; all of them near a pole.
+    reach = F.sin(F.radians(F.least(step, F.lit(90.0)))) / F.cos(F.radians("lat"))
+    polar = (F.abs("lat") + step >= 90) | (reach >= 1)
+    wide = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))))
+    scale, n = _across(F.col("row_"), step) / step, _columns(F.col("row_"), step)
+    place, side = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) * scale, wide * scale * (1 + 1e-9) + 1e-9
+    # Columns go round; the last one of a row may be narrower, so one more is looked at where it is passed.
+    first, last = F.floor(place - side), F.floor(place + side)
+    first, last = F.when(first < 0, first - 1).otherwise(first), F.when(last >= n - 1, last + 1).otherwise(last)
+    around = F.array_distinct(F.transform(F.sequence(first.cast("long"), F.least(last, first + n).cast("long")), lambda c: F.pmod(c, n)))
     looking = looking.withColumn("cell_x", F.explode(around)).select("point", "level", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("row_").alias("cell_y"), "cell_x")
     cell = ["level", "cell_y", "cell_x"]
     levels = [r["level"] for r in left.select("level").distinct().collect()]  # LEVELS at most
