@@ -1,7 +1,5 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-from surveyqc.llm import rules, secrets
-
 #: The payload of a page is its html in UTF-8; DuckDB's strings are UTF-8.
 WARC = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -25,7 +23,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_BROKEN = [" OR ".join(f"coalesce(n_words > 0 AND {m} > {grid[i]}, false)" for m, grid in rules.RULES.values()) for i in range(rules.SETTINGS)]
+#: Written out here and not taken from the operator, so that a wrong cutoff there shows: measure, cutoffs from lenient to strict.
+_CUTOFFS = (
+    ("n_symbols / n_words", (3.2, 1.6, 0.8, 0.4, 0.2, 0.1)), ("n_dup_lines / n_lines", (0.8, 0.7, 0.5, 0.4, 0.3, 0.2)), ("n_repeat_words / n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    ("n_capitals / word_chars", (0.8, 0.6, 0.4, 0.3, 0.2, 0.1)), ("n_exclamations / n_words", (3.2, 1.6, 0.8, 0.4, 0.2, 0.1)), ("word_chars / n_words", (30.0, 25.0, 20.0, 15.0, 12.0, 10.0)),
+)
+_BROKEN = [" OR ".join(f"coalesce(n_words > 0 AND {m} > {grid[i]}, false)" for m, grid in _CUTOFFS) for i in range(6)]
 #: The same counts by unnesting words; the same exact test by the gamma function.
 RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -44,15 +47,17 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
 t AS (SELECT lang, setting, count(*) AS n, count(*) FILTER (lost) AS k FROM (
     {" UNION ALL ".join(f"SELECT lang, {i} AS setting, {x} AS lost FROM h" for i, x in enumerate(_BROKEN))}) GROUP BY ALL),
-v AS (SELECT lang, setting, k < {rules.LIMIT} * n AND (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({rules.LIMIT}) + (n - j) * ln(1 - {rules.LIMIT})))
-    FROM (SELECT unnest(generate_series(0, k)) AS j)) <= {rules.DELTA} / (SELECT count(DISTINCT lang) FROM h) AS safe FROM t),
-c AS (SELECT lang, coalesce(min(setting) FILTER (NOT safe), {rules.SETTINGS}) - 1 AS setting FROM v GROUP BY lang)
+v AS (SELECT lang, setting, k < 0.02 * n AND (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(1 - 0.02)))
+    FROM (SELECT unnest(generate_series(0, k)) AS j)) <= 0.05 / (SELECT count(DISTINCT lang) FROM h) AS safe FROM t),
+c AS (SELECT lang, coalesce(min(setting) FILTER (NOT safe), 6) - 1 AS setting FROM v GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (CASE setting {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_BROKEN))} ELSE false END) AS kept
 FROM b LEFT JOIN c USING (lang)
 """
 
-_KINDS = (("assign", secrets.ASSIGN.replace("'", "''").replace(r"\x20", " "), 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0), ("token", secrets.TOKEN, 0))
+_LETTERS = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)
+_KEYS = "|".join([*map(_LETTERS, ("password", "passwd", "secret", "token")), _LETTERS("api") + "_?" + _LETTERS("key")])
+_KINDS = (("assign", f"""((?:{_KEYS})["'']? *[:=] *["'']?)([A-Za-z0-9+/_.=-]+)""", 2), ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0), ("token", "[A-Za-z0-9_-]{20,}", 0))
 _FOUND = " UNION ALL ".join(
     f"""SELECT row, {rank} AS rank, '{kind}' AS kind, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i,
       unnest(regexp_extract_all(text, '{p}')) AS match, unnest(regexp_extract_all(text, '{p}', {g})) AS value,
@@ -68,7 +73,7 @@ b AS (SELECT row, rank, kind, value, stop - length(match) AS start, stop FROM p
     AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
     AND NOT EXISTS (FROM p AS x WHERE x.row = t.row AND x.rank < 3 AND (x.rank > 0 OR length(x.value) >= 6) AND x.stop - length(x.match) < t.stop AND t.stop - length(t.match) < x.stop)),
 v AS (SELECT value, text, min(source) AS owner FROM b JOIN d USING (row) GROUP BY value, text),
-o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) <= {secrets.SEVERAL_OWNERS} AND count(*) <= {secrets.MANY_TEXTS} AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT} AS live FROM v GROUP BY value),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) <= 3 AND count(*) <= 100 AND len(list_distinct(string_split(value, ''))) >= 6 AS live FROM v GROUP BY value),
 s AS (SELECT b.*, live FROM b JOIN o USING (value)),
 a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
