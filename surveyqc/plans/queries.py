@@ -193,7 +193,9 @@ add("add_index", lambda t: R.add_index(t.survey.select("survey_key", "survey_dat
 #: Notes with each of the missing tokens, within white space.
 NOTED = "CASE survey_key % 97 " + " ".join(f"WHEN {i} THEN concat(chr(9), ' {x.strip()} ', chr(10))" for i, x in enumerate(C.MISSING_TOKENS)) + " ELSE note END"
 _bare = "trim(note, ' ' || chr(9) || chr(10))"
-add("standardize_missing", lambda t: C.standardize_missing(t.survey.select("survey_key", F.expr(NOTED).alias("note"), "age")), f"SELECT survey_key, CASE WHEN {_bare} NOT IN ({', '.join(repr(x) for x in C.MISSING_TOKENS if x.strip() == x)}) THEN {_bare} END AS note, age FROM (SELECT * REPLACE ({NOTED} AS note) FROM survey)")
+add("standardize_missing", lambda t: C.standardize_missing(t.survey.select("survey_key", F.expr(NOTED).alias("note"), "age")),
+    f"SELECT survey_key, CASE WHEN {_bare} NOT IN ({', '.join(repr(x) for x in C.MISSING_TOKENS if x.strip() == x)}) THEN {_bare} END AS note, age FROM (SELECT "
+    f"* REPLACE ({NOTED} AS note) FROM survey)")
 add("safe_to_numeric", lambda t: C.safe_to_numeric(t.survey.select("survey_key", "note"), "note"), "SELECT survey_key, TRY_CAST(note AS DOUBLE) AS note FROM survey")
 add("append_context_columns", lambda t: R.append_context_columns(U.column_duplicates(t.survey, "age", ["survey_key"]), t.survey, "survey_key", ["region", "team"]),
     "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE n END AS duplicate_count, region, team FROM (SELECT *, count(*) OVER (PARTITION BY age) AS n FROM survey) WHERE n > 1")
@@ -223,7 +225,11 @@ PAIRS = """(SELECT v.survey_id, s.survey_key, s.enumerator, s.survey_date, v.bac
   SELECT 'income' AS column_name, 1 AS category, s.income AS s, v.income AS b, CASE WHEN s.income IS NULL OR v.income IS NULL THEN 'missing' WHEN s.income = v.income THEN 'match' ELSE 'mismatch' END AS status, s.income IS NOT NULL AS has_s, v.income IS NOT NULL AS has_b, s.income - v.income BETWEEN -2 AND 2 AS within_range
   UNION ALL SELECT 'children', 2, s.children, v.children, CASE WHEN s.children IS NULL OR v.children IS NULL THEN 'missing' WHEN s.children = v.children THEN 'match' ELSE 'mismatch' END, s.children IS NOT NULL, v.children IS NOT NULL, CASE WHEN s.children <> 0 THEN (s.children - v.children) * 100.0::DOUBLE / abs(s.children) BETWEEN -10 AND 10 END
   UNION ALL SELECT 'region', 3, NULL, NULL, CASE WHEN trim(lower(s.region)) = trim(lower(v.region)) THEN 'match' ELSE 'mismatch' END, true, true, NULL) c)"""
-RATES = "count(*) FILTER ({w} has_s) AS survey_values{k}, count(*) FILTER ({w} has_b) AS backcheck_values{k}, count(*) FILTER ({w} status <> 'missing') AS compared{k}, count(*) FILTER ({w} status = 'mismatch') AS mismatches{k}, round(count(*) FILTER ({w} status = 'mismatch') * 100.0::DOUBLE / nullif(count(*) FILTER ({w} status <> 'missing'), 0), 2) AS error_rate{k}"
+RATES = (
+    "count(*) FILTER ({w} has_s) AS survey_values{k}, count(*) FILTER ({w} has_b) AS backcheck_values{k}, count(*) FILTER ({w} status <> 'missing') AS compared{k}, "
+    "count(*) FILTER ({w} status = 'mismatch') AS mismatches{k}, round(count(*) FILTER ({w} status = 'mismatch') * 100.0::DOUBLE / nullif(count(*) FILTER ({w} "
+    "status <> 'missing'), 0), 2) AS error_rate{k}"
+)
 add("backcheck_compare", lambda t: compared(t).select("survey_id", "column_name", "category", "status", "difference", "within_range"),
     f"SELECT survey_id, column_name, category, status, s - b AS difference, within_range FROM {PAIRS}", "difference")
 add("staff_attach", lambda t: B.staff_attach(compared(t), t.survey, "survey_key", "enumerator").select("survey_id", "column_name", "enumerator"), f"SELECT survey_id, column_name, enumerator FROM {PAIRS}")
@@ -252,7 +258,11 @@ add("gps_distance_ellipsoid", lambda t: G.gps_pair_merge(t.gps, _moved(t), "surv
 add("gps_pair_merge", lambda t: G.gps_pair_merge(t.gps, _moved(t), "survey_key"), f"SELECT * FROM {PAIRED}", "lat1 lon1 lat2 lon2")
 _flags = lambda t: O.outlier_flags(t.survey, ["survey_key"], ["age", "income", "duration"])
 LONG = "(SELECT survey_key, enumerator, 'age' AS column_name, age::DOUBLE AS value FROM survey UNION ALL SELECT survey_key, enumerator, 'income', income FROM survey UNION ALL SELECT survey_key, enumerator, 'duration', duration FROM survey)"
-IQR = f"(SELECT column_name, count(value) AS n, min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lower, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS upper FROM {LONG} GROUP BY column_name)"
+IQR = (
+    f"(SELECT column_name, count(value) AS n, min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) "
+    f"AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, "
+    f"0.25)) AS lower, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS upper FROM {LONG} GROUP BY column_name)"
+)
 REASON = "CASE WHEN value < lower THEN 'below lower bound ' || printf('%.2f', lower) WHEN value > upper THEN 'above upper bound ' || printf('%.2f', upper) ELSE 'no outlier' END"
 FLAGS = f"(SELECT survey_key, enumerator, column_name, value, n, min, max, mean, median, sd, iqr, lower, upper, {REASON} AS reason FROM {LONG} JOIN {IQR} USING (column_name) WHERE value IS NOT NULL)"
 STATS = "min max mean median sd iqr lower upper"
@@ -261,7 +271,8 @@ add("outlier_admin_join", lambda t: O.outlier_admin_join(_flags(t), t.survey, "s
 add("group_stat_merge", lambda t: t.survey.groupBy("team").agg(F.count("*").alias("n"), F.max("survey_date").alias("last_date"), F.avg("duration").alias("mean_duration")), "SELECT team, count(*) AS n, max(survey_date) AS last_date, avg(duration) AS mean_duration FROM survey GROUP BY team", "mean_duration")
 DAILY = "(SELECT enumerator, survey_date AS date, count(*) AS submissions FROM survey GROUP BY ALL)"
 add("date_enumerator_spine", lambda t: V.date_enumerator_spine(t.survey, "enumerator", "survey_date"),
-    f"SELECT enumerator, date, coalesce(submissions, 0) AS submissions, (sum(coalesce(submissions, 0)) OVER (PARTITION BY enumerator ORDER BY date))::BIGINT AS cumulative FROM (SELECT DISTINCT enumerator FROM {DAILY}) CROSS JOIN (SELECT DISTINCT date FROM {DAILY}) LEFT JOIN {DAILY} USING (enumerator, date)")
+    f"SELECT enumerator, date, coalesce(submissions, 0) AS submissions, (sum(coalesce(submissions, 0)) OVER (PARTITION BY enumerator ORDER BY date))::BIGINT "
+        f"AS cumulative FROM (SELECT DISTINCT enumerator FROM {DAILY}) CROSS JOIN (SELECT DISTINCT date FROM {DAILY}) LEFT JOIN {DAILY} USING (enumerator, date)")
 add("anti_duplicates", lambda t: U.anti_duplicates(t.survey.select("survey_id", "survey_key"), "survey_id"), "SELECT survey_id, survey_key FROM (SELECT *, count(*) OVER (PARTITION BY survey_id) AS n FROM survey) WHERE n = 1")
 CENTRE = "(SELECT g.*, c.* FROM (SELECT * FROM gps WHERE latitude IS NOT NULL) g JOIN (SELECT cluster AS k, avg(latitude) AS centre_lat, avg(longitude) AS centre_lon, count(*) AS cluster_n FROM gps WHERE latitude IS NOT NULL GROUP BY ALL) c ON g.cluster = c.k)"
 FAR = f"(SELECT *, {HAVERSINE.format(a='latitude', b='centre_lat', c='longitude', d='centre_lon')} AS distance FROM {CENTRE})"
@@ -281,9 +292,13 @@ DAY = f"DATE '{AS_OF}'"
 _span = lambda a, b: f"count(*) FILTER (survey_date > {a} AND survey_date <= {b})"
 _now = {"today": (f"{DAY} - 1", f"{DAY} - 2"), "week": (f"{DAY} - 7", f"{DAY} - 14"), "month": ("DATE '2001-07-01'", "DATE '2001-06-01'")}
 add("submission_metrics", lambda t: S.submission_metrics(t.survey, "survey_date", AS_OF),
-    "SELECT first_date, last_date, total, today, week, month, " + ", ".join(f"coalesce(({k} - b_{k}) * 100.0::DOUBLE / nullif(b_{k}, 0), 0) AS {k}_change" for k in _now) + f" FROM (SELECT min(survey_date) AS first_date, max(survey_date) AS last_date, count(*) AS total, {', '.join(f'{_span(a, DAY)} AS {k}, {_span(b, a)} AS b_{k}' for k, (a, b) in _now.items())} FROM survey)", "today_change week_change month_change")
+    "SELECT first_date, last_date, total, today, week, month, " + ", ".join(f"coalesce(({k} - b_{k}) * 100.0::DOUBLE / nullif(b_{k}, 0), 0) AS {k}_change" for k in _now) +
+        f" FROM (SELECT min(survey_date) AS first_date, max(survey_date) AS last_date, count(*) AS total, {', '.join(f'{_span(a, DAY)} AS {k}, {_span(b, a)} AS b_{k}' for k, (a, b) in _now.items())} "
+        f"FROM survey)", "today_change week_change month_change")
 add("submissions_by_date", lambda t: S.submissions_by_date(t.survey, "survey_date"), "SELECT survey_date AS date, count(*) AS submissions FROM survey GROUP BY ALL")
-add("progress_metrics", lambda t: S.progress_metrics(t.survey, "survey_date", 20000), "SELECT count(*) AS submissions, count(*) * 100.0::DOUBLE / 20000 AS target_pct, count(*) / count(DISTINCT survey_date) AS per_day, count(*) / count(DISTINCT date_trunc('week', survey_date)) AS per_week, count(*) / count(DISTINCT date_trunc('month', survey_date)) AS per_month FROM survey", "target_pct per_day per_week per_month")
+add("progress_metrics", lambda t: S.progress_metrics(t.survey, "survey_date", 20000),
+    "SELECT count(*) AS submissions, count(*) * 100.0::DOUBLE / 20000 AS target_pct, count(*) / count(DISTINCT survey_date) AS per_day, count(*) / count(DISTINCT "
+    "date_trunc('week', survey_date)) AS per_week, count(*) / count(DISTINCT date_trunc('month', survey_date)) AS per_month FROM survey", "target_pct per_day per_week per_month")
 #: One column a month, over all months of the survey.
 BETWEEN = ("1995-01-01", "2001-08-31")
 _MONTH_NAMES = "January February March April May June July August September October November December".split()
@@ -298,24 +313,35 @@ def months(by: str, date: str, what: str, of: str) -> str:
 
 add("progress_by_column", lambda t: S.progress_by_column(t.survey, "survey_date", "region", between=BETWEEN), months("region", "survey_date", "count(*) FILTER ({})", "survey"))
 add("data_quality_metrics", lambda t: S.data_quality_metrics(t.survey.select("survey_id", "age", "income"), "survey_id", _flags(t), t.visits.select(F.col("survey_id"))),
-    f"SELECT (count(*) - count(DISTINCT survey_id)) * 100.0::DOUBLE / count(*) AS duplicate_pct, (count(*) * 2 - count(age) - count(income)) * 100.0::DOUBLE / (count(*) * 3) AS missing_pct, (SELECT count(*) FILTER (reason <> 'no outlier') * 100.0::DOUBLE / count(*) FROM {FLAGS}) AS outlier_pct, (SELECT count(*) FILTER (survey_id IN (SELECT survey_id FROM visits)) * 100.0::DOUBLE / count(*) FROM (SELECT DISTINCT survey_id FROM survey)) AS backcheck_pct FROM survey", "duplicate_pct missing_pct outlier_pct backcheck_pct")
+    f"SELECT (count(*) - count(DISTINCT survey_id)) * 100.0::DOUBLE / count(*) AS duplicate_pct, (count(*) * 2 - count(age) - count(income)) * 100.0::DOUBLE "
+        f"/ (count(*) * 3) AS missing_pct, (SELECT count(*) FILTER (reason <> 'no outlier') * 100.0::DOUBLE / count(*) FROM {FLAGS}) AS outlier_pct, (SELECT count(*) "
+        f"FILTER (survey_id IN (SELECT survey_id FROM visits)) * 100.0::DOUBLE / count(*) FROM (SELECT DISTINCT survey_id FROM survey)) AS backcheck_pct FROM survey", "duplicate_pct missing_pct outlier_pct backcheck_pct")
 add("progress_summary", lambda t: V.progress_summary(t.survey, 20000), "SELECT count(*) AS submissions, 20000 AS target, count(*) * 100.0::DOUBLE / 20000 AS progress_pct FROM survey", "progress_pct")
 add("progress_overtime", lambda t: V.progress_overtime(t.survey, "survey_date", "Week"), "SELECT date_trunc('week', survey_date)::DATE AS period, count(*) AS submissions FROM survey GROUP BY ALL")
-add("average_interviews", lambda t: V.average_interviews(V.progress_overtime(t.survey, "survey_date", "Month")), "SELECT period, submissions, average, submissions >= average AS reached FROM (SELECT *, avg(submissions) OVER () AS average FROM (SELECT date_trunc('month', survey_date)::DATE AS period, count(*) AS submissions FROM survey GROUP BY ALL))", "average")
+add("average_interviews", lambda t: V.average_interviews(V.progress_overtime(t.survey, "survey_date", "Month")),
+    "SELECT period, submissions, average, submissions >= average AS reached FROM (SELECT *, avg(submissions) OVER () AS average FROM (SELECT date_trunc('month', "
+    "survey_date)::DATE AS period, count(*) AS submissions FROM survey GROUP BY ALL))", "average")
 add("consent_completion", lambda t: V.consent_completion(t.survey, "consent", ["yes"], "outcome", ["complete"]), "SELECT count(*) FILTER (consent = 'yes') * 100.0::DOUBLE / count(*) AS consent_pct, count(*) FILTER (outcome = 'complete') * 100.0::DOUBLE / count(*) AS completed_pct FROM survey", "consent_pct completed_pct")
 add("attempted_interviews", lambda t: V.attempted_interviews(t.survey, "survey_id", "survey_date", 200).select("survey_id", "attempts", "last_date", "attempt_1", "attempt_2"),
     "SELECT survey_id, count(*) AS attempts, max(survey_date) AS last_date, list_sort(list(survey_date))[1] AS attempt_1, list_sort(list(survey_date))[2] AS attempt_2 FROM survey GROUP BY survey_id")
 add("attempt_distribution", lambda t: V.attempt_distribution(t.survey, "survey_id"), "SELECT attempts, ids, ids * 100.0::DOUBLE / sum(ids) OVER () AS pct FROM (SELECT attempts, count(*) AS ids FROM (SELECT count(*) AS attempts FROM survey GROUP BY survey_id) GROUP BY ALL)", "pct")
 add("consent_by_unique_id", lambda t: V.consent_by_unique_id(t.survey, "survey_id", "consent"), "SELECT consent, count(DISTINCT survey_id) AS ids FROM survey GROUP BY consent")
 add("attempts_per_id", lambda t: V.attempts_per_id(t.survey, "survey_id", "survey_key"), "SELECT attempts, count(*) AS ids FROM (SELECT count(DISTINCT survey_key) AS attempts FROM survey GROUP BY survey_id) GROUP BY ALL")
-add("fill_within_id", lambda t: V.fill_within_id(t.survey, "survey_id", "survey_date", ["age", "income"], "survey_key"), "SELECT survey_id, coalesce(age, next_age) AS age, coalesce(income, next_income) AS income FROM (SELECT survey_id, age, income, first_value(age IGNORE NULLS) OVER w AS next_age, first_value(income IGNORE NULLS) OVER w AS next_income, row_number() OVER (PARTITION BY survey_id ORDER BY survey_date, survey_key) AS nth FROM survey WINDOW w AS (PARTITION BY survey_id ORDER BY survey_date, survey_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE nth = 1", "income")
+add("fill_within_id", lambda t: V.fill_within_id(t.survey, "survey_id", "survey_date", ["age", "income"], "survey_key"),
+    "SELECT survey_id, coalesce(age, next_age) AS age, coalesce(income, next_income) AS income FROM (SELECT survey_id, age, income, first_value(age IGNORE "
+    "NULLS) OVER w AS next_age, first_value(income IGNORE NULLS) OVER w AS next_income, row_number() OVER (PARTITION BY survey_id ORDER BY survey_date, survey_key) "
+    "AS nth FROM survey WINDOW w AS (PARTITION BY survey_id ORDER BY survey_date, survey_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE nth = "
+    "1", "income")
 add("cumulative_submissions", lambda t: V.cumulative_submissions(t.survey, "enumerator", "survey_date"), f"SELECT *, (sum(submissions) OVER (PARTITION BY enumerator ORDER BY date))::BIGINT AS cumulative FROM {DAILY}")
 
 # Missing
 
 add("missing_encode", lambda t: coded(t), "SELECT * FROM coded")
 _avg = lambda c: f"avg(({c} > 0)::INT)"
-add("missing_summary", lambda t: M.missing_summary(coded(t), CELLS), f"SELECT list_sum(s) * 100 / 4 AS mean_missing_pct, len(list_filter(s, lambda x: x = 1)) * 100.0::DOUBLE / 4 AS all_missing_pct, len(list_filter(s, lambda x: x > 0)) * 100.0::DOUBLE / 4 AS any_missing_pct, len(list_filter(s, lambda x: x = 0)) * 100.0::DOUBLE / 4 AS none_missing_pct FROM (SELECT [{', '.join(map(_avg, CELLS))}] AS s FROM coded)", "mean_missing_pct all_missing_pct any_missing_pct none_missing_pct")
+add("missing_summary", lambda t: M.missing_summary(coded(t), CELLS),
+    f"SELECT list_sum(s) * 100 / 4 AS mean_missing_pct, len(list_filter(s, lambda x: x = 1)) * 100.0::DOUBLE / 4 AS all_missing_pct, len(list_filter(s, lambda "
+    f"x: x > 0)) * 100.0::DOUBLE / 4 AS any_missing_pct, len(list_filter(s, lambda x: x = 0)) * 100.0::DOUBLE / 4 AS none_missing_pct FROM (SELECT [{', '.join(map(_avg, CELLS))}] "
+    f"AS s FROM coded)", "mean_missing_pct all_missing_pct any_missing_pct none_missing_pct")
 _part = lambda k, test: f"count(*) FILTER (v {test}) AS n_{k}, count(*) FILTER (v {test}) * 100.0::DOUBLE / count(*) AS pct_{k}"
 BYCOL = f"(SELECT column_name, {_part('null', '= 1')}, {_part('dont_know', '= 2')}, {_part('refused', '= 3')}, {_part('missing', '> 0')} FROM (UNPIVOT coded ON {', '.join(CELLS)} INTO NAME column_name VALUE v) GROUP BY column_name)"
 PCTS = "pct_null pct_dont_know pct_refused pct_missing"
@@ -324,19 +350,26 @@ add("missing_by_column", by_column, f"SELECT * FROM {BYCOL}", PCTS)
 add("missing_by_column_filtered", lambda t: M.missing_by_column_filtered(by_column(t), 5), f"SELECT *, min(pct_missing) OVER () AS least_pct, max(pct_missing) OVER () AS highest_pct FROM {BYCOL} WHERE pct_missing >= 5", PCTS + " least_pct highest_pct")
 _any = " + ".join(f"({c} > 0)::INT" for c in CELLS)
 add("missing_over_time", lambda t: M.missing_over_time(coded(t), CELLS, "survey_date"), f"SELECT survey_date AS date, sum({_any}) * 100.0::DOUBLE / (count(*) * 4) AS missing_pct FROM coded GROUP BY ALL", "missing_pct")
-add("missing_compare", lambda t: M.missing_compare(coded(t), ["age", "income"], "team"), "SELECT team, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct_rows, avg((age > 0)::INT) * 100 AS pct_age, avg((income > 0)::INT) * 100 AS pct_income FROM coded GROUP BY team", "pct_rows pct_age pct_income")
+add("missing_compare", lambda t: M.missing_compare(coded(t), ["age", "income"], "team"),
+    "SELECT team, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct_rows, avg((age > 0)::INT) * 100 AS pct_age, avg((income > 0)::INT) "
+    "* 100 AS pct_income FROM coded GROUP BY team", "pct_rows pct_age pct_income")
 add("nullity_correlation", lambda t: M.nullity_correlation(coded(t), ["age", "income", "children"]), " UNION ALL ".join(f"SELECT '{b}' AS column_1, '{a}' AS column_2, corr(({a} > 0)::INT, ({b} > 0)::INT) AS correlation FROM coded" for a, b in (("age", "income"), ("age", "children"), ("income", "children"))), "correlation")
 add("partially_missing_columns", lambda t: M.partially_missing_columns(coded(t), CELLS), f"SELECT column_name FROM {BYCOL} WHERE pct_missing > 0 AND pct_missing < 100")
 add("nullity_matrix", lambda t: M.nullity_matrix(coded(t), CELLS, ["survey_key"]), f"SELECT survey_key, {', '.join(f'({c} > 0)::INT AS {c}' for c in CELLS)} FROM coded")
 
 # Duplicates
 
-add("id_duplicates", lambda t: U.id_duplicates(t.survey.select("survey_key", "age"), "age"), "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE n END AS duplicate_count, CASE WHEN age IS NULL THEN 0 ELSE n END * 100.0::DOUBLE / total AS duplicate_pct FROM (SELECT *, count(*) OVER (PARTITION BY age) AS n, count(*) OVER () AS total FROM survey) WHERE n > 1", "duplicate_pct")
+add("id_duplicates", lambda t: U.id_duplicates(t.survey.select("survey_key", "age"), "age"),
+    "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE n END AS duplicate_count, CASE WHEN age IS NULL THEN 0 ELSE n END * 100.0::DOUBLE / total AS "
+    "duplicate_pct FROM (SELECT *, count(*) OVER (PARTITION BY age) AS n, count(*) OVER () AS total FROM survey) WHERE n > 1", "duplicate_pct")
 DUP = "SELECT survey_key, {c}, CASE WHEN {c} IS NULL THEN 0 ELSE n END AS duplicate_count FROM (SELECT *, count(*) OVER (PARTITION BY {c}) AS n FROM survey {w}) WHERE n > 1"
 add("column_duplicates", lambda t: U.column_duplicates(t.survey, "income", ["survey_key"]), DUP.format(c="income", w=""), "income")
 add("nonblank_duplicates", lambda t: U.nonblank_duplicates(t.survey, "note", ["survey_key"]), DUP.format(c="note", w="WHERE note <> ''"))
 add("duplicate_statistics", lambda t: U.duplicate_statistics(t.survey, ["age", "income", "survey_key"]), "SELECT count(*) AS columns_checked, sum(n)::BIGINT AS duplicate_rows, count(*) FILTER (n > 0) AS columns_with, count(*) FILTER (n = 0) AS columns_without FROM (" + " UNION ALL ".join(f"SELECT coalesce(sum(n), 0) AS n FROM (SELECT count(*) AS n FROM survey GROUP BY {c} HAVING count(*) > 1)" for c in ("age", "income", "survey_key")) + ")")
-add("id_duplicate_metrics", lambda t: U.id_duplicate_metrics(t.survey, "age", t.survey.where("survey_key % 3 = 0")), "SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM survey WHERE age IS NOT NULL GROUP BY age HAVING n > 1))::BIGINT AS duplicate_rows, (SELECT count(*) FROM survey WHERE age IS NULL) AS missing_id, (SELECT count(*) FROM (SELECT age FROM survey WHERE age IS NOT NULL GROUP BY age HAVING count(*) > 1 EXCEPT SELECT age FROM survey WHERE survey_key % 3 = 0 GROUP BY age HAVING count(*) > 1)) AS resolved")
+add("id_duplicate_metrics", lambda t: U.id_duplicate_metrics(t.survey, "age", t.survey.where("survey_key % 3 = 0")),
+    "SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM survey WHERE age IS NOT NULL GROUP BY age HAVING n > 1))::BIGINT AS duplicate_rows, (SELECT count(*) "
+    "FROM survey WHERE age IS NULL) AS missing_id, (SELECT count(*) FROM (SELECT age FROM survey WHERE age IS NOT NULL GROUP BY age HAVING count(*) > 1 EXCEPT "
+    "SELECT age FROM survey WHERE survey_key % 3 = 0 GROUP BY age HAVING count(*) > 1)) AS resolved")
 add("dedupe_keep", lambda t: U.dedupe_keep(t.survey.select("survey_id", "survey_key", "survey_date"), "survey_id", "last", ["survey_date", "survey_key"]), "SELECT survey_id, survey_key, survey_date FROM (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY survey_date DESC, survey_key DESC) AS k FROM survey) WHERE k = 1")
 add("count_over", lambda t: U.count_over(t.survey.select("survey_key", "age"), "age"), "SELECT survey_key, age, CASE WHEN age IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY age) END AS count FROM survey")
 add("is_duplicated", lambda t: U.is_duplicated(t.survey.select("survey_key", "survey_id"), "survey_id"), "SELECT survey_key, survey_id, count(*) OVER (PARTITION BY survey_id) > 1 AS is_duplicated FROM survey")
@@ -347,15 +380,27 @@ add("outlier_stats", lambda t: O.outlier_stats(t.survey, ["age", "income", "dura
 add("outlier_flags", _flags, f"SELECT * EXCLUDE (enumerator) FROM {FLAGS}", "value " + STATS)
 POOL = f"(SELECT survey_key, column_name, value, 'all' AS group_name FROM {LONG} WHERE column_name <> 'income')"
 add("outlier_flags_grouped", lambda t: O.outlier_flags_grouped(t.survey, ["survey_key"], {"all": ["age", "duration"]}, "sd").select("survey_key", "column_name", "group_name", "value", "lower", "upper", "reason"),
-    f"SELECT survey_key, column_name, group_name, value, lower, upper, {REASON} AS reason FROM {POOL} JOIN (SELECT group_name, avg(value) - 3 * stddev_samp(value) AS lower, avg(value) + 3 * stddev_samp(value) AS upper FROM {POOL} GROUP BY group_name) USING (group_name) WHERE value IS NOT NULL", "value lower upper")
-BROKEN = "(SELECT survey_key, 'age' AS column_name, age::DOUBLE AS value, list_filter([CASE WHEN age < 0 THEN 'hard_min' END, CASE WHEN age < 5 THEN 'soft_min' END, CASE WHEN age > 70 THEN 'soft_max' END, CASE WHEN age > 85 THEN 'hard_max' END], lambda x: x IS NOT NULL) AS b FROM survey UNION ALL SELECT survey_key, 'income', income, list_filter([CASE WHEN income < 2000 THEN 'soft_min' END, CASE WHEN income > 1000000 THEN 'hard_max' END], lambda x: x IS NOT NULL) FROM survey)"
+    f"SELECT survey_key, column_name, group_name, value, lower, upper, {REASON} AS reason FROM {POOL} JOIN (SELECT group_name, avg(value) - 3 * stddev_samp(value) "
+        f"AS lower, avg(value) + 3 * stddev_samp(value) AS upper FROM {POOL} GROUP BY group_name) USING (group_name) WHERE value IS NOT NULL", "value lower upper")
+BROKEN = (
+    "(SELECT survey_key, 'age' AS column_name, age::DOUBLE AS value, list_filter([CASE WHEN age < 0 THEN 'hard_min' END, CASE WHEN age < 5 THEN 'soft_min' "
+    "END, CASE WHEN age > 70 THEN 'soft_max' END, CASE WHEN age > 85 THEN 'hard_max' END], lambda x: x IS NOT NULL) AS b FROM survey UNION ALL SELECT survey_key, "
+    "'income', income, list_filter([CASE WHEN income < 2000 THEN 'soft_min' END, CASE WHEN income > 1000000 THEN 'hard_max' END], lambda x: x IS NOT NULL) "
+    "FROM survey)"
+)
 violations = lambda t: O.constraint_violations(t.survey, ["survey_key"], BOUNDS)
 add("constraint_violations", lambda t: violations(t).withColumn("breached", F.array_join("breached", ",")), f"SELECT survey_key, column_name, value, b[1] AS reason, list_aggregate(b, 'string_agg', ',') AS breached FROM {BROKEN} WHERE len(b) > 0", "value")
 add("constraint_metrics", lambda t: O.constraint_metrics(violations(t), 2), "SELECT 2 AS columns_checked, count(*) AS total, " + ", ".join(f"count(*) FILTER (b[1] = '{k}') AS {k}" for k in ("hard_min", "soft_min", "soft_max", "hard_max")) + f" FROM {BROKEN} WHERE len(b) > 0")
-add("violation_type", lambda t: violations(t).select("survey_key", "column_name", O.violation_type("reason").alias("kind")), f"SELECT survey_key, column_name, CASE b[1] WHEN 'hard_min' THEN 'Hard Min' WHEN 'soft_min' THEN 'Soft Min' WHEN 'soft_max' THEN 'Soft Max' ELSE 'Hard Max' END AS kind FROM {BROKEN} WHERE len(b) > 0")
-add("outlier_metrics", lambda t: O.outlier_metrics(O.outlier_flags(t.survey, ["survey_key", "enumerator"], ["age", "income", "duration"]), "enumerator"), f"SELECT count(DISTINCT column_name) AS columns_checked, count(DISTINCT column_name) FILTER (reason <> 'no outlier') AS columns_with, count(*) FILTER (reason <> 'no outlier') AS total, count(DISTINCT enumerator) FILTER (reason <> 'no outlier') AS enumerators_with FROM {FLAGS}")
+add("violation_type", lambda t: violations(t).select("survey_key", "column_name", O.violation_type("reason").alias("kind")),
+    f"SELECT survey_key, column_name, CASE b[1] WHEN 'hard_min' THEN 'Hard Min' WHEN 'soft_min' THEN 'Soft Min' WHEN 'soft_max' THEN 'Soft Max' ELSE 'Hard Max' "
+    f"END AS kind FROM {BROKEN} WHERE len(b) > 0")
+add("outlier_metrics", lambda t: O.outlier_metrics(O.outlier_flags(t.survey, ["survey_key", "enumerator"], ["age", "income", "duration"]), "enumerator"),
+    f"SELECT count(DISTINCT column_name) AS columns_checked, count(DISTINCT column_name) FILTER (reason <> 'no outlier') AS columns_with, count(*) FILTER (reason "
+    f"<> 'no outlier') AS total, count(DISTINCT enumerator) FILTER (reason <> 'no outlier') AS enumerators_with FROM {FLAGS}")
 add("column_outlier_summary", lambda t: O.column_outlier_summary(_flags(t), "survey_key"), f"SELECT column_name, count(*) AS n_values, count(*) FILTER (reason <> 'no outlier') AS n_outliers, {', '.join(f'max({c}) AS {c}' for c in STATS.split())} FROM {FLAGS} GROUP BY column_name", STATS)
-add("inspect_column", lambda t: O.inspect_column(t.survey, "income"), "SELECT count(income) AS n, count(*) - count(income) AS nulls, avg(income) AS mean, stddev_samp(income) AS sd, min(income) AS min, quantile_cont(income, 0.25) AS q1, quantile_cont(income, 0.5) AS median, quantile_cont(income, 0.75) AS q3, max(income) AS max FROM survey", "mean sd min q1 median q3 max")
+add("inspect_column", lambda t: O.inspect_column(t.survey, "income"),
+    "SELECT count(income) AS n, count(*) - count(income) AS nulls, avg(income) AS mean, stddev_samp(income) AS sd, min(income) AS min, quantile_cont(income, "
+    "0.25) AS q1, quantile_cont(income, 0.5) AS median, quantile_cont(income, 0.75) AS q3, max(income) AS max FROM survey", "mean sd min q1 median q3 max")
 
 
 def _grouped(t: Tables) -> DataFrame:
@@ -364,17 +409,29 @@ def _grouped(t: Tables) -> DataFrame:
 
 
 GROUPED = "(SELECT survey_key, replace(replace(column_name, 'age', 'item_1'), 'duration', 'item_2') AS column_name, 'item' AS group_name, value FROM {}) ".format(POOL)
-add("variable_groups", _grouped, f"SELECT survey_key, column_name, group_name, {REASON} AS reason FROM {GROUPED}, (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lower, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS upper FROM {POOL}) WHERE value IS NOT NULL")
+add("variable_groups", _grouped,
+    f"SELECT survey_key, column_name, group_name, {REASON} AS reason FROM {GROUPED}, (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) "
+    f"- quantile_cont(value, 0.25)) AS lower, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS upper FROM {POOL}) "
+    f"WHERE value IS NOT NULL")
 
 # Enumerators
 
 flagged = lambda t: E.consent_outcome_flags(t.survey, "consent", ["yes"], "outcome", ["complete"])
 add("consent_outcome_flags", lambda t: flagged(t).select("survey_key", "consent_flag", "outcome_flag"), "SELECT survey_key, (consent = 'yes')::INT AS consent_flag, (outcome = 'complete')::INT AS outcome_flag FROM survey")
-add("enumerator_overview", lambda t: E.enumerator_overview(t.survey, "survey_date", "enumerator", AS_OF, "team"), f"SELECT *, active * 100.0::DOUBLE / enumerators AS active_pct FROM (SELECT count(*) AS submissions, count(DISTINCT enumerator) AS enumerators, count(DISTINCT team) AS teams, count(DISTINCT enumerator) FILTER (survey_date > {DAY} - 7 AND survey_date <= {DAY}) AS active FROM survey), (SELECT min(submissions) AS min_per_day, max(submissions) AS max_per_day, floor(avg(submissions))::BIGINT AS mean_per_day FROM {DAILY})", "active_pct")
+add("enumerator_overview", lambda t: E.enumerator_overview(t.survey, "survey_date", "enumerator", AS_OF, "team"),
+    f"SELECT *, active * 100.0::DOUBLE / enumerators AS active_pct FROM (SELECT count(*) AS submissions, count(DISTINCT enumerator) AS enumerators, count(DISTINCT "
+    f"team) AS teams, count(DISTINCT enumerator) FILTER (survey_date > {DAY} - 7 AND survey_date <= {DAY}) AS active FROM survey), (SELECT min(submissions) "
+    f"AS min_per_day, max(submissions) AS max_per_day, floor(avg(submissions))::BIGINT AS mean_per_day FROM {DAILY})", "active_pct")
 _share = lambda test: f"avg(({' + '.join(f'({c} {test})::INT' for c in CELLS)}) * 100.0::DOUBLE / 4)"
 add("enumerator_missing", lambda t: E.enumerator_missing(t.survey, CODES, ["enumerator"], CELLS), f"SELECT enumerator, {_share('= 1')} AS pct_null, {_share('= 2')} AS pct_dont_know, {_share('= 3')} AS pct_refused, {_share('> 0')} AS pct_missing FROM coded GROUP BY enumerator", PCTS)
 add("enumerator_summary", lambda t: E.enumerator_summary(flagged(t), "survey_date", ["enumerator"], AS_OF, "formversion", "duration", CODES, CELLS),
-    f"SELECT s.enumerator, min(s.survey_date) AS first_date, max(s.survey_date) AS last_date, count(*) AS submissions, count(DISTINCT s.survey_date) AS active_days, count(*) FILTER (s.survey_date = {DAY}) AS today, count(*) FILTER (s.survey_date BETWEEN date_trunc('week', {DAY}) AND {DAY}) AS this_week, count(*) FILTER (s.survey_date BETWEEN date_trunc('month', {DAY}) AND {DAY}) AS this_month, {_share('> 0').replace('(age', '(c.age').replace('(income', '(c.income').replace('(children', '(c.children').replace('(region', '(c.region')} AS pct_missing, min(duration) AS min_duration, avg(duration) AS mean_duration, quantile_cont(duration, 0.5) AS median_duration, max(duration) AS max_duration, count(DISTINCT formversion) AS form_versions, max(formversion) AS latest_form, count(*) FILTER (formversion < newest) AS outdated_forms, avg((consent = 'yes')::INT) AS mean_consent, avg((outcome = 'complete')::INT) AS mean_completion FROM (SELECT *, max(formversion) OVER (PARTITION BY survey_date) AS newest FROM survey) s JOIN coded c USING (survey_key) GROUP BY s.enumerator", "pct_missing mean_duration median_duration mean_consent mean_completion")
+    f"SELECT s.enumerator, min(s.survey_date) AS first_date, max(s.survey_date) AS last_date, count(*) AS submissions, count(DISTINCT s.survey_date) AS active_days, "
+        f"count(*) FILTER (s.survey_date = {DAY}) AS today, count(*) FILTER (s.survey_date BETWEEN date_trunc('week', {DAY}) AND {DAY}) AS this_week, count(*) FILTER "
+        f"(s.survey_date BETWEEN date_trunc('month', {DAY}) AND {DAY}) AS this_month, {_share('> 0').replace('(age', '(c.age').replace('(income', '(c.income').replace('(children', '(c.children').replace('(region', '(c.region')} "
+        f"AS pct_missing, min(duration) AS min_duration, avg(duration) AS mean_duration, quantile_cont(duration, 0.5) AS median_duration, max(duration) AS max_duration, "
+        f"count(DISTINCT formversion) AS form_versions, max(formversion) AS latest_form, count(*) FILTER (formversion < newest) AS outdated_forms, avg((consent "
+        f"= 'yes')::INT) AS mean_consent, avg((outcome = 'complete')::INT) AS mean_completion FROM (SELECT *, max(formversion) OVER (PARTITION BY survey_date) AS "
+        f"newest FROM survey) s JOIN coded c USING (survey_key) GROUP BY s.enumerator", "pct_missing mean_duration median_duration mean_consent mean_completion")
 add("enumerator_productivity", lambda t: E.staff_productivity(t.survey, "survey_date", ["enumerator"], "Month", between=BETWEEN), months("enumerator", "survey_date", "count(*) FILTER ({})", "survey"))
 _stats = {"count": "count({c})", "min": "min({c})", "mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "max": "max({c})", "std": "stddev_samp({c})", "p25": "quantile_cont({c}, 0.25)", "p75": "quantile_cont({c}, 0.75)"}
 add("enumerator_statistics", lambda t: E.enumerator_statistics(t.survey, ["enumerator"], ["income"]), "SELECT enumerator, " + ", ".join(f"{e.format(c='income')} AS income_{k}" for k, e in _stats.items()) + " FROM survey GROUP BY enumerator", " ".join(f"income_{k}" for k in _stats if k != "count"))
@@ -385,11 +442,18 @@ def _rounded_months(df: DataFrame) -> DataFrame:
 add("enumerator_statistics_overtime", lambda t: _rounded_months(E.enumerator_statistics_overtime(t.survey, "survey_date", ["enumerator"], "income", "mean", between=BETWEEN)),
     months("enumerator", "survey_date", "round(avg(income) FILTER ({}), 6) + 0.0", "survey"))
 add("enumerator_duration_zscore", lambda t: E.enumerator_duration_zscore(t.survey, "enumerator", "duration"), "SELECT enumerator, m AS mean_duration, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS zscore FROM (SELECT enumerator, avg(duration) AS m FROM survey GROUP BY enumerator)", "mean_duration zscore")
-add("enumerator_consent_rate", lambda t: E.enumerator_consent_rate(t.survey, "enumerator", "consent", ["yes"]), "SELECT enumerator, count(*) AS persons, count(*) FILTER (consent = 'yes') AS consenting, count(*) FILTER (consent = 'yes') * 100.0::DOUBLE / count(*) AS consent_pct FROM survey GROUP BY enumerator", "consent_pct")
-add("interviews_per_enumerator_day", lambda t: E.interviews_per_enumerator_day(t.survey, "enumerator", "survey_date"), f"SELECT enumerator, sum(submissions)::BIGINT AS interviews, count(*) AS days, avg(submissions) AS per_day, (SELECT avg(submissions) FROM {DAILY}) AS overall_per_day FROM {DAILY} GROUP BY enumerator", "per_day overall_per_day")
+add("enumerator_consent_rate", lambda t: E.enumerator_consent_rate(t.survey, "enumerator", "consent", ["yes"]),
+    "SELECT enumerator, count(*) AS persons, count(*) FILTER (consent = 'yes') AS consenting, count(*) FILTER (consent = 'yes') * 100.0::DOUBLE / count(*) "
+    "AS consent_pct FROM survey GROUP BY enumerator", "consent_pct")
+add("interviews_per_enumerator_day", lambda t: E.interviews_per_enumerator_day(t.survey, "enumerator", "survey_date"),
+    f"SELECT enumerator, sum(submissions)::BIGINT AS interviews, count(*) AS days, avg(submissions) AS per_day, (SELECT avg(submissions) FROM {DAILY}) AS overall_per_day "
+    f"FROM {DAILY} GROUP BY enumerator", "per_day overall_per_day")
 add("daily_max_over", lambda t: E.daily_max_over(t.survey.select("survey_key", "survey_date", "formversion"), "survey_date", "formversion"), "SELECT survey_key, survey_date, formversion, max(formversion) OVER (PARTITION BY survey_date) AS daily_max FROM survey")
 add("running_total", lambda t: E.running_total(t.survey.select("survey_key", "survey_id", "duration"), "survey_id", "survey_key", "duration"), "SELECT survey_key, survey_id, duration, (sum(duration) OVER (PARTITION BY survey_id ORDER BY survey_key))::BIGINT AS running_total FROM survey")
-add("fill_over", lambda t: V.fill_over(t.survey.select("survey_id", "survey_key", "age"), "survey_id", ["survey_key"], ["age"]), "SELECT survey_id, survey_key, coalesce(last_value(age IGNORE NULLS) OVER (PARTITION BY survey_id ORDER BY survey_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(age IGNORE NULLS) OVER (PARTITION BY survey_id ORDER BY survey_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS age FROM survey")
+add("fill_over", lambda t: V.fill_over(t.survey.select("survey_id", "survey_key", "age"), "survey_id", ["survey_key"], ["age"]),
+    "SELECT survey_id, survey_key, coalesce(last_value(age IGNORE NULLS) OVER (PARTITION BY survey_id ORDER BY survey_key ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW), first_value(age IGNORE NULLS) OVER (PARTITION BY survey_id ORDER BY survey_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS "
+    "age FROM survey")
 add("row_index", lambda t: C.dense_index(t.survey.select("survey_key"), ["survey_key"]), "SELECT survey_key, row_number() OVER (ORDER BY survey_key) - 1 AS index FROM survey")
 add("first_or_last_per_key", lambda t: U.dedupe_keep(t.survey.select("team", "survey_key"), "team", "first", ["survey_key"]), "SELECT team, min(survey_key) AS survey_key FROM survey GROUP BY team")
 
@@ -398,13 +462,18 @@ add("first_or_last_per_key", lambda t: U.dedupe_keep(t.survey.select("team", "su
 _mid = lambda c, q: f"(list_sort(list({c}) FILTER ({c} IS NOT NULL))[floor((count({c}) - 1) * {q})::BIGINT + 1] + list_sort(list({c}) FILTER ({c} IS NOT NULL))[ceil((count({c}) - 1) * {q})::BIGINT + 1]) / 2"
 _prof = lambda n, c: f"SELECT '{n}' AS column_name, count({c}) AS n, count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 1) AS missing_pct, round(avg({c}), 4) AS mean, round({_mid(c, 0.5)}, 4) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round({_mid(c, 0.25)}, 4) AS q1, round({_mid(c, 0.75)}, 4) AS q3, round(avg(pow(({c} - m) / d, 3)), 4) AS skewness, round(avg(pow(({c} - m) / d, 4)) - 3, 4) AS kurtosis FROM survey, (SELECT avg({c}) AS m, stddev_pop({c}) AS d FROM survey)"
 add("summary_stats", lambda t: D.summary_stats(t.survey, ["age", "duration"]), f"{_prof('age', 'age::DOUBLE')} UNION ALL {_prof('duration', 'duration::DOUBLE')}")
-add("histogram", lambda t: D.histogram(t.survey, "duration", 20), "SELECT b::INT AS bin, a + b * w AS low, a + (b + 1) * w AS high, coalesce(n, 0) AS n FROM (SELECT min(duration)::DOUBLE AS a, (max(duration) - min(duration)) / 20.0::DOUBLE AS w FROM survey), (SELECT unnest(generate_series(0, 19)) AS b) LEFT JOIN (SELECT least(floor((duration - a) / w), 19) AS b, count(*) AS n FROM survey, (SELECT min(duration)::DOUBLE AS a, (max(duration) - min(duration)) / 20.0::DOUBLE AS w FROM survey) GROUP BY ALL) USING (b)", "low high")
+add("histogram", lambda t: D.histogram(t.survey, "duration", 20),
+    "SELECT b::INT AS bin, a + b * w AS low, a + (b + 1) * w AS high, coalesce(n, 0) AS n FROM (SELECT min(duration)::DOUBLE AS a, (max(duration) - min(duration)) "
+    "/ 20.0::DOUBLE AS w FROM survey), (SELECT unnest(generate_series(0, 19)) AS b) LEFT JOIN (SELECT least(floor((duration - a) / w), 19) AS b, count(*) AS "
+    "n FROM survey, (SELECT min(duration)::DOUBLE AS a, (max(duration) - min(duration)) / 20.0::DOUBLE AS w FROM survey) GROUP BY ALL) USING (b)", "low high")
 add("value_counts", lambda t: D.value_counts(t.survey, "age", 10), "SELECT age AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM survey GROUP BY age ORDER BY n DESC, age NULLS LAST LIMIT 10", "pct")
 add("top_n_values", lambda t: D.value_counts(t.survey, "survey_id", 5).select("value", "n"), "SELECT survey_id AS value, count(*) AS n FROM survey GROUP BY survey_id ORDER BY n DESC, value LIMIT 5")
 add("sort_mixed", lambda t: t.survey.groupBy("team", "region").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "team", "region"), "SELECT team, region, count(*) AS n FROM survey GROUP BY ALL ORDER BY n DESC, team, region")
 add("sample_values", lambda t: D.sample_values(t.survey, "region"), "SELECT DISTINCT region AS value FROM survey ORDER BY 1 LIMIT 5")
 _types = {"age": "bigint", "children": "bigint", "region": "string", "survey_key": "bigint"}
-add("codebook", lambda t: D.codebook(t.survey, list(_types)), " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS type, count({c}) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS n_distinct, array_to_string(list_sort(list(DISTINCT {c}::VARCHAR) FILTER ({c} IS NOT NULL))[:5], ', ') AS samples FROM survey" for c, k in _types.items()))
+add("codebook", lambda t: D.codebook(t.survey, list(_types)), " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS type, count({c}) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS n_distinct, "
+    f"array_to_string(list_sort(list(DISTINCT {c}::VARCHAR) FILTER ({c} IS NOT NULL))[:5], ', ') AS samples FROM survey" for c, k in _types.items()))
 add("documents_value_counts", lambda t: D.value_counts(t.read("documents").join(t.read("labels"), "doc_id", "left"), "quality", 5), "SELECT quality AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality", "pct")
 
 # GPS
@@ -417,11 +486,25 @@ FENCED = f"(SELECT f.*, cluster_n >= 4 AND q3 > q1 AND (distance > q3 + 1.5 * (q
 _cluster = lambda t: G.gps_cluster_outliers(t.gps.withColumnRenamed("cluster", "area"), "area")
 add("gps_cluster_outliers", lambda t: _cluster(t).select("survey_key", "cluster", "distance", "is_outlier"), f"SELECT survey_key, cluster::VARCHAR AS cluster, distance, is_outlier FROM {FENCED}", "distance")
 add("gps_outlier_metrics", lambda t: G.gps_outlier_metrics(_cluster(t)), f"SELECT count(*) AS points, count(*) FILTER (is_outlier) AS outliers, count(*) FILTER (is_outlier) * 100.0::DOUBLE / count(*) AS outlier_pct FROM {FENCED}", "outlier_pct")
-add("gps_accuracy_stats", lambda t: G.gps_accuracy_stats(t.gps, "gps_accuracy", "cluster"), "SELECT cluster, count(gps_accuracy) AS n, min(gps_accuracy) AS min, avg(gps_accuracy) AS mean, max(gps_accuracy) AS max, stddev_samp(gps_accuracy) AS std, quantile_cont(gps_accuracy, 0.5) AS median, quantile_cont(gps_accuracy, 0.25) AS p25, quantile_cont(gps_accuracy, 0.75) AS p75, quantile_cont(gps_accuracy, 0.95) AS p95 FROM gps GROUP BY cluster", "min mean max std median p25 p75 p95")
-add("gps_validity", lambda t: G.gps_validity(t.gps, "gps_accuracy"), "SELECT count(*) AS points, count(*) FILTER (latitude IS NULL OR longitude IS NULL) AS missing, count(*) FILTER (abs(latitude) > 90 OR abs(longitude) > 180) AS out_of_range, count(*) FILTER (gps_accuracy > 10) AS low_accuracy, (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM gps WHERE latitude IS NOT NULL GROUP BY latitude, longitude HAVING n > 1))::BIGINT AS duplicate_places FROM gps")
-add("gps_distance_outliers_global", lambda t: G.gps_distance_outliers_global(t.gps, "cluster").select("survey_key", "distance_km", "is_outlier"), f"SELECT survey_key, distance / 1000 AS distance_km, distance > q3 + 1.5 * (q3 - q1) OR distance < q1 - 1.5 * (q3 - q1) AS is_outlier FROM {FAR}, (SELECT quantile_cont(distance, 0.25) AS q1, quantile_cont(distance, 0.75) AS q3 FROM {FAR})", "distance_km")
-NEAREST = f"(SELECT a.cluster, a.latitude, a.longitude, min({HAVERSINE.format(a='a.latitude', b='b.latitude', c='a.longitude', d='b.longitude')}) AS d FROM (SELECT DISTINCT cluster, latitude, longitude FROM gps) a JOIN (SELECT DISTINCT cluster, latitude, longitude FROM gps) b ON a.cluster = b.cluster AND (a.latitude <> b.latitude OR a.longitude <> b.longitude) GROUP BY ALL)"
-add("gps_too_clustered", lambda t: G.gps_too_clustered(t.gps, "survey_key", "cluster", 500.0), f"SELECT survey_key, g.cluster, CASE WHEN d <= 500 THEN d END AS nearest, coalesce(d < 500, false) AS too_clustered FROM gps g LEFT JOIN {NEAREST} n ON g.cluster = n.cluster AND g.latitude = n.latitude AND g.longitude = n.longitude WHERE g.latitude IS NOT NULL", "nearest")
+add("gps_accuracy_stats", lambda t: G.gps_accuracy_stats(t.gps, "gps_accuracy", "cluster"),
+    "SELECT cluster, count(gps_accuracy) AS n, min(gps_accuracy) AS min, avg(gps_accuracy) AS mean, max(gps_accuracy) AS max, stddev_samp(gps_accuracy) AS "
+    "std, quantile_cont(gps_accuracy, 0.5) AS median, quantile_cont(gps_accuracy, 0.25) AS p25, quantile_cont(gps_accuracy, 0.75) AS p75, quantile_cont(gps_accuracy, "
+    "0.95) AS p95 FROM gps GROUP BY cluster", "min mean max std median p25 p75 p95")
+add("gps_validity", lambda t: G.gps_validity(t.gps, "gps_accuracy"),
+    "SELECT count(*) AS points, count(*) FILTER (latitude IS NULL OR longitude IS NULL) AS missing, count(*) FILTER (abs(latitude) > 90 OR abs(longitude) > "
+    "180) AS out_of_range, count(*) FILTER (gps_accuracy > 10) AS low_accuracy, (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM gps WHERE latitude "
+    "IS NOT NULL GROUP BY latitude, longitude HAVING n > 1))::BIGINT AS duplicate_places FROM gps")
+add("gps_distance_outliers_global", lambda t: G.gps_distance_outliers_global(t.gps, "cluster").select("survey_key", "distance_km", "is_outlier"),
+    f"SELECT survey_key, distance / 1000 AS distance_km, distance > q3 + 1.5 * (q3 - q1) OR distance < q1 - 1.5 * (q3 - q1) AS is_outlier FROM {FAR}, (SELECT "
+    f"quantile_cont(distance, 0.25) AS q1, quantile_cont(distance, 0.75) AS q3 FROM {FAR})", "distance_km")
+NEAREST = (
+    f"(SELECT a.cluster, a.latitude, a.longitude, min({HAVERSINE.format(a='a.latitude', b='b.latitude', c='a.longitude', d='b.longitude')}) AS d FROM (SELECT "
+    f"DISTINCT cluster, latitude, longitude FROM gps) a JOIN (SELECT DISTINCT cluster, latitude, longitude FROM gps) b ON a.cluster = b.cluster AND (a.latitude "
+    f"<> b.latitude OR a.longitude <> b.longitude) GROUP BY ALL)"
+)
+add("gps_too_clustered", lambda t: G.gps_too_clustered(t.gps, "survey_key", "cluster", 500.0),
+    f"SELECT survey_key, g.cluster, CASE WHEN d <= 500 THEN d END AS nearest, coalesce(d < 500, false) AS too_clustered FROM gps g LEFT JOIN {NEAREST} n ON "
+    f"g.cluster = n.cluster AND g.latitude = n.latitude AND g.longitude = n.longitude WHERE g.latitude IS NOT NULL", "nearest")
 #: All pairs of places; a place of n rows counts n times, itself less one; then the factor step by step.
 LOF = f"""WITH p AS (SELECT latitude AS lat, longitude AS lon, count(*) AS n FROM gps WHERE latitude IS NOT NULL GROUP BY ALL),
   d AS (SELECT a.lat, a.lon, b.lat AS lat_b, b.lon AS lon_b, b.n - ((a.lat = b.lat AND a.lon = b.lon)::INT) AS m, {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM p a, p b),
@@ -449,7 +532,9 @@ def _area(density: str, to: str) -> str:
 
 _normal_p = lambda z: f"1 - 2 * {_area('exp(-pow(x, 2) / 2) / sqrt(2 * pi())'.replace('exp', 'EXP'), f'least(abs({z}), 9)')}"
 _student_p = lambda t, df: f"1 - 2 * EXP(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * {_area(f'pow(1 + pow(x, 2) / ({df}), -({df} + 1) / 2.0)', f'least(abs({t}), 50)')}"
-add("paired_ttest", lambda t: B.paired_ttest(compared(t)), f"SELECT *, {_student_p('t', '(n - 1)')} AS p FROM (SELECT column_name, count(*) AS n, avg(s - b) AS mean_difference, avg(s - b) / (stddev_samp(s - b) / sqrt(count(*))) AS t FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name)", "mean_difference t p")
+add("paired_ttest", lambda t: B.paired_ttest(compared(t)),
+    f"SELECT *, {_student_p('t', '(n - 1)')} AS p FROM (SELECT column_name, count(*) AS n, avg(s - b) AS mean_difference, avg(s - b) / (stddev_samp(s - b) / "
+    f"sqrt(count(*))) AS t FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name)", "mean_difference t p")
 
 
 def _binary(t: Tables) -> DataFrame:
@@ -457,7 +542,9 @@ def _binary(t: Tables) -> DataFrame:
     return one.withColumns({c: (F.col(c).cast("int") > 3).cast("int").cast("string") for c in ("survey_value", "backcheck_value")})
 
 
-add("proportion_test", lambda t: B.proportion_test(_binary(t)), f"SELECT *, {_normal_p('z')} AS p FROM (SELECT column_name, n, (p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / n) AS z FROM (SELECT column_name, count(*) AS n, avg((s > 3)::INT) AS p1, avg((b > 3)::INT) AS p2 FROM {PAIRS} WHERE column_name = 'children' AND s IS NOT NULL AND b IS NOT NULL GROUP BY column_name))", "z p")
+add("proportion_test", lambda t: B.proportion_test(_binary(t)),
+    f"SELECT *, {_normal_p('z')} AS p FROM (SELECT column_name, n, (p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / n) AS z FROM (SELECT column_name, count(*) "
+    f"AS n, avg((s > 3)::INT) AS p1, avg((b > 3)::INT) AS p2 FROM {PAIRS} WHERE column_name = 'children' AND s IS NOT NULL AND b IS NOT NULL GROUP BY column_name))", "z p")
 def _spread(t: Tables) -> DataFrame:
     return compared(t).where("column_name = 'children'").withColumn("survey_value", (F.col("survey_value").cast("long") - 1 + F.col("survey_id") % 3).cast("string"))
 
@@ -480,15 +567,23 @@ add("signed_rank_test_exact", lambda t: B.signed_rank_test(_spread(t).withColumn
 
 
 add("reliability", lambda t: B.reliability(compared(t)).withColumn("srv", F.col("srv") / 1e6), f"SELECT column_name, var_samp(s - b) / 2e6 AS srv, 1 - var_samp(s - b) / 2 / var_samp(s) AS reliability FROM {PAIRS} WHERE s - b IS NOT NULL GROUP BY column_name", "srv reliability")
-add("backcheck_summary", lambda t: B.backcheck_summary(t.survey, t.visits, "survey_id", "enumerator", "backchecker"), "SELECT *, backchecks * 100.0::DOUBLE / surveys AS coverage_pct FROM (SELECT count(*) AS surveys, count(DISTINCT enumerator) AS enumerators FROM survey), (SELECT count(*) AS backchecks, count(DISTINCT backchecker) AS backcheckers FROM visits)", "coverage_pct")
+add("backcheck_summary", lambda t: B.backcheck_summary(t.survey, t.visits, "survey_id", "enumerator", "backchecker"),
+    "SELECT *, backchecks * 100.0::DOUBLE / surveys AS coverage_pct FROM (SELECT count(*) AS surveys, count(DISTINCT enumerator) AS enumerators FROM survey), "
+    "(SELECT count(*) AS backchecks, count(DISTINCT backchecker) AS backcheckers FROM visits)", "coverage_pct")
 add("backchecker_productivity", lambda t: E.staff_productivity(t.visits, "backcheck_date", ["backchecker"], "Month", between=BETWEEN), months("backchecker", "backcheck_date", "count(*) FILTER ({})", "visits"))
 _rate = lambda k, w: RATES.format(w=w, k=k)
 add("staff_backcheck_stats", lambda t: B.staff_backcheck_stats(attached(t), "enumerator", "survey_id"),
-    f"SELECT enumerator, backchecks, mean_days, * EXCLUDE (enumerator, backchecks, mean_days) FROM (SELECT enumerator, count(*) AS backchecks, round(avg(backcheck_date::DATE - survey_date), 1) AS mean_days FROM (SELECT DISTINCT enumerator, survey_id, survey_date, backcheck_date FROM {PAIRS}) GROUP BY enumerator) JOIN (SELECT enumerator, {_rate('', '')}, {_rate('_1', 'category = 1 AND')}, {_rate('_2', 'category = 2 AND')}, {_rate('_3', 'category = 3 AND')} FROM {PAIRS} GROUP BY enumerator) USING (enumerator)", "mean_days error_rate error_rate_1 error_rate_2 error_rate_3")
+    f"SELECT enumerator, backchecks, mean_days, * EXCLUDE (enumerator, backchecks, mean_days) FROM (SELECT enumerator, count(*) AS backchecks, round(avg(backcheck_date::DATE "
+        f"- survey_date), 1) AS mean_days FROM (SELECT DISTINCT enumerator, survey_id, survey_date, backcheck_date FROM {PAIRS}) GROUP BY enumerator) JOIN (SELECT "
+        f"enumerator, {_rate('', '')}, {_rate('_1', 'category = 1 AND')}, {_rate('_2', 'category = 2 AND')}, {_rate('_3', 'category = 3 AND')} FROM {PAIRS} GROUP "
+        f"BY enumerator) USING (enumerator)", "mean_days error_rate error_rate_1 error_rate_2 error_rate_3")
 add("column_backcheck_stats", lambda t: B.column_backcheck_stats(compared(t)), f"SELECT column_name, category, {_rate('', '')} FROM {PAIRS} GROUP BY column_name, category", "error_rate")
 add("comparison_details", lambda t: B.comparison_details(compared(t), ["income", "region"]).select("survey_id", "column_name", "status"), f"SELECT survey_id, column_name, status FROM {PAIRS} WHERE column_name <> 'children' AND status = 'mismatch'")
 add("compare_by_prefix", lambda t: B.compare_by_prefix(B.backcheck_merge(t.survey.withColumn("survey_id", F.col("survey_key")), t.visits, "survey_id").select("enumerator", F.col("region").alias("svy_region"), F.col("region__BCCL").alias("back_region"), F.col("children").alias("svy_children"), F.col("children__BCCL").alias("back_children")), "enumerator"),
-    "SELECT variable, enumerator, count(*) FILTER (b IS NOT NULL AND a IS DISTINCT FROM b) * 100.0::DOUBLE / count(b) AS mismatch_pct, count(b) * 100.0::DOUBLE / count(*) AS checked_pct FROM (SELECT enumerator, 'region' AS variable, trim(s.region) AS a, trim(v.region) AS b FROM survey s JOIN visits v ON s.survey_key = v.survey_id UNION ALL SELECT enumerator, 'children', s.children::VARCHAR, v.children::VARCHAR FROM survey s JOIN visits v ON s.survey_key = v.survey_id) GROUP BY ALL", "mismatch_pct checked_pct")
+    "SELECT variable, enumerator, count(*) FILTER (b IS NOT NULL AND a IS DISTINCT FROM b) * 100.0::DOUBLE / count(b) AS mismatch_pct, count(b) * 100.0::DOUBLE "
+        "/ count(*) AS checked_pct FROM (SELECT enumerator, 'region' AS variable, trim(s.region) AS a, trim(v.region) AS b FROM survey s JOIN visits v ON s.survey_key "
+        "= v.survey_id UNION ALL SELECT enumerator, 'children', s.children::VARCHAR, v.children::VARCHAR FROM survey s JOIN visits v ON s.survey_key = v.survey_id) "
+        "GROUP BY ALL", "mismatch_pct checked_pct")
 
 # Functions of prep steps
 
@@ -497,7 +592,9 @@ def _parts(t: Tables) -> DataFrame:
     return t.survey.select("survey_key", *[f(F.col("survey_date")).alias(k.replace(" ", "_")) for k, f in X.DATE_PARTS.items() if k not in ("hour", "minute", "second")])
 
 
-add("fun1", _parts, "SELECT survey_key, day(survey_date) AS day_of_month, isodow(survey_date) AS day_of_week, dayofyear(survey_date) AS day_of_year, survey_date AS date, weekofyear(survey_date) AS week, month(survey_date) AS month, year(survey_date) AS year, quarter(survey_date) AS quarter FROM survey")
+add("fun1", _parts,
+    "SELECT survey_key, day(survey_date) AS day_of_month, isodow(survey_date) AS day_of_week, dayofyear(survey_date) AS day_of_year, survey_date AS date, weekofyear(survey_date) "
+    "AS week, month(survey_date) AS month, year(survey_date) AS year, quarter(survey_date) AS quarter FROM survey")
 add("fun1_time", lambda t: t.read("events").select("event_id", *[X.DATE_PARTS[k]("ts").alias(k) for k in ("hour", "minute", "second")]), "SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second FROM events")
 add("fun2", lambda t: t.survey.select("survey_key", *[f(F.col("income")).cast("double").alias(k) for k, f in X.ROUNDING.items()]), "SELECT survey_key, floor(income) AS floor, ceil(income) AS ceil, round(income) AS round, abs(income) AS absolute FROM survey")
 add("fun3", lambda t: t.survey.select("survey_key", *[X.arithmetic("income", k, 3.0).alias(k) for k in ("add", "subtract", "multiply", "divide")]), "SELECT survey_key, income + 3 AS add, income - 3 AS subtract, income * 3 AS multiply, income / 3 AS divide FROM survey", "add subtract multiply divide")
@@ -512,10 +609,14 @@ ROW = ("age", "children", "duration")
 _list = "list_filter([age, children, duration]::DOUBLE[], lambda x: x IS NOT NULL)"
 add("fun11", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("sum", "mean", "min", "max")]), f"SELECT survey_key, coalesce(list_sum({_list}), 0) AS sum, list_avg({_list}) AS mean, list_min({_list}) AS min, list_max({_list}) AS max FROM survey", "sum mean min max")
 add("fun12", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("median", "std", "var")]), f"SELECT survey_key, list_median({_list}) AS median, list_stddev_samp({_list}) AS std, list_var_samp({_list}) AS var FROM survey", "median std var")
-add("fun13", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("first", "last", "count", "nunique")]), "SELECT survey_key, age::DOUBLE AS first, duration::DOUBLE AS last, 3 AS count, len(list_distinct([age, children, duration])) + ((age IS NULL) OR (children IS NULL))::INT AS nunique FROM survey")
+add("fun13", lambda t: t.survey.select("survey_key", *[X.across(m, ROW).alias(m) for m in ("first", "last", "count", "nunique")]),
+    "SELECT survey_key, age::DOUBLE AS first, duration::DOUBLE AS last, 3 AS count, len(list_distinct([age, children, duration])) + ((age IS NULL) OR (children "
+    "IS NULL))::INT AS nunique FROM survey")
 add("fun14", lambda t: t.survey.select("survey_key", X.across("product", ROW).alias("product")), "SELECT survey_key, age::DOUBLE * children * duration AS product FROM survey")
 add("fun15", lambda t: t.survey.select("survey_key", X.across("quotient", ["duration", "children"]).alias("quotient"), X.across("diff", ["duration", "children"]).alias("diff")), "SELECT survey_key, duration / nullif(children, 0) AS quotient, (duration - children)::DOUBLE AS diff FROM survey", "quotient")
-add("fun16", lambda t: t.survey.select("survey_key", X.strip("region", "12345-").alias("strip"), X.across("mode", ["children", "team", "enumerator"]).alias("mode")), "SELECT survey_key, trim(region, '12345-') AS strip, CASE WHEN children = team OR children = enumerator THEN children WHEN team = enumerator THEN team ELSE least(children, team, enumerator) END::DOUBLE AS mode FROM survey")
+add("fun16", lambda t: t.survey.select("survey_key", X.strip("region", "12345-").alias("strip"), X.across("mode", ["children", "team", "enumerator"]).alias("mode")),
+    "SELECT survey_key, trim(region, '12345-') AS strip, CASE WHEN children = team OR children = enumerator THEN children WHEN team = enumerator THEN team "
+    "ELSE least(children, team, enumerator) END::DOUBLE AS mode FROM survey")
 add("time_period", lambda t: t.survey.select("survey_key", *[P.period_label("survey_date", p, "Sunday").alias(p.lower()) for p in ("Day", "Week", "Month")]),
     "SELECT survey_key, strftime(survey_date, '%b %d, %Y') AS day, strftime(survey_date - dayofweek(survey_date)::INT, '%b %d, %Y') || ' to ' || strftime(survey_date - dayofweek(survey_date)::INT + 6, '%b %d, %Y') AS week, strftime(survey_date, '%B %Y') AS month FROM survey")
 add("fun18", lambda t: t.survey.withColumn("first_", F.lit("1995-01-01").cast("date")).select("survey_key", X.days_between("survey_date", "first_").alias("days")), "SELECT survey_key, survey_date - DATE '1995-01-01' AS days FROM survey")
