@@ -221,3 +221,10 @@ def test_neighbours_across_the_antimeridian_and_a_point_alone(spark):
     alone = G.gps_lof_outliers(df.where("k = 3"), "k").collect()
     assert [(r["k"], r["lof"], r["is_outlier"]) for r in alone] == [(3, 1.0, False)]
     assert G.gps_lof_outliers(df.where("false"), "k").count() == 0
+
+
+def test_random_numbers_are_repeatable_and_even(spark):
+    df = spark.range(6000).withColumnRenamed("id", "k")
+    one, two, other = (dict(map(tuple, R.add_random(df.repartition(n), "x", seed, "k").select("k", "x").collect())) for n, seed in ((3, 1), (7, 1), (3, 2)))
+    assert one == two and one != other and len(set(one.values())) == 6000
+    assert abs(sum(one.values()) / 6000 - 0.5) < 0.02 and all(0 <= x < 1 for x in one.values())
