@@ -227,7 +227,7 @@ def style_tree(rows: DataFrame) -> DataFrame:
 
 
 def importance(kind: Column, composite: Column, m: Column) -> Column:
-    """What a branch's markup and its place in the tree come to, for composite importances 0..1 and m pages."""
+    """What a branch's markup and its place in the tree come to, for composite importances 0..1 and m pages; a branch at the threshold stays."""
     flow = (m * composite + PRIOR_PAGES) / (m + PRIOR_PAGES)
     return F.when(kind == KEEP, flow).when(kind == ASK, composite).when(kind == DOUBT, DOUBT_SHARE * composite).otherwise(NO_CONTENT_SHARE * composite)
 

@@ -94,6 +94,7 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
 
 
 def broken(rule: str, setting: int) -> Column:
+    """Whether a document is above a setting's cutoff; at the cutoff, and without words, it isn't."""
     measure, grid = RULES[rule]
     return F.coalesce(F.expr(f"n_words > 0 AND {measure} > {grid[setting]}D"), F.lit(False))
 
@@ -116,7 +117,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", limit:
 
 
 def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
-    """counted with base_failed, broken (the rules) and kept; cuts has a row for each stratum."""
+    """counted with base_failed, broken (the rules whose cutoff the document is above; at it it stays) and kept; cuts has a row for each stratum."""
     joined = counted.join(small_or_shuffled(cuts), F.col("lang").eqNullSafe(F.col("stratum_")), "left")
     named = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(f"n_words > 0 AND {m} > cut_{r}"), F.lit(False)), F.lit(r)) for r, (m, _) in RULES.items()]))
     joined = joined.withColumn("base_failed", base_failed()).withColumn("broken", named)
