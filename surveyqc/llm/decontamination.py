@@ -38,7 +38,7 @@ TABLES = 256
 INDEX_BYTES, ITEMS, KEPT = 8 << 20, 16_384, 4
 SLICE = 4 << 20
 #: Windows that are fingerprinted at once, if a text has no more.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
 FOUND = "doc_id long, item_id long, start_word long, similarity double, distance int"
 
 
@@ -102,18 +102,22 @@ class Index:
         self.items = [np.flatnonzero(size == s) for s in range(len(self.sizes))]
         half = (length // 2)[:, None]
         self.fp = _packed(np.stack([_bits(h).sum(axis=0, dtype=np.int64) for h in hashes]) > half)
-        self.tables = np.zeros((min(TABLES, len(self.sizes)), BLOCKS, 1 << 16), bool)
-        for b in range(BLOCKS):
-            for s, value in zip(size.tolist(), (self.fp >> np.uint64(16 * b) & np.uint64(0xFFFF)).tolist(), strict=True):
-                self.tables[s % len(self.tables), b, NEAR ^ value] = True
+        self.tables = np.zeros((min(TABLES, len(self.sizes)), BLOCKS, 1 << 13), np.uint8)  # a bit a value
+        table = size % len(self.tables)
+        for t in np.unique(table):
+            for b in range(BLOCKS):
+                near = np.zeros(1 << 16, bool)
+                for value in np.unique(self.fp[table == t] >> np.uint64(16 * b) & np.uint64(0xFFFF)).tolist():
+                    near[NEAR ^ value] = True
+                self.tables[t, b] = np.packbits(near, bitorder="little")
 
     def near(self, fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(rows of fp, item, distances) of fingerprints of windows for items of these lengths, within the radius."""
         blocks, table = fp.view(np.uint16).reshape(-1, BLOCKS), size % len(self.tables)
-        some = self.tables[table, 0, blocks[:, 0]]
-        for b in range(1, BLOCKS):
-            some |= self.tables[table, b, blocks[:, b]]
-        rows = np.flatnonzero(some)
+        some = np.zeros(len(fp), np.uint8)
+        for b in range(BLOCKS):
+            some |= self.tables[table, b, blocks[:, b] >> 3] >> (blocks[:, b] & 7).astype(np.uint8)
+        rows = np.flatnonzero(some & 1)
         for s in np.unique(size[rows]):
             own = rows[size[rows] == s]
             for k in self.items[s].tolist():
