@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from surveyqc.functions.columns import long_form, match_columns
 from surveyqc.functions.quantiles import with_quantiles
@@ -30,11 +31,17 @@ def outlier_stats(df: DataFrame, names: Sequence[str], method: str = "iqr", mult
     return _stats(long_form(df, [], names), "column_name", method, multiplier, rule)
 
 
+@F.udf(StringType())
+def _two_places(x: float | None) -> str | None:
+    """As C's printf: by the double's exact value, where format_string rounds its shortest decimal form (753026.315 lies below its half)."""
+    return None if x is None else f"{x:.2f}"
+
+
 def _flagged(cells: DataFrame, stats: DataFrame, by: str, least: int) -> DataFrame:
-    told = lambda side: F.concat(F.lit(f"{'below lower' if side == 'lower' else 'above upper'} bound "), F.format_string("%.2f", F.col(side)))
-    reason = F.when(F.col("n") < least, "no outlier").when(F.col("value") < F.col("lower"), told("lower")).when(F.col("value") > F.col("upper"), told("upper")).otherwise("no outlier")
-    # stats has a row for each checked column.
-    return cells.where("value IS NOT NULL").join(F.broadcast(stats), by).withColumn("reason", reason)
+    # stats has a row for each checked column, so that its bounds are written out once.
+    told = {f"{side}_told_": F.concat(F.lit(f"{'below lower' if side == 'lower' else 'above upper'} bound "), _two_places(side)) for side in ("lower", "upper")}
+    reason = F.when(F.col("n") < least, "no outlier").when(F.col("value") < F.col("lower"), F.col("lower_told_")).when(F.col("value") > F.col("upper"), F.col("upper_told_")).otherwise("no outlier")
+    return cells.where("value IS NOT NULL").join(F.broadcast(stats.withColumns(told)), by).withColumn("reason", reason).drop(*told)
 
 
 def outlier_flags(df: DataFrame, ids: Sequence[str], names: Sequence[str], method: str = "iqr", multiplier: float | None = None, least: int | None = None, rule: str = "linear") -> DataFrame:
