@@ -68,6 +68,16 @@ def test_outliers_need_values_and_pool_groups(spark):
         O.Bounds(hard_min=5, soft_min=1)
 
 
+def test_bounds_are_written_by_their_exact_value(spark):
+    """The upper bound 753026.315 is a double below the half, so that printf and SQL write 753026.31."""
+    values_of = [125837.89] * 6 + [200000.0] * 9 + [376713.26] * 5 + [1e6]
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(values_of)], "k int, x_1 double, x_2 double")
+    told = [r["reason"] for r in O.outlier_flags(df, ["k"], ["x_1"]).where("reason <> 'no outlier'").collect()]
+    assert told == ["above upper bound 753026.31"]
+    pooled = O.outlier_flags_grouped(df, ["k"], {"x": ["x_1", "x_2"]}, "sd", multiplier=1.0).where("k = 20")
+    assert {r["reason"] == f"above upper bound {r['upper']:.2f}" for r in pooled.collect()} == {True}
+
+
 def test_soft_max_is_named_before_hard_max(spark):
     df = spark.createDataFrame([(1, 99.0), (2, 5.0)], "k int, v double")
     got = O.constraint_violations(df, ["k"], {"v": O.Bounds(soft_max=10, hard_max=50)}).collect()
