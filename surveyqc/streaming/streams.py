@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,41 +17,94 @@ from surveyqc.operators.outliers import Bounds, constraint_violations
 from surveyqc.streaming import keyed_table
 
 
-def windowed_counts(events: DataFrame, time: str, by: Sequence[str], period: str, slide: str | None, delay: str) -> DataFrame:
-    """date (a window's first), by, submissions, late: rows of each window, once when the watermark has passed its end, and rows that came after, as they come.
+def counter(keys: Sequence[str], most: int = 1 << 18) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: counts of a task's rows (keys, at_) by the keys, and rows of no count with the latest time: keys, n_, at_. A task holds about `most` rows."""
+    names = [*keys, "n_", "at_"]
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(list(keys)).aggregate([("n_", "sum"), ("at_", "max")]).select([*keys, "n__sum", "at__max"]).rename_columns(names)
+
+    def given(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+        clock = dict.fromkeys(keys) | {"n_": 0, "at_": pc.max(counts["at_"]).as_py()}
+        counts = counts.set_column(len(keys) + 1, "at_", pa.nulls(len(counts), pa.int64()))
+        yield from pa.concat_tables([counts, pa.Table.from_pylist([clock], counts.schema)]).to_batches()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.table([*[batch[c] for c in keys], pa.repeat(pa.scalar(1, pa.int64()), len(batch)), batch["at_"]], names))
+            if sum(map(len, held)) > most:
+                held = [merged(held)]
+                if len(held[0]) > most // 2:
+                    yield from given(held.pop())
+        if sum(map(len, held)):
+            yield from given(merged(held))
+
+    return counted
 
-    A row is late in a window whose end is before the watermark, the greatest time of earlier batches less the delay. Every row comes
-    to the state twice: once with its time as the watermark's clock, which Spark drops when it is late, and once without a clock,
-    which is counted. So no row is lost: counts and late rows of closed windows add up to all of theirs. Rows without a time are in no
-    window. Output mode append; sums over a window's rows are final but for what is still late.
-    """
-    clock = F.explode(F.array(F.struct(F.col(time).alias("clock_"), F.lit(0).alias("n_")), F.struct(F.lit(None).cast("timestamp").alias("clock_"), F.lit(1).alias("n_"))))
-    twice = events.select(F.col(time).alias("at_"), *by, clock.alias("c_")).select("at_", *by, "c_.clock_", "c_.n_").withWatermark("clock_", delay)
-    windows = F.window("at_", period, slide) if slide else F.window("at_", period)
-    rows = twice.withColumn("window_", windows).withColumns({"end_": F.unix_millis("window_.end"), "date": F.to_date("window_.start")}).select("clock_", "end_", "date", *by, "n_")
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end, *own = key
+def _lengths(spark: SparkSession, *periods: str) -> list[int]:
+    """Microseconds of periods as Spark's windows read them."""
+    windows = [F.window(F.timestamp_micros(F.lit(0)), p) for p in periods]
+    return [spark.range(1).select(w.alias("w")).select(F.unix_micros("w.end") - F.unix_micros("w.start")).first()[0] for w in windows]
 
-        def row(submissions: int, late: int) -> pd.DataFrame:
-            return pd.DataFrame([[*own, submissions, late]], columns=["date", *by, "submissions", "late"])
 
-        if state.hasTimedOut:
-            yield row(state.get[0], 0)
+#: So that a value of `by` reads back as it was.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def windowed_counts(events: DataFrame, time: str, by: Sequence[str], period: str, slide: str | None, delay: str, buckets: int = 1024) -> DataFrame:
+    """date (a window's first), by, submissions, late: rows of each window, once when the watermark has passed its end, and rows that came after, as they come.
+
+    A row is late in a window whose end is before the watermark, the greatest time of earlier batches less the delay. Each task counts
+    its rows first, by `by` and the panes that windows are made of; a count has no clock, so that Spark never drops it, and a row of no
+    count beside them carries the task's latest time as the watermark's clock. So no row is lost: counts and late rows of closed windows
+    add up to all of theirs. The state is a row a bucket of `by` (without it, of windows) with the counts of open windows, as a call for
+    each value takes milliseconds; a bucket fits in memory. Rows without a time are in no window. Output mode append; sums over a
+    window's rows are final but for what is still late. A checkpoint belongs to one number of buckets.
+    """
+    length, step = _lengths(events.sparkSession, period, slide or period)
+    pane, kind = math.gcd(length, step), events.select(*by).schema
+    key = F.to_json(F.struct(*by), JSON) if by else F.lit("{}")
+    timed = events.select(key.alias("key_"), F.unix_micros(F.col(time).cast("timestamp")).alias("at_")).where("at_ IS NOT NULL")
+    panes = timed.select("key_", (F.col("at_") - F.pmod("at_", F.lit(pane))).alias("pane_"), "at_")
+    counted = panes.mapInArrow(counter(["key_", "pane_"]), "key_ string, pane_ long, n_ long, at_ long")
+    # The ends of a pane's windows: starts are multiples of the step, over the pane less the length and up to it. There may be none.
+    first = F.col("pane_") - length + step - F.pmod(F.col("pane_") - length, F.lit(step)) + length
+    last = F.col("pane_") - F.pmod("pane_", F.lit(step)) + length
+    rows = counted.select("key_", F.timestamp_micros("at_").alias("clock_"), "n_", F.coalesce(first, F.lit(0)).alias("first_"), F.coalesce(last, F.lit(0)).alias("last_")).withWatermark("clock_", delay)
+    if not by:
+        ends = F.explode(F.when(F.col("first_") <= F.col("last_"), F.sequence("first_", "last_", F.lit(step))))
+        rows = rows.withColumn("end_", ends).withColumns({"first_": F.col("end_"), "last_": F.col("end_")}).drop("end_")
+    dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64("key_" if by else "first_"), F.lit(buckets)))
+
+    def count(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, still, late = state.getCurrentWatermarkMs(), {}, {}
+        if state.exists:
+            keys, ends, counts = state.get
+            still = dict(zip(zip(keys, ends, strict=True), counts, strict=True))
+        if not state.hasTimedOut:
+            for f in frames:
+                for own, n, low, high in zip(*[f[c].tolist() for c in ("key_", "n_", "first_", "last_")], strict=True):
+                    for end in range(low, high + 1, step) if n else ():
+                        to = late if end // 1000 < mark else still
+                        to[own, end] = to.get((own, end), 0) + n
+        done = {k: n for k, n in still.items() if k[1] // 1000 + 1 < mark}
+        still = {k: n for k, n in still.items() if k not in done}
+        if still:
+            keys, ends = zip(*still, strict=True)
+            state.update((list(keys), list(ends), list(still.values())))
+            state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, 1))
+        elif state.exists:
             state.remove()
-            return
-        n = sum(int(f["n_"].sum()) for f in frames)
-        if not n:
-            return
-        if end < state.getCurrentWatermarkMs():
-            yield row(0, n)
-            return
-        state.update(((state.get[0] if state.exists else 0) + n,))
-        state.setTimeoutTimestamp(int(end) + 1)
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in ("date", *by)) + ", submissions long, late long"
-    return rows.groupBy("end_", "date", *by).applyInPandasWithState(count, out, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+        if out := [(*k, n, 0) for k, n in done.items()] + [(*k, 0, n) for k, n in late.items()]:
+            yield pd.DataFrame(out, columns=["key_", "end_", "submissions", "late"])
+
+    closed = dealt.groupBy("bucket_").applyInPandasWithState(
+        count, "key_ string, end_ long, submissions long, late long", "keys array<string>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    values = F.from_json("key_", kind, JSON)
+    return closed.select(F.to_date(F.timestamp_micros(F.col("end_") - length)).alias("date"), *[values[c].alias(c) for c in by], "submissions", "late")
 
 
 def stream_submissions_by_day(events: DataFrame, time: str, period: str = "1 day", delay: str = "2 days") -> DataFrame:

@@ -1,10 +1,13 @@
 """What must hold for groups of any size: keyed tables over batches, late rows, scans, hot values, neighbours in dense places, patterns, exact p, one-pass reports."""
 
+import collections
+import datetime
 import itertools
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +104,31 @@ def test_late_rows_are_counted_beside_closed_windows(spark, tmp_path):
     assert got == {1: (3, 1), 2: (1, 1), 4: (1, 1), 5: (1, 0)}
 
 
+def test_windows_state_is_a_row_a_bucket(spark, tmp_path):
+    """Four keys, one null, in 20 days' sliding windows: one call for many windows, and keys come back as they were."""
+    rows = [(k, f"2024-01-{d:02} 06:00:00") for d in range(1, 21) for k in (2**60 + 1, 2**60 + 2, 3, None)]
+    events = spark.createDataFrame(rows, "who long, t string").select("who", F.to_timestamp("t").alias("t"))
+    events.write.parquet(str(tmp_path / "in"))
+    df = streams.stream_enumerator_activity(spark.readStream.schema("who long, t timestamp").parquet(str(tmp_path / "in")), "t", "who")
+    query = df.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 5
+    got = {(r["from_date"].isoformat(), r["who"]): (r["submissions"], r["late"]) for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/out").collect()}
+    starts = [datetime.date(2023, 12, 26) + datetime.timedelta(days=i) for i in range(17)]  # windows that end by the 18th
+    assert got == {(s.isoformat(), k): (min(7, i + 1), 0) for i, s in enumerate(starts) for k in (2**60 + 1, 2**60 + 2, 3, None)}
+
+
+def test_counter_loses_no_row_when_it_gives_counts_early():
+    rows = [{"k": str(i % 300) if i > 3000 else "ab"[i % 2], "at_": i} for i in range(6000)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 70]) for i in range(0, 6000, 70)]
+    out = [r for b in streams.counter(["k"], 100)(iter(batches)) for r in b.to_pylist()]
+    got = collections.Counter()
+    for r in out:
+        got[r["k"]] += r["n_"]
+    assert +got == collections.Counter(r["k"] for r in rows)
+    assert max(r["at_"] for r in out if not r["n_"]) == 5999 and {r["at_"] for r in out if r["n_"]} == {None}
+
+
 # Scans
 
 
