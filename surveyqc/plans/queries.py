@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -652,12 +653,13 @@ add("quality_report", lambda t: report.quality_report(t.survey, t.visits, CODES,
 # Streams, run to the end of what there is
 
 
-def _replay(t: Tables, *files: DataFrame) -> DataFrame:
-    """Each table as a file of a stream, one a micro-batch, in this order."""
-    folder = new_folder(t.spark)
-    for rows in files:
-        rows.select("event_id", "ts", "user_id", "value").coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").option("maxFilesPerTrigger", 1).parquet(folder)
+def _replay(t: Tables, run: Callable[[DataFrame], Any], *tables: DataFrame) -> Any:
+    """Each table as a micro-batch of a stream, in this order: `run` goes to the end of what there is after each, and gives the last result."""
+    folder, given = new_folder(t.spark), None
+    for rows in tables:
+        rows.select("event_id", "ts", "user_id", "value").write.mode("append").parquet(folder)
+        given = run(t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").parquet(folder))
+    return given
 
 
 def _events(t: Tables) -> DataFrame:
@@ -679,21 +681,25 @@ def _stream(t: Tables, repeats: bool = False) -> DataFrame:
     return t.spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").parquet(folder)
 
 
-def _late(t: Tables) -> DataFrame:
+def _late(t: Tables, run: Callable[[DataFrame], Any]) -> Any:
     """The events in two halves, then every tenth once more."""
     rows = _events(t)
-    return _replay(t, rows.where("ts < '2024-01-16'"), rows.where("ts >= '2024-01-16'"), rows.where("event_id % 10 = 0"))
+    return _replay(t, run, rows.where("ts < '2024-01-16'"), rows.where("ts >= '2024-01-16'"), rows.where("event_id % 10 = 0"))
 
 
-def _finished(t: Tables, df: DataFrame) -> DataFrame:
-    out = new_folder(t.spark)
+def _run(df: DataFrame, out: str) -> DataFrame:
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def _windows(t: Tables, counted: DataFrame, *by: str) -> DataFrame:
+def _finished(t: Tables, df: DataFrame) -> DataFrame:
+    return _run(df, new_folder(t.spark))
+
+
+def _windows(t: Tables, counted: Callable[[DataFrame], DataFrame], *by: str) -> DataFrame:
     """What all micro-batches gave, by window."""
-    return _finished(t, counted).groupBy(*by).agg(F.sum("submissions").alias("submissions"), F.sum("late").alias("late"))
+    out = new_folder(t.spark)
+    return _late(t, lambda events: _run(counted(events), out)).groupBy(*by).agg(F.sum("submissions").alias("submissions"), F.sum("late").alias("late"))
 
 
 #: Rows of the second half are in time for windows of the first; the third file's rows are late where a window ends before the watermark.
@@ -703,11 +709,11 @@ WINDOWS = """SELECT from_date AS {date}{by}, (count(*) FILTER (part = 1 OR NOT c
       FROM (SELECT user_id, ts, 1 AS part FROM events UNION ALL SELECT user_id, ts, 2 FROM events WHERE event_id % 10 = 0), (SELECT unnest(generate_series(0, {days} - 1))::INT AS k)),
     (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY AS mark FROM events))
   GROUP BY from_date{by}, is_out HAVING is_out OR count(*) FILTER (part = 2 AND closed) > 0"""
-add("stream_submissions_by_day", lambda t: _windows(t, streams.stream_submissions_by_day(_late(t), "ts"), "date"), WINDOWS.format(date="date", by="", days=1))
+add("stream_submissions_by_day", lambda t: _windows(t, lambda events: streams.stream_submissions_by_day(events, "ts"), "date"), WINDOWS.format(date="date", by="", days=1))
 add("stream_constraint_flags", lambda t: _finished(t, streams.stream_constraint_flags(_stream(t), ["event_id"], {"value": O.Bounds(soft_max=20, hard_max=50)}).select("event_id", "value", "reason")),
     "SELECT event_id, value, 'soft_max' AS reason FROM events WHERE value > 20")
 add("stream_dedupe_key", lambda t: _finished(t, streams.stream_dedupe_key(_stream(t, repeats=True), "event_id", "ts").select("event_id", "user_id")), "SELECT event_id, user_id FROM events")
-add("stream_enumerator_activity", lambda t: _windows(t, streams.stream_enumerator_activity(_late(t), "ts", "user_id"), "from_date", "user_id"),
+add("stream_enumerator_activity", lambda t: _windows(t, lambda events: streams.stream_enumerator_activity(events, "ts", "user_id"), "from_date", "user_id"),
     WINDOWS.format(date="from_date", by=", user_id", days=7))
 
 
@@ -715,8 +721,11 @@ def _upserted(t: Tables) -> DataFrame:
     """Three batches: two thirds of the events, then all an hour earlier (older rows of the first, new keys), then the last third with repeats and equal times."""
     out, rows = new_folder(t.spark), _events(t)
     rest = rows.where("event_id % 3 = 0")
-    source = _replay(t, rows.where("event_id % 3 <> 0"), _earlier(rows), rest.unionByName(rest).unionByName(rest.withColumn("value", F.col("value") - 1)))
-    streams.stream_upsert(source.select("event_id", "ts", "value"), out, "event_id", out + "-state", time="ts").awaitTermination()
+
+    def run(events: DataFrame) -> None:
+        streams.stream_upsert(events.select("event_id", "ts", "value"), out, "event_id", out + "-state", time="ts").awaitTermination()
+
+    _replay(t, run, rows.where("event_id % 3 <> 0"), _earlier(rows), rest.unionByName(rest).unionByName(rest.withColumn("value", F.col("value") - 1)))
     return keyed_table.read(t.spark, out, "event_id long, ts timestamp, value double").drop("ts")
 
 

@@ -16,7 +16,8 @@ from surveyqc.operators import duplicates as U
 from surveyqc.operators import gps as G
 from surveyqc.operators import missing as M
 from surveyqc.operators import outliers as O
-from surveyqc.plans import prep, report
+from surveyqc.plans import prep, queries, report
+from surveyqc.plans.fixtures import Tables
 from surveyqc.plans.queries import BOUNDS, CELLS, CODES
 from surveyqc.sources import forms
 from surveyqc.streaming import keyed_table, streams
@@ -87,6 +88,21 @@ def test_upsert_restarts_and_takes_later_batches(spark, tmp_path):
         assert stored(spark, folder) == newest(BATCHES[: i + 1])
 
 
+def test_replay_writes_by_all_tasks_and_is_a_batch_a_table(spark, tmp_path):
+    tables = [spark.range(n).select(F.col("id").alias("event_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("id").alias("user_id"), F.lit(0.5).alias("value")).repartition(3) for n in (30, 60, 90)]
+    seen = []
+
+    def run(events):
+        def each(batch, number):
+            seen.append((number, batch.count(), batch.select(F.input_file_name().alias("file")).distinct().count()))
+
+        events.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return len(seen)
+
+    assert queries._replay(Tables(spark, ""), run, *tables) == 3
+    assert seen == [(0, 30, 3), (1, 60, 3), (2, 90, 3)]
+
+
 def test_late_rows_are_counted_beside_closed_windows(spark, tmp_path):
     """Each batch is a file; the watermark of a batch is the latest day before it less two days."""
     source, day = tmp_path / "in", lambda d, h=12: f"2024-01-{d:02} {h:02}:00:00"
