@@ -31,7 +31,7 @@ def outlier_stats(df: DataFrame, names: Sequence[str], method: str = "iqr", mult
     return _stats(long_form(df, [], names), "column_name", method, multiplier, rule)
 
 
-@F.udf(StringType())
+@F.udf(StringType(), useArrow=False)
 def _two_places(x: float | None) -> str | None:
     """As C's printf: by the double's exact value, where format_string rounds its shortest decimal form (753026.315 lies below its half)."""
     return None if x is None else f"{x:.2f}"
