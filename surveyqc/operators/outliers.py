@@ -150,5 +150,5 @@ def inspect_column(df: DataFrame, column: str, rule: str = "linear") -> DataFram
 
 
 def outlier_admin_join(flags: DataFrame, df: DataFrame, key: str, roles: Sequence[str]) -> DataFrame:
-    """Role columns beside long outlier results; cheaper is to give them as ids to outlier_flags."""
-    return df.select(key, *roles).dropDuplicates([key]).join(flags, key, "left")
+    """Each row's role columns beside all outlier results of its key, also where keys repeat; without repeats, cheaper is to give roles as ids to outlier_flags."""
+    return df.select(key, *roles).join(flags, key, "left")

@@ -78,6 +78,12 @@ def test_bounds_are_written_by_their_exact_value(spark):
     assert {r["reason"] == f"above upper bound {r['upper']:.2f}" for r in pooled.collect()} == {True}
 
 
+def test_admin_join_keeps_all_rows_of_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "c", None), (None, "d", 4.0), (None, "e", 5.0)], "k int, who string, x double")
+    got = O.outlier_admin_join(O.outlier_flags(df, ["k"], ["x"]), df, "k", ["who"]).select("k", "who", "value").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a", 1.0), (1, "a", 2.0), (1, "b", 1.0), (1, "b", 2.0), (2, "c", None), (None, "d", None), (None, "e", None)]
+
+
 def test_soft_max_is_named_before_hard_max(spark):
     df = spark.createDataFrame([(1, 99.0), (2, 5.0)], "k int, v double")
     got = O.constraint_violations(df, ["k"], {"v": O.Bounds(soft_max=10, hard_max=50)}).collect()
