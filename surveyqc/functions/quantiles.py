@@ -12,11 +12,17 @@ from surveyqc.functions.shared import written
 RULES = ("linear", "midpoint", "nearest", "lower", "higher")
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles that are not null, rounded once."""
+    return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float], rule: str = "linear", weight: str | None = None) -> DataFrame:
     """`by` and a column for each quantile in `at` of the double column `value`; without `by` one row, null if there are no values.
 
-    The rank q * (n - 1) lies between two values: `linear` weighs them, `midpoint` takes their mean, `nearest` the closer one (of
-    two as close the higher), `lower` and `higher` one of them. Nulls don't count; groups without values have no row; a null group
+    The rank q * (n - 1) lies between two values: `linear` weighs them (as SQL's quantile_cont to the last bit: the lower value's
+    product is fused with the sum), `midpoint` takes their mean, `nearest` the closer one (of two as close the higher), `lower`
+    and `higher` one of them. Nulls don't count; groups without values have no row; a null group
     is a group. Equal values are counted first and the counts are dealt by ranges of group and value, so that a group of any size
     lies in many parts. Sums over the parts' groups give each value its rank, and a group's task sees but the values asked for.
     weight: a column with the rows that each row stands for, where df has been counted already.
@@ -47,7 +53,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, flo
         low, high, p = F.col(f"low_{name}"), F.col(f"high_{name}"), position[name]
         share = p - F.floor(p)
         told_by = {
-            "linear": F.when(low == high, low).otherwise((F.ceil(p) - p) * low + share * high), "midpoint": (low + high) / 2,
+            "linear": F.when(low == high, low).when(low.isNotNull(), _fused(low, F.ceil(p) - p, share * high)), "midpoint": (low + high) / 2,
             "nearest": F.when(share < 0.5, low).otherwise(high), "lower": low, "higher": high,
         }
         return told_by[rule].alias(name)

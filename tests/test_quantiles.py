@@ -1,5 +1,6 @@
 """Quantiles of groups against numpy, and no plan that gathers a group's values."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -33,6 +34,26 @@ def test_quantiles_are_numpys(rows, groups, rule):
         assert [r[k] for k in AT] == pytest.approx([np.quantile(groups[g], q, method=rule) for q in AT.values()], rel=1e-12)
 
 
+def test_linear_is_sqls_to_the_last_bit(spark):
+    made = np.random.default_rng(7)
+    data = [(n, float(v)) for n in range(2, 80) for v in made.uniform(1e3, 5e5, n).round(2)]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (g INT, v DOUBLE)")
+    duck.executemany("INSERT INTO t VALUES (?, ?)", data)
+    want = duck.execute(f"SELECT g, {', '.join(f'quantile_cont(v, {q})' for q in AT.values())} FROM t GROUP BY g").fetchall()
+    got = quantiles(spark.createDataFrame(data, "g int, v double"), ["g"], "v", AT).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    ends = spark.createDataFrame([("a", 1.0), ("a", float("inf")), ("b", 1.7e308), ("b", 1.6e308), ("c", None)], "g string, v double")
+    assert sorted(map(tuple, quantiles(ends, ["g"], "v", {"q": 0.5}).collect())) == [("a", float("inf")), ("b", pytest.approx(1.65e308))]
+
+
+def test_bounds_between_two_values_read_as_in_sql(spark):
+    """Rounded twice, the upper bound would be 794410.6749999999, and be written .67."""
+    values = [111596.1] * 6 + [111596.15] + [200000.0] * 8 + [384721.81] + [384721.98] * 5 + [1e6]
+    flags = O.outlier_flags(spark.createDataFrame([(v,) for v in values], "x double"), [], ["x"])
+    assert [r["reason"] for r in flags.where("reason <> 'no outlier'").collect()] == ["above upper bound 794410.68"]
+
+
 def test_nearest_of_two_as_close_is_the_higher(spark):
     df = spark.createDataFrame([(float(i),) for i in range(4)], "v double")
     assert tuple(quantiles(df, [], "v", {"a": 0.5, "b": 0.3, "c": 0.4}, "nearest").first()) == (2.0, 1.0, 1.0)
